@@ -148,11 +148,11 @@ targets as (
   from marked),
 laid as (
   select b.*, t.s, t.target, round(t.target)::bigint as stop,
-         coalesce(sum(b.size) over (partition by b.source order by b.r, b.doc_id, b.size rows between unbounded preceding and 1 preceding), 0)::bigint as at
+         coalesce(sum(b.size) over (partition by b.source order by b.r, b.doc_id, b.size rows between unbounded preceding and 1 preceding), 0)::bigint as began
   from base b join targets t on b.source is not distinct from t.source),
 took as (
-  select *, greatest(0, least(size, stop - at)) as t0, greatest(0, least(size, stop - at - s::bigint)) as t1,
-         greatest(0, least(size, stop - at - 2 * s::bigint)) as t2 from laid)
+  select *, greatest(0, least(size, stop - began)) as t0, greatest(0, least(size, stop - began - s::bigint)) as t1,
+         greatest(0, least(size, stop - began - 2 * s::bigint)) as t2 from laid)
 select doc_id, size, s::bigint as source_size, round(target, 6) as target, (t0 + t1 + t2)::bigint as taken,
        ((t0 > 0 and 2 * t0 >= size)::int + (t1 > 0 and 2 * t1 >= size)::int + (t2 > 0 and 2 * t2 >= size)::int)::bigint as copies
 from took
