@@ -1,4 +1,642 @@
 """All registered queries of the genotype engine and the SQL they are checked against."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .operators import aggregate as A
+from .operators import covar as C
+from .operators import layout as L
+from .operators import linkage as G
+from .operators import qc as Q
+from .operators import sampling as P
+from .operators import stats as S
+from .sources import views as V
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL over the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ctes = ", ".join(V.SQL[v] for v in views.split())
+            body = sql.strip()
+            ORACLES[f.__name__] = (f"with {ctes}" + (f", {body[5:]}" if body.startswith("with ") else f" {body}")) if ctes else body
+        return f
+
+    return add
+
+
+def rounded(df, *columns, n=6):
+    return df.select(*[F.round(F.col(c), n).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def train_calls(s, d):
+    return V.geno(s, d).join(V.pheno(s, d).where("split = 'train'").select("sample_idx", "y_bin", "y_cont"), "sample_idx")
+
+
+def stats(s, d):
+    return Q.variant_stats(train_calls(s, d))
+
+
+def xy(s, d):
+    """Non-missing training calls with labels."""
+    return train_calls(s, d).where("dosage is not null").withColumn("x", F.col("dosage").cast("double"))
+
+
+def coefs(s, d):
+    """Marginal correlations with y_cont on the training rows, for variants that pass QC."""
+    kept = Q.filter_variants(stats(s, d), 0.05, 0.05).select("variant_idx")
+    return xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(kept, "variant_idx", "left_semi")
+
+
+TRAIN = "train as (select g.*, y_bin, y_cont from geno g join pheno p using (sample_idx) where split = 'train')"
+STATS = TRAIN + """, stats as (select variant_idx, least(avg(dosage) / 2, 1 - avg(dosage) / 2) as maf, avg((dosage is null)::int::double) as missingness,
+  greatest(0.001::double, least(0.999::double, coalesce(sum(dosage), 0)::double / greatest(count(dosage), 1) / 2)) as a0_freq from train group by 1)"""
+COEFS = STATS + """, coefs as (select variant_idx, corr(dosage::double, y_cont) as coef from train where dosage is not null and variant_idx in (select variant_idx from stats where maf >= 0.05 and missingness <= 0.05) group by 1)"""
+STD = "std as (select sample_idx, variant_idx, coalesce((dosage - 2 * a0_freq) / case when maf * (1 - maf) = 0 then 1 else sqrt(2 * maf * (1 - maf)) end, 0) as x from geno join stats using (variant_idx))"
+BASE = "geno pheno"
+
+
+# ---- quality control, filters, labels -------------------------------------------------------------------------------
+@query(f"with {STATS} select variant_idx, round(maf, 6) as maf from stats", BASE)
+def qc_maf(s, d):
+    return rounded(stats(s, d).select("variant_idx", "maf"), "maf")
+
+
+@query(f"with {STATS} select variant_idx, round(missingness, 6) as missingness from stats", BASE)
+def qc_missingness(s, d):
+    return rounded(stats(s, d).select("variant_idx", "missingness"), "missingness")
+
+
+@query(f"with {STATS} select variant_idx, round(a0_freq, 6) as a0_freq from stats", BASE)
+def qc_a0freq(s, d):
+    return rounded(stats(s, d).select("variant_idx", "a0_freq"), "a0_freq")
+
+
+@query(f"with {STATS} select variant_idx, round(maf, 6) as maf, round(missingness, 6) as missingness from stats where maf >= 0.05 and missingness <= 0.05", BASE)
+def qc_filter_variants(s, d):
+    return rounded(Q.filter_variants(stats(s, d), 0.05, 0.05).select("variant_idx", "maf", "missingness"), "maf", "missingness")
+
+
+@query(f"with {STATS}, {STD} select sample_idx, variant_idx, round(x, 6) as x from std", BASE)
+def geno_standardize(s, d):
+    return rounded(Q.standardize(V.geno(s, d), stats(s, d)), "x")
+
+
+@query("""select (c_custkey - 1)::bigint as sample_idx, c_custkey::varchar as iid, c_mktsegment as population, nullif(c_nationkey, -9)::double as y from
+  (select *, row_number() over (partition by c_custkey order by c_name) as n from customer where c_mktsegment in ('BUILDING', 'MACHINERY')) where n = 1 and c_nationkey is not null and c_custkey % 7 <> 0""")
+def pheno_prepare(s, d):
+    c = V.table(s, d, "customer")
+    fam = c.select((F.col("c_custkey") - 1).alias("sample_idx"), F.col("c_custkey").cast("string").alias("iid")).distinct()
+    m = c.select(F.col("c_custkey").cast("string").alias("IID"), F.col("c_name").alias("_row"), F.col("c_mktsegment").alias("population"), F.when(F.col("c_custkey") % 7 == 0, -9).otherwise(F.col("c_nationkey")).cast("double").alias("y"))
+    return Q.prepare_samples(fam, m, "y", ["MACHINERY", "BUILDING"]).select("sample_idx", "iid", "population", "y")
+
+
+@query("select sample_idx, (v > 1)::int::double as y from (select sample_idx, case when y_bin = 1 then 2 else 1 end as v from pheno)", "pheno")
+def label_recode(s, d):
+    return Q.recode_binary(V.pheno(s, d).select("sample_idx", (F.col("y_bin") + 1).cast("double").alias("y")), "y")
+
+
+@query("with m as (select quantile_cont(y_bin + 1, 0.5) as q from pheno) select sample_idx, (y_bin + 1 > q)::int::double as y from pheno, m", "pheno")
+def label_recode_compat(s, d):
+    return Q.recode_binary(V.pheno(s, d).select("sample_idx", (F.col("y_bin") + 1).cast("double").alias("y")), "y", compat=True)
+
+
+@query("select sample_idx, round(y_cont, 6) as y_cont from pheno where abs(y_cont - (select avg(y_cont) from pheno)) / (select stddev_pop(y_cont) from pheno) < 1.2", "pheno")
+def zscore_outliers(s, d):
+    return rounded(Q.without_outliers(V.pheno(s, d).select("sample_idx", "y_cont"), "y_cont", 1.2), "y_cont")
+
+
+@query("with m as (select avg(age) as m, stddev_pop(age) as s from pheno where split = 'train') select sample_idx, round((age - m) / s, 6) as z from pheno, m", "pheno")
+def covar_scale(s, d):
+    return rounded(Q.zscore(V.pheno(s, d).select("sample_idx", "split", "age"), "age", fit="split = 'train'").select("sample_idx", "z"), "z")
+
+
+@query("select sample_idx, round((age - avg(age) over w) / stddev_pop(age) over w, 6) as z from pheno window w as (partition by split)", "pheno")
+def covar_scale_compat(s, d):
+    return rounded(Q.zscore(V.pheno(s, d).select("sample_idx", "split", "age"), "age", by=["split"]).select("sample_idx", "z"), "z")
+
+
+@query("select y_bin, n as n_class, round(sum(n) over () / (2.0::double * n), 6) as weight from (select y_bin, count(*) as n from pheno group by 1)", "pheno")
+def class_weights(s, d):
+    return rounded(Q.class_weights(V.pheno(s, d), "y_bin", True), "weight")
+
+
+# ---- splits and draws -----------------------------------------------------------------------------------------------
+@query("select split, count(*) as n, sum(y_bin)::bigint as cases from pheno group by 1", "pheno")
+def split_by_column(s, d):
+    parts = P.split_by_column(V.pheno(s, d), "split", ["train", "val", "test"]).values()
+    first, *rest = [p.groupBy("split").agg(F.count("*").alias("n"), F.sum("y_bin").alias("cases")) for p in parts]
+    return first.unionByName(rest[0]).unionByName(rest[1])
+
+
+@query("select sample_idx, (row_number() over (order by sample_idx) <= floor(count(*) over () * 0.8::double))::int as is_train from pheno", "pheno")
+def split_head_tail(s, d):
+    return P.head_tail(V.pheno(s, d).select("sample_idx"), 0.2)
+
+
+@query("select sample_idx, population, (row_number() over (partition by population order by md5(concat(sample_idx, '_', 3)), sample_idx) <= floor(count(*) over (partition by population) * 0.7::double))::int as is_train from pheno", "pheno")
+def split_by_population(s, d):
+    return P.head_tail(V.pheno(s, d).select("sample_idx", "population"), 0.3, ["population"], 3)
+
+
+@query("""select sample_idx, (case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end)::int as fold from
+  (select sample_idx, row_number() over (order by sample_idx) - 1 as i, count(*) over () // 5 as q, count(*) over () % 5 as r from pheno)""", "pheno")
+def kfold_assign(s, d):
+    return P.kfold(V.pheno(s, d).select("sample_idx"), 5)
+
+
+@query("select sample_idx, y_bin, ((row_number() over (partition by y_bin order by sample_idx) - 1) % 5)::int as fold from pheno", "pheno")
+def kfold_stratified(s, d):
+    return P.kfold(V.pheno(s, d).select("sample_idx", "y_bin"), 5, "y_bin")
+
+
+@query("""with n as (select count(*) as n from pheno), draws as (select cast(concat('0x', substr(md5(concat(i, '#b', 7)), 1, 8)) as bigint) % n as r, count(*) as multiplicity from n, unnest(range(0, n)) t(i) group by 1)
+  select sample_idx, multiplicity from (select sample_idx, row_number() over (order by sample_idx) - 1 as r from pheno) join draws using (r)""", "pheno")
+def bootstrap_multiplicity(s, d):
+    return P.bootstrap(V.pheno(s, d).select("sample_idx"), 7)
+
+
+@query("""select sample_idx, y_bin, greatest(0, floor((60 - i)::double / n) + 1)::int as multiplicity from
+  (select sample_idx, y_bin, row_number() over (partition by y_bin order by md5(concat(sample_idx, '_', 5)), sample_idx) as i, count(*) over (partition by y_bin) as n from pheno) where i <= 60""", "pheno")
+def sample_stratified(s, d):
+    return P.stratified(V.pheno(s, d).select("sample_idx", "y_bin"), "y_bin", 120, 5)
+
+
+@query("""select sample_idx, y_bin from (select sample_idx, y_bin, row_number() over (partition by y_bin order by md5(concat(sample_idx, '_', 5)), sample_idx) as i, sum(y_bin) over () as c from
+  (select sample_idx, (y_bin = 1 and sample_idx % 3 = 0)::int as y_bin from pheno)) where y_bin = 1 or i <= 2 * c""", "pheno")
+def sample_balanced(s, d):
+    return P.balanced(V.pheno(s, d).select("sample_idx", ((F.col("y_bin") == 1) & (F.col("sample_idx") % 3 == 0)).cast("int").alias("y_bin")), "y_bin", 2, 5)
+
+
+@query("""with q as (select [quantile_cont(y_cont, 0.25), quantile_cont(y_cont, 0.5), quantile_cont(y_cont, 0.75)] as q from pheno),
+  b as (select sample_idx, len(list_filter(q, lambda x: x < y_cont))::int as bin from pheno, q),
+  r as (select *, row_number() over (partition by bin order by md5(concat(sample_idx, '_', 5)), sample_idx) as i, round(100 * count(*) over (partition by bin)::double / count(*) over ()) as k from b)
+  select sample_idx, bin from r where i <= k""", "pheno")
+def sample_quantile_strata(s, d):
+    return P.quantile_strata(V.pheno(s, d).select("sample_idx", "y_cont"), "y_cont", 100, 4, 5).select("sample_idx", "bin")
+
+
+@query("select sample_idx, population from (select *, row_number() over (partition by population order by md5(concat(sample_idx, '_', 9)), sample_idx) as i, (select count(distinct population) from pheno) as p from pheno) where i <= 90 // p", "pheno")
+def sample_per_population(s, d):
+    return P.per_population(V.pheno(s, d).select("sample_idx", "population"), 90, 9)
+
+
+@query("select variant_idx from variants_small order by md5(concat(variant_idx, '_', 4)), variant_idx limit 20", "variants_small")
+def sample_variants(s, d):
+    return P.uniform(V.variants_small(s, d).select("variant_idx"), "variant_idx", 20, 4)
+
+
+@query("""with e as (select unnest(range(0, 4))::int as estimator_idx),
+  a as (select estimator_idx, 'sample' as kind, sample_idx::bigint as idx, row_number() over (partition by estimator_idx order by md5(concat(sample_idx, '_', estimator_idx + 22)), sample_idx) as i from pheno, e),
+  b as (select estimator_idx, 'variant' as kind, variant_idx::bigint as idx, row_number() over (partition by estimator_idx order by md5(concat(variant_idx, '_', estimator_idx + 22)), variant_idx) as i from variants_small, e)
+  select estimator_idx, kind, idx from a where i <= 50 union all select estimator_idx, kind, idx from b where i <= 16""", "pheno variants_small")
+def patch_plan(s, d):
+    return P.patches(V.pheno(s, d), V.variants_small(s, d), 4, 50, 16, 22)
+
+
+# ---- scores and feature selection -----------------------------------------------------------------------------------
+def scored(s, d):
+    return V.estimator_preds(s, d).join(V.pheno(s, d), "sample_idx")
+
+
+AUC = """scores as (select estimator_idx, (sum(r) filter (y_bin = 1) - (sum(y_bin) * (sum(y_bin) + 1) / 2)::double) / nullif(sum(y_bin)::double * sum(1 - y_bin), 0) as score from
+  (select estimator_idx, y_bin, rank() over (partition by estimator_idx order by pred) + (count(*) over (partition by estimator_idx, pred) - 1) / 2::double as r from preds join pheno using (sample_idx)) group by 1)"""
+
+
+def auc_scores(s, d):
+    return S.auc(scored(s, d), "pred", "y_bin", ["estimator_idx"]).withColumnRenamed("auc", "score")
+
+
+@query(f"with {AUC} select estimator_idx, round(score, 6) as auc from scores", "pheno preds")
+def auc_score(s, d):
+    return rounded(S.auc(scored(s, d), "pred", "y_bin", ["estimator_idx"]), "auc")
+
+
+@query("select estimator_idx, round(power(corr(pred, y_cont), 2), 6) as r2 from preds join pheno using (sample_idx) group by 1", "pheno preds")
+def r2_score(s, d):
+    return rounded(S.r2(scored(s, d), "pred", "y_cont", ["estimator_idx"]), "r2")
+
+
+@query("select estimator_idx, round(corr(pred, y_cont), 6) as pearson from preds join pheno using (sample_idx) group by 1", "pheno preds")
+def pearson_score(s, d):
+    return rounded(S.pearson(scored(s, d), "pred", "y_cont", ["estimator_idx"]), "pearson")
+
+
+@query("select estimator_idx, population, round(avg(power(pred - y_bin, 2)), 6) as mse from preds join pheno using (sample_idx) group by 1, 2", "pheno preds")
+def mse_by_group(s, d):
+    return rounded(S.mse(scored(s, d), "pred", "y_bin", ["estimator_idx", "population"]), "mse")
+
+
+XY = TRAIN + ", xy as (select *, dosage::double as x from train where dosage is not null)"
+FREG = XY + ", sc as (select variant_idx, power(corr(x, y_cont), 2) / nullif(1 - power(corr(x, y_cont), 2), 0) * (count(*) - 2) as score from xy group by 1)"
+
+
+@query(f"with {FREG} select variant_idx, round(score, 6) as score from sc order by sc.score desc, variant_idx limit 10", BASE)
+def fs_f_regression(s, d):
+    return rounded(S.top_k(S.f_regression(xy(s, d), y="y_cont"), 10), "score")
+
+
+@query(f"""with {XY}, c as (select variant_idx, y_bin, count(*) as n, sum(x) as s, sum(x * x) as q from xy group by 1, 2)
+  select variant_idx, round(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / nullif((sum(q) - sum(s * s / n)) / (sum(n) - count(*)), 0), 6) as score from c group by 1""", BASE)
+def fs_f_classif(s, d):
+    return rounded(S.f_classif(xy(s, d), y="y_bin"), "score")
+
+
+@query(f"with {XY} select variant_idx, round(corr(x, y_cont), 6) as score from xy group by 1", BASE)
+def fs_r_regression(s, d):
+    return rounded(S.r_regression(xy(s, d), y="y_cont"), "score")
+
+
+@query(f"""with {XY}, c as (select variant_idx, y_bin, sum(dosage)::double as obs, count(*) as n from xy group by 1, 2), e as (select *, n / sum(n) over w * sum(obs) over w as ex from c window w as (partition by variant_idx))
+  select variant_idx, round(sum(power(obs - ex, 2) / nullif(ex, 0)), 6) as score from e group by 1""", BASE)
+def fs_chi2(s, d):
+    return rounded(S.chi2(xy(s, d), y="y_bin"), "score")
+
+
+@query(f"with {FREG} select variant_idx, round(score, 6) as score from (select *, row_number() over (order by score desc, variant_idx) as i, count(*) over () as n from sc where score is not null) where i <= floor(n * 0.25::double)", BASE)
+def fs_percentile(s, d):
+    return rounded(S.top_percent(S.f_regression(xy(s, d), y="y_cont"), 25.0), "score")
+
+
+@query(f"with {XY} select variant_idx, round(var_pop(x), 6) as score from xy group by 1 having var_pop(x) > 0.3", BASE)
+def fs_variance(s, d):
+    return rounded(S.variance(xy(s, d)).where("score > 0.3"), "score")
+
+
+@query(f"""with {XY}, j as (select variant_idx, dosage, y_bin, count(*)::double as c from xy group by 1, 2, 3),
+  t as (select variant_idx, c, sum(c) over (partition by variant_idx) as n, sum(c) over (partition by variant_idx, dosage) as cx, sum(c) over (partition by variant_idx, y_bin) as cy from j)
+  select variant_idx, round(sum(c / n * ln(c * n / (cx * cy))), 6) as score from t group by 1""", BASE)
+def fs_mutual_info(s, d):
+    return rounded(S.mutual_info(xy(s, d), y="y_bin"), "score")
+
+
+@query("""with z as (select label, (embedding[1] - avg(embedding[1]::double) over w) / stddev_pop(embedding[1]::double) over w as a, (embedding[2] - avg(embedding[2]::double) over w) / stddev_pop(embedding[2]::double) over w as b from embeddings window w as (partition by label))
+  select label, round(avg(a*a*a), 6) as m30, round(avg(a*a*b), 6) as m21, round(avg(a*b*b), 6) as m12, round(avg(b*b*b), 6) as m03 from z group by 1""")
+def moments_third(s, d):
+    e = V.table(s, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x1"), F.col("embedding")[1].cast("double").alias("x2"))
+    return rounded(S.third_moments(e, ["label"]), "m30", "m21", "m12", "m03")
+
+
+# ---- aggregation ----------------------------------------------------------------------------------------------------
+def kept_query(name, how, bar, **kw):
+    def run(s, d):
+        return rounded(A.kept_estimators(auc_scores(s, d), how, **kw), "score")
+
+    run.__name__ = name
+    query(f"with {AUC}, ok as (select *, score >= {bar} as ok from scores) select estimator_idx, round(score, 6) as score from ok where ok or not (select bool_or(ok) from ok)", "pheno preds")(run)
+
+
+kept_query("agg_filter_positive", "positive", "0.5", threshold=0.5)
+kept_query("agg_filter_geq_average", "geq-average", "(select avg(score) from scores)")
+kept_query("agg_filter_top_percentile", "top-p-percentile", "(select quantile_cont(score, 0.75) from scores)", p=0.75)
+
+
+@query(f"with {AUC}, g as (select estimator_idx, avg(score) over (partition by estimator_idx // 2) as score from scores) select estimator_idx, round(score, 6) as score from g where score >= (select avg(score) from g)", "pheno preds")
+def agg_filter_groups(s, d):
+    return rounded(A.kept_estimators(auc_scores(s, d), "geq-average", group_size=2), "score")
+
+
+@query("select sample_idx, round(avg(pred), 6) as pred from preds group by 1", "preds")
+def agg_mean(s, d):
+    return rounded(A.mean(V.estimator_preds(s, d)), "pred")
+
+
+@query("select sample_idx, round(avg(r), 6) as pred from (select sample_idx, rank() over (partition by estimator_idx order by pred) + (count(*) over (partition by estimator_idx, pred) - 1) / 2::double as r from preds) group by 1", "preds")
+def agg_rank_mean(s, d):
+    return rounded(A.rank_mean(V.estimator_preds(s, d)), "pred")
+
+
+@query("select sample_idx, round(avg(r), 6) as pred from (select sample_idx, rank() over (partition by sample_idx order by pred) + (count(*) over (partition by sample_idx, pred) - 1) / 2::double as r from preds) group by 1", "preds")
+def agg_rank_mean_compat(s, d):
+    return rounded(A.rank_mean(V.estimator_preds(s, d), compat=True), "pred")
+
+
+WEIGHTS = AUC + ", kept as (select * from scores where score >= (select avg(score) from scores)), w as (select estimator_idx, exp((score - max(score) over ()) / 0.5) as e from kept), weights as (select estimator_idx, e / sum(e) over () as weight from w)"
+
+
+@query(f"with {WEIGHTS} select sample_idx, round(sum(weight * pred) / sum(weight), 6) as pred from preds join weights using (estimator_idx) group by 1", "pheno preds")
+def agg_loss_weighted(s, d):
+    return rounded(A.weighted_mean(V.estimator_preds(s, d), A.softmax(A.kept_estimators(auc_scores(s, d), "geq-average"), 0.5)), "pred")
+
+
+@query(f"with {WEIGHTS} select estimator_idx, round(weight, 6) as weight from weights", "pheno preds")
+def agg_softmax(s, d):
+    return rounded(A.softmax(A.kept_estimators(auc_scores(s, d), "geq-average"), 0.5).select("estimator_idx", "weight"), "weight")
+
+
+def estimator_coefs(s, d):
+    e = s.range(8).select(F.col("id").cast("int").alias("estimator_idx"))
+    c = coefs(s, d).crossJoin(F.broadcast(e))  # eight rows
+    return c.where(F.substring(F.md5(F.concat_ws("_", F.col("variant_idx").cast("string"), F.col("estimator_idx").cast("string"))), 1, 2) < "80")
+
+
+ECOEFS = COEFS + ", ecoefs as (select estimator_idx, variant_idx, coef from coefs, (select unnest(range(0, 8))::int as estimator_idx) where substr(md5(concat(variant_idx, '_', estimator_idx)), 1, 2) < '80')"
+
+
+@query(f"with {ECOEFS} select variant_idx, round(sum(coef) / 8, 6) as coef from ecoefs group by 1", BASE)
+def agg_coef_fold(s, d):
+    return rounded(A.fold_coefficients(estimator_coefs(s, d), 8), "coef")
+
+
+@query("select sample_idx, case when estimator_idx < 4 then 'linear' else 'lightgbm' end as model_name, round(avg(pred), 6) as pred from preds group by 1, 2", "preds")
+def agg_per_type(s, d):
+    p = V.estimator_preds(s, d).withColumn("model_name", F.when(F.col("estimator_idx") < 4, "linear").otherwise("lightgbm"))
+    return rounded(p.groupBy("sample_idx", "model_name").agg(F.avg("pred").alias("pred")), "pred")
+
+
+@query(f"""with {AUC}, u as (select estimator_idx as batch, score, coalesce(score > max(score) over (order by estimator_idx rows between unbounded preceding and 1 preceding), true)::int as up from scores),
+  i as (select *, sum(up) over (order by batch) as isl from u), c as (select *, sum(1 - up) over (partition by isl order by batch) as miss from i),
+  st as (select coalesce(min(case when miss >= 3 then batch end), max(batch)) as stop from c) select stop, max(case when up = 1 and batch <= stop then batch end) as best from c, st group by 1""", "pheno preds")
+def early_stop(s, d):
+    return A.early_stop(auc_scores(s, d).select(F.col("estimator_idx").alias("batch"), F.col("score").alias("value")), 3)
+
+
+# ---- scoring, covariates --------------------------------------------------------------------------------------------
+@query(f"with {COEFS}, {STD} select sample_idx, round(sum(x * coef), 6) as prs from std join coefs using (variant_idx) where coef <> 0 group by 1", BASE)
+def prs_score(s, d):
+    return rounded(A.score_samples(Q.standardize(V.geno(s, d), stats(s, d)), coefs(s, d)), "prs")
+
+
+@query(f"""with {COEFS}, {STD}, prs as (select sample_idx, round(sum(x * coef), 9) as prs from std join coefs using (variant_idx) group by 1),
+  r as (select split, y_bin, rank() over (partition by split order by prs) + (count(*) over (partition by split, prs) - 1) / 2::double as r from prs join pheno using (sample_idx))
+  select split, count(*) as n, round((sum(r) filter (y_bin = 1) - (sum(y_bin) * (sum(y_bin) + 1) / 2)::double) / nullif(sum(y_bin)::double * sum(1 - y_bin), 0), 6) as auc from r group by 1""", BASE)
+def flagship_score(s, d):
+    """Calls, quality control, filters, standardisation, scores and AUC by split, as one plan."""
+    prs = A.score_samples(Q.standardize(V.geno(s, d), stats(s, d)), coefs(s, d)).join(V.pheno(s, d), "sample_idx")
+    return rounded(S.auc(prs, "prs", "y_bin", ["split"]).join(prs.groupBy("split").agg(F.count("*").alias("n")), "split").select("split", "n", "auc"), "auc")
+
+
+@query("select variant, round(avg(dosage) / 2, 6) as freq, count(*) as n from calls group by 1", "calls")
+def qc_sparse_calls(s, d):
+    return rounded(V.calls_sparse(s, d).groupBy("variant").agg((F.avg("dosage") / 2).alias("freq"), F.count("*").alias("n")), "freq")
+
+
+@query("""with f as (select sample_idx, age, y_cont, (row_number() over (partition by y_bin order by sample_idx) - 1) % 5 as fold from pheno),
+  l as (select k, regr_slope(y_cont, age) as b, regr_intercept(y_cont, age) as a from f, (select unnest(range(0, 5)) as k) where fold <> k group by 1)
+  select sample_idx, round(a + b * age, 6) as oof from f join l on fold = k""", "pheno")
+def covar_oof_ols(s, d):
+    return rounded(C.out_of_fold_ols(P.kfold(V.pheno(s, d), 5, "y_bin"), "age", "y_cont", 5).select("sample_idx", "oof"), "oof")
+
+
+P_SQL = "1 / (1 + exp(-pc1))"
+
+
+def with_p(s, d):
+    return V.pheno(s, d).withColumn("p", C.sigmoid(F.col("pc1")))
+
+
+@query(f"select sample_idx, round((y_bin - p) / (sqrt(p * (1 - p)) + 1e-7), 6) as residual from (select *, {P_SQL} as p from pheno)", "pheno")
+def residual_pearson(s, d):
+    return with_p(s, d).select("sample_idx", F.round(C.pearson_residual(F.col("y_bin"), F.col("p")), 6).alias("residual"))
+
+
+@query(f"select sample_idx, round(ln(p / (1 - p)), 6) as offset_logit from (select sample_idx, greatest(1e-6, least(1 - 1e-6, {P_SQL})) as p from pheno)", "pheno")
+def offset_logit(s, d):
+    return with_p(s, d).select("sample_idx", F.round(C.logit(F.col("p")), 6).alias("offset_logit"))
+
+
+@query(f"select sample_idx, round(greatest(0, least(1, p + pred * (sqrt(p * (1 - p)) + 1e-7))), 6) as fused from (select sample_idx, {P_SQL} as p from pheno) join (select sample_idx, avg(pred) as pred from preds group by 1) using (sample_idx)", "pheno preds")
+def fuse_predictions(s, d):
+    j = with_p(s, d).join(A.mean(V.estimator_preds(s, d)), "sample_idx")
+    return j.select("sample_idx", F.round(C.fuse(F.col("p"), F.col("pred"), "residualization", True), 6).alias("fused"))
+
+
+@query("select sample_idx, round(case when x >= 0 then (power(x + 1, 0.5) - 1) / 0.5 else -(power(1 - x, 1.5) - 1) / 1.5 end, 6) as yj from (select sample_idx, y_cont - 4.5 as x from pheno)", "pheno")
+def yeo_johnson_fixed(s, d):
+    return V.pheno(s, d).select("sample_idx", F.round(C.yeo_johnson(F.col("y_cont") - 4.5, 0.5), 6).alias("yj"))
+
+
+# ---- interpretation -------------------------------------------------------------------------------------------------
+SHAP = COEFS + f", {STD}, bg as (select variant_idx, avg(x) as m from std join pheno using (sample_idx) where split = 'train' group by 1), shap as (select sample_idx, variant_idx, coef * (x - m) as phi from std join bg using (variant_idx) join coefs using (variant_idx))"
+
+
+def shap_values(s, d):
+    x = Q.standardize(V.geno(s, d), stats(s, d))
+    bg = x.join(V.pheno(s, d).where("split = 'train'").select("sample_idx"), "sample_idx", "left_semi").groupBy("variant_idx").agg(F.avg("x").alias("_m"))
+    return x.join(bg.join(coefs(s, d), "variant_idx"), "variant_idx").select("sample_idx", "variant_idx", (F.col("coef") * (F.col("x") - F.col("_m"))).alias("phi"))
+
+
+@query(f"with {SHAP} select sample_idx, variant_idx, round(phi, 6) as phi from shap", BASE)
+def shap_linear_local(s, d):
+    return rounded(shap_values(s, d), "phi")
+
+
+@query(f"with {SHAP} select variant_idx, round(avg(phi), 6) as shap, round(avg(abs(phi)), 6) as shap_abs from shap group by 1", BASE)
+def shap_linear_global(s, d):
+    return rounded(shap_values(s, d).groupBy("variant_idx").agg(F.avg("phi").alias("shap"), F.avg(F.abs("phi")).alias("shap_abs")), "shap", "shap_abs")
+
+
+@query(f"with {ECOEFS} select variant_idx, case when estimator_idx < 4 then 'linear' else 'nonlinear' end as model_type, round(sum(coef) / 4, 6) as shap, round(sum(abs(coef)) / 4, 6) as shap_abs from ecoefs group by 1, 2", BASE)
+def shap_aggregate(s, d):
+    t = estimator_coefs(s, d).withColumn("model_type", F.when(F.col("estimator_idx") < 4, "linear").otherwise("nonlinear"))
+    return rounded(t.groupBy("variant_idx", "model_type").agg((F.sum("coef") / 4).alias("shap"), (F.sum(F.abs("coef")) / 4).alias("shap_abs")), "shap", "shap_abs")
+
+
+@query("""with m as (select least(i, j) as variant_i, greatest(i, j) as variant_j, avg(v) as value from (select (event_id % 64)::int as i, (user_id % 64)::int as j, value as v from events where value is not null) group by 1, 2)
+  select variant_i, variant_j, round(value, 6) as value, a.chr as chr_i, a.pos as pos_i, b.chr as chr_j, b.pos as pos_j from m left join variants_small a on a.variant_idx = variant_i left join variants_small b on b.variant_idx = variant_j where variant_i < variant_j and value <> 0""", "variants_small")
+def interactions_aggregate(s, d):
+    e = V.table(s, d, "events").where("value is not null").select((F.col("event_id") % 64).cast("int").alias("variant_i"), (F.col("user_id") % 64).cast("int").alias("variant_j"), "value")
+    m = A.merged_interactions(e).where("variant_i < variant_j and value <> 0")
+    v = V.variants_small(s, d)
+    for x in "ij":
+        m = m.join(F.broadcast(v.select(F.col("variant_idx").alias(f"variant_{x}"), F.col("chr").alias(f"chr_{x}"), F.col("pos").alias(f"pos_{x}"))), f"variant_{x}", "left")
+    return rounded(m.select("variant_i", "variant_j", "value", "chr_i", "pos_i", "chr_j", "pos_j"), "value")
+
+
+LAID = """norm as (select *, case n when '23' then 'X' when '24' then 'Y' else n end as chr_norm from (select *, upper(regexp_replace(trim(chr), '(?i)^chr', '')) as n from variants_large)),
+  ord as (select *, case chr_norm when 'X' then 23 when 'Y' then 24 else try_cast(chr_norm as int) end as chr_order from norm),
+  mx as (select chr_order, max(pos) as m from ord where chr_order is not null group by 1),
+  off as (select chr_order, (coalesce(sum(m) over (order by chr_order rows between unbounded preceding and 1 preceding), 0) + (row_number() over (order by chr_order) - 1) * (select greatest(floor(0.005::double * max(m)), 1000000)::bigint from mx))::bigint as o from mx),
+  laid as (select variant_idx, snp, shap, pos, chr_norm, ord.chr_order, pos + o as x from ord join off using (chr_order))"""
+
+
+@query(f"with {LAID} select variant_idx, chr_norm, chr_order, x::bigint as x, round(shap, 4) as shap from laid", "variants_large")
+def manhattan_layout(s, d):
+    return L.manhattan(V.variants_large(s, d)).select("variant_idx", "chr_norm", "chr_order", "x", F.round("shap", 4).alias("shap"))
+
+
+@query(f"with {LAID} select chr_norm, ((min(x) + max(x)) // 2)::bigint as tick from laid group by 1", "variants_large")
+def manhattan_ticks(s, d):
+    return L.ticks(L.manhattan(V.variants_large(s, d)))
+
+
+@query("select variant_idx, snp, round(shap, 4) as shap from variants_large order by round(abs(variants_large.shap), 6) desc, variant_idx limit 25", "variants_large")
+def manhattan_topk(s, d):
+    v = V.variants_large(s, d).withColumn("_r", F.round(F.abs("shap"), 6))
+    return L.top_abs(v, "_r", 25, "variant_idx").select("variant_idx", "snp", F.round("shap", 4).alias("shap"))
+
+
+@query(f"""with {LAID}, g as (select variant_idx, chr_order, pos, coalesce((pos - lag(pos) over w > 30000)::int, 1) as new from laid window w as (partition by chr_order order by pos, variant_idx))
+  select variant_idx, chr_order, sum(new) over (partition by chr_order order by pos, variant_idx)::bigint as peak from g""", "variants_large")
+def manhattan_peaks(s, d):
+    return L.islands(L.manhattan(V.variants_large(s, d)), 30_000).select("variant_idx", "chr_order", "peak")
+
+
+@query(None)
+def manhattan_running_peaks(s, d):
+    v = L.manhattan(V.variants_large(s, d)).select("variant_idx", "chr_order", "pos", "shap")
+    return L.running_peaks(L.top_abs(v, "shap", 200, "variant_idx"), 250_000)
+
+
+@query("""with l as (select chr, pos, shap as shap_linear from variants_large where variant_idx % 3 <> 0)
+  select variant_idx, round(abs(shap * 1.5) - abs(shap_linear), 4) as delta from variants_large join l using (chr, pos)""", "variants_large")
+def manhattan_delta(s, d):
+    v = V.variants_large(s, d)
+    return L.delta(v.where("variant_idx % 3 <> 0"), v.withColumn("shap", F.col("shap") * 1.5)).select("variant_idx", F.round("delta", 4).alias("delta"))
+
+
+@query("""with e as (select event_id, (event_id % 64) as xi, (user_id % 64) as xj, value from events where value is not null), m as (select least(min(xi), min(xj)) as lo, greatest(max(xi), max(xj)) as hi from e),
+  b as (select event_id, value, greatest(0, least(9, floor((xi - lo) / ((hi - lo) / 10::double))))::int as i, greatest(0, least(9, floor((xj - lo) / ((hi - lo) / 10::double))))::int as j from e, m)
+  select least(i, j) as bin_i, greatest(i, j) as bin_j, round(max_by(value, event_id), 6) as value from b group by 1, 2""")
+def interaction_heatmap(s, d):
+    e = V.table(s, d, "events").where("value is not null").select(F.col("event_id").alias("row_id"), (F.col("event_id") % 64).alias("x_i"), (F.col("user_id") % 64).alias("x_j"), "value")
+    return rounded(L.heatmap(e, 10), "value")
+
+
+@query(f"""with {SHAP}, c as (select population as cluster, variant_idx, avg(phi) as m from shap join pheno using (sample_idx) group by 1, 2), r as (select variant_idx, max(m) - min(m) as rg from c group by 1),
+  t as (select variant_idx, rg, chr from r join variants_small using (variant_idx) order by round(rg, 9) desc, variant_idx limit 20) select variant_idx, round(rg, 6) as range from (select *, row_number() over (partition by chr order by round(rg, 9) desc, variant_idx) as i from t) where i <= 2""", "geno pheno variants_small")
+def cluster_manhattan(s, d):
+    c = shap_values(s, d).join(V.pheno(s, d).select("sample_idx", F.col("population").alias("cluster")), "sample_idx").withColumnRenamed("phi", "shap")
+    r = L.cluster_range(c).withColumn("range", F.round("range", 9)).join(V.variants_small(s, d), "variant_idx")
+    return rounded(L.capped_labels(r, 20, 2).select("variant_idx", "range"), "range")
+
+
+# ---- linkage and simulation -----------------------------------------------------------------------------------------
+LD = "pairs as (select a.variant_idx as i, b.variant_idx as j from variants_small a join variants_small b on a.chr = b.chr and a.variant_idx < b.variant_idx and abs(a.pos - b.pos) <= 1000000), ld as (select i, j, power(corr(x.dosage::double, y.dosage::double), 2) as r2 from pairs join geno x on x.variant_idx = i join geno y on y.variant_idx = j and x.sample_idx = y.sample_idx where x.dosage is not null and y.dosage is not null group by 1, 2)"
+BEST = LD + ", sym as (select i as rep, j as snp, round(r2, 9) as r2 from ld union all select j, i, round(r2, 9) from ld), best as (select snp, rep, r2 from (select *, row_number() over (partition by snp order by r2 desc, rep) as n from sym where r2 >= 0.002 and rep % 2 = 0) where n = 1)"
+
+
+def ld_table(s, d):
+    return G.ld(V.geno(s, d), G.window_pairs(V.variants_small(s, d), 1_000_000))
+
+
+def best_reps(s, d):
+    p = ld_table(s, d).withColumn("r2", F.round("r2", 9))
+    sym = p.select(F.col("i").alias("rep"), F.col("j").alias("snp"), "r2").unionByName(p.select(F.col("j").alias("rep"), F.col("i").alias("snp"), "r2"))
+    return G.best_representative(sym.where("r2 >= 0.002 and rep % 2 = 0"))
+
+
+@query(f"with {LD} select i, j, round(r2, 6) as r2 from ld", "geno variants_small")
+def ld_pairs(s, d):
+    return rounded(ld_table(s, d), "r2")
+
+
+@query(f"with {BEST} select snp, rep, round(r2, 6) as r2 from best", "geno variants_small")
+def ld_best_rep(s, d):
+    return rounded(best_reps(s, d), "r2")
+
+
+@query(f"with {BEST}, ids as (select rep, row_number() over (order by rep) - 1 as b from (select distinct rep from best)) select variant_idx, coalesce(b, -1)::int as block_idx from variants_small left join best on snp = variant_idx left join ids using (rep)", "geno variants_small")
+def ld_blocks(s, d):
+    return G.blocks(V.variants_small(s, d), best_reps(s, d)).select("variant_idx", F.col("block_idx").cast("int").alias("block_idx"))
+
+
+@query(f"with {BEST}, c as (select rep, count(*) as n from best group by 1) select count(*) as blocks, round(avg(n), 6) as mean_size, max(n) as max_size, min(n) as min_size, 64 - sum(n)::bigint as unassigned from c", "geno variants_small")
+def ld_block_stats(s, d):
+    b = ld_blocks(s, d).groupBy("block_idx").agg(F.count("*").alias("n"))
+    on = lambda c: F.when(F.col("block_idx") >= 0, F.col(c))
+    return b.agg(F.count(on("n")).alias("blocks"), F.round(F.avg(on("n")), 6).alias("mean_size"), F.max(on("n")).alias("max_size"), F.min(on("n")).alias("min_size"), F.coalesce(F.sum(F.when(F.col("block_idx") < 0, F.col("n"))), F.lit(0)).alias("unassigned"))
+
+
+@query(None)
+def ld_prune(s, d):
+    return G.prune(V.geno(s, d), V.variants_small(s, d), 3, 0.01)
+
+
+def uni(seed, *cols):
+    return f"((cast(concat('0x', substr(md5(concat_ws('_', {', '.join(cols)}, '{seed}')), 1, 8)) as bigint) + 0.5) / 4294967296.0)"
+
+
+def normal(seed, *cols):
+    return f"(sqrt(-2 * ln({uni(f'{seed}a', *cols)}::double)) * cos(2 * pi() * {uni(f'{seed}b', *cols)}::double))"
+
+
+SIM = STATS + f", {STD}, causal as (select variant_idx, {normal(11, 'variant_idx')} / sqrt(16) as beta from (select variant_idx, row_number() over (order by {uni(11, 'variant_idx')}, variant_idx) as i from variants_small) where i <= 16), add_ as (select sample_idx, sum(x * beta) as g from std join causal using (variant_idx) group by 1), sc as (select sample_idx, split, g * sqrt(0.5) / (select stddev_pop(g) from add_ join pheno using (sample_idx) where split = 'train') as g from add_ join pheno using (sample_idx))"
+
+
+def additive(s, d):
+    x = Q.standardize(V.geno(s, d), stats(s, d))
+    g = A.score_samples(x, G.causal_effects(V.variants_small(s, d), 0.25, 11).withColumnRenamed("beta", "coef")).withColumnRenamed("prs", "g")
+    return G.scaled(g.join(V.pheno(s, d).select("sample_idx", "split"), "sample_idx"), "g", 0.5)
+
+
+@query(f"with {SIM} select sample_idx, round(g, 5) as g from sc", "geno pheno variants_small")
+def sim_additive(s, d):
+    return rounded(additive(s, d).select("sample_idx", "g"), "g", n=5)
+
+
+@query(f"with {SIM} select sample_idx, (g > (select quantile_cont(g, 0.8) from sc))::int as y from sc", "geno pheno variants_small")
+def sim_case_control(s, d):
+    return G.case_control(additive(s, d), "g", 0.2).select("sample_idx", "y")
+
+
+@query(f"""with {STATS}, {STD}, o as (select variant_idx, row_number() over w as i, lead(variant_idx) over w as nx from variants_small window w as (order by {uni('5p', 'variant_idx')}, variant_idx)),
+  pr as (select least(variant_idx, nx) as i, greatest(variant_idx, nx) as j from o where nx is not null and i <= 10), pa as (select i, j, {normal(5, 'i', 'j')} / sqrt(10) as alpha from pr)
+  select a.sample_idx, round(sum(alpha * a.x * b.x), 5) as epi from pa join std a on a.variant_idx = i join std b on b.variant_idx = j and a.sample_idx = b.sample_idx group by 1""", "geno pheno variants_small")
+def sim_epistatic(s, d):
+    return rounded(G.pair_score(Q.standardize(V.geno(s, d), stats(s, d)), G.causal_pairs(V.variants_small(s, d), 10, 5)), "epi", n=5)
+
+
+# ---- sets, pivots, checks -------------------------------------------------------------------------------------------
+@query("select (p_size % 26)::varchar as raw, upper(regexp_replace(trim(concat('CHR', p_size % 26)), '(?i)^chr', '')) as norm, count(*) as n from part group by 1, 2")
+def chr_normalize(s, d):
+    p = V.table(s, d, "part").select((F.col("p_size") % 26).cast("string").alias("raw"))
+    n = F.upper(F.regexp_replace(F.trim(F.concat(F.lit("CHR"), "raw")), "(?i)^chr", ""))
+    return p.groupBy("raw", n.alias("norm")).agg(F.count("*").alias("n"))
+
+
+@query("select variant_idx from variants_small where variant_idx % 5 = 0 except select variant_idx from variants_small where variant_idx % 3 = 0", "variants_small")
+def set_missing_ids(s, d):
+    v = V.variants_small(s, d).select("variant_idx")
+    return v.where("variant_idx % 5 = 0").join(v.where("variant_idx % 3 = 0"), "variant_idx", "left_anti")
+
+
+@query("select variant_idx from variants_small where variant_idx % 5 = 0 intersect select variant_idx from variants_small where variant_idx % 3 = 0", "variants_small")
+def set_shared(s, d):
+    v = V.variants_small(s, d).select("variant_idx")
+    return v.where("variant_idx % 5 = 0").intersect(v.where("variant_idx % 3 = 0"))
+
+
+@query(f"with {ECOEFS} select distinct variant_idx from ecoefs", BASE)
+def union_variants(s, d):
+    c = estimator_coefs(s, d).select("estimator_idx", "variant_idx")
+    return c.where("estimator_idx < 4").select("variant_idx").union(c.where("estimator_idx >= 4").select("variant_idx")).distinct()
+
+
+@query("select population, round(avg(case when split = 'train' then y_cont end), 6) as train, round(avg(case when split = 'val' then y_cont end), 6) as val, round(avg(case when split = 'test' then y_cont end), 6) as test from pheno group by 1", "pheno")
+def pivot_moments(s, d):
+    return rounded(V.pheno(s, d).groupBy("population").pivot("split", ["train", "val", "test"]).agg(F.avg("y_cont")), "train", "val", "test")
+
+
+@query(f"with {STATS}, a as (select variant_idx, least(avg(dosage) / 2, 1 - avg(dosage) / 2) as maf from geno group by 1) select round(max(abs(a.maf - stats.maf)), 6) as max_diff, sum((abs(a.maf - stats.maf) > 1e-6)::int)::bigint as drifted from a join stats using (variant_idx)", BASE)
+def maf_drift(s, d):
+    a = Q.variant_stats(V.geno(s, d)).select("variant_idx", F.col("maf").alias("_m"))
+    j = stats(s, d).join(a, "variant_idx").select(F.abs(F.col("maf") - F.col("_m")).alias("e"))
+    return j.agg(F.round(F.max("e"), 6).alias("max_diff"), F.count_if(F.col("e") > 1e-6).alias("drifted"))
+
+
+@query("select c_custkey as iid, count(*) as n from (select o_custkey as c_custkey from orders) group by 1 having count(*) > 1")
+def duplicate_ids(s, d):
+    return V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("iid")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("select round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std from (select estimator_idx, power(corr(pred, y_cont), 2) as score from preds join pheno using (sample_idx) group by 1)", "pheno preds")
+def bootstrap_summary(s, d):
+    return S.r2(scored(s, d), "pred", "y_cont", ["estimator_idx"]).agg(F.round(F.avg("r2"), 6).alias("mean"), F.round(F.stddev_pop("r2"), 6).alias("std"))
+
+
+@query("select round(var_pop(age), 6) as var_age, round(var_pop(pc1), 6) as var_pc1, round(corr(age, pc1), 6) as corr_age_pc1 from pheno", "pheno")
+def variance_diagnostics(s, d):
+    return V.pheno(s, d).agg(F.round(F.var_pop("age"), 6).alias("var_age"), F.round(F.var_pop("pc1"), 6).alias("var_pc1"), F.round(F.corr("age", "pc1"), 6).alias("corr_age_pc1"))
+
+
+from . import models  # noqa: E402
+
+QUERIES |= models.QUERIES
+ORACLES |= models.ORACLES
