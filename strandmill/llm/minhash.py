@@ -8,8 +8,8 @@ expectation of the weighted Jaccard similarity. The work is about elements + k l
 
 Signatures are banded. Equal word sequences are one class beforehand. In a bucket each member is compared exactly with
 the bucket's centre (its smallest member), which takes a pair for each member, not for each two. What then still lies in
-different components within one bucket is compared pair by pair, so no bucket is cut and no link between components is
-lost to the star.
+different components within one bucket meets in blocks, where parity sketches rule out without error what can't reach
+the threshold, and the rest is compared exactly; so no bucket is cut and no link between components is lost to the star.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ WORDS = 5
 THRESHOLD = 0.8
 ROWS = 6
 BANDS = 32
+SKETCH = 4096
+#: Members of a bucket meet in blocks of about so many.
+BLOCK = 256
 _G = np.uint64(0x9E3779B97F4A7C15)
 _BASE = -10  # the first region of rank is [0, 2**_BASE), the next ones double
 
@@ -43,23 +46,32 @@ class DartMinHash:
         self.k, self.seed = k, np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
         self.cdf: dict[float, np.ndarray] = {}
 
-    def _region(self, x, w, layer: int, slab: int):
-        """Darts of the elements in a layer of weight and a slab of rank: (rank, coordinate, value)."""
+    def _region(self, x, w, layer: int, slabs: range):
+        """Darts of the elements in a layer of weight and some slabs of rank: (rank, coordinate, value)."""
         w0, w1 = (0.0, 1.0) if layer == 0 else (2.0 ** (layer - 1), 2.0**layer)
-        r0, r1 = (0.0, 2.0**_BASE) if slab == 0 else (2.0 ** (_BASE + slab - 1), 2.0 ** (_BASE + slab))
-        mean = self.k * (w1 - w0) * (r1 - r0)
-        if mean not in self.cdf:
-            self.cdf[mean] = _poisson_cdf(mean)
-        own = mix64(x * _G + (np.uint64(layer * 1009 + slab) * np.uint64(0xD6E8FEB86659FD93) ^ self.seed))
-        n = np.searchsorted(self.cdf[mean], (own >> np.uint64(11)) * 2.0**-53, side="right")
-        who = np.repeat(np.arange(len(x)), n)
+        low = np.array([0.0 if s == 0 else 2.0 ** (_BASE + s - 1) for s in slabs])
+        wide = np.array([2.0 ** (_BASE + max(s - 1, 0)) for s in slabs])
+        salt = np.array([(layer * 1009 + s) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF for s in slabs], dtype=np.uint64) ^ self.seed
+        own = mix64((x * _G)[None, :] + salt[:, None])
+        u = (own >> np.uint64(11)) * 2.0**-53
+        n = np.empty(own.shape, dtype=np.int64)
+        for i, r in enumerate(wide.tolist()):
+            mean = self.k * (w1 - w0) * r
+            if mean not in self.cdf:
+                self.cdf[mean] = _poisson_cdf(mean)
+            n[i] = np.searchsorted(self.cdf[mean], u[i], side="right")
+        n = n.ravel()
+        who = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        dart = mix64(own[who] + (nth.astype(np.uint64) + np.uint64(1)) * _G)
-        a, b = mix64(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix64(dart + np.uint64(0x1234567))
-        rank = r0 + (r1 - r0) * ((a >> np.uint64(11)) * 2.0**-53)
-        weight = w0 + (w1 - w0) * ((b >> np.uint64(11)) * 2.0**-53)
-        hit = weight <= w[who]
-        return rank[hit], (dart[hit] % np.uint64(self.k)).astype(np.int64), dart[hit]
+        dart = mix64(own.ravel()[who] + (nth.astype(np.uint64) + np.uint64(1)) * _G)
+        slab = who // len(x)
+        rank = low[slab] + wide[slab] * ((mix64(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)) * 2.0**-53)
+        j = (dart % np.uint64(self.k)).astype(np.int64)
+        if layer or w.min() < 1:
+            weight = w0 + (w1 - w0) * ((mix64(dart + np.uint64(0x1234567)) >> np.uint64(11)) * 2.0**-53)
+            hit = weight <= w[who - slab * len(x)]
+            rank, j, dart = rank[hit], j[hit], dart[hit]
+        return rank, j, dart
 
     def signature(self, x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
         w = np.ones(len(x)) if w is None else np.asarray(w, float)
@@ -69,24 +81,31 @@ class DartMinHash:
             return out
         layers = 1 + max(0, int(np.ceil(np.log2(w.max()))))
         filled = np.zeros(self.k, dtype=bool)
-        slab = 0
+        # the slabs that very likely fill all coordinates come at once, more follow one by one
+        first, after = 0, 1 + max(0, int(np.ceil(np.log2((np.log(self.k) + 1.0) / w.sum()) - _BASE)))
         with np.errstate(over="ignore"):
-            while not filled.all():
+            while True:
                 got = []
                 for layer in range(layers):
-                    in_layer = w > (0.0 if layer == 0 else 2.0 ** (layer - 1))
-                    if in_layer.any():
-                        got.append(self._region(x[in_layer], w[in_layer], layer, slab))
-                rank, j, value = (np.concatenate(c) for c in zip(*got))
-                late_first = np.lexsort((value, rank))[::-1]
-                best = np.zeros(self.k, dtype=np.uint64)
-                has = np.zeros(self.k, dtype=bool)
-                best[j[late_first]], has[j] = value[late_first], True
-                new = has & ~filled
-                out[new] = best[new]
-                filled |= has
-                slab += 1
-        return out
+                    on = slice(None) if layer == 0 else w > 2.0 ** (layer - 1)
+                    if len(x[on]):
+                        got.append(self._region(x[on], w[on], layer, range(first, after)))
+                rank, j, value = (np.concatenate(c) for c in zip(*got)) if len(got) > 1 else got[0]
+                late_first = np.argsort(-rank, kind="stable")
+                j, value = j[late_first], value[late_first]
+                new = ~filled[j]
+                out[j[new]] = value[new]  # the earliest of a coordinate is assigned last
+                filled[j] = True
+                if filled.all():
+                    return out
+                first, after = after, after + 1
+
+
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """SKETCH parity bits. Two sketches differ in no more bits than the sets have elements in only one of them, so sets
+    whose sketches differ in over (|A| + |B|) (1 - t) / (1 + t) bits are surely less than t alike."""
+    bit = np.bincount((mix64(shingles + _G) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bit.astype(np.uint8)).tobytes()
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -137,7 +156,8 @@ def classes(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _signed(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFrame:
-    """(_id, _key, bands): every row's number, class key, and the band keys for the first of each class in a task."""
+    """(doc_id, _key, _raw, size, sketch, bands) of every row; the last three for the first of each class in a task.
+    _raw is the text's own hash, by which texts are found again."""
 
     def run(batches):
         import pyarrow as pa
@@ -145,25 +165,26 @@ def _signed(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFrame:
         shingle, darts = Shingler(words), DartMinHash(n_bands * rows)
         seen: set[bytes] = set()
         for batch in batches:
-            keys, own = [], []
+            keys, size, sketch, own = [], [], [], []
             for t in texts_of(batch):
                 k = content_key(t)
-                first = k not in seen
-                if first and len(seen) < 1_000_000:
-                    seen.add(k)
-                s = shingle(t) if first else ()
+                s = ()
+                if k not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(k)
+                    s = shingle(t)
                 keys.append(k)
+                size.append(len(s))
+                sketch.append(odd_sketch(s) if len(s) else None)
                 own.append(bands(darts.signature(s), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_key", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, _key binary, bands array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_key", "_raw", "size", "sketch", "bands"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_raw"), "text").mapInArrow(run, "doc_id long, _key binary, _raw long, size int, sketch binary, bands array<long>")
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
-    """The pairs (a, b) of class keys whose shingle sets are at least `threshold` alike, exactly.
 
-    Only the texts of classes in a pair are read into shingles, once each."""
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(k, s): the shingles of the classes in `wanted` (_key, _raw). Texts are found by their hash, in one shuffle whatever
+    the number of wanted ones; only those found are read into shingles."""
 
     def run(batches):
         import pyarrow as pa
@@ -180,26 +201,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, th
                     sets.append(shingle(t).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["k", "s"])
 
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("_d")).join(reps, "_d", "left_semi") if reps is not None else docs
-    sets = texts.select("text").mapInArrow(run, "k binary, s binary").join(wanted, "k", "left_semi")
-    sets = materialize(sets.groupBy("k").agg(F.first("s").alias("s")), f"{name}-sets")
+    texts = docs.select("text", F.xxhash64("text").alias("_h")).join(wanted.select(F.col("_raw").alias("_h")).distinct().hint("merge"), "_h", "left_semi")
+    found = texts.select("text").mapInArrow(run, "k binary, s binary").join(wanted.select(F.col("_key").alias("k")), "k", "left_semi")
+    return materialize(found.groupBy("k").agg(F.first("s").alias("s")), "shingle-sets")
 
-    @F.pandas_udf("double")
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) of class keys whose shingle sets are at least `threshold` alike, exactly."""
+
+    @F.pandas_udf("boolean")
     def alike(x, y):
         import pandas as pd
 
         out = []
         for p, q in zip(x, y):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                out.append(0.0)
-                continue
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both))
-        return pd.Series(out, dtype=float)
+            both = 0 if min(len(p), len(q)) < threshold * max(len(p), len(q)) else len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= threshold * (len(p) + len(q) - both))
+        return pd.Series(out, dtype=bool)
 
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("_sb")), "b")
-    return materialize(both.where(alike("_sa", "_sb") >= threshold).select("a", "b"), f"{name}-links")
+    return materialize(both.where(alike("_sa", "_sb")).select("a", "b"), f"{name}-links")
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) in different components of one bucket: rows (band, _key, component, size, sketch).
+
+    A bucket of m members is dealt into m / BLOCK blocks by hash and each two blocks meet in a group of their own, where
+    sketches rule out, without error, what can't reach the threshold; only what is left becomes a row."""
+    spare = (1 - threshold) / (1 + threshold)
+    sized = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_n"))
+    m = members.join(sized, "band").withColumn("_b", F.pmod(F.xxhash64("_key", "band"), F.col("_n")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    m = m.select("band", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_key", "component", "size", "sketch")
+
+    def run(batches):
+        import pyarrow as pa
+
+        group, held = None, []
+
+        def meet():
+            if len(held) < 2:
+                return [], []
+            comps = {c: i for i, c in enumerate({r[2] for r in held})}
+            keys = [r[1] for r in held]
+            block, comp, size = np.array([r[0] for r in held]), np.array([comps[r[2]] for r in held]), np.array([r[3] for r in held])
+            bits = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint64).reshape(len(held), -1)
+            left, right = (np.arange(len(held)),) * 2 if group[1] == group[2] else (np.nonzero(block == group[1])[0], np.nonzero(block == group[2])[0])
+            a, b = [], []
+            for i in left:
+                js = right[right > i] if group[1] == group[2] else right
+                js = js[(comp[js] != comp[i])]
+                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64) <= spare * (size[js] + size[i]) + 1e-9]
+                for j in js.tolist():
+                    x, y = sorted((keys[i], keys[j]))
+                    a.append(x)
+                    b.append(y)
+            return a, b
+
+        for batch in batches:
+            out_a, out_b = [], []
+            for band, i, j, own, key, component, size, sketch in zip(*[batch.column(c).to_pylist() for c in range(8)]):
+                if (band, i, j) != group:
+                    a, b = meet()
+                    out_a += a
+                    out_b += b
+                    group, held = (band, i, j), []
+                held.append((own, key, component, size, sketch))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+        a, b = meet()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    n = partitions(members.sparkSession)
+    return m.repartition(n, "band", "_i", "_j").sortWithinPartitions("band", "_i", "_j").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -208,24 +282,24 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     Null texts count as empty; all texts without words are one class; ties, repeated rows and null doc_ids fall into
     the classes of their texts; an empty table gives no rows."""
     signed = materialize(_signed(docs, words, n_bands, rows), "signed")
-    buckets = signed.where("bands is not null").select("_key", F.explode(F.array_distinct("bands")).alias("band")).distinct()
+    classes_ = signed.where("bands is not null").groupBy("_key").agg(F.min("_raw").alias("_raw"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes_ = materialize(classes_, "near-classes")
+    buckets = classes_.select("_key", F.explode(F.array_distinct("bands")).alias("band"))
     centres = buckets.groupBy("band").agg(F.min("_key").alias("_c"), F.max("_key").alias("_z")).where("_c <> _z").select("band", "_c")
     shared = materialize(buckets.join(centres, "band"), "buckets")
+    wanted = materialize(classes_.select("_key", "_raw", "size", "sketch").join(shared.select("_key").distinct(), "_key", "left_semi"), "wanted")
+    sets = _sets(docs, wanted, words)
     star = shared.where("_key <> _c").select(F.col("_c").alias("a"), F.col("_key").alias("b")).distinct()
-    star = materialize(star, "star")
-    links = _verified(star, docs, None, words, threshold, "star")
-    nodes = shared.select(F.col("_key").alias("id")).distinct()
+    links = _verified(star, sets, threshold, "star")
+    nodes = wanted.select(F.col("_key").alias("id"))
     found = materialize(components(nodes, links, "star"), "star-components")
     placed = shared.join(found.select(F.col("id").alias("_key"), "component"), "_key").select("band", "_key", "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
-    rest = materialize(placed.join(mixed, "band"), "mixed-buckets")
-    left = rest.select("band", F.col("_key").alias("a"), F.col("component").alias("_ca"))
-    right = rest.select("band", F.col("_key").alias("b"), F.col("component").alias("_cb"))
-    more = left.join(right, "band").where("a < b and _ca <> _cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(more, "rest")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(more, docs, None, words, threshold, "rest"))
-        found = materialize(components(nodes, links, "near"), "near-components")
+    rest = placed.join(mixed, "band", "left_semi").join(wanted.select("_key", "size", "sketch"), "_key")
+    more = materialize(_across(rest, threshold), "rest")
+    more_links = _verified(more, sets, threshold, "rest")
+    if more_links.limit(1).count():
+        found = materialize(components(nodes, links.unionByName(more_links), "near"), "near-components")
     return signed.select("doc_id", "_key"), found
 
 
