@@ -1,2 +1,39 @@
+"""Registered queries over fitted models; their rows depend on iterative fits, so they have no SQL."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from .operators import estimators as E
+from .operators import sampling as P
+from .sources import views as V
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def patch(s, d, label):
+    plan = P.patches(V.pheno(s, d).where("split = 'train'"), V.variants_small(s, d), 4, 200, 16, 22)
+    on = lambda kind: plan.where(F.col("kind") == kind).select("estimator_idx", F.col("idx").alias(f"_{kind}"))
+    x = V.geno(s, d).join(on("sample"), F.col("sample_idx") == F.col("_sample")).join(on("variant").withColumnRenamed("estimator_idx", "_e"), (F.col("variant_idx") == F.col("_variant")) & (F.col("estimator_idx") == F.col("_e")))
+    y = V.pheno(s, d).select("sample_idx", F.col(label).cast("double").alias("y"))
+    return x.join(y, "sample_idx").select("estimator_idx", "sample_idx", "variant_idx", F.coalesce("dosage", F.lit(1)).cast("double").alias("x"), "y")
+
+
+def fitted(name, model, label="y_cont"):
+    QUERIES[name] = lambda s, d: E.fit_patches(patch(s, d, label), model).withColumn("coef", F.round("coef", 6))
+
+
+for _name, _model, _label in (("fit_ols", "linear", "y_cont"), ("fit_lasso", "linear_l1", "y_cont"), ("fit_ridge", "linear_l2", "y_cont"), ("fit_elasticnet", "elasticnet", "y_cont"), ("fit_bayesian", "bayesian", "y_cont"), ("fit_sgd", "sgd", "y_cont"), ("fit_logistic", "logistic", "y_bin")):
+    fitted(_name, _model, _label)
+
+
+def _wide(s, d):
+    return E.vectors(V.table(s, d, "embeddings")).withColumn("y", F.col("label").cast("double"))
+
+
+QUERIES["fit_gbt"] = lambda s, d: E.fit_trees(_wide(s, d), "features", "y", "gbt", maxIter=5, maxDepth=3).select("vec_id", F.round("prediction", 6).alias("prediction"))
+QUERIES["fit_rf"] = lambda s, d: E.fit_trees(_wide(s, d), "features", "y", "random_forest", numTrees=10, maxDepth=4).select("vec_id", F.round("prediction", 6).alias("prediction"))
+QUERIES["kmeans"] = lambda s, d: E.clusters(_wide(s, d), "features", 3).select("vec_id", "cluster")
+QUERIES["pca"] = lambda s, d: E.components(_wide(s, d), "features", 2).select("vec_id", F.round(vector_to_array("pcs")[0], 5).alias("pc1"), F.round(vector_to_array("pcs")[1], 5).alias("pc2"))
