@@ -16,8 +16,8 @@ from .common import components, materialize, table
 
 COSINE = 0.93
 TABLES = 24
-SCALE = 2.4
-PROBES = 6
+SCALE = 1.4
+PROBES = 8
 BLOCK = 256
 
 
