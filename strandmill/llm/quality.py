@@ -128,14 +128,21 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> AdditiveModel:
-    """Fits on the features of labelled rows that aren't held out; null labels and null doc_ids teach nothing."""
-    known = labels.select(F.col("doc_id").alias("_d"), F.col("quality").cast("double").alias("_y")).where("_y is not null")
-    both = rows.where(~held_out()).join(known, F.col("doc_id") == F.col("_d"))
+def known_labels(labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(_d, _y): the distinct labels that aren't held out, null labels and null doc_ids left out. Of more than most_rows
+    labels a hash of doc_id keeps about most_rows, so that the frame is small enough to broadcast whatever its input."""
+    known = labels.select(F.col("doc_id").alias("_d"), F.col("quality").cast("double").alias("_y")).where("_d is not null and _y is not null").distinct()
     n = known.count()
     if n > most_rows:
-        both = both.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / n))
-    got = both.select("doc_id", "features", "_y").toPandas().sort_values(["doc_id", "_y"])
+        known = known.where(F.pmod(F.xxhash64("_d"), F.lit(1 << 20)) < int((1 << 20) * most_rows / n))
+    return known.where(F.crc32(F.col("_d").cast("string").cast("binary")) % 5 != 0)
+
+
+def train(rows: DataFrame, known: DataFrame) -> AdditiveModel:
+    """Fits on (doc_id, features) of the rows that known_labels() names. Of repeated doc_ids the smallest features count,
+    so that the fit sees no more rows than labels."""
+    both = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_d"))
+    got = both.groupBy("doc_id", "_y").agg(F.min("features").alias("features")).toPandas().sort_values(["doc_id", "_y"])
     x = np.array(got["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, got["_y"].to_numpy(dtype=float))
 
@@ -156,7 +163,7 @@ def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every row of documents; see features() for empty texts and train() for missing labels."""
     rows = materialize(with_features(docs), "features")
-    return scored(rows, train(rows, labels))
+    return scored(rows, train(rows, known_labels(labels)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,8 +171,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A light pass over (doc_id, text) fits the model; the second pass scores each text where it stands, so that rows
     are never joined to their scores and repeated or null doc_ids do no harm."""
-    kept_labels = labels.select("doc_id").distinct()
-    model = train(with_features(docs.select("doc_id", "text").join(kept_labels, "doc_id", "left_semi")), labels)
+    known = known_labels(labels)
+    taught = docs.select("doc_id", "text").join(F.broadcast(known.select(F.col("_d").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    model = train(with_features(taught), known)
 
     @F.pandas_udf("double")
     def score(text):
