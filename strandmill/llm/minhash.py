@@ -29,6 +29,8 @@ BANDS = 32
 SKETCH = 4096
 #: Members of a bucket meet in blocks of about so many.
 BLOCK = 256
+#: Tasks over which equal texts are spread when they are looked up.
+SALTS = 16
 _G = np.uint64(0x9E3779B97F4A7C15)
 _BASE = -10  # the first region of rank is [0, 2**_BASE), the next ones double
 
@@ -201,7 +203,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     sets.append(shingle(t).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["k", "s"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("_h")).join(wanted.select(F.col("_raw").alias("_h")).distinct().hint("merge"), "_h", "left_semi")
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))  # copies of one text, however many, meet in as many tasks
+    hashes = wanted.select(F.col("_raw").alias("_h")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = docs.select("text", F.xxhash64("text").alias("_h"), salt.alias("_salt")).join(hashes.hint("merge"), ["_h", "_salt"], "left_semi")
     found = texts.select("text").mapInArrow(run, "k binary, s binary").join(wanted.select(F.col("_key").alias("k")), "k", "left_semi")
     return materialize(found.groupBy("k").agg(F.first("s").alias("s")), "shingle-sets")
 
