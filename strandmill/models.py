@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from .operators import density as D
 from .operators import estimators as E
+from .operators import explain as X
 from .operators import sampling as P
 from .sources import views as V
 
@@ -37,3 +39,32 @@ QUERIES["fit_gbt"] = lambda s, d: E.fit_trees(_wide(s, d), "features", "y", "gbt
 QUERIES["fit_rf"] = lambda s, d: E.fit_trees(_wide(s, d), "features", "y", "random_forest", numTrees=10, maxDepth=4).select("vec_id", F.round("prediction", 6).alias("prediction"))
 QUERIES["kmeans"] = lambda s, d: E.clusters(_wide(s, d), "features", 3).select("vec_id", "cluster")
 QUERIES["pca"] = lambda s, d: E.components(_wide(s, d), "features", 2).select("vec_id", F.round(vector_to_array("pcs")[0], 5).alias("pc1"), F.round(vector_to_array("pcs")[1], 5).alias("pc2"))
+
+
+QUERIES["fs_rfe"] = lambda s, d: E.eliminate(patch(s, d, "y_cont"), 5)
+
+
+def tree_shap_local(s, d):
+    wide = _wide(s, d)
+    return X.local_shap(wide, "vec_id", "features", E.boosted(wide, "features", "y", maxIter=5, maxDepth=3)).withColumn("phi", F.round("phi", 6))
+
+
+def tree_interactions(s, d):
+    wide = _wide(s, d)
+    return X.interactions(wide, "features", E.boosted(wide, "features", "y", maxIter=5, maxDepth=3)).withColumn("interact_values", F.round("interact_values", 6))
+
+
+def dbscan(s, d):
+    plane = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return D.dbscan(plane, 0.02, 5)
+
+
+QUERIES |= {"tree_shap_local": tree_shap_local, "tree_interactions": tree_interactions, "dbscan": dbscan}
+ORACLES["dbscan"] = """with recursive p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+  near as (select a.id, b.id as other from p a, p b where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02::double * 0.02::double),
+  counts as (select id, count(*) as n_near from near group by 1), cores as (select id from counts where n_near >= 5),
+  edges as (select id, other from near where id in (select id from cores) and other in (select id from cores)),
+  reach as (select id, id as c from cores union select r.id, e.other as c from reach r join edges e on r.c = e.id),
+  named as (select id, min(c) as cluster from reach group by 1),
+  border as (select near.id, min(cluster) as b from near join named on near.other = named.id group by 1)
+  select p.id, n_near, cluster is not null as core, coalesce(cluster, b) as cluster from p join counts using (id) left join named using (id) left join border using (id)"""

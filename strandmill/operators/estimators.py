@@ -98,6 +98,33 @@ def fit_patches(patch: DataFrame, model: str) -> DataFrame:
     return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
 
 
+def eliminate(patch: DataFrame, keep: int) -> DataFrame:
+    """(estimator_idx, variant_idx, ranking): recursive elimination by least squares, the variant with the smallest
+    absolute coefficient (the last of equals) going each round; 1 for the `keep` that stay, then 2 for the last to go."""
+
+    def run(rows):
+        import pandas as pd
+
+        wide = rows.pivot(index="sample_idx", columns="variant_idx", values="x").fillna(0.0).sort_index(axis=1)
+        y = rows.drop_duplicates("sample_idx").set_index("sample_idx")["y"].reindex(wide.index).to_numpy(float)
+        x, left, ranking = wide.to_numpy(float), list(range(wide.shape[1])), np.ones(wide.shape[1], dtype=int)
+        x = x - x.mean(0)
+        while len(left) > keep:
+            b = np.abs(np.linalg.lstsq(x[:, left], y - y.mean(), rcond=None)[0])
+            gone = left.pop(len(b) - 1 - int(np.argmin(b[::-1])))
+            ranking[gone] = len(left) - keep + 2
+        return pd.DataFrame({"estimator_idx": int(rows["estimator_idx"].iloc[0]), "variant_idx": list(map(int, wide.columns)), "ranking": ranking})
+
+    return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, ranking int")
+
+
+def boosted(wide: DataFrame, features: str, label: str, **settings):
+    """A fitted boosted ensemble, for explain."""
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol=features, labelCol=label, seed=22, **settings).fit(wide)
+
+
 def fit_trees(wide: DataFrame, features: str, label: str, kind: str, **settings) -> DataFrame:
     """Adds prediction by MLlib boosting or a random forest."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
