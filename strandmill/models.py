@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from .config import Config, DataConfig, ModelConfig, TrainConfig
 from .operators import density as D
 from .operators import estimators as E
 from .operators import explain as X
 from .operators import sampling as P
+from .plans import lifecycle
 from .sources import views as V
 
 QUERIES: dict = {}
@@ -54,12 +56,20 @@ def tree_interactions(s, d):
     return X.interactions(wide, "features", E.boosted(wide, "features", "y", maxIter=5, maxDepth=3)).withColumn("interact_values", F.round("interact_values", 6))
 
 
+def train_predict(s, d):
+    """Training on the train split, stop on val, weights from the test split's first half; linear scores of all samples."""
+    half = F.when(F.col("split") != "test", F.col("split")).when(F.col("sample_idx") % 2 == 0, "agg").otherwise("test")
+    samples = V.pheno(s, d).select("sample_idx", F.col("y_cont").alias("y"), half.alias("split"))
+    c = Config(DataConfig(False, 0.05, 0.05, 200, 16), ModelConfig("linear_l2", 8, "geq-average", "loss-weighted-average"), TrainConfig(2, 2))
+    return lifecycle.train(V.geno(s, d), samples, c).predict(V.geno(s, d)).withColumn("pred", F.round("pred", 6))
+
+
 def dbscan(s, d):
     plane = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return D.dbscan(plane, 0.02, 5)
 
 
-QUERIES |= {"tree_shap_local": tree_shap_local, "tree_interactions": tree_interactions, "dbscan": dbscan}
+QUERIES |= {"tree_shap_local": tree_shap_local, "tree_interactions": tree_interactions, "train_predict": train_predict, "dbscan": dbscan}
 ORACLES["dbscan"] = """with recursive p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
   near as (select a.id, b.id as other from p a, p b where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02::double * 0.02::double),
   counts as (select id, count(*) as n_near from near group by 1), cores as (select id from counts where n_near >= 5),
