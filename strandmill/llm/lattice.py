@@ -3,7 +3,8 @@
 Distinct vectors of a label (copies are one) are scaled to length 1. In each of several tables a random projection to
 eight dimensions is decoded to the nearest point of the E8 lattice, which is the vector's cell; it also probes the
 next nearest cells. Two vectors that share a cell in this way are candidates; their cosine is computed in double
-precision. Members of a cell meet in blocks, block against block.
+precision where they meet. Members of a cell meet in blocks, block against block, so that a crowded cell is many
+bounded steps and no candidate is written down.
 """
 
 from __future__ import annotations
@@ -73,8 +74,11 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
 
 
-def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES) -> DataFrame:
-    """(a, b) with a < b: pairs of rows (rep, label, e) of one label and length with cosine >= `cosine`."""
+def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """(a, b) with a < b: pairs of rows (rep, label, e) of one label and length with cosine >= `cosine`.
+
+    Only cells that a home and another vector share go on. A cell's members are dealt over blocks of about `block`, and
+    every two blocks meet in a step of their own, which holds those two only and writes the links that it has verified."""
 
     def keyed(batches):
         import pyarrow as pa
@@ -102,25 +106,49 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "rep": pa.array(rep, pa.int64()), "probe": pa.array(probe, pa.bool_())})
 
     cells = materialize(reps.select("rep", "label", "e").mapInArrow(keyed, "cell long, rep long, probe boolean"), "cells")
-    homes = cells.where("not probe").select("cell", F.col("rep").alias("a"))
-    pairs = cells.select("cell", F.col("rep").alias("b")).join(homes, "cell").where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    mine = reps.select("rep", "label", "e")
-    both = pairs.join(mine.select(F.col("rep").alias("a"), F.col("label").alias("_la"), F.col("e").alias("_ea")), "a").join(mine.select(F.col("rep").alias("b"), F.col("label").alias("_lb"), F.col("e").alias("_eb")), "b")
-
-    @F.pandas_udf("double")
-    def cos(x, y):
-        import pandas as pd
-
-        out = np.full(len(x), -2.0)
-        size = np.array([len(v) if len(v) == len(w) else 0 for v, w in zip(x, y)])
-        for n in np.unique(size[size > 0]):
-            on = np.nonzero(size == n)[0]
-            p, q = _unit(np.stack([x.iloc[i] for i in on])), _unit(np.stack([y.iloc[i] for i in on]))
-            out[on] = (p * q).sum(axis=1)
-        return pd.Series(out)
-
-    return both.where("_la = _lb").where(cos("_ea", "_eb") >= cosine).select("a", "b")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("probe").alias("_no_home")).where("_n > 1 and not _no_home")
+    member = cells.join(shared, "cell").select("cell", "rep", "probe", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+    member = member.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    member = member.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    member = member.join(reps.select("rep", F.col("label").cast("string").alias("label"), "e"), "rep")
+    meeting = ["cell", "_i", "_j"]
+    met = member.select(*meeting, (F.col("_own") == F.col("_j")).alias("late"), "probe", "rep", "label", "e").repartition(*meeting).sortWithinPartitions(*meeting)
+
+    def verified(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def pairs():
+            late, probe, rep, label = (np.array(c) for c in list(zip(*held))[:4])
+            by_dims: dict[int, list[int]] = {}
+            for at, row in enumerate(held):
+                by_dims.setdefault(len(row[4]), []).append(at)
+            for own in map(np.array, by_dims.values()):
+                x = _unit(np.array([held[at][4] for at in own]))
+                near = x @ x.T >= cosine - 1e-9
+                near &= (label[own][:, None] == label[own]) & ~(probe[own][:, None] & probe[own])
+                if key[1] != key[2]:
+                    near &= late[own][:, None] != late[own]
+                i, j = np.nonzero(np.triu(near, 1))
+                sure = (x[i] * x[j]).sum(axis=1) >= cosine
+                i, j = rep[own[i[sure]]], rep[own[j[sure]]]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(i, j), pa.int64()), "b": pa.array(np.maximum(i, j), pa.int64())})
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            vectors = batch.column(7)
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *vectors.value_lengths().to_pylist()])
+            for at, (cell, i, j, *row) in enumerate(zip(*columns)):
+                if (cell, i, j) != key:
+                    if len(held) > 1:
+                        yield from pairs()
+                    key, held = (cell, i, j), []
+                held.append((*row, flat[ends[at] : ends[at + 1]]))
+        if len(held) > 1:
+            yield from pairs()
+
+    return met.mapInArrow(verified, "a long, b long").where("a <> b").distinct()
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, **settings) -> DataFrame:

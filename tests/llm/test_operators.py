@@ -157,6 +157,17 @@ def test_lattice(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906))
 
 
+def test_crowded_cells(spark):
+    """One crowd over many blocks: the links don't depend on the blocks, and a crowd within the threshold is whole."""
+    rng = np.random.default_rng(6)
+    crowd = rng.standard_normal(24) + rng.standard_normal((120, 24)) * 0.05
+    rows = [(i, 1, [float(v) for v in e]) for i, e in enumerate(crowd)] + [(500 + i, 2, [float(v) for v in crowd[i]]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "rep long, label int, e array<double>").cache()
+    small, large = (sorted(map(tuple, lattice.links(frame, block=b).collect())) for b in (16, 1000))
+    assert small == large and len(small) == 120 * 119 // 2 + 10
+    assert lattice.links(frame.limit(0)).count() == 0
+
+
 def test_spotsigs(spark, docs, none):
     got = spotsigs.against_edited(docs, share=0.05).collect()
     assert len(got) == len(ROWS) and spotsigs.against_edited(none).count() == 0
