@@ -87,6 +87,15 @@ class Config:
         return self.train.scorer or ("rocauc" if self.data.classification else "r2")
 
 
+def override(config: Config, **given) -> Config:
+    """The configuration with fields of any class replaced; unknown fields are errors."""
+    parts = [config.data, config.model, config.train]
+    unknown = set(given) - {f.name for p in parts for f in fields(p)}
+    if unknown:
+        raise TypeError(f"no such fields: {', '.join(sorted(unknown))}")
+    return Config(*[replace(p, **{k: v for k, v in given.items() if k in {f.name for f in fields(p)}}) for p in parts])
+
+
 def load(text: str, **overrides) -> Config:
     """The first YAML document with a class's name as its key gives its fields; unknown fields are errors, a missing
     document leaves the defaults. Overrides name a field of any class."""
@@ -96,9 +105,5 @@ def load(text: str, **overrides) -> Config:
     parts = []
     for cls in (DataConfig, ModelConfig, TrainConfig):
         given = next((d[cls.__name__] or {} for d in documents if cls.__name__ in d), {})
-        names = {f.name for f in fields(cls)}
-        parts.append(replace(cls(**given), **{k: v for k, v in overrides.items() if k in names}))
-    unknown = set(overrides) - {f.name for p in parts for f in fields(p)}
-    if unknown:
-        raise TypeError(f"no such fields: {', '.join(sorted(unknown))}")
-    return Config(*parts)
+        parts.append(cls(**given))
+    return override(Config(*parts), **overrides)

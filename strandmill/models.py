@@ -10,7 +10,8 @@ from .operators import density as D
 from .operators import estimators as E
 from .operators import explain as X
 from .operators import sampling as P
-from .plans import lifecycle
+from .plans import covariates, lifecycle
+from .plans import sweep as sweeps
 from .sources import views as V
 
 QUERIES: dict = {}
@@ -69,6 +70,47 @@ def dbscan(s, d):
     return D.dbscan(plane, 0.02, 5)
 
 
+QUERIES["fit_gbt_class"] = lambda s, d: E.fit_trees(_classes(s, d), "features", "y", "gbt", True, maxIter=5, maxDepth=3).select("vec_id", F.round("prediction", 6).alias("prediction"))
+QUERIES["fit_rf_class"] = lambda s, d: E.fit_trees(_classes(s, d), "features", "y", "random_forest", True, numTrees=10, maxDepth=4).select("vec_id", F.round("prediction", 6).alias("prediction"))
+
+
+def _classes(s, d):
+    return _wide(s, d).withColumn("y", (F.col("label") >= 5).cast("double"))
+
+
+def forest_shap_local(s, d):
+    """Interventional values of a boosted ensemble against a background of 500 rows."""
+    wide = _wide(s, d)
+    leaves = X.leaves_of(E.boosted(wide, "features", "y", maxIter=5, maxDepth=3))
+    background = X.background_rows(wide, "features", "vec_id")
+    return X.local_values(wide, "vec_id", "features", lambda x: X.interventional_shap(leaves, x, background)).withColumn("phi", F.round("phi", 6))
+
+
+def kernel_shap_local(s, d):
+    """All coalitions of six features, against a background of 100 rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    wide = _wide(s, d).withColumn("features", array_to_vector(F.slice(vector_to_array("features"), 1, 6)))
+    leaves = X.leaves_of(E.boosted(wide, "features", "y", maxIter=3, maxDepth=3))
+    background = X.background_rows(wide, "features", "vec_id", 100)
+    return X.local_values(wide, "vec_id", "features", lambda x: X.kernel_shap(lambda r: X.leaf_sum(leaves, r), x, background)).withColumn("phi", F.round("phi", 6))
+
+
+def covariate_train_predict(s, d):
+    """Covariates age, sex and pc1, then genotypes on Pearson residuals of the classes."""
+    samples = V.pheno(s, d).withColumn("y", F.col("y_bin"))
+    c = Config(DataConfig(True, 0.05, 0.05, 200, 16), ModelConfig("linear_l2", 4))
+    got = covariates.train(V.geno(s, d), samples, ["age", "sex", "pc1"], c).predict(V.geno(s, d), samples)
+    return got.select("sample_idx", *[F.round(n, 6).alias(n) for n in ("covar", "geno", "pred")])
+
+
+def sweep(s, d):
+    samples = V.pheno(s, d).select("sample_idx", F.col("y_cont").alias("y"), "split")
+    c = Config(DataConfig(False, 0.05, 0.05, 200, 16), ModelConfig("linear_l2", 4))
+    return sweeps.sweep(V.geno(s, d), samples, c, {"model_name": ["linear_l1", "linear_l2"], "n_estimators": [2, 4]}, 3).withColumn("score", F.round("score", 6))
+
+
+QUERIES |= {"forest_shap_local": forest_shap_local, "kernel_shap_local": kernel_shap_local, "covariate_train_predict": covariate_train_predict, "sweep": sweep}
 QUERIES |= {"tree_shap_local": tree_shap_local, "tree_interactions": tree_interactions, "train_predict": train_predict, "dbscan": dbscan}
 ORACLES["dbscan"] = """with recursive p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
   near as (select a.id, b.id as other from p a, p b where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02::double * 0.02::double),

@@ -125,12 +125,18 @@ def boosted(wide: DataFrame, features: str, label: str, **settings):
     return GBTRegressor(featuresCol=features, labelCol=label, seed=22, **settings).fit(wide)
 
 
-def fit_trees(wide: DataFrame, features: str, label: str, kind: str, **settings) -> DataFrame:
-    """Adds prediction by MLlib boosting or a random forest."""
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    make = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor}[kind]
-    return make(featuresCol=features, labelCol=label, seed=22, **settings).fit(wide).transform(wide)
+def fit_trees(wide: DataFrame, features: str, label: str, kind: str, classification: bool = False, weight: str | None = None, **settings) -> DataFrame:
+    """Adds prediction by MLlib boosting or a random forest: the value, or the probability of class 1. Settings may name
+    a validationIndicatorCol, whose rows stop the boosting early."""
+    from pyspark.ml import classification as C
+    from pyspark.ml import regression as R
+    from pyspark.ml.functions import vector_to_array
+
+    make = {"gbt": (R.GBTRegressor, C.GBTClassifier), "random_forest": (R.RandomForestRegressor, C.RandomForestClassifier)}[kind][classification]
+    if weight is not None:
+        settings["weightCol"] = weight
+    got = make(featuresCol=features, labelCol=label, seed=22, **settings).fit(wide).transform(wide)
+    return got.withColumn("prediction", vector_to_array("probability")[1]).drop("probability", "rawPrediction") if classification else got
 
 
 def clusters(wide: DataFrame, features: str, k: int) -> DataFrame:

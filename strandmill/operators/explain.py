@@ -7,7 +7,7 @@ has a closed form in the coefficients of a polynomial, so each leaf is a few num
 
 from __future__ import annotations
 
-from math import factorial
+from math import comb, factorial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,21 +76,8 @@ def tree_shap(leaves: list[tuple], x: np.ndarray, pairs: bool = False) -> np.nda
 def local_shap(wide: DataFrame, key: str, features: str, model) -> DataFrame:
     """(key, variant_idx, phi): the non-zero Shapley values of every row. The leaves, bounded by the model's settings, go
     to the executors with the function."""
-    from pyspark.ml.functions import vector_to_array
-
     leaves = leaves_of(model)
-    kind = wide.schema[key].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            if len(f):
-                phi = tree_shap(leaves, np.stack(f["_x"].to_numpy()))
-                i, j = np.nonzero(phi)
-                yield pd.DataFrame({key: f[key].to_numpy()[i], "variant_idx": j.astype(np.int32), "phi": phi[i, j]})
-
-    return wide.select(key, vector_to_array(features).alias("_x")).mapInPandas(run, f"{key} {kind}, variant_idx int, phi double")
+    return local_values(wide, key, features, lambda x: tree_shap(leaves, x))
 
 
 def interactions(wide: DataFrame, features: str, model) -> DataFrame:
@@ -113,3 +100,75 @@ def interactions(wide: DataFrame, features: str, model) -> DataFrame:
     sums = sums.groupBy("variant_i", "variant_j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     rows = sums.where("variant_i = -1").select(F.col("n").alias("_n"))
     return sums.where("variant_i >= 0").join(F.broadcast(rows)).select("variant_i", "variant_j", (F.col("s") / F.col("_n")).alias("interact_values"))  # one row
+
+
+def interventional_shap(leaves: list[tuple], x: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """rows x features: Shapley values when unknown features take the background rows' values, averaged over those. A leaf
+    needs one pass for each different pattern of its path's splits among the background rows, at most 2^depth."""
+    phi = np.zeros(x.shape)
+    for value, path in leaves:
+        d = len(path)
+        if d == 0:
+            continue
+        follows = lambda rows: np.column_stack([(rows[:, f] > low) & (rows[:, f] <= high) for f, low, high, _ in path]).astype(float)  # noqa: B023, E731
+        on = follows(x)
+        patterns, counts = np.unique(follows(background), axis=0, return_counts=True)
+        w = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+        for pattern, c in zip(patterns, counts / len(background)):
+            for i in range(d):
+                phi[:, path[i][0]] += value * c * (on[:, i] - pattern[i]) * (_others(on, pattern, (i,)) @ w)
+    return phi
+
+
+def kernel_shap(predict, x: np.ndarray, background: np.ndarray, most_features: int = 12) -> np.ndarray:
+    """rows x features: Shapley values of any function of rows, by the weighted regression over all coalitions; for few
+    features only, since there are 2^features of them."""
+    n, d = x.shape
+    if d > most_features:
+        raise ValueError(f"all coalitions of {d} features are too many")
+    empty, full = predict(background).mean(), predict(x)
+    if d == 1:
+        return (full - empty)[:, None]
+    masks = np.array([[s >> j & 1 for j in range(d)] for s in range(1, 2**d - 1)], dtype=bool)
+    size = masks.sum(axis=1)
+    weight = np.sqrt([(d - 1) / (comb(d, int(s)) * s * (d - s)) for s in size])
+    value = np.array([[predict(np.where(m, row, background)).mean() for row in x] for m in masks])
+    design = masks[:, :-1].astype(float) - masks[:, -1:]
+    target = value - empty - masks[:, -1:] * (full - empty)
+    b = np.linalg.lstsq(design * weight[:, None], target * weight[:, None], rcond=None)[0].T
+    return np.column_stack([b, full - empty - b.sum(axis=1)])
+
+
+def leaf_sum(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Predictions of an ensemble from its leaves."""
+    out = np.zeros(len(x))
+    for value, path in leaves:
+        out += value * np.prod([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path], axis=0, initial=1.0)
+    return out
+
+
+def background_rows(wide: DataFrame, features: str, key: str, size: int = 500, seed: int = 22) -> np.ndarray:
+    """A bounded draw of rows in hash order, for the functions that need a background on every executor."""
+    from pyspark.ml.functions import vector_to_array
+
+    order = F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed))))
+    got = wide.select(vector_to_array(features).alias("_x"), order.alias("_o"), key).orderBy("_o", key).limit(size).collect()
+    return np.array([r["_x"] for r in got], dtype=float)
+
+
+def local_values(wide: DataFrame, key: str, features: str, explain) -> DataFrame:
+    """(key, variant_idx, phi) of every row, zeros left out; `explain` maps rows x features to values of the same shape."""
+    from pyspark.ml.functions import vector_to_array
+
+    kind = wide.schema[key].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            if len(f):
+                phi = explain(np.stack(f["_x"].to_numpy()))
+                i, j = np.nonzero(phi)
+                yield pd.DataFrame({key: f[key].to_numpy()[i], "variant_idx": j.astype(np.int32), "phi": phi[i, j]})
+
+    return wide.select(key, vector_to_array(features).alias("_x")).mapInPandas(run, f"{key} {kind}, variant_idx int, phi double")

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from strandmill import config as C
-from strandmill.plans import lifecycle
+from strandmill.plans import covariates, lifecycle, sweep
+from strandmill.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,45 @@ def test_weights_and_stop(spark, cohort):
     assert correlation(fitted, calls, samples) > 0.7
 
 
+@pytest.mark.parametrize("classes,strategy", [(False, "residualization"), (True, "residualization"), (True, "predictive")])
+def test_covariates(spark, cohort, classes, strategy):
+    calls, samples = cohort
+    F = lifecycle.F
+    people = samples.withColumn("age", F.when(F.col("sample_idx") % 50 == 3, None).otherwise((F.col("sample_idx") * 37 % 101) / 10))
+    y = F.col("y") + F.coalesce("age", F.lit(5.0))
+    people = people.withColumn("y", (y > 6).cast("double") if classes else y)
+    config = C.Config(C.DataConfig(classes, max_samples=180, max_features=12), C.ModelConfig("linear", 2))
+    fused = covariates.train(calls, people, ["age"], config, strategy)
+    rows = fused.predict(calls, people).join(people.where("split = 'test'").select("sample_idx", "y"), "sample_idx").collect()
+    assert len(rows) == 40 and all(not classes or 0 <= r.pred <= 1 for r in rows)
+    by = {k: np.corrcoef([r[k] for r in rows], [r.y for r in rows])[0, 1] for k in ("covar", "pred")}
+    assert by["pred"] > by["covar"] > 0.3
+    with pytest.raises(ValueError):
+        covariates.train(calls, people, ["age"], config, "magic")
+
+
+def test_sinks_and_sweep(spark, cohort, tmp_path):
+    calls, samples = cohort
+    F = lifecycle.F
+    c = C.Config(C.DataConfig(False, max_samples=180, max_features=12), C.ModelConfig("linear", 1))
+    fitted = lifecycle.train(calls, samples, c)
+    sinks.save_model(fitted, f"file://{tmp_path}/model")
+    want = {r.sample_idx: r.pred for r in fitted.predict(calls).collect()}
+    got = sinks.load_model(spark, f"file://{tmp_path}/model").predict(calls)
+    assert {r.sample_idx: pytest.approx(r.pred) for r in got.collect()} == want
+    sinks.save_run(got, f"file://{tmp_path}/run", seed=22, trait="y")
+    assert spark.read.parquet(f"file://{tmp_path}/run/predictions").count() == 300 and spark.read.json(f"file://{tmp_path}/run/metadata").first().seed == 22
+    variants = spark.range(13).select(F.col("id").cast("int").alias("variant_idx"), F.lit("1").alias("chr"), F.col("id").alias("pos"))
+    shap = variants.where("variant_idx < 3").select("variant_idx", F.lit(0.5).alias("shap_values"), F.lit(0.5).alias("shap_values_abs"))
+    rows = {r.variant_idx: r for r in sinks.annotations(variants, fitted.stats, shap, fitted.coefs).collect()}
+    assert len(rows) == 13 and rows[2].effect_weight > 1 and rows[2].effect_type == "additive" and rows[12].effect_weight is None and rows[5].shap_values is None
+    edges = spark.createDataFrame([(0, 1, 0.5), (2, 1, 0.5), (1, 20, 0.1)], "variant_i int, variant_j int, interact_values double")
+    assert sorted((r.variant_i, r.pos_j) for r in sinks.named_interactions(edges, variants).collect()) == [(0, 1), (1, None)]
+    trials = sweep.sweep(calls, samples, c, {"model_name": ["linear", "linear_l1"], "max_features": [3, 12]}, 2).collect()
+    assert len(trials) == 2 and all(0 <= t.score <= 1 for t in trials) and len({t.settings for t in trials}) == 2
+    assert sweep.settings({"a": [1, 2], "b": [3]}, 9, 1) in ([{"a": 1, "b": 3}, {"a": 2, "b": 3}], [{"a": 2, "b": 3}, {"a": 1, "b": 3}])
+
+
 def test_config():
     text = "DataConfig:\n  classification: true\n---\nModelConfig:\n  model_name: logistic\n  n_estimators: 4\n"
     c = C.load(text, seed=5, n_estimators=6)

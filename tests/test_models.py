@@ -1,6 +1,9 @@
 import numpy as np
 import pytest
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql.functions import slice
+
 from strandmill import models
 from strandmill.operators import density as D
 from strandmill.operators import estimators as E
@@ -67,6 +70,19 @@ def test_tree_shap(spark):
             assert np.isclose(got[r, f], want)
 
 
+def test_other_shapley_values(spark):
+    wide = models._wide(spark, DIR).select("vec_id", "y", array_to_vector(slice(vector_to_array("features"), 1, 6)).alias("features")).cache()
+    leaves = X.leaves_of(E.boosted(wide, "features", "y", maxIter=3, maxDepth=3))
+    x = np.array([r.features.toArray() for r in wide.limit(60).collect()])
+    phi = X.interventional_shap(leaves, x[:8], x)
+    assert np.allclose(phi.sum(axis=1), X.leaf_sum(leaves, x[:8]) - X.leaf_sum(leaves, x).mean())
+    assert np.allclose(phi, X.kernel_shap(lambda r: X.leaf_sum(leaves, r), x[:8], x), atol=1e-6) and np.abs(phi).max() > 0
+    line = X.kernel_shap(lambda r: r @ np.arange(1.0, 5), x[:5, :4], x[:, :4])
+    assert np.allclose(line, (x[:5, :4] - x[:, :4].mean(0)) * np.arange(1.0, 5))
+    with pytest.raises(ValueError):
+        X.kernel_shap(lambda r: r.sum(1), np.zeros((1, 40)), np.zeros((1, 40)))
+
+
 def test_dbscan_corners(spark):
     schema = "id long, x double, y double"
     assert D.dbscan(spark.createDataFrame([], schema), 1.0, 2).count() == 0
