@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 
 ODD = re.compile("[\x1c-\x1f]")
-_LATIN = re.compile("[!-~¡-¬®-įı-ſ]+")
+#: Printable Latin without what \d, \w and \p{N}, \p{L} class apart (ª º ² ³ ¹ ¼ ½ ¾), the soft hyphen, and İ.
+_LATIN = re.compile("[!-~¡-©«¬®-±´-¸»¿-įı-ſ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
 
 
@@ -37,32 +38,31 @@ class WordCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
+        self.shown = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.model = self.tokenizer.model
         self.bytes = _byte_chars()
         self.pieces: dict[str, bytes] = {}
 
     def ids(self, numbers) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in numbers)
+        return b"".join(map(self.shown.__getitem__, numbers))
 
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) > 200_000:
+            if len(self.pieces) > 400_000:
                 self.pieces.clear()
-            shown = "".join(map(self.bytes.__getitem__, piece.encode()))
-            got = self.pieces[piece] = self.ids(t.id for t in self.model.tokenize(shown))
+            shown = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
+            got = self.pieces[piece] = self.ids([t.id for t in self.model.tokenize(shown)])
         return got
 
     def word(self, word: str) -> bytes:
         """Plain Latin words go through the model piece by piece, all else through the whole library."""
-        if len(word) < 200 and _LATIN.fullmatch(word) and "<|" not in word and "ª" not in word and "º" not in word and not set(word) & _NUMBERS:
-            return b"".join(map(self.piece, _PIECES.findall(word.lower())))
+        if len(word) < 200 and _LATIN.fullmatch(word) and "<|" not in word:
+            word = word.lower()
+            return self.piece(word) if word.isalpha() else b"".join(map(self.piece, _PIECES.findall(word)))
         return self.ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
 
-#: Latin-1 characters whose classes differ between \d and \p{N}.
-_NUMBERS = set("²³¹¼½¾")
-
 _coders: dict[int, WordCoder] = {}
 
 
