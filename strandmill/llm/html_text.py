@@ -23,37 +23,53 @@ _WORD = re.compile(r"[^a-z0-9]+")
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HOLDS = frozenset("article aside blockquote body button center details dialog div dl fieldset figure footer form head header html main menu nav ol section table td ul".split())
-_FURNITURE = frozenset("nav footer aside form menu button dialog fieldset".split())
-_SIGNS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments comentarios commentaire commentaires kommentare consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_FURNITURE = frozenset("nav footer aside menu button dialog".split())
+_MAYBE = frozenset("form fieldset".split())
+#: Words of class, id, role and itemprop: of furniture itself, and such as layout containers around a text bear too.
+_SIGNS = frozenset("ad ads advert advertisement adverts comment comments comentarios commentaire commentaires kommentare consent cookie cookies copyright disqus gdpr newsletter promo replies reply respond sponsor sponsored".split())
+_MAYBE_SIGNS = frozenset("banner breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation notice pager pagination popup related share sharing sidebar signup social subscribe toolbar widget".split())
+_LAYOUT = re.compile(r"(?:has|with|no|without)[-_]", re.I)  # class names that say what a container has
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_furniture", "page_has_article", "is_heading"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_furniture", "furniture_around", "page_has_article", "is_heading"]
 
 #: Typical surroundings of a block: words, link density before and after it.
-_NEAR = [(0, 0.0, 60, 0.0), (1, 1.0, 9, 0.0), (9, 0.0, 1, 1.0), (1, 1.0, 1, 1.0), (40, 0.0, 60, 0.0), (120, 0.0, 0, 0.0), (9, 0.2, 300, 0.0)]
+_TEXT = [(0, 0.0, 60, 0.0), (40, 0.0, 60, 0.0), (120, 0.0, 0, 0.0), (9, 0.2, 300, 0.0), (20, 0.0, 90, 0.0), (90, 0.0, 17, 0.0), (70, 0.0, 2, 0.0), (2, 0.0, 70, 0.0)]
+_AMID = [(40, 0.0, 60, 0.0), (90, 0.1, 30, 0.0), (30, 0.0, 200, 0.1)]
+_LINKED = [(1, 1.0, 1, 1.0), (6, 1.0, 8, 0.9), *[(n, 0.0, k, 1.0) for n in (9, 40, 120, 300) for k in (1, 2, 9)], *[(k, 1.0, n, 0.0) for n in (9, 40, 120, 300) for k in (1, 2, 9)]]
+_NEAR = [*_TEXT, (1, 1.0, 9, 0.0), (9, 0.0, 1, 1.0), (1, 1.0, 1, 1.0)]
 
 
-def _rows(words, links, inside, furniture, has, heading, main):
-    return [(n, d, *near, inside, furniture, has, heading, main) for n in words for d in links for near in _NEAR]
+def _rows(words, links, inside, furniture, has, heading, main, near=_NEAR, around=0):
+    return [(n, d, *x, inside, furniture, around, has, heading, main) for n in words for d in links for x in near]
 
 
-#: The labelled table: FEATURES of typical blocks in typical surroundings, and 1 for main text.
+#: The labelled table: FEATURES of typical blocks in typical surroundings, and 1 for main text. in_furniture is 2 in what
+#: is furniture for sure (never main text), 1 in what may be a layout container (words and link densities decide).
 LABELLED = [
-    # inside an article: headings, short and long paragraphs, also with links
-    *_rows((3, 9), (0.0,), 1, 0, 1, 1, 1), *_rows((1, 5, 20, 60, 300), (0.0, 0.1), 1, 0, 1, 0, 1), *_rows((3, 14), (0.5, 1.0), 1, 0, 1, 0, 1),
-    # page furniture, in and around an article: menus, adverts, notices, footers, forms, comments
-    *_rows((1, 4), (1.0,), 0, 1, 1, 0, 0), *_rows((2, 9, 35, 120), (0.0,), 0, 1, 1, 0, 0), *_rows((3, 12, 60, 300), (0.0, 0.3), 1, 1, 1, 0, 0), *_rows((3,), (0.0,), 1, 1, 1, 1, 0),
-    # other blocks outside the article of a page that has one
-    *_rows((2, 12, 40), (0.0, 0.9), 0, 0, 1, 0, 0), *_rows((4,), (0.0,), 0, 0, 1, 1, 0),
-    # furniture of a page without an article
-    *_rows((1, 4), (1.0,), 0, 1, 0, 0, 0), *_rows((2, 9, 60, 200), (0.0,), 0, 1, 0, 0, 0),
+    # inside an article: headings, short and long paragraphs; linked ones amid text, but no lists of links and no teasers
+    *_rows((3, 9), (0.0,), 1, 0, 1, 1, 1, [*_NEAR, *_LINKED]), *_rows((1, 5, 20, 60, 300), (0.0, 0.1), 1, 0, 1, 0, 1, [*_NEAR, *_LINKED]), *_rows((3, 14), (0.5,), 1, 0, 1, 0, 1, _TEXT),
+    *_rows((3, 14), (1.0,), 1, 0, 1, 0, 1, _TEXT), *_rows((1, 3, 14), (0.9, 1.0), 1, 0, 1, 0, 0, _LINKED), *_rows((30, 60, 200), (0.8, 1.0), 1, 0, 1, 0, 0),
+    # an article in furniture: text is long and has few links, or stands amid such text; teasers are short beside links
+    *_rows((60, 300), (0.0, 0.1), 1, 0, 1, 0, 1, [*_TEXT, *_LINKED], 1), *_rows((3, 14), (0.0,), 1, 0, 1, 0, 1, _AMID, 1), *_rows((3, 9), (0.0,), 1, 0, 1, 1, 1, [(n, d, k, 0.0) for n, d in ((0, 0.0), (1, 1.0), (6, 1.0), (40, 0.0), (120, 0.0)) for k in (40, 90, 300)], 1),
+    *_rows((3, 14), (0.0,), 1, 0, 1, 0, 0, _LINKED, 1), *_rows((3, 14), (0.8, 1.0), 1, 0, 1, 0, 0, [*_TEXT, *_LINKED, (3, 0.0, 0, 0.0), (4, 0.0, 5, 0.0)], 1), *_rows((3, 9), (0.0,), 1, 0, 1, 1, 0, [(n, d, k, e) for n, d in ((0, 0.0), (1, 1.0), (40, 0.0)) for k, e in ((3, 0.0), (9, 0.0), (3, 1.0), (9, 1.0))], 1), *_rows((3, 9), (1.0,), 1, 0, 1, 1, 0, [*_TEXT, *_LINKED], 1), *_rows((30, 60), (0.8, 1.0), 1, 0, 1, 0, 0, _TEXT, 1),
+    # sure furniture, in and around an article: menus, adverts, notices, footers, comments
+    *_rows((1, 4), (1.0,), 0, 2, 1, 0, 0), *_rows((2, 9, 35, 120), (0.0,), 0, 2, 1, 0, 0), *_rows((1, 3, 12, 60, 300), (0.0, 0.3, 0.6, 1.0), 1, 2, 1, 0, 0, [*_NEAR, *_LINKED]), *_rows((3,), (0.0, 1.0), 1, 2, 1, 1, 0),
+    # containers that may be furniture, in and around an article: long text with few links amid text stays
+    *_rows((1, 3, 12), (0.0, 0.3, 0.6, 1.0), 1, 1, 1, 0, 0, [*_NEAR, *_LINKED]), *_rows((60, 300), (0.4, 1.0), 1, 1, 1, 0, 0), *_rows((3,), (0.0,), 1, 1, 1, 1, 0), *_rows((60, 300), (0.0, 0.1), 1, 1, 1, 0, 1, _TEXT), *_rows((60,), (0.0,), 1, 1, 1, 0, 0, _LINKED),
+    *_rows((1, 4), (1.0,), 0, 1, 1, 0, 0), *_rows((2, 9, 35), (0.0,), 0, 1, 1, 0, 0), *_rows((60, 120), (0.5, 1.0), 0, 1, 1, 0, 0), *_rows((60, 120, 300), (0.0, 0.1), 0, 1, 1, 0, 1, _AMID), *_rows((60, 120), (0.0,), 0, 1, 1, 0, 0, _LINKED),
+    # other blocks outside the article of a page that has one: long text with few links beside text is main text too
+    *_rows((2, 12, 40), (0.0, 0.9), 0, 0, 1, 0, 0), *_rows((4,), (0.0,), 0, 0, 1, 1, 0), *_rows((60, 150, 300), (0.0, 0.1), 0, 0, 1, 0, 1, _TEXT), *_rows((60, 150), (0.0,), 0, 0, 1, 0, 0, _LINKED), *_rows((60, 150), (0.6, 1.0), 0, 0, 1, 0, 0),
+    # furniture of a page without an article, sure and possible
+    *_rows((1, 4), (1.0,), 0, 2, 0, 0, 0), *_rows((2, 9, 60, 200), (0.0,), 0, 2, 0, 0, 0),
+    *_rows((1, 4), (1.0,), 0, 1, 0, 0, 0), *_rows((2, 9), (0.0,), 0, 1, 0, 0, 0), *_rows((40, 60, 200), (0.0, 0.1), 0, 1, 0, 0, 1, _TEXT), *_rows((60, 200), (0.0,), 0, 1, 0, 0, 0, _LINKED), *_rows((60, 200), (0.5, 1.0), 0, 1, 0, 0, 0),
     # text of a page without an article: long blocks, and short ones beside long ones
-    *_rows((18, 45, 90, 200), (0.0, 0.1), 0, 0, 0, 0, 1), *_rows((30, 90), (0.8,), 0, 0, 0, 0, 0), *_rows((2, 5), (0.8, 1.0), 0, 0, 0, 0, 0),
-    *[(n, 0.0, *near, 0, 0, 0, h, 1) for n in (3, 8) for h in (0, 1) for near in ((60, 0.0, 70, 0.0), (40, 0.0, 60, 0.0), (3, 0.0, 60, 0.0), (90, 0.0, 30, 0.0))],
-    *[(n, 0.0, *near, 0, 0, 0, h, 0) for n in (2, 5) for h in (0, 1) for near in ((1, 1.0, 2, 1.0), (3, 1.0, 4, 1.0), (2, 0.0, 3, 1.0), (5, 0.6, 3, 1.0))],
+    *_rows((18, 45, 90, 200), (0.0, 0.1), 0, 0, 0, 0, 1, [*_NEAR, *_LINKED]), *_rows((30, 90), (0.8,), 0, 0, 0, 0, 0), *_rows((2, 5), (0.8, 1.0), 0, 0, 0, 0, 0),
+    *[(n, 0.0, *near, 0, 0, 0, 0, h, 1) for n in (3, 8) for h in (0, 1) for near in ((60, 0.0, 70, 0.0), (40, 0.0, 60, 0.0), (3, 0.0, 60, 0.0), (90, 0.0, 30, 0.0))],
+    *[(n, 0.0, *near, 0, 0, 0, 0, h, 0) for n in (2, 5) for h in (0, 1) for near in ((1, 1.0, 2, 1.0), (3, 1.0, 4, 1.0), (2, 0.0, 3, 1.0), (5, 0.6, 3, 1.0))],
 ]
 
 
-def train_tree(rows: list[tuple], depth: int = 8):
+def train_tree(rows: list[tuple], depth: int = 16):
     """Nested (feature, threshold, below, above), or a class at the leaves; ties go to the earlier feature."""
     x, y = np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows])
 
@@ -83,10 +99,13 @@ def accepts(tree, f) -> bool:
     return bool(tree)
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link density, in_article, in_furniture, is_heading) of the flat blocks with text."""
+def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
+    """(text, words, link density, in_article, in_furniture, furniture_around, is_heading) of the flat blocks with text.
+
+    The outermost open article or main puts what encloses it aside as furniture_around; one inside it does so with what
+    may be furniture only, since comments and teasers are articles too. What is hidden stays so."""
     out, parts, links = [], [], []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    open_tags: list[tuple[str, int, int, int, bool]] = []  # name, and of it with all that encloses it: in_article, in_furniture, furniture_around, hidden
     anchors, heading, at = 0, 0, 0
 
     def flush():
@@ -96,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if text:
                 n = len(text.split())
                 linked = len(_html.unescape("".join(links)).split())
-                out.append((text, n, min(1.0, linked / n), int(any(t[2] for t in open_tags)), int(any(t[1] for t in open_tags)), int(heading > 0)))
+                out.append((text, n, min(1.0, linked / n), *(open_tags[-1][1:4] if open_tags else (0, 0, 0)), int(heading > 0)))
             parts, links = [], []
 
     for m in _TAG.finditer(page):
@@ -124,10 +143,22 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     break
         elif not m[0].endswith("/>"):
             attributes = m[4] or ""
-            signs = {w for n in _NAME.findall(attributes) for w in _WORD.split("".join(n).lower())}
-            inside = any(t[2] for t in open_tags)
-            furniture = name in _FURNITURE or (name == "header" and not inside) or bool(_HIDDEN.search(attributes)) or (bool(signs & _SIGNS) and name not in ("body", "html", "article", "main"))
-            open_tags.append((name, furniture, name in ("article", "main") or "articlebody" in signs))
+            signs = {w for n in _NAME.findall(attributes) for x in "".join(n).lower().split() if not _LAYOUT.match(x) for w in _WORD.split(x)}
+            inside, furniture, around, hidden = open_tags[-1][1:] if open_tags else (0, 0, 0, False)
+            hidden = hidden or bool(_HIDDEN.search(attributes))
+            if name in ("article", "main") or "articlebody" in signs:
+                if not inside:
+                    around = int(furniture == 2)
+                furniture = 2 if inside and furniture == 2 else 0
+                inside = 1
+            if inside:
+                signs.discard("header")  # an article's own
+            named = name not in ("body", "html", "article", "main")
+            if hidden or name in _FURNITURE or (named and signs & _SIGNS):
+                furniture = 2
+            elif name in _MAYBE or (name == "header" and not inside) or (named and signs & _MAYBE_SIGNS):
+                furniture = max(furniture, 1)
+            open_tags.append((name, inside, furniture, around, hidden))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -138,10 +169,10 @@ def main_text(page: str, tree) -> str:
     found = blocks(page)
     has = int(any(b[3] for b in found))
     kept = []
-    for i, (text, n, density, inside, furniture, heading) in enumerate(found):
+    for i, (text, n, density, inside, furniture, around, heading) in enumerate(found):
         before = found[i - 1] if i else ("", 0, 0.0)
         after = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        if accepts(tree, (n, density, before[1], before[2], after[1], after[2], inside, furniture, has, heading)):
+        if accepts(tree, (n, density, before[1], before[2], after[1], after[2], inside, furniture, around, has, heading)):
             kept.append(text)
     return " ".join(kept)
 

@@ -198,6 +198,34 @@ def test_html(spark):
     assert texts[3] == " ".join(["plain words here"] * 20) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_containers():
+    """Containers around an article don't hide it, an article's own header stays, and words and link densities decide."""
+    tree = html_text.train_tree(html_text.LABELLED)
+    assert all(html_text.accepts(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
+
+    def text(word, n):
+        return f"<p>{' '.join([word] * n)}</p>"
+
+    def words(page):
+        return set(html_text.main_text(page, tree).split())
+
+    article = f"<article><h1>Title</h1>{text('one', 60)}{text('short', 4)}{text('two', 90)}</article>"
+    for around in ("<form id='aspnetForm'>", "<div class='layout has-sidebar'>", "<div class='sidebar page'>", "<aside>"):
+        assert words(f"<nav><a>Home</a></nav>{around}{article}") == {"Title", "one", "short", "two"}, around
+    assert words(f"<div style='display:none'>{article}</div>") == set()
+    assert words(f"<article><header class='entry-header'><h1>Title</h1></header>{text('one', 60)}</article>") == {"Title", "one"}
+    comments = f"<div class='comments'><article class='comment'>{text('comment', 80)}</article></div>"
+    assert words(f"<main><article>{text('one', 60)}</article>{comments}</main>") == {"one"}
+    teasers = "<aside><article><h3><a>Look here</a></h3><p>Some few words</p><a>more of it</a></article></aside>"
+    assert words(f"<article>{text('one', 60)}</article>{teasers}") == {"one"}
+    links = "<ul>" + "<li><a>listed link</a></li>" * 4 + "</ul>"
+    assert words(f"<article>{text('one', 60)}{links}{text('two', 50)}<p><a>amid</a></p>{text('three', 70)}</article>") == {"one", "two", "amid", "three"}
+    for box in ("nav", "div class='related'"):
+        assert words(f"<article>{text('one', 60)}<{box}><a>linked words</a></{box.split()[0]}>{text('two', 60)}</article>") == {"one", "two"}, box
+    assert words(f"<article>{text('one', 20)}</article><div>{text('two', 80)}{text('three', 90)}{text('few', 7)}</div><footer>{text('foot', 60)}</footer>") == {"one", "two", "three"}
+    assert words(f"<form id='f'>{text('one', 80)}{text('two', 70)}<p>Field</p><a>go</a></form>") == {"one", "two"}
+
+
 def test_quality(spark, docs, none):
     good, bad = "plain words of the day that go on and on", "BUY!! NOW!! $$$ ### | | |"
     rows = [(i, (good if i % 2 else bad) + f" w{i}", "en", "a", 1, 1, "x") for i in range(200)]
