@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, near-dedup, mixing, BPE encoding, each over all its predecessor kept."""
+"""The corpus pipeline: quality classifier, near-dedup, mixing, BPE encoding and decoding, each over all its predecessor kept."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of every row."""
-    return bpe.encode(docs, "word_bpe_49k.json", ["doc_id", "source"])
+    """doc_id, source, n_tokens, ids and the text that the ids decode to, of every row."""
+    return bpe.encode(docs, "word_bpe_49k.json", ["doc_id", "source"], back=True)
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", dedup), ("mixing", mix_sources), ("bpe", encode)]

@@ -21,6 +21,7 @@ from .common import partitions, table
 from .wordcoder import coder_of, pieces_of, split_words, tokenizer_json
 
 BLOCK_BYTES = 16_000_000
+SLICE_BYTES = 1_000_000  # of a block are given out at once
 
 
 def _packed(x) -> bytes:
@@ -51,6 +52,16 @@ def _blocks(batches, block_bytes: int):
         yield keys, texts
 
 
+def _slices(keys: list, texts: list[str]):
+    """The rows of a block in order, a few at a time."""
+    start, held = 0, 0
+    for end, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= SLICE_BYTES or end == len(texts):
+            yield keys[start:end], texts[start:end]
+            start, held = end, 0
+
+
 def _name(texts: list[str]) -> str:
     h = hashlib.blake2b(digest_size=16)
     for t in texts:
@@ -59,9 +70,9 @@ def _name(texts: list[str]) -> str:
     return h.hexdigest()
 
 
-def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: the columns `keep`, n_tokens and ids (array<int>); with digest instead of ids the
-    SHA-256 of the ids (little-endian 32-bit) and of the decoded text.
+def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = False, block_bytes: int = BLOCK_BYTES, back: bool = False) -> DataFrame:
+    """One row per input row: the columns `keep`, n_tokens and ids (array<int>), with back also the decoded text; with
+    digest instead of these the SHA-256 of the ids (little-endian 32-bit) and of the decoded text.
 
     Null and empty texts have no ids. Repeated rows, repeated and null keys stay as they are: rows travel inside their
     block and are never joined by key. An empty table gives no rows.
@@ -112,7 +123,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
         import pyarrow as pa
 
         coder = coder_of(json.value)
-        pieces = np.array(pieces_of(json.value), dtype=object) if digest else None
+        pieces = np.array(pieces_of(json.value), dtype=object) if digest or back else None
         block, ids_of = None, {}
         for batch in batches:
             for name, part, words, ids in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -123,25 +134,28 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
                     ends = np.cumsum(np.frombuffer(lengths, dtype=np.uint32)).tolist()
                     ids_of.update(zip(_unpacked(words), (flat[a:b] for a, b in zip([0, *ends], ends))))
                     continue
-                keys, texts = _unpacked(words)
-                columns, numbers = list(zip(*keys)) if keep else [], []
-                for t in texts:
-                    own = b"".join([ids_of[w] if w in ids_of else ids_of.setdefault(w, coder.word(w)) for w in split_words(t)])
-                    numbers.append(np.frombuffer(own, dtype=f"<u{coder.width}").astype("<u4"))
-                made = [pa.array(c, type=f.type) for c, f in zip(columns, arrow_keep)]
-                made.append(pa.array([len(x) for x in numbers], pa.int64()))
-                if digest:
-                    made.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in numbers], pa.string()))
-                    made.append(pa.array([hashlib.sha256(decoded(x, pieces).encode()).hexdigest() for x in numbers], pa.string()))
-                else:
-                    made.append(pa.array([x.astype(np.int32) for x in numbers], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(made, names)
+                for keys, texts in _slices(*_unpacked(words)):
+                    columns, numbers = list(zip(*keys)) if keep else [], []
+                    for t in texts:
+                        own = b"".join([ids_of[w] if w in ids_of else ids_of.setdefault(w, coder.word(w)) for w in split_words(t)])
+                        numbers.append(np.frombuffer(own, dtype=f"<u{coder.width}").astype("<u4"))
+                    made = [pa.array(c, type=f.type) for c, f in zip(columns, arrow_keep)]
+                    made.append(pa.array([len(x) for x in numbers], pa.int64()))
+                    if digest:
+                        made.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in numbers], pa.string()))
+                        made.append(pa.array([hashlib.sha256(decoded(x, pieces).encode()).hexdigest() for x in numbers], pa.string()))
+                    else:
+                        made.append(pa.array([x.astype(np.int32) for x in numbers], pa.list_(pa.int32())))
+                        if back:
+                            made.append(pa.array([decoded(x, pieces) for x in numbers], pa.string()))
+                    yield pa.RecordBatch.from_arrays(made, names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_keep = list(to_arrow_schema(rows.select(*keep).schema))
-    names = [*keep, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])]
-    kinds = ", ".join(x for x in (kinds, "n_tokens long", "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>") if x)
+    made_here = {"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>"} | ({"decoded": "string"} if back else {})
+    names = [*keep, "n_tokens", *made_here]
+    kinds = ", ".join(x for x in (kinds, "n_tokens long", *(f"{k} {v}" for k, v in made_here.items())) if x)
     asked = rows.mapInArrow(ask, "bucket int, block string, words binary").repartitionById(n, "bucket").select("block", "words")
     answers = asked.mapInArrow(answer, "block string, part int, words binary, ids binary")
     both = answers.unionByName(rows.mapInArrow(bodies, "block string, part int, words binary, ids binary"))

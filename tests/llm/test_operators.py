@@ -249,3 +249,4 @@ def test_pipeline(spark, docs, tmp_path):
     t = library("word_bpe_49k.json")
     text_of = {r[0]: r[1] or "" for r in ROWS}
     assert out and all(r.ids == t.encode(text_of[r.doc_id], add_special_tokens=False).ids for r in out)
+    assert all(r.decoded == t.decode(r.ids, skip_special_tokens=False) for r in out)
