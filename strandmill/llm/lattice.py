@@ -156,21 +156,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, **settings) -> Data
 
     Vectors that are null, empty, zero or not finite, and those without a label, link with nothing. Equal vectors of one
     label are one class, linked with each other; a class's links count all vectors of the classes it is linked to. Null
-    vec_ids count as vectors but name no component unless nothing else does; an empty table gives no rows."""
-    rows = materialize(usable(vectors), "vectors")
+    vec_ids count as vectors but name no component: one without other vec_ids has a negative number and keeps one row. An
+    empty table gives no rows."""
+    rows = materialize(usable(vectors).withColumn("_row", F.monotonically_increasing_id()), "vectors")
     good = rows.where("e is not null").withColumn("_h", F.xxhash64("label", "e")).withColumn("_h2", F.xxhash64(F.lit(7), "label", "e"))
-    by_class = good.groupBy("_h", "_h2").agg(F.min("vec_id").alias("_first"), F.count("*").alias("_n"), F.min_by(F.struct("label", "e"), "vec_id").alias("_v"))
-    spare = F.coalesce(F.col("_first"), -F.abs(F.shiftrightunsigned("_h", 1)) - 1)
-    by_class = materialize(by_class.select("_h", "_h2", "_n", "_first", spare.alias("rep"), "_v.label", "_v.e"), "vector-classes")
-    found = materialize(links(by_class.where("e is not null"), cosine, **settings), "vector-links")
+    by_class = good.groupBy("_h", "_h2").agg(F.min("vec_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_first_row"), F.first(F.struct("label", "e")).alias("_v"))
+    by_class = materialize(by_class.select("_h", "_h2", "_n", "_first", "_first_row", F.col("_h").alias("rep"), "_v.label", "_v.e"), "vector-classes")
+    found = materialize(links(by_class, cosine, **settings), "vector-links")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(by_class.select(F.col("rep").alias("b"), "_n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("_n").alias("_l"))
     parts = components(by_class.select(F.col("rep").alias("id")), found, "vectors").withColumnRenamed("id", "rep")
+    parts = materialize(by_class.select("rep", "_first", "_first_row").join(parts, "rep"), "vector-parts")
+    names = parts.groupBy(F.col("component").alias("_c")).agg(F.min("_first").alias("_name"), F.min("_first_row").alias("_keeps"))
+    unnamed = -F.shiftrightunsigned("component", 1) - 1
+    parts = parts.join(names, F.col("component") == F.col("_c")).select("rep", F.coalesce("_name", unnamed).alias("component"), F.when(F.col("_name").isNull(), F.col("_keeps")).alias("_keeps"))
     named = by_class.select("_h", "_h2", "rep", "_n").join(linked, "rep", "left").join(parts, "rep")
-    named = named.select(F.col("_h").alias("_k"), F.col("_h2").alias("_k2"), (F.coalesce("_l", F.lit(0)) + F.col("_n") - 1).alias("_links"), "component")
-    out = good.join(named, (F.col("_h") == F.col("_k")) & (F.col("_h2") == F.col("_k2"))).select("vec_id", F.col("_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    alone = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    named = named.select(F.col("_h").alias("_k"), F.col("_h2").alias("_k2"), (F.coalesce("_l", F.lit(0)) + F.col("_n") - 1).alias("_links"), "component", "_keeps")
+    out = good.join(named, (F.col("_h") == F.col("_k")) & (F.col("_h2") == F.col("_k2"))).select("vec_id", F.col("_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id").eqNullSafe(F.col("component")) | F.col("_row").eqNullSafe(F.col("_keeps"))).alias("kept"))
+    alone = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def op8_lattice(spark, sf_dir: str) -> DataFrame:

@@ -157,6 +157,19 @@ def test_lattice(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906))
 
 
+def test_lattice_ids(spark):
+    """Null vec_ids link and count like others; different vectors with one vec_id stay rows and classes of their own."""
+    near = [[1.0, 0.0, 0.01 * k, 0.0] for k in range(4)]
+    far, lone = [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]
+    rows = [(None, near[0], 1), (None, near[0], 1), (5, near[1], 1), (7, near[2], 1), (7, far, 1), (None, lone, 1), (None, lone, 1), (9, near[3], 2)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows)
+    shown = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None or r.n_links > 1), key=str)
+    assert shown == sorted([(None, 3, 5, False), (None, 3, 5, False), (5, 3, 5, True), (7, 3, 5, False), (7, 0, 7, True), (9, 0, 9, True)], key=str)
+    alone = [r for r in got if r.vec_id is None and r.n_links == 1]
+    assert len(alone) == 2 and len({r.component_id for r in alone}) == 1 and alone[0].component_id < 0 and sum(r.kept for r in alone) == 1
+
+
 def test_crowded_cells(spark):
     """One crowd over many blocks: the links don't depend on the blocks, and a crowd within the threshold is whole."""
     rng = np.random.default_rng(6)
