@@ -14,6 +14,7 @@ from .common import materialize, new_folder, table
 
 SLOTS = 8192
 SHARDS = 40
+SLICES = 64  # of each of a table's partitions, for numbers among equal rows
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -24,12 +25,18 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def in_slots(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Adds `_slot`. A group of equal texts hashes into one slot, unless it alone is over half of a shard's fair
-    share: such groups, at most twice the number of shards, are dealt over all slots by doc_id."""
+    share: such groups, at most twice the number of shards, are dealt over all slots by doc_id and the row's number among
+    those of its group and doc_id. That number is counted in slices of the rows, so that no task sees all copies."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     large = rows.groupBy("_group").agg(F.sum("size").alias("_b")).where(F.col("_b") > total / shards / 2)
     large = [r[0] for r in large.select("_group").collect()]  # their bytes add up to the total at most: 2 * shards groups
-    salt = F.when(F.col("_group").isin(large), F.xxhash64("doc_id")).otherwise(0) if large else F.lit(0)
-    return rows.withColumn("_slot", F.pmod(F.xxhash64("_group", salt), F.lit(slots)).cast("int"))
+    if not large:
+        return rows.withColumn("_slot", F.pmod(F.xxhash64("_group", F.lit(0)), F.lit(slots)).cast("int"))
+    slot = lambda *by: F.pmod(F.xxhash64("_group", *by), F.lit(slots)).cast("int")
+    dealt = rows.where(F.col("_group").isin(large)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_slice", F.shiftrightunsigned("_id", 33) * SLICES + F.col("_id") % SLICES)
+    dealt = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_group", "doc_id", "_slice").orderBy("_id")))
+    dealt = dealt.withColumn("_slot", slot("doc_id", "_slice", "_row")).drop("_id", "_slice", "_row")
+    return rows.where(~F.col("_group").isin(large)).withColumn("_slot", slot(F.lit(0))).unionByName(dealt)
 
 
 def rebalanced(bytes_of: dict[int, int], shard_of: list[int], shards: int) -> list[int]:

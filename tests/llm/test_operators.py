@@ -116,6 +116,19 @@ def test_sharding(docs, none):
     assert all(a == b or b == 4 for a, b in zip(old, new)) and 4 in new
 
 
+def test_sharding_of_equal_ids(spark):
+    """Copies with one doc_id or with none spread over all shards too."""
+    rows = [(7, "same text of all") for _ in range(1500)] + [(None, "other text of all") for _ in range(1500)] + [(i, f"text {i}") for i in range(1500)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8, slots=512).collect()
+    load = {}
+    for r in got:
+        load.setdefault(r.shard, []).append(r)
+    sizes = [sum(r["size"] for r in x) for x in load.values()]
+    assert len(got) == len(rows) and len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in load.values())
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+
+
 def test_minhash(docs, none):
     got = sorted(((r.doc_id, r.group_id, r.group_size, r.kept) for r in minhash.near_dedup(docs).collect()), key=str)
     groups = {d: g for d, g, _, _ in got}
