@@ -16,7 +16,7 @@ def split_by_column(rows: DataFrame, column: str, labels: list[str]) -> dict[str
     """One frame for each label; at least two labels, all of them present."""
     if len(labels) < 2:
         raise ValueError("a split needs two labels")
-    there = {r[0] for r in rows.select(column).distinct().limit(1000).collect()}
+    there = {r[0] for r in rows.where(F.col(column).isin(labels)).select(column).distinct().collect()}  # as many as labels at most
     if missing := set(labels) - there:
         raise ValueError(f"no rows for {sorted(missing)}")
     return {x: rows.where(F.col(column) == x) for x in labels}

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 from pyspark.sql.functions import slice
 
 from strandmill import models
@@ -98,3 +99,14 @@ def test_elimination(spark):
     rows = [(0, i, j, float(x[i, j]), float(y[i])) for i in range(200) for j in range(6)]
     got = {r.variant_idx: r.ranking for r in E.eliminate(spark.createDataFrame(rows, "estimator_idx int, sample_idx long, variant_idx int, x double, y double"), 2).collect()}
     assert got[1] == got[4] == 1 and sorted(got.values()) == [1, 1, 2, 3, 4, 5]
+
+
+def test_split_by_column(spark):
+    """Labels are found among any number of others."""
+    from strandmill.operators import sampling
+
+    rows = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("split"))
+    got = sampling.split_by_column(rows, "split", ["s3", "s19999"])
+    assert {k: v.count() for k, v in got.items()} == {"s3": 1, "s19999": 1}
+    with pytest.raises(ValueError, match="s20000"):
+        sampling.split_by_column(rows, "split", ["s3", "s20000"])
