@@ -17,12 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, deal, in_key_order, materialize, new_folder, table
-from .wordcoder import coder_of, split_words, tokenizer_json
+from .common import deal, in_key_order, materialize, new_folder, table
+from .wordcoder import coder_of, parts_of, tokenizer_json
 
 MAGIC = b"RVB1"
 HEAD = struct.Struct("<4sIIIQI")
 FILE_IDS = 8_000_000
+PART_BYTES = 12_000_000  # of text are encoded at once
 END = 1
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -31,23 +32,20 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, block: int = 0, nu
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     seen = np.nonzero(counts)[0]
     order = seen[np.lexsort((seen, -counts[seen]))]
-    rank_of = np.zeros(len(counts), dtype=np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    r = rank_of[ids]
-    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    codes = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
-    codes[: len(r)] = size - 1
+    rank_of = np.zeros(len(counts), dtype="<u4")
+    rank_of[order] = np.arange(len(order), dtype="<u4")
+    widest = 2 if len(order) <= 65_536 else 4
+    size_of = (1 + (rank_of > 0xFF).astype(np.uint8) + (rank_of > 0xFFFF) + (rank_of > 0xFFFFFF)).astype(np.uint8)
+    size = size_of[ids]
+    codes = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
+    codes[: len(ids)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    ends = np.cumsum(size, dtype=np.int64)
-    at = ends - size
-    data = np.empty(int(ends[-1]) if len(r) else 0, dtype=np.uint8)
-    for k in range(int(size.max()) if len(r) else 0):
-        long = size > k
-        data[at[long] + k] = r[long] >> np.uint32(8 * k) & np.uint32(0xFF)
+    wide = rank_of.astype(f"<u{widest}")[ids].view(np.uint8).reshape(-1, widest)
+    data = wide[np.arange(widest, dtype=np.uint8) < size[:, None]]
     keys = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    head = HEAD.pack(MAGIC, block, number, len(doc_ids), len(r), len(order))
+    head = HEAD.pack(MAGIC, block, number, len(doc_ids), len(ids), len(order))
     return b"".join([head, order.astype("<u4").tobytes(), keys.tobytes(), nulls.tobytes(), lengths.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
@@ -110,47 +108,39 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END, file_
         import pyarrow as pa
 
         coder = coder_of(json.value)
-        word_ids = _memo(coder)
-        end = coder.ids([end_id])
-        block, number, keys, parts, held = None, 0, [], [], 0
+        block, number, keys, lengths, parts, held = None, 0, [], [], [], 0
 
         def flush():
-            nonlocal number, keys, parts, held
+            nonlocal number, keys, lengths, parts, held
             if not keys:
                 return None
-            lengths = np.array([len(p) // coder.width for p in parts], dtype=np.int64)
-            ids = np.frombuffer(b"".join(parts), dtype=f"<u{coder.width}")
-            _save(folder, f"{block:08d}-{number:06d}.rvb", pack(ids, keys, lengths, block, number))
+            docs, ids = np.concatenate(lengths), np.concatenate(parts)
+            _save(folder, f"{block:08d}-{number:06d}.rvb", pack(ids, keys, docs, block, number))
             row = pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "number": pa.array([number], pa.int32()), "docs": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
-            number, keys, parts, held = number + 1, [], [], 0
+            number, keys, lengths, parts, held = number + 1, [], [], [], 0
             return row
 
         for batch in batches:
-            for key, text, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                if b != block or held >= file_ids:
-                    if row := flush():
-                        yield row
-                    if b != block:
-                        block, number = b, 0
-                keys.append(key)
-                parts.append(b"".join(map(word_ids.__getitem__, split_words(text or ""))) + end)
-                held += len(parts[-1]) // coder.width
+            blocks = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j in parts_of(batch.column(1), PART_BYTES):
+                cuts = [i, *(np.nonzero(np.diff(blocks[i:j]))[0] + i + 1).tolist(), j]
+                for a, b in zip(cuts, cuts[1:]):
+                    if blocks[a] != block or held >= file_ids:
+                        if row := flush():
+                            yield row
+                        if blocks[a] != block:
+                            block, number = int(blocks[a]), 0
+                    ids, n = coder.column(batch.column(1).slice(a, b - a))
+                    parts.append(np.insert(ids, np.cumsum(n), end_id))
+                    lengths.append(n + 1)
+                    keys += batch.column(0).slice(a, b - a).to_pylist()
+                    held += len(parts[-1])
         if row := flush():
             yield row
 
     return materialize(deal(dealt, blocks, ["doc_id", "text"]).mapInArrow(run, "block int, number int, docs long, ids long"), "token-index")
 
 
-_memos: dict = {}
-
-
-def _memo(coder) -> Cache:
-    if id(coder) not in _memos:
-        _memos.clear()
-        _memos[id(coder)] = Cache(coder.word, 800_000)
-    return _memos[id(coder)]
-
-
 def read(spark, folder: str, index: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; start counts all ids of lower documents."""
     whole = Window.orderBy("block", "number").rowsBetween(Window.unboundedPreceding, -1)
