@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFFFFFFFFFF
@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a folder of our own on a
+    local master; a cluster has to name one, since its executors don't share the driver's disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='strandmill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +38,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(docs: DataFrame, columns: list[str], seed: int = 0) -> Column:
+    """MD5 (hex) over the columns, each with its length before it and null told from empty, so that SQL elsewhere can find
+    the same order and different rows have different keys."""
+    parts = []
+    for c in columns:
+        kind = docs.schema[c].dataType.typeName()
+        shown = F.hex(quoted(c)) if kind == "binary" else F.to_json(F.struct(quoted(c).alias("x"))) if kind in ("array", "map", "struct", "variant") else quoted(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("n")))
+    return F.md5(F.concat_ws("#", F.lit(str(seed)), *parts))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

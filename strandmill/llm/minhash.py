@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, components, materialize, mix64, partitions, table, texts_of
+from .common import Cache, components, materialize, mix64, partitions, quoted, row_key, table, texts_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -321,23 +321,25 @@ def near_dedup(docs: DataFrame, **settings) -> DataFrame:
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, all their columns, one for each group: the one with the smallest doc_id (nulls last), then the
-    smallest hash of the whole row."""
+    smallest MD5 over the whole row, in which null differs from empty. Columns of any name may come along."""
     columns = docs.columns
     _, found = near_classes(docs, **settings)
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     names = [f"_sm{i}" for i in range(len(columns))]
-    keyed = classes(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], "text", row.alias("_row"), F.col("doc_id").alias("_doc")), [*names, "_row", "_doc"])
+    own = docs.select(*[quoted(c).alias(n) for c, n in zip(columns, names)], "text", row_key(docs, columns).alias("_row"), F.col("doc_id").alias("_doc"))
+    keyed = classes(own, [*names, "_row", "_doc"])
     order = F.struct(F.col("_doc").isNull().alias("x"), F.col("_doc").alias("d"), F.col("_row").alias("r"))
     firsts = keyed.groupBy("_key").agg(F.min(order).alias("_f"))
     of = firsts.join(found.withColumnRenamed("id", "_key"), "_key", "left").withColumn("_g", F.coalesce("component", "_key"))
-    best = of.groupBy("_g").agg(F.min("_f").alias("_f")).select(F.col("_f.d").alias("_bd"), F.col("_f.r").alias("_br"))
-    kept = keyed.join(best, F.col("_doc").eqNullSafe(F.col("_bd")) & (F.col("_row") == F.col("_br")), "left_semi")
-    again = keyed.groupBy("_doc", "_row").count().where("count > 1").select(F.col("_doc").alias("_bd"), F.col("_row").alias("_br"))
-    same = F.col("_doc").eqNullSafe(F.col("_bd")) & (F.col("_row") == F.col("_br"))
-    kept = materialize(kept.select(*names, "_doc", "_row"), "kept")
-    once = kept.join(again, same, "left_anti")
-    repeated = kept.join(again, same, "left_semi").dropDuplicates(["_doc", "_row"])  # fully equal rows only
-    return once.unionByName(repeated).select(*[F.col(n).alias(c) for c, n in zip(columns, names)])
+    best = of.groupBy("_g").agg(F.min("_f").alias("_f")).select(F.col("_f.r").alias("_br"))
+    kept = materialize(keyed.join(best, F.col("_row") == F.col("_br"), "left_semi").select(*names, "_row"), "kept")
+    shown = [F.col(n).alias(c) for c, n in zip(columns, names)]
+    again = kept.groupBy("_row").count().where("count > 1").select(F.col("_row").alias("_br"))
+    again = materialize(again, "kept-equal")  # fully equal rows only
+    if not again.limit(1).count():
+        return kept.select(*shown)
+    same = F.col("_row") == F.col("_br")
+    repeated = kept.join(again, same, "left_semi").dropDuplicates(["_row"])
+    return kept.join(again, same, "left_anti").unionByName(repeated).select(*shown)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

@@ -99,8 +99,32 @@ def test_mixing(docs, none):
     for taken, target, size in by.values():
         assert abs(taken - target) <= 1 and target <= 3 * size + 1e-6
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
-    placed = mixing.mix(docs, row_key=mixing.row_hash(0, *docs.columns))
+    placed = mixing.mix(docs, key_columns=tuple(docs.columns))
     assert mixing.training_copies(docs, docs.columns).count() == sum(r.copies for r in placed.collect())
+    assert all(len(r.positions) == 0 or r.positions == sorted(r.positions) for r in rows)
+
+
+def test_rows_that_look_alike(spark):
+    """Rows that differ only in where a separator stands, or in null against empty, are different rows; columns of any
+    name come along; copies of equal rows are all made."""
+    schema = "doc_id long, text string, lang string, source string, _k string, `_row` long, `_p` string, `_at` double, `a.b` string, bytes binary, tags array<string>"
+    rows = [(1, "a b c d", "en", "x#y", None, 1, "p", 0.5, "", b"\xff", ["n"]), (1, "a b c d", "en#x", "y", "", 1, "p", 0.5, None, b"\xfe", None)]
+    rows += [(2, "e f g h", None, "y", None, None, None, None, "q", None, [])] * 3 + [(2, "e f g h", "", "y", None, None, None, None, "q", None, [])]
+    frame = spark.createDataFrame(rows, schema)
+    copies = mixing.training_copies(frame, frame.columns)
+    assert copies.columns == frame.columns
+    got = copies.collect()
+    want = mixing.mix(frame, key_columns=tuple(frame.columns)).collect()
+    by_row = {}
+    for r in want:
+        by_row[r._key] = by_row.get(r._key, 0) + r.copies
+    assert len(got) == sum(by_row.values()) and len(by_row) == 4
+    seen = {}
+    for r in got:
+        seen[str(r)] = seen.get(str(r), 0) + 1
+    assert sorted(seen.values()) == sorted(n for n in by_row.values() if n)
+    kept = minhash.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
 def test_sharding(docs, none):
