@@ -1,16 +1,18 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A document up to CHUNK characters is encoded whole. A longer one is encoded in overlapping chunks, each from an
-arbitrary cut on. The tokenizer first splits a text, left to right, into pre-tokens, without looking back; so once
-two chunks share the start of a pre-token, all that follows is equal, and the left chunk's starts are those of the
-whole text up to a margin before its right edge (the splitter looks at most at a special string's length ahead, white
-space runs end at the edge). The chunks are spliced at the first start that both have. Where an overlap has none, it is
-widened, at last to the whole left chunk, from whose known start the text is encoded anew.
+A document up to CHUNK characters is encoded whole. A longer one is cut in overlapping chunks, each from an arbitrary
+place on. The tokenizer first splits a text, left to right, into pre-tokens, without looking back; so once two chunks share
+the start of a pre-token, all that follows is equal, and the left chunk's starts are those of the whole text up to a margin
+before its right edge (the splitter looks at most at a special string's length ahead, white space runs end at the edge).
+The chunks are spliced at the first start that both have, and what lies before it is encoded, once. Where an overlap has
+none, it is widened to the left chunk's last sure start; where that is the chunk's own first, one pre-token is longer than
+the chunk, and the chunk is doubled. Work is so in proportion to the text, with and without white space.
 """
 
 from __future__ import annotations
 
 import re
+from json import loads as json_of
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from .wordcoder import tokenizer_json
 CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 1024
+LONG = 256  # characters of a word that is split as the tokenizer does, and isn't kept in the memo
 
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"(\s+)")
@@ -36,7 +39,12 @@ class Counter:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        # units rest on a byte-level splitter, no normalizer, and special strings that are found as they stand
+        shape = json_of(json)
+        self.chunked = shape.get("normalizer") is None and (shape.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not shape["pre_tokenizer"].get("add_prefix_space") and not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.margin = max([4, *(len(s) + 4 for s in self.specials)])
         self.chunk, self.overlap = chunk, max(1, overlap)
         self.run = Cache(self.library_count)
@@ -59,27 +67,43 @@ class Counter:
             if n == len(text.split()) and not any("" in line for line in lines):
                 run, spaced = self.run, self.spaced
                 return len(lines) - 1 + sum(run[line[0]] + sum(map(spaced.__getitem__, line[1:])) for line in lines)
-        return int(self.units(text)[1].sum())
+        return self.tokens(self.units(text)[1])
 
-    def units(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of whole pre-tokens start, and how many tokens each has.
+    def tokens(self, units: list) -> int:
+        """Tokens of units: numbers, or texts to be encoded (short ones once for all)."""
+        return sum(u if isinstance(u, int) else self.run[u] if len(u) <= LONG else self.library_count(u) for u in units)
+
+    def units(self, text: str) -> tuple[np.ndarray, list]:
+        """Where runs of whole pre-tokens start, and each as a text or, where it is known, as its number of tokens.
 
         A white-space run before a word gives all but its last character to one pre-token; a last space belongs to
-        the word, another last character is a pre-token of its own; a run at the text's end is one pre-token."""
+        the word, another last character is a pre-token of its own; a run at the text's end is one pre-token. A long
+        word is split as the tokenizer splits it."""
         if not self.plain(text):
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = e.word_ids
-            first = [i for i in range(len(ids)) if i == 0 or ids[i] is None or ids[i] != ids[i - 1]]
-            return np.array([e.offsets[i][0] for i in first], dtype=np.int64), np.diff([*first, len(ids)]).astype(np.int64)
+            starts, units, at = [], [], 0
+            for m in [*(self.special.finditer(text) if self.special else ()), None]:
+                end = m.start() if m else len(text)
+                for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text[at:end]) if at < end else ():
+                    starts.append(at + a)
+                    units.append(text[at + a : at + b])
+                if m:
+                    starts.append(end)
+                    units.append(1)
+                    at = m.end()
+            return np.array(starts, dtype=np.int64), units
         parts = _SPACES.split(text)
-        starts, counts, at = [], [], 0
+        starts, units, at = [], [], 0
 
         def add(unit):
             nonlocal at
-            if unit:
+            if len(unit) > LONG:
+                for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit):
+                    starts.append(at + a)
+                    units.append(unit[a:b])
+            elif unit:
                 starts.append(at)
-                counts.append(self.run[unit])
-                at += len(unit)
+                units.append(unit)
+            at += len(unit)
 
         add(parts[0])
         for space, word in zip(parts[1::2], parts[2::2]):
@@ -92,36 +116,40 @@ class Counter:
                 add(space[:-1])
                 add(space[-1])
                 add(word)
-        return np.array(starts, dtype=np.int64), np.array(counts, dtype=np.int64)
+        return np.array(starts, dtype=np.int64), units
 
     def count(self, text: str) -> int:
+        if not self.chunked:
+            return self.library_count(text)
         if len(text) <= self.chunk:
             return self.small(text)
         total, begin, edge = 0, 0, self.chunk
-        starts, counts = self.units(text[:edge])
+        starts, units = self.units(text[:edge])
         while edge < len(text):
+            sure = starts[starts <= edge - self.margin]
             overlap = self.overlap
             while True:
-                cut = edge - overlap
-                if cut <= begin:  # the whole left chunk: go on from its known start
-                    edge = min(len(text), edge + self.chunk)
-                    starts, counts = self.units(text[begin:edge])
+                if not len(sure) or sure[-1] <= begin:  # one pre-token fills the chunk
+                    edge = min(len(text), begin + 2 * (edge - begin))
+                    starts, units = self.units(text[begin:edge])
                     starts = starts + begin
                     break
-                end = min(len(text), cut + self.chunk)
-                if end <= edge:
-                    end = min(len(text), edge + self.chunk)
-                s, c = self.units(text[cut:end])
+                self.widened += int(sure[-1]) < edge - overlap
+                cut = max(begin + 1, min(edge - overlap, int(sure[-1])))
+                end = min(len(text), max(cut, edge) + self.chunk)
+                s, u = self.units(text[cut:end])
                 s = s + cut
-                common = np.intersect1d(starts[(starts >= cut) & (starts <= edge - self.margin)], s)
+                common = np.intersect1d(sure[sure >= cut], s)
                 if len(common):
-                    p = common[0]
-                    total += int(counts[starts < p].sum())
-                    starts, counts, begin, edge = s[s >= p], c[s >= p], int(p), end
+                    p = int(common[0])
+                    total += self.tokens(units[: int(np.searchsorted(starts, p))])
+                    k = int(np.searchsorted(s, p))
+                    starts, units, begin, edge = s[k:], u[k:], p, end
                     break
                 self.widened += 1
+                sure = sure[: np.searchsorted(sure, cut)]
                 overlap *= 2
-        return total + int(counts.sum())
+        return total + self.tokens(units)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
