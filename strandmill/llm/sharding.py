@@ -14,6 +14,8 @@ from .common import materialize, new_folder, table
 
 SLOTS = 8192
 SHARDS = 40
+SUBS = 8  # parts of a slot that are numbered apart
+MAP = "_s int, shard int, slot_bytes long"
 SLICES = 64  # of each of a table's partitions, for numbers among equal rows
 
 
@@ -24,19 +26,21 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def in_slots(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Adds `_slot`. A group of equal texts hashes into one slot, unless it alone is over half of a shard's fair
-    share: such groups, at most twice the number of shards, are dealt over all slots by doc_id and the row's number among
-    those of its group and doc_id. That number is counted in slices of the rows, so that no task sees all copies."""
+    """Adds `_slot` and `_sub`, a part of the slot. A group of equal texts hashes into one slot as long as one shard can
+    hold it; groups over a shard's fair share, at most as many as shards, are dealt over all slots by doc_id and the row's
+    number among those of its group and doc_id. That number is counted in slices of the rows, so that no task sees all
+    copies."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    large = rows.groupBy("_group").agg(F.sum("size").alias("_b")).where(F.col("_b") > total / shards / 2)
-    large = [r[0] for r in large.select("_group").collect()]  # their bytes add up to the total at most: 2 * shards groups
-    if not large:
-        return rows.withColumn("_slot", F.pmod(F.xxhash64("_group", F.lit(0)), F.lit(slots)).cast("int"))
+    large = rows.groupBy("_group").agg(F.sum("size").alias("_b")).where(F.col("_b") > total / shards)
+    large = [r[0] for r in large.select("_group").collect()]  # their bytes add up to the total at most: `shards` groups
     slot = lambda *by: F.pmod(F.xxhash64("_group", *by), F.lit(slots)).cast("int")
+    sub = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SUBS)).cast("int")
+    if not large:
+        return rows.withColumn("_slot", slot(F.lit(0))).withColumn("_sub", sub)
     dealt = rows.where(F.col("_group").isin(large)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_slice", F.shiftrightunsigned("_id", 33) * SLICES + F.col("_id") % SLICES)
     dealt = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_group", "doc_id", "_slice").orderBy("_id")))
     dealt = dealt.withColumn("_slot", slot("doc_id", "_slice", "_row")).drop("_id", "_slice", "_row")
-    return rows.where(~F.col("_group").isin(large)).withColumn("_slot", slot(F.lit(0))).unionByName(dealt)
+    return rows.where(~F.col("_group").isin(large)).withColumn("_slot", slot(F.lit(0))).unionByName(dealt).withColumn("_sub", sub)
 
 
 def rebalanced(bytes_of: dict[int, int], shard_of: list[int], shards: int) -> list[int]:
@@ -76,36 +80,47 @@ def rebalanced(bytes_of: dict[int, int], shard_of: list[int], shards: int) -> li
     return out
 
 
-def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], sizes: dict[int, int]) -> DataFrame:
-    """Stores a version of the map under path/version=N and reads it from there."""
+def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], sizes: dict[int, int]) -> None:
+    """Stores a version of the map under path/version=N."""
     rows = [(slot, shard, sizes.get(slot, 0)) for slot, shard in enumerate(shard_of)]
-    spark.createDataFrame(rows, "_s int, shard int, slot_bytes long").coalesce(1).write.parquet(f"{path}/version={version}")
-    return spark.read.schema("_s int, shard int, slot_bytes long").parquet(f"{path}/version={version}")
+    spark.createDataFrame(rows, MAP).coalesce(1).write.parquet(f"{path}/version={version}")
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
+    """The shard of each slot in a stored version, the latest one by default."""
+    stored = spark.read.schema(f"{MAP}, version int").parquet(path)
+    if version is None:
+        version = stored.agg(F.max("version")).first()[0]
+    return [r[0] for r in stored.where(F.col("version") == version).orderBy("_s").select("shard").collect()]  # a fixed number
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0 without gaps), grown_shard, virtual_slot.
 
     Null texts count as empty; null doc_ids and repeated rows are rows like others; ties in a slot are broken by
     group, doc_id, size; an empty table gives no rows. The law `bytes` holds: shards differ by about a slot's bytes, a
-    single text longer than a shard's fair share aside.
+    single text longer than a shard's fair share aside. Rows go where the stored map says.
     """
     spark = docs.sparkSession
     rows = materialize(in_slots(materialize(sized(docs), "sized"), shards, slots), "slots")
-    counted = rows.groupBy("_slot").agg(F.sum("size"), F.count("*")).collect()  # a fixed number of slots
-    sizes, counts = {r[0]: r[1] for r in counted}, {r[0]: r[2] for r in counted}
-    path = new_folder(spark, "slot-map")
-    even = [s % shards for s in range(slots)]
-    write_map(spark, path, 0, even, sizes)
-    final = rebalanced(sizes, even, shards)
-    write_map(spark, path, 1, final, sizes)
-    first, seen = {}, [0] * shards
+    counted = rows.groupBy("_slot", "_sub").agg(F.sum("size"), F.count("*")).collect()  # a fixed number of slots and parts
+    sizes: dict[int, int] = {}
+    for s, _, size, _ in counted:
+        sizes[s] = sizes.get(s, 0) + size
+    counts = {(r[0], r[1]): r[3] for r in counted}
+    path = path or new_folder(spark, "slot-map")
+    write_map(spark, path, 0, [s % shards for s in range(slots)], sizes)
+    write_map(spark, path, 1, rebalanced(sizes, read_map(spark, path, 0), shards), sizes)
+    final = read_map(spark, path)
+    first, seen = [], [0] * shards
     for s in range(slots):
-        first[s] = seen[final[s]]
-        seen[final[s]] += counts.get(s, 0)
-    places = spark.createDataFrame([(s, final[s], first[s]) for s in range(slots)], "_s int, shard int, _first long")
-    within = Window.partitionBy("_slot").orderBy("_group", "doc_id", "size")
-    placed = rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(places), F.col("_slot") == F.col("_s"))
+        for k in range(SUBS):
+            if n := counts.get((s, k), 0):
+                first.append((s, k, final[s], seen[final[s]]))
+                seen[final[s]] += n
+    places = spark.createDataFrame(first, "_s int, _k int, shard int, _first long")
+    within = Window.partitionBy("_slot", "_sub").orderBy("_group", "doc_id", "size")
+    placed = rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(places), (F.col("_slot") == F.col("_s")) & (F.col("_sub") == F.col("_k")))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_n")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("_slot").alias("virtual_slot"),
