@@ -69,6 +69,22 @@ def test_resynchronisation():
     assert c.widened
 
 
+def test_long_texts_without_spaces():
+    """A million characters without white space, with and without pre-token ends, count in about the library's time."""
+    import random
+    import time
+
+    t, c = library("byte_bpe_50k.json"), token_counts.Counter(wordcoder.tokenizer_json("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("中文字符，。们是了不在有", k=1_000_000)), "".join(rng.choices("abcdef;()=.0123", k=1_000_000)), "".join(rng.choices("нетслов", k=200_000)), "x" * 300_001]
+    for x in texts:
+        began = time.perf_counter()
+        want = len(t.encode(x, add_special_tokens=False).ids)
+        library_time, began = time.perf_counter() - began, time.perf_counter()
+        assert c.count(x) == want
+        assert time.perf_counter() - began < 2 * library_time + 1
+
+
 def test_token_files(spark, docs, none, tmp_path):
     t = library("word_bpe_49k.json")
     folder = f"file://{tmp_path}/files"
@@ -140,6 +156,30 @@ def test_sharding(docs, none):
     assert all(a == b or b == 4 for a, b in zip(old, new)) and 4 in new
 
 
+def test_sharding_by_brute_force(spark, tmp_path):
+    """Sizes, checksums, one shard for each group that a shard can hold, near equal bytes, the stored map's word."""
+    rng = np.random.default_rng(8)
+    rows = [(i, f"text {i} " + "w " * int(rng.integers(0, 60))) for i in range(3000)]
+    rows += [(5000 + i, "a group under a fair share " * 4) for i in range(150)] + [(6000 + i, "a group over a fair share " * 4) for i in range(900)] + [(None, None), (7, "")]
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=10, slots=512, path=path).collect()
+    want = sorted(str((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))) for d, t in rows)
+    assert sorted(str((r.doc_id, r["size"], r.text_crc32)) for r in got) == want
+    total = sum(r["size"] for r in got)
+    load, by_text = [0] * 10, {}
+    for r in got:
+        load[r.shard] += r["size"]
+        by_text.setdefault(r.text_crc32, []).append(r)
+    assert max(load) - min(load) < 0.02 * total / 10
+    for x in by_text.values():
+        assert len({r.shard for r in x}) == 1 or sum(r["size"] for r in x) > total / 10
+    assert len({r.shard for r in by_text[zlib.crc32(b"a group under a fair share " * 4)]}) == 1
+    stored = sharding.read_map(spark, path)
+    assert all(r.shard == stored[r.virtual_slot] for r in got) and sharding.read_map(spark, path, 0) == [i % 10 for i in range(512)]
+    for k in range(10):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_sharding_of_equal_ids(spark):
     """Copies with one doc_id or with none spread over all shards too."""
     rows = [(7, "same text of all") for _ in range(1500)] + [(None, "other text of all") for _ in range(1500)] + [(i, f"text {i}") for i in range(1500)]
@@ -238,6 +278,45 @@ def test_spotsigs(spark, docs, none):
     assert found == brute and brute
 
 
+def test_spotsigs_by_brute_force(spark):
+    """Anchors, likenesses to the edited and to the next text, and equal fingerprints of equal texts, by plain sets."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["the", "of", "a"] * 12 + [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(0, 120, 60)] + ["", "only two", "the the the"]
+    texts += texts[:5]
+    rows = [(int(i * 3), t) for i, t in enumerate(texts)]
+    n, counts = 0, {}
+    for t in texts:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+            n += 1
+    common = {w for w, k in counts.items() if k >= 0.05 * n}
+
+    def signatures(text):
+        words = text.split()
+        found = set()
+        for i, w in enumerate(words):
+            chain = [x for x in words[i + 1 :] if x not in common][: spotsigs.CHAIN]
+            if w in common and len(chain) == spotsigs.CHAIN:
+                found.add((w, *chain))
+        return found or ({tuple(words)} if words else set())
+
+    def likeness(x, y):
+        x, y = signatures(x), signatures(y)
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert set(spotsigs.anchors(frame, 0.05)) == common
+    got = {r.doc_id: r for r in spotsigs.against_edited(frame, share=0.05).collect()}
+    order = sorted(rows, reverse=True)
+    for (d, t), (_, follower) in zip(order, [*order[1:], order[0]]):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + follower[:k]
+        assert abs(got[d].near_edited - likeness(t, edited)) < 1e-12 and abs(got[d].near_next - likeness(t, follower)) < 1e-12
+        assert got[d].set_length == len(signatures(t))
+    assert all((got[a].fingerprint == got[b].fingerprint) == (signatures(s) == signatures(t)) for a, s in rows for b, t in rows)
+
+
 def test_html(spark):
     article = "<article><h1>A &amp; B</h1><p>One two   three.<br><p>Short.</p><div class='comments'><p>I disagree with all of this text</p></div></article>"
     page = f"<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a href=x>Home</a></nav>{article}<footer>&copy; me</footer>"
