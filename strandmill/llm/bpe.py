@@ -128,11 +128,13 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
         import pyarrow as pa
 
         coder = coder_of(json.value)
+        coder.forget()  # no word of another bucket comes again
         for batch in batches:
             for bucket, block, packet in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 flat, lengths = coder.table(_listed(packet))
                 out = _squeezed(np.concatenate([[len(lengths)], lengths, flat]))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.string()), "bucket": pa.array([bucket], pa.int32()), "packet": pa.array([out], pa.binary()), "keys": pa.array([None], pa.binary())})
+        coder.forget()
 
     def bodies(batches):
         import pyarrow as pa

@@ -113,28 +113,38 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+#: Over so many tasks a key that many rows share is spread in look-ups.
+SPREAD = 8
+
+
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, by: str) -> DataFrame:
+    """An inner join on left_key = right_key where right has a row for each key and left may have any number: the left rows
+    of a key are dealt over SPREAD tasks by the column `by`, and right is repeated for each."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    repeated = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return salted.join(repeated, (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2")
+
+
+def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Connected components: (id) and (a, b) -> (id, component), component the smallest id reachable.
 
-    Each round hooks every tree's root onto the smallest neighbouring label and then jumps pointers twice; labels
-    live in tables of the shared folder, nothing but a count reaches the driver. Ids that no edge touches stay out
-    of the rounds.
+    Each round hooks every tree's root onto the smallest neighbouring label and then jumps pointers; labels only get
+    smaller, so the rounds end by themselves when none changes. They live in tables of the shared folder, nothing but a
+    count reaches the driver. Ids that no edge touches stay out of the rounds; the root of a large component and the
+    centre of a star are looked up from several tasks.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{name}-edges")
     labels = edges.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(most_rounds):
-        seen = labels.select(F.col("id").alias("b"), F.col("component").alias("_c"))
-        near = edges.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("_c").alias("_m"))
+    changed = 1
+    while changed:
+        seen = labels.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+        near = spread_join(edges, seen, "b", "_i", "a").groupBy(F.col("a").alias("id")).agg(F.min("_c").alias("_m"))
         low = labels.join(near, "id").withColumn("_m", F.least("component", "_m"))
         roots = low.groupBy(F.col("component").alias("_r")).agg(F.min("_m").alias("_to"))
-        hooked = low.join(roots, F.col("component") == F.col("_r")).select("id", F.col("component").alias("_was"), F.least("_m", "_to").alias("_m"))
+        hooked = spread_join(low, roots, "component", "_r", "id").select("id", F.col("component").alias("_was"), F.least("_m", "_to").alias("_m"))
         up = hooked.select(F.col("id").alias("_k"), F.col("_m").alias("_up"))
-        jumped = hooked.join(up, F.col("_m") == F.col("_k")).select("id", "_was", F.least("_m", "_up").alias("component"))
+        jumped = spread_join(hooked, up, "_m", "_k", "id").select("id", "_was", F.least("_m", "_up").alias("component"))
         step = materialize(jumped, f"{name}-labels")
         changed = step.where("component <> _was").limit(1).count()
         labels = step.select("id", "component")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -14,7 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>", re.S | re.I)
+# A quote opens a value only after an equals sign, as in the HTML syntax; elsewhere it is a character like others. Raw text
+# (script, style) runs on to the end where it isn't closed; other skipped elements are skipped only where they are. A tag
+# that the page's end cuts off goes.
+_ATTRIBUTES = r"(?:[\s/](?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)?+"
+_TAG = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(noscript|template|svg|iframe|textarea|title|select|object|math)(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^\s/>]*{_ATTRIBUTES}\Z", re.S | re.I)
 _NAME = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
@@ -53,14 +60,13 @@ LABELLED = [
     *_rows((60, 300), (0.0, 0.1), 1, 0, 1, 0, 1, [*_TEXT, *_LINKED], 1), *_rows((3, 14), (0.0,), 1, 0, 1, 0, 1, _AMID, 1), *_rows((3, 9), (0.0,), 1, 0, 1, 1, 1, [(n, d, k, 0.0) for n, d in ((0, 0.0), (1, 1.0), (6, 1.0), (40, 0.0), (120, 0.0)) for k in (40, 90, 300)], 1),
     *_rows((3, 14), (0.0,), 1, 0, 1, 0, 0, _LINKED, 1), *_rows((3, 14), (0.8, 1.0), 1, 0, 1, 0, 0, [*_TEXT, *_LINKED, (3, 0.0, 0, 0.0), (4, 0.0, 5, 0.0)], 1), *_rows((3, 9), (0.0,), 1, 0, 1, 1, 0, [(n, d, k, e) for n, d in ((0, 0.0), (1, 1.0), (40, 0.0)) for k, e in ((3, 0.0), (9, 0.0), (3, 1.0), (9, 1.0))], 1), *_rows((3, 9), (1.0,), 1, 0, 1, 1, 0, [*_TEXT, *_LINKED], 1), *_rows((30, 60), (0.8, 1.0), 1, 0, 1, 0, 0, _TEXT, 1),
     # sure furniture, in and around an article: menus, adverts, notices, footers, comments
-    *_rows((1, 4), (1.0,), 0, 2, 1, 0, 0), *_rows((2, 9, 35, 120), (0.0,), 0, 2, 1, 0, 0), *_rows((1, 3, 12, 60, 300), (0.0, 0.3, 0.6, 1.0), 1, 2, 1, 0, 0, [*_NEAR, *_LINKED]), *_rows((3,), (0.0, 1.0), 1, 2, 1, 1, 0),
+    *[r for inside, has in ((0, 0), (0, 1), (1, 1)) for heading in (0, 1) for r in _rows((1, 3, 7, 12, 18, 25, 35, 40, 45, 60, 90, 120, 300), (0.0, 0.1, 0.3, 0.6, 1.0), inside, 2, has, heading, 0, [*_NEAR, *_LINKED[:4], *_AMID])],
     # containers that may be furniture, in and around an article: long text with few links amid text stays
     *_rows((1, 3, 12), (0.0, 0.3, 0.6, 1.0), 1, 1, 1, 0, 0, [*_NEAR, *_LINKED]), *_rows((60, 300), (0.4, 1.0), 1, 1, 1, 0, 0), *_rows((3,), (0.0,), 1, 1, 1, 1, 0), *_rows((60, 300), (0.0, 0.1), 1, 1, 1, 0, 1, _TEXT), *_rows((60,), (0.0,), 1, 1, 1, 0, 0, _LINKED),
     *_rows((1, 4), (1.0,), 0, 1, 1, 0, 0), *_rows((2, 9, 35), (0.0,), 0, 1, 1, 0, 0), *_rows((60, 120), (0.5, 1.0), 0, 1, 1, 0, 0), *_rows((60, 120, 300), (0.0, 0.1), 0, 1, 1, 0, 1, _AMID), *_rows((60, 120), (0.0,), 0, 1, 1, 0, 0, _LINKED),
     # other blocks outside the article of a page that has one: long text with few links beside text is main text too
     *_rows((2, 12, 40), (0.0, 0.9), 0, 0, 1, 0, 0), *_rows((4,), (0.0,), 0, 0, 1, 1, 0), *_rows((60, 150, 300), (0.0, 0.1), 0, 0, 1, 0, 1, _TEXT), *_rows((60, 150), (0.0,), 0, 0, 1, 0, 0, _LINKED), *_rows((60, 150), (0.6, 1.0), 0, 0, 1, 0, 0),
-    # furniture of a page without an article, sure and possible
-    *_rows((1, 4), (1.0,), 0, 2, 0, 0, 0), *_rows((2, 9, 60, 200), (0.0,), 0, 2, 0, 0, 0),
+    # what may be furniture on a page without an article
     *_rows((1, 4), (1.0,), 0, 1, 0, 0, 0), *_rows((2, 9), (0.0,), 0, 1, 0, 0, 0), *_rows((40, 60, 200), (0.0, 0.1), 0, 1, 0, 0, 1, _TEXT), *_rows((60, 200), (0.0,), 0, 1, 0, 0, 0, _LINKED), *_rows((60, 200), (0.5, 1.0), 0, 1, 0, 0, 0),
     # text of a page without an article: long blocks, and short ones beside long ones
     *_rows((18, 45, 90, 200), (0.0, 0.1), 0, 0, 0, 0, 1, [*_NEAR, *_LINKED]), *_rows((30, 90), (0.8,), 0, 0, 0, 0, 0), *_rows((2, 5), (0.8, 1.0), 0, 0, 0, 0, 0),
@@ -124,10 +130,10 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
             if anchors:
                 links.append(page[at : m.start()] + " ")
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
-        name, closing = name.lower(), m[2] == "/"
+        name, closing = name.lower(), m[3] == "/"
         if name in _BLOCK:
             flush()
         if name == "a":
@@ -142,7 +148,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
                     del open_tags[k:]
                     break
         elif not m[0].endswith("/>"):
-            attributes = m[4] or ""
+            attributes = m[5] or ""
             signs = {w for n in _NAME.findall(attributes) for x in "".join(n).lower().split() if not _LAYOUT.match(x) for w in _WORD.split(x)}
             inside, furniture, around, hidden = open_tags[-1][1:] if open_tags else (0, 0, 0, False)
             hidden = hidden or bool(_HIDDEN.search(attributes))

@@ -1,10 +1,10 @@
 """Embedding near-dedup by lattice hashing on E8.
 
 Distinct vectors of a label (copies are one) are scaled to length 1. In each of several tables a random projection to
-eight dimensions is decoded to the nearest point of the E8 lattice, which is the vector's cell; it also probes the
-next nearest cells. Two vectors that share a cell in this way are candidates; their cosine is computed in double
-precision where they meet. Members of a cell meet in blocks, block against block, so that a crowded cell is many
-bounded steps and no candidate is written down.
+two times eight dimensions is decoded to the nearest points of two E8 lattices, which together are the vector's cell; it
+also probes the next nearest cells. Vectors that meet in a cell are candidates; their cosine is computed in double
+precision where they meet, once for all cells with the same members. Members of a cell meet in blocks, block against
+block, so that a crowded cell is many bounded steps and no candidate is written down.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, materialize, mix64, table
 
 COSINE = 0.93
-TABLES = 24
-SCALE = 1.4
-PROBES = 8
+TABLES = 10
+LATTICES = 2
+SCALE = 0.6
+PROBES = 6
 BLOCK = 256
 
 
@@ -34,8 +35,8 @@ def _nearest_d8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, x - r
 
 
-def e8_cells(x: np.ndarray, probes: int) -> np.ndarray:
-    """The nearest E8 points of each row, nearest first, doubled to integers: (rows, 1 + probes, 8).
+def e8_cells(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest E8 points of each row, nearest first, doubled to integers: (rows, 1 + probes, 8), and their distances.
 
     E8 is D8 and D8 shifted by one half. Candidates are the nearest point of each coset and the points one even step
     in the two least certain of its coordinates away from it."""
@@ -54,19 +55,37 @@ def e8_cells(x: np.ndarray, probes: int) -> np.ndarray:
     all_points = np.stack(near, axis=1)
     dist = ((all_points - x[:, None, :]) ** 2).sum(axis=2)
     best = np.argsort(dist, axis=1, kind="stable")[:, : 1 + probes]
-    return np.rint(2 * np.take_along_axis(all_points, best[:, :, None], axis=1)).astype(np.int64)
+    return np.rint(2 * np.take_along_axis(all_points, best[:, :, None], axis=1)).astype(np.int64), np.take_along_axis(dist, best, axis=1)
 
 
-def projections(dims: int, tables: int, scale: float, seed: int = 8) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, dims, 8)) * scale
+def cell_keys(x: np.ndarray, probes: int, seed: int) -> np.ndarray:
+    """Hashes of the nearest cells of each row, nearest first: (rows, 1 + probes). A row holds 8 coordinates for each of
+    its lattices; a cell is a point of each, and the nearest cells are those with the least sum of distances."""
+    keys = dist = None
+    rng = np.random.default_rng(seed)
+    for k in range(x.shape[1] // 8):
+        points, far = e8_cells(x[:, 8 * k : 8 * k + 8], probes)
+        with np.errstate(over="ignore"):
+            own = (points.astype(np.uint64) * (rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(axis=2)
+            if keys is not None:
+                own = (keys[:, :, None] + own[:, None, :]).reshape(len(x), -1)
+                far = (dist[:, :, None] + far[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(far, axis=1, kind="stable")[:, : 1 + probes]
+        keys, dist = np.take_along_axis(own, best, axis=1), np.take_along_axis(far, best, axis=1)
+    return keys
+
+
+def projections(dims: int, tables: int, lattices: int, scale: float, seed: int = 8) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables, dims, 8 * lattices)) * scale
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label and the embedding as doubles, null where it can't link: null or no label, empty, zero, or with null or
+    """vec_id, label and the embedding (floats stay floats, other numbers become doubles), null where it can't link: null or no label, empty, zero, or with null or
     non-finite components."""
     e = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     fine = F.col("label").isNotNull() & F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(e, lambda v: v != 0), F.lit(False))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.when(fine, e).alias("e"))
+    kept = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else e
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.when(fine, kept).alias("e"))
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -74,45 +93,46 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
 
 
-def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, block: int = BLOCK, lattices: int = LATTICES) -> DataFrame:
     """(a, b) with a < b: pairs of rows (rep, label, e) of one label and length with cosine >= `cosine`.
 
-    Only cells that a home and another vector share go on. A cell's members are dealt over blocks of about `block`, and
-    every two blocks meet in a step of their own, which holds those two only and writes the links that it has verified."""
+    Only cells that a home and another vector share go on, and of cells with the same members only one. A cell's members
+    are dealt over blocks of about `block`, and every two blocks meet in a step of their own, which holds those two only
+    and writes the links that it has verified."""
 
     def keyed(batches):
         import pyarrow as pa
-        import xxhash
 
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, labels, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            by_dims: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_dims.setdefault(len(v), []).append(i)
-            for dims, own in by_dims.items():
+            ids, labels, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
+            dims_of = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims_of) - dims_of
+            for dims in np.unique(dims_of).tolist():
+                own = np.nonzero(dims_of == dims)[0]
                 if dims not in planes:
-                    planes[dims] = projections(dims, tables, scale)
-                x = _unit(np.array([vectors[i] for i in own], dtype=np.float64))
-                cell, rep, probe = [], [], []
-                for t in range(tables):
-                    points = e8_cells(x @ planes[dims][t], probes)
-                    for row, i in enumerate(own):
-                        head = f"{labels[i]}|{dims}|{t}|".encode()
-                        for k in range(points.shape[1]):
-                            cell.append(xxhash.xxh3_64_intdigest(head + points[row, k].tobytes()) >> 1)
-                            rep.append(ids[i])
-                            probe.append(k > 0)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "rep": pa.array(rep, pa.int64()), "probe": pa.array(probe, pa.bool_())})
-
-    cells = materialize(reps.select("rep", "label", "e").mapInArrow(keyed, "cell long, rep long, probe boolean"), "cells")
-    shared = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("probe").alias("_no_home")).where("_n > 1 and not _no_home")
-    member = cells.join(shared, "cell").select("cell", "rep", "probe", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+                    planes[dims] = projections(dims, tables, lattices, scale)
+                for part in np.array_split(own, -(-len(own) // 2000)):
+                    x = _unit(flat[starts[part][:, None] + np.arange(dims)].astype(np.float64))
+                    cells = []
+                    for t in range(tables):
+                        with np.errstate(over="ignore"):
+                            salt = mix64(labels[part] + np.uint64(t * 65_537 + dims) * np.uint64(0x9E3779B97F4A7C15))
+                            cells.append(mix64(cell_keys(x @ planes[dims][t], probes, t) ^ salt[:, None]))
+                    cell = (np.stack(cells, axis=1) >> np.uint64(1)).astype(np.int64)
+                    probe = np.broadcast_to(np.arange(cell.shape[2]) > 0, cell.shape)
+                    rep = np.broadcast_to(ids[part][:, None, None], cell.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(rep.ravel()), pa.array(probe.ravel())], ["cell", "rep", "probe"])
+
+    cells = materialize(reps.select("rep", F.xxhash64(F.col("label").cast("string")).alias("label"), "e").mapInArrow(keyed, "cell long, rep long, probe boolean"), "cells")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("probe").alias("_no_home"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("_y"))
+    shared = shared.where("_n > 1 and not _no_home").groupBy("_n", "_x", "_y").agg(F.min("cell").alias("_cell")).select("_cell", "_n")
+    member = cells.join(shared, F.col("cell") == F.col("_cell")).select("cell", "rep", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
     member = member.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     member = member.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
     member = member.join(reps.select("rep", F.col("label").cast("string").alias("label"), "e"), "rep")
     meeting = ["cell", "_i", "_j"]
-    met = member.select(*meeting, (F.col("_own") == F.col("_j")).alias("late"), "probe", "rep", "label", "e").repartition(*meeting).sortWithinPartitions(*meeting)
+    met = member.select(*meeting, (F.col("_own") == F.col("_j")).alias("late"), "rep", "label", "e").repartition(*meeting).sortWithinPartitions(*meeting)
 
     def verified(batches):
         import pyarrow as pa
@@ -120,14 +140,14 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
         key, held = None, []
 
         def pairs():
-            late, probe, rep, label = (np.array(c) for c in list(zip(*held))[:4])
+            late, rep, label = (np.array(c) for c in list(zip(*held))[:3])
             by_dims: dict[int, list[int]] = {}
             for at, row in enumerate(held):
-                by_dims.setdefault(len(row[4]), []).append(at)
+                by_dims.setdefault(len(row[3]), []).append(at)
             for own in map(np.array, by_dims.values()):
-                x = _unit(np.array([held[at][4] for at in own]))
+                x = _unit(np.array([held[at][3] for at in own], dtype=np.float64))
                 near = x @ x.T >= cosine - 1e-9
-                near &= (label[own][:, None] == label[own]) & ~(probe[own][:, None] & probe[own])
+                near &= label[own][:, None] == label[own]
                 if key[1] != key[2]:
                     near &= late[own][:, None] != late[own]
                 i, j = np.nonzero(np.triu(near, 1))
@@ -136,8 +156,8 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(i, j), pa.int64()), "b": pa.array(np.maximum(i, j), pa.int64())})
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            vectors = batch.column(7)
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            vectors = batch.column(6)
             flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *vectors.value_lengths().to_pylist()])
             for at, (cell, i, j, *row) in enumerate(zip(*columns)):
                 if (cell, i, j) != key:

@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, components, materialize, mix64, partitions, quoted, row_key, table, texts_of
+from .common import components, materialize, mix64, partitions, quoted, row_key, spread_join, table
+from .wordcoder import parts_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -31,6 +32,7 @@ SKETCH = 4096
 BLOCK = 256
 #: Tasks over which equal texts are spread when they are looked up.
 SALTS = 16
+PART_BYTES = 4_000_000  # of text are shingled at once
 _G = np.uint64(0x9E3779B97F4A7C15)
 _BASE = -10  # the first region of rank is [0, 2**_BASE), the next ones double
 
@@ -120,29 +122,55 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return (key >> np.uint64(1)).astype(np.int64)
 
 
+def words_in(texts):
+    """The lower-cased white-space words of each text of an Arrow column, as lists; a text without any has one empty word."""
+    import pyarrow.compute as pc
+
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts.fill_null(""))))
+
+
 class Shingler:
     def __init__(self, words: int = WORDS):
-        from xxhash import xxh3_64_intdigest
+        self.words = words
 
-        self.words, self.hashes = words, Cache(xxh3_64_intdigest, 600_000)
+    def column(self, lists) -> list[np.ndarray]:
+        """The sorted distinct shingles of each list of words, as hashes; a shorter list is one shingle, without words none."""
+        import pandas as pd
 
-    def __call__(self, text: str) -> np.ndarray:
-        """The sorted distinct shingles of the lower-cased white-space words, as hashes; a shorter text is one shingle."""
-        w = text.lower().split()
-        if not w:
-            return np.zeros(0, dtype=np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, w), dtype=np.uint64, count=len(w))
-        n = max(1, len(w) - self.words + 1)
-        s = np.full(n, len(w) if len(w) < self.words else self.words, dtype=np.uint64)
+        k = self.words
+        coded = lists.flatten().dictionary_encode()
+        own = pd.util.hash_array(np.array([*coded.dictionary.to_pylist(), ""], dtype=object), categorize=False)
+        nothing = own[-1]
+        h = own[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+        at = np.full(max(0, len(h) - k + 1), k, dtype=np.uint64)
+        out = []
         with np.errstate(over="ignore"):
-            for i in range(min(self.words, len(w))):
-                s = mix64(s * _G + h[i : i + n])
-        return np.unique(s)
+            for i in range(k):
+                at = mix64(at * _G + h[i : i + len(at)])
+            for a, b in zip([0, *ends], ends):
+                if b - a >= k:
+                    out.append(np.unique(at[a : b - k + 1]))
+                elif b - a == 1 and h[a] == nothing:
+                    out.append(np.zeros(0, dtype=np.uint64))
+                else:
+                    s = np.full(1, b - a, dtype=np.uint64)
+                    for x in h[a:b]:
+                        s = mix64(s * _G + x)
+                    out.append(s)
+        return out
 
+    def __call__(self, text: str) -> np.ndarray:
+        import pyarrow as pa
+
+        return self.column(words_in(pa.array([text], pa.string())))[0]
 
-def content_key(text: str) -> bytes:
-    words = " ".join(text.lower().split())
-    return hashlib.blake2b(words.encode("utf-8", "replace"), digest_size=16).digest()
+
+def content_keys(lists) -> list[bytes]:
+    """128 bits of each list of words."""
+    import pyarrow.compute as pc
+
+    return [hashlib.blake2b(x, digest_size=16).digest() for x in pc.binary_join(lists, " ").cast("binary").to_pylist()]
 
 
 def classes(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,8 +179,12 @@ def classes(docs: DataFrame, columns: list[str]) -> DataFrame:
     @F.pandas_udf("binary")
     def key(text):
         import pandas as pd
+        import pyarrow as pa
 
-        return pd.Series([content_key(t or "") for t in text], dtype=object)
+        texts, out = pa.array(text, pa.string(), from_pandas=True), []
+        for a, b in parts_of(texts, PART_BYTES):
+            out += content_keys(words_in(texts.slice(a, b - a)))
+        return pd.Series(out, dtype=object)
 
     return docs.select(*columns, key(F.col("text")).alias("_key"))
 
@@ -167,19 +199,19 @@ def _signed(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFrame:
         shingle, darts = Shingler(words), DartMinHash(n_bands * rows)
         seen: set[bytes] = set()
         for batch in batches:
-            keys, size, sketch, own = [], [], [], []
-            for t in texts_of(batch):
-                k = content_key(t)
-                s = ()
-                if k not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(k)
-                    s = shingle(t)
-                keys.append(k)
-                size.append(len(s))
-                sketch.append(odd_sketch(s) if len(s) else None)
-                own.append(bands(darts.signature(s), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_key", "_raw", "size", "sketch", "bands"])
+            texts = batch.column(2)
+            for a, b in parts_of(texts, PART_BYTES):
+                lists = words_in(texts.slice(a, b - a))
+                keys = content_keys(lists)
+                new = np.array([i for i, k in enumerate(keys) if k not in seen and not seen.add(k)], dtype=np.int64)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                sets: list = [()] * len(keys)
+                for i, x in zip(new.tolist(), shingle.column(lists.take(pa.array(new)))):
+                    sets[i] = x
+                sketch = [odd_sketch(x) if len(x) else None for x in sets]
+                own = [bands(darts.signature(x), rows) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int32()), pa.array(sketch, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_key", "_raw", "size", "sketch", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_raw"), "text").mapInArrow(run, "doc_id long, _key binary, _raw long, size int, sketch binary, bands array<long>")
 
@@ -193,15 +225,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         shingle, seen = Shingler(words), set()
         for batch in batches:
-            keys, sets = [], []
-            for t in texts_of(batch):
-                k = content_key(t)
-                if k not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(k)
-                    keys.append(k)
-                    sets.append(shingle(t).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["k", "s"])
+            for a, b in parts_of(batch.column(0), PART_BYTES):
+                lists = words_in(batch.column(0).slice(a, b - a))
+                keys = content_keys(lists)
+                new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                sets = shingle.column(lists.take(pa.array(new, pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["k", "s"])
 
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))  # copies of one text, however many, meet in as many tasks
     hashes = wanted.select(F.col("_raw").alias("_h")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -235,7 +266,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     sketches rule out, without error, what can't reach the threshold; only what is left becomes a row."""
     spare = (1 - threshold) / (1 + threshold)
     sized = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_n"))
-    m = members.join(sized, "band").withColumn("_b", F.pmod(F.xxhash64("_key", "band"), F.col("_n")).cast("int"))
+    m = spread_join(members, sized.withColumnRenamed("band", "_band"), "band", "_band", "_key").withColumn("_b", F.pmod(F.xxhash64("_key", "band"), F.col("_n")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     m = m.select("band", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_key", "component", "size", "sketch")
 
@@ -289,8 +320,8 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     classes_ = signed.where("bands is not null").groupBy("_key").agg(F.min("_raw").alias("_raw"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes_ = materialize(classes_, "near-classes")
     buckets = classes_.select("_key", F.explode(F.array_distinct("bands")).alias("band"))
-    centres = buckets.groupBy("band").agg(F.min("_key").alias("_c"), F.max("_key").alias("_z")).where("_c <> _z").select("band", "_c")
-    shared = materialize(buckets.join(centres, "band"), "buckets")
+    centres = buckets.groupBy("band").agg(F.min("_key").alias("_c"), F.max("_key").alias("_z")).where("_c <> _z").select(F.col("band").alias("_band"), "_c")
+    shared = materialize(spread_join(buckets, centres, "band", "_band", "_key").select("_key", "band", "_c"), "buckets")
     wanted = materialize(classes_.select("_key", "_raw", "size", "sketch").join(shared.select("_key").distinct(), "_key", "left_semi"), "wanted")
     sets = _sets(docs, wanted, words)
     star = shared.where("_key <> _c").select(F.col("_c").alias("a"), F.col("_key").alias("b")).distinct()

@@ -10,7 +10,7 @@ import pytest
 pytest.importorskip("strandmill.llm")
 from tokenizers import Tokenizer
 
-from strandmill.llm import bpe, html_text, lattice, minhash, mixing, quality, sharding, spotsigs, token_counts, token_files, wordcoder
+from strandmill.llm import bpe, common, html_text, lattice, minhash, mixing, quality, sharding, spotsigs, token_counts, token_files, wordcoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _slot string"
 BASE = " ".join(f"word{i} of the" for i in range(60))
@@ -208,6 +208,59 @@ def test_minhash(docs, none):
     assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(*s))
 
 
+def test_weighted_signatures():
+    """Agreement of weighted signatures estimates the weighted Jaccard similarity."""
+    rng = np.random.default_rng(11)
+    darts = minhash.DartMinHash(2048)
+    for low, high in ((0.2, 3.0), (1.0, 9.0), (0.05, 0.9)):
+        x = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        v, w = rng.uniform(low, high, 300), rng.uniform(low, high, 300)
+        v[:40], w[60:90] = 0, 0
+        exact = np.minimum(v, w).sum() / np.maximum(v, w).sum()
+        assert abs((darts.signature(x, v) == darts.signature(x, w)).mean() - exact) < 0.05
+
+
+def test_near_dedup_by_brute_force(spark):
+    """Groups against all pairs at likeness >= 0.8, on near copies of all degrees; the recall of links at 0.8 to 0.9."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for g in range(120):
+        base = [f"w{g}x{i}" for i in range(150)]
+        texts.append(" ".join(base))
+        for edits in rng.integers(1, 6, 2):
+            copy = list(base)
+            for at in rng.choice(150, int(edits), replace=False):
+                copy[int(at)] = f"new{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    shingle = minhash.Shingler()
+    sets = [set(shingle(t).tolist()) for t in texts]
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    near = 0
+    for g in range(0, len(texts), 3):
+        for i, j in ((g, g + 1), (g, g + 2), (g + 1, g + 2)):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near += 1
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    got = {r.doc_id: r.group_id for r in minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    assert near > 150 and sum(got[i] != want[i] for i in want) <= 0.02 * near
+    assert all(got[i] in (want[i], i, i - 1) for i in want)
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5, 5)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(400), *range(1000, 1151), 5000]], "id long")
+    got = {r.id: r.component for r in common.components(nodes, spark.createDataFrame(edges, "a long, b long"), "hub").collect()}
+    assert len(got) == nodes.count() and all(got[i] == (0 if i < 400 else 1000 if i < 5000 else 5000) for i in got)
+
+
 def test_blocks(spark, monkeypatch):
     """Bucket members in different components meet once in every two blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
@@ -247,6 +300,23 @@ def test_lattice_ids(spark):
     assert len(alone) == 2 and len({r.component_id for r in alone}) == 1 and alone[0].component_id < 0 and sum(r.kept for r in alone) == 1
 
 
+def test_lattice_recall():
+    """Of pairs at cosine 0.93 exactly, and at 0.95, nearly all meet in a cell where one of them is at home."""
+    rng = np.random.default_rng(21)
+    a, n = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n -= (n * a).sum(axis=1, keepdims=True) * a
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    planes = lattice.projections(64, lattice.TABLES, lattice.LATTICES, lattice.SCALE)
+    for cosine, least in ((0.93, 0.97), (0.95, 0.995)):
+        b = cosine * a + (1 - cosine**2) ** 0.5 * n
+        met = np.zeros(len(a), bool)
+        for t, p in enumerate(planes):
+            x, y = (lattice.cell_keys(v @ p, lattice.PROBES, t) for v in (a, b))
+            met |= (x[:, :1] == y).any(axis=1) | (y[:, :1] == x).any(axis=1)
+        assert met.mean() >= least, (cosine, met.mean())
+
+
 def test_crowded_cells(spark):
     """One crowd over many blocks: the links don't depend on the blocks, and a crowd within the threshold is whole."""
     rng = np.random.default_rng(6)
@@ -327,6 +397,72 @@ def test_html(spark):
     assert texts[3] == " ".join(["plain words here"] * 20) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_by_brute_force():
+    """Random articles among furniture against a walk with the standard library's parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        breaks = {"p", "h1", "br", "div", "article", "nav", "footer", "li", "ul", "aside", "blockquote", "body"}
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.texts, self.now = [], [], []
+
+        def flush(self):
+            if text := " ".join("".join(self.now).split()):
+                self.texts.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.breaks:
+                self.flush()
+            if tag not in ("br", "img", "p", "li"):
+                self.stack.append((tag, dict(attrs).get("class") or ""))
+
+        def handle_endtag(self, tag):
+            if tag in self.breaks:
+                self.flush()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            if "article" in tags and not {"script", "style", "svg", "nav", "aside"} & set(tags) and not any("comments" in c for _, c in self.stack):
+                self.now.append(data)
+
+    rng, tree = random.Random(13), html_text.train_tree(html_text.LABELLED)
+    bits = ["&amp;", "&eacute;", "a&nbsp;b", "<b>bold</b>", "x &lt; y", "<svg-icon name='i'></svg-icon>", "<math-field>z</math-field>", "<img alt='>' src=x>", "<svg viewBox='0'><path d='M'/></svg>", "<!-- note > -->", "<span title='a \"quoted\" one'>span</span>", "<em\nclass=q>em</em>", "5 > 4"]
+
+    def words(n):
+        return " ".join(rng.choice(bits) if rng.random() < 0.15 else f"w{rng.randint(0, 999)}" for _ in range(n))
+
+    for _ in range(150):
+        inner = f"<h1>{words(4)}</h1>" + "".join(rng.choice([f"<p>{words(rng.randint(8, 60))}", f"<p>{words(20)}</p>", f"<blockquote>{words(15)}</blockquote>", f"<div>{words(30)}<br>{words(9)}</div>", "<script>if (a<b) x='</p>'</script>"]) for _ in range(rng.randint(2, 9)))
+        page = f"<!doctype html><body><nav><ul><li><a href=/a>Home</a><li><a href='/b'>More</a></ul></nav><article>{inner}<aside><a href=x>See also</a></aside><div class='comments'>{words(40)}</div></article><footer>&copy; {words(6)}</footer>"
+        walk = Walk()
+        walk.feed(page)
+        walk.flush()
+        assert html_text.main_text(page, tree) == " ".join(walk.texts), page
+
+
+def test_broken_html():
+    """Names that begin like a skipped element's, elements that aren't closed, stray quotes: neither loss nor leak, nor a
+    time that grows with the square."""
+    import time
+
+    tree = html_text.train_tree(html_text.LABELLED)
+    text = " ".join(["word"] * 30)
+    for odd in ("<object data=x>", "<select>", "<svg>", "<title>", "<noscript>", "<iframe src='a>b'>", "<p title=\"5\" tall\">", "<p class=a'b>", "<svg-icon>", "</>", "<p/ >"):
+        assert html_text.main_text(f"<article><p>{text}</p>{odd}<p>{text} it's</p><p>{text}</p><p class='x'>{text}</p></article>", tree).count("word") >= 60, odd
+        assert not {"<", ">"} & set(html_text.main_text(f"<article><p>{text}</p>{odd}<p>{text}</p></article>", tree)), odd
+    began = time.perf_counter()
+    for page in ('<p a="x ' * 30_000, "<" * 200_000, "<svg>" * 20_000, '<a b="' * 30_000, "<!--" * 30_000, "<script>" * 30_000, "</" * 100_000, "<a " * 60_000, "<svg " * 20_000, "<title>x" * 20_000):
+        html_text.blocks(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_html_containers():
     """Containers around an article don't hide it, an article's own header stays, and words and link densities decide."""
     tree = html_text.train_tree(html_text.LABELLED)
