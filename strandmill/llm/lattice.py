@@ -93,12 +93,14 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
 
 
-def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, block: int = BLOCK, lattices: int = LATTICES) -> DataFrame:
-    """(a, b) with a < b: pairs of rows (rep, label, e) of one label and length with cosine >= `cosine`.
+def meetings(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, block: int = BLOCK, lattices: int = LATTICES) -> DataFrame:
+    """What linked pairs (one label and length, cosine >= `cosine`) of rows (rep, label, e, n) come to, without a row for each:
+    (a, null, n) where a is linked with rows of together n, to be summed up, and (a, b, null), links that hold together
+    what all links do.
 
     Only cells that a home and another vector share go on, and of cells with the same members only one. A cell's members
-    are dealt over blocks of about `block`, and every two blocks meet in a step of their own, which holds those two only
-    and writes the links that it has verified."""
+    are dealt over blocks of about `block`, and every two blocks meet in a step of their own, which holds those two only.
+    A pair that meets in several cells counts in the one with the smallest number."""
 
     def keyed(batches):
         import pyarrow as pa
@@ -127,12 +129,13 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
     cells = materialize(reps.select("rep", F.xxhash64(F.col("label").cast("string")).alias("label"), "e").mapInArrow(keyed, "cell long, rep long, probe boolean"), "cells")
     shared = cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("probe").alias("_no_home"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("_y"))
     shared = shared.where("_n > 1 and not _no_home").groupBy("_n", "_x", "_y").agg(F.min("cell").alias("_cell")).select("_cell", "_n")
-    member = cells.join(shared, F.col("cell") == F.col("_cell")).select("cell", "rep", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+    member = materialize(cells.join(shared, F.col("cell") == F.col("_cell")).select("cell", "rep", F.ceil(F.col("_n") / block).cast("int").alias("_k")), "cell-members")
+    wide = reps.select("rep", F.col("label").cast("string").alias("label"), "e", "n").join(member.groupBy(F.col("rep").alias("_r")).agg(F.collect_list("cell").alias("cells")), F.col("rep") == F.col("_r")).drop("_r")
     member = member.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     member = member.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    member = member.join(reps.select("rep", F.col("label").cast("string").alias("label"), "e"), "rep")
+    member = member.join(wide, "rep")
     meeting = ["cell", "_i", "_j"]
-    met = member.select(*meeting, (F.col("_own") == F.col("_j")).alias("late"), "rep", "label", "e").repartition(*meeting).sortWithinPartitions(*meeting)
+    met = member.select(*meeting, (F.col("_own") == F.col("_j")).alias("late"), "rep", "label", "n", "cells", "e").repartition(*meeting).sortWithinPartitions(*meeting)
 
     def verified(batches):
         import pyarrow as pa
@@ -140,24 +143,31 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
         key, held = None, []
 
         def pairs():
-            late, rep, label = (np.array(c) for c in list(zip(*held))[:3])
+            late, rep, label, n, cells = (list(c) for c in list(zip(*held))[:5])
+            late, rep, label, n = np.array(late), np.array(rep), np.array(label), np.array(n)
             by_dims: dict[int, list[int]] = {}
             for at, row in enumerate(held):
-                by_dims.setdefault(len(row[3]), []).append(at)
+                by_dims.setdefault(len(row[5]), []).append(at)
             for own in map(np.array, by_dims.values()):
-                x = _unit(np.array([held[at][3] for at in own], dtype=np.float64))
+                x = _unit(np.array([held[at][5] for at in own], dtype=np.float64))
                 near = x @ x.T >= cosine - 1e-9
                 near &= label[own][:, None] == label[own]
                 if key[1] != key[2]:
                     near &= late[own][:, None] != late[own]
                 i, j = np.nonzero(np.triu(near, 1))
                 sure = (x[i] * x[j]).sum(axis=1) >= cosine
-                i, j = rep[own[i[sure]]], rep[own[j[sure]]]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(i, j), pa.int64()), "b": pa.array(np.maximum(i, j), pa.int64())})
+                i, j = i[sure], j[sure]
+                first = _first_met([cells[at] for at in own], key[0], i, j)
+                i, j = i[first], j[first]
+                if len(i):
+                    links = np.bincount(i, n[own[j]], len(own)) + np.bincount(j, n[own[i]], len(own))
+                    on = np.nonzero(links)[0]
+                    a, b = _spanning(len(own), i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[own[on]], rep[own[a]]]), pa.int64()), pa.array([None] * len(on) + rep[own[b]].tolist(), pa.int64()), pa.array(links[on].astype(np.int64).tolist() + [None] * len(a), pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            vectors = batch.column(6)
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            vectors = batch.column(8)
             flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *vectors.value_lengths().to_pylist()])
             for at, (cell, i, j, *row) in enumerate(zip(*columns)):
                 if (cell, i, j) != key:
@@ -168,7 +178,48 @@ def links(reps: DataFrame, cosine: float = COSINE, tables: int = TABLES, scale:
         if len(held) > 1:
             yield from pairs()
 
-    return met.mapInArrow(verified, "a long, b long").where("a <> b").distinct()
+    return met.mapInArrow(verified, "a long, b long, n long")
+
+
+def _first_met(cells: list, cell: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs (i, j), those whose lists of cells share none below `cell`."""
+    if len(i) <= 300:
+        below = [{c for c in x if c < cell} for x in cells]
+        return np.array([below[a].isdisjoint(below[b]) for a, b in zip(i.tolist(), j.tolist())], dtype=bool)
+    who, what = np.repeat(np.arange(len(cells)), [len(x) for x in cells]), np.concatenate([np.asarray(x, np.int64) for x in cells])
+    who, what = who[what < cell], what[what < cell]
+    names, code, count = np.unique(what, return_inverse=True, return_counts=True)
+    who, code = who[count[code] > 1], code[count[code] > 1]
+    shares = np.zeros((len(cells), len(cells)), dtype=bool)
+    names, code = np.unique(code, return_inverse=True)
+    for k in range(0, len(names), 4096):
+        held = (code >= k) & (code < k + 4096)
+        grid = np.zeros((len(cells), 4096), dtype=np.float32)
+        grid[who[held], code[held] - k] = 1
+        shares |= grid @ grid.T > 0
+    return ~shares[i, j]
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs out of (i, j), at most n - 1, that connect what all of them connect."""
+    up = list(range(n))
+
+    def root(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    a, b = [], []
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            up[p] = q
+            a.append(x)
+            b.append(y)
+            if len(a) == n - 1:
+                break
+    return a, b
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, **settings) -> DataFrame:
@@ -182,9 +233,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, **settings) -> Data
     good = rows.where("e is not null").withColumn("_h", F.xxhash64("label", "e")).withColumn("_h2", F.xxhash64(F.lit(7), "label", "e"))
     by_class = good.groupBy("_h", "_h2").agg(F.min("vec_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_first_row"), F.first(F.struct("label", "e")).alias("_v"))
     by_class = materialize(by_class.select("_h", "_h2", "_n", "_first", "_first_row", F.col("_h").alias("rep"), "_v.label", "_v.e"), "vector-classes")
-    found = materialize(links(by_class, cosine, **settings), "vector-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(by_class.select(F.col("rep").alias("b"), "_n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("_n").alias("_l"))
+    met = materialize(meetings(by_class.withColumnRenamed("_n", "n"), cosine, **settings), "vector-links")
+    found = met.where("b is not null").select("a", "b")
+    linked = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_l"))
     parts = components(by_class.select(F.col("rep").alias("id")), found, "vectors").withColumnRenamed("id", "rep")
     parts = materialize(by_class.select("rep", "_first", "_first_row").join(parts, "rep"), "vector-parts")
     names = parts.groupBy(F.col("component").alias("_c")).agg(F.min("_first").alias("_name"), F.min("_first_row").alias("_keeps"))
