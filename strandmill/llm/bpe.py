@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import materialize, partitions, small_batches, table, tidy
 from .wordcoder import coder_of, parts_of, pieces_of, ragged, tokenizer_json, words_of
 
 BLOCK_BYTES = 4_000_000
@@ -105,6 +105,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    small_batches(spark)
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer))  # a file of fixed size
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keep, names)], F.col("text").alias("_text"))
@@ -134,7 +135,6 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
                 flat, lengths = coder.table(_listed(packet))
                 out = _squeezed(np.concatenate([[len(lengths)], lengths, flat]))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.string()), "bucket": pa.array([bucket], pa.int32()), "packet": pa.array([out], pa.binary()), "keys": pa.array([None], pa.binary())})
-        coder.forget()
 
     def bodies(batches):
         import pyarrow as pa
@@ -179,9 +179,9 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], digest: bool = Fals
     columns = [*names, "n_tokens", *made_here]
     kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema), "n_tokens long", *(f"{k} {v}" for k, v in made_here.items())])
     packets = "block string, bucket int, packet binary, keys binary"
-    asked = rows.mapInArrow(ask, "bucket int, block string, packet binary").repartitionById(n, "bucket")
-    both = asked.mapInArrow(answer, packets).unionByName(rows.mapInArrow(bodies, packets))
-    out = both.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, kinds)
+    asked = rows.mapInArrow(tidy(ask), "bucket int, block string, packet binary").repartitionById(n, "bucket")
+    both = asked.mapInArrow(tidy(answer), packets).unionByName(rows.mapInArrow(tidy(bodies), packets))
+    out = both.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(tidy(joined), kinds)
     return out.select(*[F.col(a).alias(k) for k, a in zip(keep, names)], "n_tokens", *made_here)
 
 

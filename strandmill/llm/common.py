@@ -63,6 +63,41 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets at most so many rows cross to Python at once from now on in the session, where its setting is larger: texts and
+    shingle sets are wide, and a batch is held several times on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not on this system
+
+
+def tidy(run):
+    """A mapInArrow function that gives its memory back at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def in_key_order(df: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, DataFrame]:
     """Deals rows into contiguous ranges of an integer key, sorted inside each partition (nulls lowest).
 

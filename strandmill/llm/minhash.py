@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, partitions, quoted, row_key, spread_join, table
+from .common import components, materialize, mix64, partitions, quoted, row_key, small_batches, spread_join, table, tidy
 from .wordcoder import parts_of
 
 WORDS = 5
@@ -213,7 +213,7 @@ def _signed(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFrame:
                 own = [bands(darts.signature(x), rows) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int32()), pa.array(sketch, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "_key", "_raw", "size", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_raw"), "text").mapInArrow(run, "doc_id long, _key binary, _raw long, size int, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_raw"), "text").mapInArrow(tidy(run), "doc_id long, _key binary, _raw long, size int, sketch binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))  # copies of one text, however many, meet in as many tasks
     hashes = wanted.select(F.col("_raw").alias("_h")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     texts = docs.select("text", F.xxhash64("text").alias("_h"), salt.alias("_salt")).join(hashes.hint("merge"), ["_h", "_salt"], "left_semi")
-    found = texts.select("text").mapInArrow(run, "k binary, s binary").join(wanted.select(F.col("_key").alias("k")), "k", "left_semi")
+    found = texts.select("text").mapInArrow(tidy(run), "k binary, s binary").join(wanted.select(F.col("_key").alias("k")), "k", "left_semi")
     return materialize(found.groupBy("k").agg(F.first("s").alias("s")), "shingle-sets")
 
 
@@ -308,7 +308,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     n = partitions(members.sparkSession)
-    return m.repartition(n, "band", "_i", "_j").sortWithinPartitions("band", "_i", "_j").mapInArrow(run, "a binary, b binary").distinct()
+    return m.repartition(n, "band", "_i", "_j").sortWithinPartitions("band", "_i", "_j").mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -316,6 +316,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
     Null texts count as empty; all texts without words are one class; ties, repeated rows and null doc_ids fall into
     the classes of their texts; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     signed = materialize(_signed(docs, words, n_bands, rows), "signed")
     classes_ = signed.where("bands is not null").groupBy("_key").agg(F.min("_raw").alias("_raw"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes_ = materialize(classes_, "near-classes")

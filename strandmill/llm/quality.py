@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts_of
+from .common import materialize, small_batches, table, texts_of, tidy
 
 FEATURES = ["log_chars", "symbols", "pipes", "capitals", "digits", "stops", "distinct_words", "repeats", "distinct_lines", "word_length", "short_words", "high_bytes"]
 #: At most about so many labelled rows are fitted; they are picked by the hash of doc_id.
@@ -37,7 +37,7 @@ def features(texts: list[str]) -> np.ndarray:
         out[i] = (
             np.log1p(n), left(_SYMBOLS), raw.count(b"|") / k, left(_UPPER), left(_DIGITS), left(_STOPS),
             len(set(words)) / k if words else 1.0, sum(map(str.__eq__, words, words[1:])) / k, len(set(lines)) / len(lines),
-            len(text) / k, 1 - left(_LETTERS), sum(b > 127 for b in raw[:0]) if not n else len(raw.translate(None, bytes(range(128)))) / n,
+            len(text) / k, 1 - left(_LETTERS), len(raw.translate(None, bytes(range(128)))) / max(n, 1),
         )
     return out
 
@@ -121,7 +121,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), for_each], ["doc_id", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, features array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, features array<double>")
 
 
 def held_out() -> F.Column:
@@ -171,6 +171,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A light pass over (doc_id, text) fits the model; the second pass scores each text where it stands, so that rows
     are never joined to their scores and repeated or null doc_ids do no harm."""
+    small_batches(docs.sparkSession)
     known = known_labels(labels)
     taught = docs.select("doc_id", "text").join(F.broadcast(known.select(F.col("_d").alias("doc_id")).distinct()), "doc_id", "left_semi")
     model = train(with_features(taught), known)

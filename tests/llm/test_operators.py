@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("strandmill.llm")
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandmill.llm import bpe, common, html_text, lattice, minhash, mixing, quality, sharding, spotsigs, token_counts, token_files, wordcoder
@@ -322,10 +323,19 @@ def test_crowded_cells(spark):
     rng = np.random.default_rng(6)
     crowd = rng.standard_normal(24) + rng.standard_normal((120, 24)) * 0.05
     rows = [(i, 1, [float(v) for v in e]) for i, e in enumerate(crowd)] + [(500 + i, 2, [float(v) for v in crowd[i]]) for i in range(5)]
-    frame = spark.createDataFrame(rows, "rep long, label int, e array<double>").cache()
-    small, large = (sorted(map(tuple, lattice.links(frame, block=b).collect())) for b in (16, 1000))
-    assert small == large and len(small) == 120 * 119 // 2 + 10
-    assert lattice.links(frame.limit(0)).count() == 0
+    frame = spark.createDataFrame(rows, "rep long, label int, e array<double>").withColumn("n", F.lit(1).cast("long")).cache()
+    for block in (16, 1000):
+        got = lattice.meetings(frame, block=block).collect()
+        n = {}
+        for r in got:
+            if r.b is None:
+                n[r.a] = n.get(r.a, 0) + r.n
+        assert n == {i: 119 for i in range(120)} | {500 + i: 4 for i in range(5)}
+        edges = spark.createDataFrame([(r.a, r.b) for r in got if r.b is not None], "a long, b long")
+        of = {r.id: r.component for r in common.components(frame.select(F.col("rep").alias("id")), edges, "crowd").collect()}
+        assert all(of[i] == 0 for i in range(120)) and all(of[500 + i] == 500 for i in range(5))
+        assert len(got) < 120 * 119 // 2
+    assert lattice.meetings(frame.limit(0)).count() == 0
 
 
 def test_spotsigs(spark, docs, none):
