@@ -636,7 +636,7 @@ def variance_diagnostics(s, d):
     return V.pheno(s, d).agg(F.round(F.var_pop("age"), 6).alias("var_age"), F.round(F.var_pop("pc1"), 6).alias("var_pc1"), F.round(F.corr("age", "pc1"), 6).alias("corr_age_pc1"))
 
 
-from . import models  # noqa: E402
+from . import catalog_rest, models  # noqa: E402
 
-QUERIES |= models.QUERIES
+QUERIES |= models.QUERIES | catalog_rest.EXTRA
 ORACLES |= models.ORACLES

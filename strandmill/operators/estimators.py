@@ -98,6 +98,27 @@ def fit_patches(patch: DataFrame, model: str) -> DataFrame:
     return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
 
 
+def ensemble_patches(patch: DataFrame, models: list[str]) -> DataFrame:
+    """(estimator_idx, member, sample_idx, pred): several base models on the same patch, predicting its samples, and their
+    mean as member `mean`. The patch is brought together once for all its members."""
+    fits = {m: MODELS[m] for m in models}
+
+    def run(rows):
+        import pandas as pd
+
+        wide = rows.pivot(index="sample_idx", columns="variant_idx", values="x").fillna(0.0).sort_index(axis=1)
+        y = rows.drop_duplicates("sample_idx").set_index("sample_idx")["y"].reindex(wide.index).to_numpy(float)
+        x, out = wide.to_numpy(float), {}
+        for name, fit in fits.items():
+            b, a = fit(x, y)
+            out[name] = x @ b + a
+        out["mean"] = np.mean(list(out.values()), axis=0)
+        e = int(rows["estimator_idx"].iloc[0])
+        return pd.concat([pd.DataFrame({"estimator_idx": e, "member": m, "sample_idx": wide.index, "pred": p}) for m, p in out.items()])
+
+    return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, member string, sample_idx long, pred double")
+
+
 def eliminate(patch: DataFrame, keep: int) -> DataFrame:
     """(estimator_idx, variant_idx, ranking): recursive elimination by least squares, the variant with the smallest
     absolute coefficient (the last of equals) going each round; 1 for the `keep` that stay, then 2 for the last to go."""

@@ -44,6 +44,23 @@ def write_bed(path: str, dosage: np.ndarray) -> None:
         f.write(MAGIC + packed.tobytes())
 
 
+def write_fam(path: str, samples: int) -> None:
+    with open(path, "w") as f:
+        f.writelines(f"{1000 + i}\t{1000 + i}\t0\t0\t{1 + i % 2}\t-9\n" for i in range(samples))
+
+
+def write_bim(path: str, chromosomes: list[str]) -> None:
+    with open(path, "w") as f:
+        f.writelines(f"{c}\trs{i}\t0.0\t{1000 * (i + 1)}\tA\tG\n" for i, c in enumerate(chromosomes))
+
+
+def write_master(path: str, columns: dict) -> None:
+    """IIDs as in write_fam, and the given columns."""
+    with open(path, "w") as f:
+        f.write("\t".join(["IID", *columns]) + "\n")
+        f.writelines("\t".join([str(1000 + i), *map(str, x)]) + "\n" for i, x in enumerate(zip(*columns.values())))
+
+
 def unpack(raw: bytes, samples: int) -> np.ndarray:
     b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, -(-samples // 4))
     return DOSAGE[(b[:, :, None] >> np.array([0, 2, 4, 6]) & 3)].reshape(len(b), -1)[:, :samples]
@@ -59,6 +76,8 @@ class PlinkReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.samples = options["path"], int(options["n_samples"])
         self.step = int(options.get("variants_per_partition", 10_000))
+        chosen = options.get("samples", "")
+        self.chosen = [int(x) for x in chosen.split(",")] if chosen else None
 
     def _open(self):
         from pyarrow import fs
@@ -82,8 +101,13 @@ class PlinkReader(DataSourceReader):
         with store.open_input_file(path) as f:
             f.seek(3 + part.first * width)
             calls = unpack(f.read((part.last - part.first) * width), self.samples)
-        for i, row in enumerate(calls):
-            yield (part.first + i, [None if x == -127 else int(x) for x in row])
+        import pyarrow as pa
+
+        if self.chosen is not None:
+            calls = calls[:, self.chosen]
+        flat = pa.array(calls.ravel(), pa.int8(), mask=(calls == -127).ravel())
+        ends = pa.array(np.arange(len(calls) + 1, dtype=np.int32) * calls.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.last, dtype=np.int32)), pa.ListArray.from_arrays(ends, flat)], ["variant_idx", "dosage"])
 
 
 class PlinkSource(DataSource):
@@ -100,8 +124,13 @@ class PlinkSource(DataSource):
         return PlinkReader(self.options)
 
 
-def read_bed(spark: SparkSession, path: str, n_samples: int, variants_per_partition: int = 10_000) -> DataFrame:
-    """(sample_idx, variant_idx, dosage)."""
+def read_bed(spark: SparkSession, path: str, n_samples: int, variants_per_partition: int = 10_000, samples: list[int] | None = None) -> DataFrame:
+    """(sample_idx, variant_idx, dosage): all samples, or the given ones in their order, repeats included."""
     spark.dataSource.register(PlinkSource)
-    packed = spark.read.format("plink").option("n_samples", n_samples).option("variants_per_partition", variants_per_partition).load(path)
-    return packed.select(F.posexplode("dosage").alias("sample_idx", "dosage"), "variant_idx").select("sample_idx", "variant_idx", "dosage")
+    packed = spark.read.format("plink").option("n_samples", n_samples).option("variants_per_partition", variants_per_partition)
+    if samples is None:
+        packed = packed.load(path)
+        return packed.select(F.posexplode("dosage").alias("sample_idx", "dosage"), "variant_idx").select("sample_idx", "variant_idx", "dosage")
+    packed = packed.option("samples", ",".join(map(str, samples))).load(path)
+    both = F.arrays_zip(F.array(*[F.lit(int(x)) for x in samples]).alias("sample_idx"), F.col("dosage"))
+    return packed.select("variant_idx", F.explode(both).alias("_x")).select("_x.sample_idx", "variant_idx", "_x.dosage")
