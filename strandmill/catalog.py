@@ -11,6 +11,7 @@ from .operators import linkage as G
 from .operators import qc as Q
 from .operators import sampling as P
 from .operators import stats as S
+from .operators.storage import cut
 from .sources import views as V
 
 QUERIES: dict = {}
@@ -24,8 +25,10 @@ def query(sql: str | None = None, views: str = ""):
         QUERIES[f.__name__] = f
         if sql:
             ctes = ", ".join(V.SQL[v] for v in views.split())
-            body = sql.strip()
-            ORACLES[f.__name__] = (f"with {ctes}" + (f", {body[5:]}" if body.startswith("with ") else f" {body}")) if ctes else body
+            body, recursive = sql.strip(), ""
+            if body.startswith("with recursive "):
+                body, recursive = "with " + body[15:], "recursive "
+            ORACLES[f.__name__] = (f"with {recursive}{ctes}" + (f", {body[5:]}" if body.startswith("with ") else f" {body}")) if ctes else sql.strip()
         return f
 
     return add
@@ -368,7 +371,10 @@ def prs_score(s, d):
   select split, count(*) as n, round((sum(r) filter (y_bin = 1) - (sum(y_bin) * (sum(y_bin) + 1) / 2)::double) / nullif(sum(y_bin)::double * sum(1 - y_bin), 0), 6) as auc from r group by 1""", BASE)
 def flagship_score(s, d):
     """Calls, quality control, filters, standardisation, scores and AUC by split, as one plan."""
-    prs = A.score_samples(Q.standardize(V.geno(s, d), stats(s, d)), coefs(s, d)).join(V.pheno(s, d), "sample_idx")
+    found = cut(stats(s, d))  # a row for each variant
+    kept = Q.filter_variants(found, 0.05, 0.05).select("variant_idx")
+    own = xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(kept, "variant_idx", "left_semi")
+    prs = cut(A.score_samples(Q.standardize(V.geno(s, d), found), own).join(V.pheno(s, d).select("sample_idx", "split", "y_bin"), "sample_idx"))
     return rounded(S.auc(prs, "prs", "y_bin", ["split"]).join(prs.groupBy("split").agg(F.count("*").alias("n")), "split").select("split", "n", "auc"), "auc")
 
 
@@ -429,7 +435,15 @@ def shap_linear_local(s, d):
 
 @query(f"with {SHAP} select variant_idx, round(avg(phi), 6) as shap, round(avg(abs(phi)), 6) as shap_abs from shap group by 1", BASE)
 def shap_linear_global(s, d):
-    return rounded(shap_values(s, d).groupBy("variant_idx").agg(F.avg("phi").alias("shap"), F.avg(F.abs("phi")).alias("shap_abs")), "shap", "shap_abs")
+    """A variant's values depend on the dosage alone, so calls are counted by (variant, dosage, training row) first and
+    no value of a sample is ever made."""
+    found, train = cut(stats(s, d)), V.pheno(s, d).select("sample_idx", (F.col("split") == "train").cast("int").alias("t"))
+    n = V.geno(s, d).join(train, "sample_idx").groupBy("variant_idx", F.col("dosage").alias("dosage")).agg(F.count("*").alias("n"), F.sum("t").alias("n_train"))
+    x = Q.standardize(n.withColumn("sample_idx", F.lit(0)).withColumn("_n", F.struct("n", "n_train")), found, ["_n"]).select("variant_idx", "x", "_n.*")
+    kept = cut(xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(Q.filter_variants(found, 0.05, 0.05).select("variant_idx"), "variant_idx", "left_semi"))
+    w = G.Window.partitionBy("variant_idx")
+    x = x.withColumn("_m", F.sum(F.col("x") * F.col("n_train")).over(w) / F.sum("n_train").over(w)).join(kept, "variant_idx").withColumn("phi", F.col("coef") * (F.col("x") - F.col("_m")))
+    return rounded(x.groupBy("variant_idx").agg((F.sum(F.col("phi") * F.col("n")) / F.sum("n")).alias("shap"), (F.sum(F.abs("phi") * F.col("n")) / F.sum("n")).alias("shap_abs")), "shap", "shap_abs")
 
 
 @query(f"with {ECOEFS} select variant_idx, case when estimator_idx < 4 then 'linear' else 'nonlinear' end as model_type, round(sum(coef) / 4, 6) as shap, round(sum(abs(coef)) / 4, 6) as shap_abs from ecoefs group by 1, 2", BASE)
@@ -478,10 +492,14 @@ def manhattan_peaks(s, d):
     return L.islands(L.manhattan(V.variants_large(s, d)), 30_000).select("variant_idx", "chr_order", "peak")
 
 
-@query(None)
+@query(f"""with recursive {LAID}, top as (select * from laid order by abs(shap) desc, variant_idx limit 200), o as (select variant_idx, chr_order, pos, shap, row_number() over (partition by chr_order order by pos, variant_idx) as n from top),
+  step as (select variant_idx, chr_order, pos, shap, n, [{{'t': pos::double, 'k': 1}}] as c, 1::bigint as peak from o where n = 1
+    union all select variant_idx, chr_order, pos, shap, n, case when hit = 0 then list_append(c, {{'t': pos::double, 'k': 1}}) else list_transform(c, lambda x, i: case when i = hit then {{'t': x.t + pos, 'k': x.k + 1}} else x end) end, case when hit = 0 then len(c) + 1 else hit end
+    from (select o.*, s.c, coalesce(list_position(list_transform(s.c, lambda x: abs(o.pos - x.t / x.k) <= 250000), true), 0)::bigint as hit from step s join o on o.chr_order = s.chr_order and o.n = s.n + 1))
+  select variant_idx, chr_order, pos, round(shap, 4) as shap, peak from step""", "variants_large")
 def manhattan_running_peaks(s, d):
     v = L.manhattan(V.variants_large(s, d)).select("variant_idx", "chr_order", "pos", "shap")
-    return L.running_peaks(L.top_abs(v, "shap", 200, "variant_idx"), 250_000)
+    return rounded(L.running_peaks(L.top_abs(v, "shap", 200, "variant_idx"), 250_000), "shap", n=4)
 
 
 @query("""with l as (select chr, pos, shap as shap_linear from variants_large where variant_idx % 3 <> 0)
@@ -544,7 +562,13 @@ def ld_block_stats(s, d):
     return b.agg(F.count(on("n")).alias("blocks"), F.round(F.avg(on("n")), 6).alias("mean_size"), F.max(on("n")).alias("max_size"), F.min(on("n")).alias("min_size"), F.coalesce(F.sum(F.when(F.col("block_idx") < 0, F.col("n"))), F.lit(0)).alias("unassigned"))
 
 
-@query(None)
+@query("""with recursive v as (select variant_idx, chr, row_number() over (partition by chr order by pos, variant_idx) as n from variants_small),
+  lk as (select a.variant_idx as i, b.variant_idx as j from v a join v b on a.chr = b.chr and b.n - a.n between 1 and 2 join geno x on x.variant_idx = a.variant_idx join geno y on y.variant_idx = b.variant_idx and x.sample_idx = y.sample_idx
+         where x.dosage is not null and y.dosage is not null group by 1, 2 having power(corr(x.dosage::double, y.dosage::double), 2) > 0.01::double),
+  o as (select v.*, coalesce(before, []) as before from v left join (select j, list(i) as before from lk group by 1) on j = variant_idx),
+  step as (select chr, n, variant_idx, [variant_idx] as l, true as kept from o where n = 1
+    union all select o.chr, o.n, o.variant_idx, case when list_has_any(step.l, o.before) then step.l else list_append(step.l, o.variant_idx) end, not list_has_any(step.l, o.before) from step join o on o.chr = step.chr and o.n = step.n + 1)
+  select variant_idx, kept from step""", "geno variants_small")
 def ld_prune(s, d):
     return G.prune(V.geno(s, d), V.variants_small(s, d), 3, 0.01)
 

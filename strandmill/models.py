@@ -10,6 +10,7 @@ from .operators import density as D
 from .operators import estimators as E
 from .operators import explain as X
 from .operators import sampling as P
+from .operators.storage import cut
 from .plans import covariates, lifecycle
 from .plans import sweep as sweeps
 from .sources import views as V
@@ -120,3 +121,36 @@ ORACLES["dbscan"] = """with recursive p as (select vec_id as id, embedding[1]::d
   named as (select id, min(c) as cluster from reach group by 1),
   border as (select near.id, min(cluster) as b from near join named on near.other = named.id group by 1)
   select p.id, n_near, cluster is not null as core, coalesce(cluster, b) as cluster from p join counts using (id) left join named using (id) left join border using (id)"""
+
+
+#: Fitted members meet the conditions of their loss's minimum; the patches' sizes come from the tables.
+PATCHES = f"with {V.SQL['pheno']} select e::int as estimator_idx, least(200, (select count(*) from pheno where split = 'train')) as n, 16::bigint as m, true as optimal from range(0, 4) t(e)"
+
+
+def optimal(name, model, label="y_cont", **penalties):
+    def run(s, d):
+        own = cut(patch(s, d, label))
+        return E.optimality(own, E.fit_patches(own, model), **penalties)
+
+    QUERIES[name], ORACLES[name] = run, PATCHES
+
+
+optimal("fit_ols_optimal", "linear")
+optimal("fit_ridge_optimal", "linear_l2", l2=None)
+optimal("fit_lasso_optimal", "linear_l1", l1=0.05)
+optimal("fit_elasticnet_optimal", "elasticnet", l1=0.025, l2=0.025)
+optimal("fit_logistic_optimal", "logistic", "y_bin", l2=None, classes=True)
+optimal("fit_logistic_l1_optimal", "logistic_l1", "y_bin", l1=0.01, classes=True)
+
+
+def tree_shap_additive(s, d):
+    """Local values of a boosted ensemble sum up to its prediction, but for one constant."""
+    wide = _wide(s, d)
+    fit = E.boosted(wide, "features", "y", maxIter=5, maxDepth=3)
+    sums = X.local_shap(wide, "vec_id", "features", fit).groupBy("vec_id").agg(F.sum("phi").alias("_s"))
+    rest = fit.transform(wide).select("vec_id", "prediction").join(sums, "vec_id").withColumn("_r", F.col("prediction") - F.col("_s"))
+    return rest.agg(F.count("*").alias("n"), (F.max("_r") - F.min("_r") < 1e-6).alias("additive"))
+
+
+QUERIES["tree_shap_additive"] = tree_shap_additive
+ORACLES["tree_shap_additive"] = "select count(*) as n, true as additive from embeddings where embedding is not null"

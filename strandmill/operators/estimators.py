@@ -71,6 +71,44 @@ def sgd(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.01, l2:
     return b, a
 
 
+def logistic_net(x: np.ndarray, y: np.ndarray, l1: float, l2: float, rounds: int = 3000) -> tuple[np.ndarray, float]:
+    """Accelerated proximal steps for the mean logistic loss + l1 |b| + l2/2 |b|^2; the intercept is free."""
+    mean, n = x.mean(0), len(y)
+    z = np.column_stack([x - mean, np.ones(n)])
+    step = 1 / (np.linalg.norm(z, 2) ** 2 / (4 * n) + l2 + 1e-12)
+    b = ahead = np.zeros(z.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        slope = z.T @ (1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30))) - y) / n
+        slope[:-1] += l2 * ahead[:-1]
+        new = ahead - step * slope
+        new[:-1] = soft(new[:-1], step * l1)
+        if (ahead - new) @ (new - b) > 0:  # the momentum points uphill: begin it anew
+            t = 1.0
+        ahead_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, moved, b, t = new + (t - 1) / ahead_t * (new - b), np.abs(new - b).max(), new, ahead_t
+        if moved < 1e-9:
+            break
+    return b[:-1], float(b[-1] - mean @ b[:-1])
+
+
+def sgd_member(x: np.ndarray, y: np.ndarray, penalty: str | None, classes: bool, epochs: int = 30, rate: float = 0.01, alpha: float = 1e-4, seed: int = 22) -> tuple[np.ndarray, float]:
+    """Stochastic steps on the squared loss, or the logistic one for classes, with no, an L1, an L2 or a mixed penalty."""
+    rng, b, a = np.random.default_rng(seed), np.zeros(x.shape[1]), 0.0
+    l1, l2 = {None: (0, 0), "l1": (alpha, 0), "l2": (0, alpha), "elasticnet": (0.15 * alpha, 0.85 * alpha)}[penalty]
+    for e in range(epochs):
+        step = rate / (1 + 0.1 * e)
+        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
+            z = x[rows] @ b + a
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) if classes else z) - y[rows]) / len(rows)
+            b = soft(b - step * (x[rows].T @ g + l2 * b), step * l1)
+            a -= step * g.sum()
+    return b, a
+
+
+#: Members that fit classes by the logistic loss, by the name of the member that fits values.
+OF_CLASSES = {"linear": "logistic_free", "linear_l1": "logistic_l1", "linear_l2": "logistic", "elasticnet": "logistic_elasticnet", "sgd": "sgd_class", "sgd_l1": "sgd_class_l1", "sgd_l2": "sgd_class_l2", "sgd_elasticnet": "sgd_class_elasticnet"}
+
 MODELS = {
     "linear": lambda x, y: elastic_net(x, y, 1e-9, 0.0),
     "linear_l1": lambda x, y: elastic_net(x, y, 0.05, 1.0),
@@ -78,7 +116,17 @@ MODELS = {
     "elasticnet": lambda x, y: elastic_net(x, y, 0.05, 0.5),
     "bayesian": bayesian_ridge,
     "sgd": sgd,
+    "sgd_l1": lambda x, y: sgd_member(x, y, "l1", False),
+    "sgd_l2": lambda x, y: sgd_member(x, y, "l2", False),
+    "sgd_elasticnet": lambda x, y: sgd_member(x, y, "elasticnet", False),
     "logistic": logistic,
+    "logistic_free": lambda x, y: logistic(x, y, 1e9),
+    "logistic_l1": lambda x, y: logistic_net(x, y, 0.01, 0.0),
+    "logistic_elasticnet": lambda x, y: logistic_net(x, y, 0.005, 0.005),
+    "sgd_class": lambda x, y: sgd_member(x, y, None, True),
+    "sgd_class_l1": lambda x, y: sgd_member(x, y, "l1", True),
+    "sgd_class_l2": lambda x, y: sgd_member(x, y, "l2", True),
+    "sgd_class_elasticnet": lambda x, y: sgd_member(x, y, "elasticnet", True),
 }
 
 
@@ -98,6 +146,25 @@ def fit_patches(patch: DataFrame, model: str) -> DataFrame:
     return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
 
 
+def optimality(patch: DataFrame, coefs: DataFrame, l1: float = 0.0, l2: float | None = 0.0, classes: bool = False, tolerance: float = 1e-4) -> DataFrame:
+    """(estimator_idx, n, m, optimal): whether each estimator's coefficients meet the conditions of a minimum of the mean
+    loss (squared, or of classes) with penalties l1 |b| and l2 / 2 b^2; l2 of None is 1 / n."""
+
+    def run(rows, own):
+        import pandas as pd
+
+        wide = rows.pivot(index="sample_idx", columns="variant_idx", values="x").fillna(0.0).sort_index(axis=1)
+        y = rows.drop_duplicates("sample_idx").set_index("sample_idx")["y"].reindex(wide.index).to_numpy(float)
+        c, x = own.set_index("variant_idx")["coef"], wide.to_numpy(float)
+        b, z = c.reindex(wide.columns).to_numpy(float), wide.to_numpy(float) @ c.reindex(wide.columns).to_numpy(float) + c[-1]
+        rest = y - (1 / (1 + np.exp(-z)) if classes else z)
+        slope = x.T @ rest / len(y) - (1 / len(y) if l2 is None else l2) * b
+        fine = np.where(b == 0, np.abs(slope) <= l1 + tolerance, np.abs(slope - l1 * np.sign(b)) <= tolerance).all() and abs(rest.mean()) <= tolerance
+        return pd.DataFrame({"estimator_idx": [int(rows["estimator_idx"].iloc[0])], "n": [len(y)], "m": [x.shape[1]], "optimal": [bool(fine)]})
+
+    return patch.groupBy("estimator_idx").cogroup(coefs.groupBy("estimator_idx")).applyInPandas(run, "estimator_idx int, n long, m long, optimal boolean")
+
+
 def ensemble_patches(patch: DataFrame, models: list[str]) -> DataFrame:
     """(estimator_idx, member, sample_idx, pred): several base models on the same patch, predicting its samples, and their
     mean as member `mean`. The patch is brought together once for all its members."""

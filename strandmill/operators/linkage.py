@@ -31,7 +31,7 @@ def best_representative(pairs: DataFrame) -> DataFrame:
 def blocks(v: DataFrame, best: DataFrame) -> DataFrame:
     """Adds block_idx: numbers from 0 over the sorted representatives, -1 without one."""
     ids = best.select("rep").distinct().withColumn("block_idx", F.dense_rank().over(Window.orderBy("rep")) - 1)
-    of = best.join(F.broadcast(ids), "rep").select(F.col("snp").alias("variant_idx"), "block_idx")
+    of = best.join(ids, "rep").select(F.col("snp").alias("variant_idx"), "block_idx")
     return v.join(of, "variant_idx", "left").withColumn("block_idx", F.coalesce("block_idx", F.lit(-1)))
 
 
@@ -40,8 +40,10 @@ def prune(calls: DataFrame, v: DataFrame, window_variants: int, r2: float):
     correlated with it by more than r2. Pairs come from ld(); the greedy pass over a chromosome's short list of
     linked pairs is sequential by definition."""
     n = v.withColumn("_n", F.row_number().over(Window.partitionBy("chr").orderBy("pos", "variant_idx")))
-    a, b = n.select("chr", F.col("variant_idx").alias("i"), F.col("_n").alias("_a")), n.select("chr", F.col("variant_idx").alias("j"), F.col("_n").alias("_b"))
-    near = a.join(b, "chr").where((F.col("_a") < F.col("_b")) & (F.col("_b") - F.col("_a") < window_variants)).select("i", "j")
+    band = F.expr(f"_n div {max(1, window_variants)}")  # numbers less than a window apart are in one band or the next
+    a = n.select("chr", F.col("variant_idx").alias("i"), F.col("_n").alias("_a"), F.explode(F.array(band, band + 1)).alias("_band"))
+    b = n.select("chr", F.col("variant_idx").alias("j"), F.col("_n").alias("_b"), band.alias("_band"))
+    near = a.join(b, ["chr", "_band"]).where((F.col("_a") < F.col("_b")) & (F.col("_b") - F.col("_a") < window_variants)).select("i", "j")
     linked = ld(calls, near).where(F.col("r2") > r2).groupBy(F.col("j").alias("variant_idx")).agg(F.collect_list("i").alias("before"))  # fewer than the window
 
     def run(rows):
@@ -84,7 +86,7 @@ def causal_pairs(v: DataFrame, n: int, seed: int) -> DataFrame:
 
 def pair_score(x: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sum of alpha x_i x_j by sample."""
-    a = x.join(F.broadcast(pairs), x.variant_idx == pairs.i).select("sample_idx", "j", "alpha", F.col("x").alias("_a"))
+    a = x.join(pairs, x.variant_idx == pairs.i).select("sample_idx", "j", "alpha", F.col("x").alias("_a"))
     b = x.select("sample_idx", F.col("variant_idx").alias("j"), F.col("x").alias("_b"))
     return a.join(b, ["sample_idx", "j"]).groupBy("sample_idx").agg(F.sum(F.expr("alpha * _a * _b")).alias("epi"))
 

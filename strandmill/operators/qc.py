@@ -19,11 +19,11 @@ def filter_variants(stats: DataFrame, maf: float = 0.0, missingness: float = 0.0
     return out.where(F.col("missingness") <= missingness) if missingness < 1 else out
 
 
-def standardize(calls: DataFrame, stats: DataFrame) -> DataFrame:
-    """(sample_idx, variant_idx, x): centred on A0, scaled by sqrt(2 maf (1 - maf)); missing calls and null MAFs are 0."""
+def standardize(calls: DataFrame, stats: DataFrame, more: tuple = ()) -> DataFrame:
+    """(sample_idx, variant_idx, x) and what more is asked for: centred on A0, scaled by sqrt(2 maf (1 - maf)); missing calls and null MAFs are 0."""
     sd = F.sqrt(2 * F.col("maf") * (1 - F.col("maf")))
     x = (F.col("dosage") - 2 * F.col("a0_freq")) / F.when(sd == 0, 1.0).otherwise(sd)
-    return calls.join(stats.select("variant_idx", "maf", "a0_freq"), "variant_idx").select("sample_idx", "variant_idx", F.coalesce(x, F.lit(0.0)).alias("x"))
+    return calls.join(stats.select("variant_idx", "maf", "a0_freq"), "variant_idx").select("sample_idx", "variant_idx", F.coalesce(x, F.lit(0.0)).alias("x"), *more)
 
 
 def prepare_samples(fam: DataFrame, master: DataFrame, label: str, populations: list[str], sex: str | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def zscore(rows: DataFrame, column: str, by: list[str] | None = None, fit: str |
     """Adds z of a column by group; with `fit` (a condition) mean and deviation come from those rows alone."""
     c = F.when(F.expr(fit), F.col(column)) if fit else F.col(column)
     s = rows.groupBy(*(by or [])).agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"))
-    j = rows.join(F.broadcast(s), by) if by else rows.crossJoin(F.broadcast(s))
+    j = rows.join(s, by) if by else rows.crossJoin(F.broadcast(s))
     return j.withColumn("z", (F.col(column) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
 
 

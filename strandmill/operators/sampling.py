@@ -12,6 +12,22 @@ def rank(order, by: list[str] | None = None) -> Column:
     return F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order if isinstance(order, list) else [order]))
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
+    """Adds the row's place, from 0, in order of the keys (columns). Rows are range-dealt and counted by range, so that only
+    a count for each range comes together, never the rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = inside.groupBy("_part").agg(F.count("*").alias("_k")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    return inside.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_p", "_in", "_start")
+
+
+def with_count(rows: DataFrame, **counts) -> DataFrame:
+    """Adds aggregates over all rows (one row, broadcast) as columns."""
+    return rows.crossJoin(F.broadcast(rows.agg(*[c.alias(n) for n, c in counts.items()])))
+
+
 def split_by_column(rows: DataFrame, column: str, labels: list[str]) -> dict[str, DataFrame]:
     """One frame for each label; at least two labels, all of them present."""
     if len(labels) < 2:
@@ -25,6 +41,9 @@ def split_by_column(rows: DataFrame, column: str, labels: list[str]) -> dict[str
 def head_tail(rows: DataFrame, test_size: float, by: list[str] | None = None, seed: int | None = None) -> DataFrame:
     """Adds is_train: the first int(n (1 - test_size)) rows by sample_idx, or by MD5 with a seed; within groups of `by`."""
     order = F.col("sample_idx") if seed is None else md5_order(seed, "sample_idx")
+    if not by:
+        placed = with_count(numbered(rows.withColumn("_o", order), ["_o", "sample_idx"], "_at"), _n=F.count("*"))
+        return placed.withColumn("is_train", (F.col("_at") < (F.col("_n") * (1 - test_size)).cast("int")).cast("int")).drop("_o", "_at", "_n")
     n = F.count("*").over(Window.partitionBy(*(by or [])))
     return rows.withColumn("is_train", (rank([order, F.col("sample_idx")], by) <= (n * (1 - test_size)).cast("int")).cast("int"))
 
@@ -33,18 +52,16 @@ def kfold(rows: DataFrame, k: int, stratify: str | None = None) -> DataFrame:
     """Adds fold: contiguous, the first n mod k folds one row longer; stratified: the row's number in its class mod k."""
     if stratify:
         return rows.withColumn("fold", ((rank(F.col("sample_idx"), [stratify]) - 1) % k).cast("int"))
-    i, n = rank(F.col("sample_idx")) - 1, F.count("*").over(Window.partitionBy())
-    rows = rows.withColumn("_i", i).withColumn("_q", F.expr(f"count(*) over () div {k}")).withColumn("_r", n % k)
-    return rows.withColumn("fold", F.expr("case when _i < _r * (_q + 1) then _i div (_q + 1) else _r + (_i - _r * (_q + 1)) div _q end").cast("int")).drop("_i", "_q", "_r")
+    rows = with_count(numbered(rows, ["sample_idx"], "_i"), _n=F.count("*")).withColumn("_q", F.expr(f"_n div {k}")).withColumn("_r", F.col("_n") % k)
+    return rows.withColumn("fold", F.expr("case when _i < _r * (_q + 1) then _i div (_q + 1) else _r + (_i - _r * (_q + 1)) div _q end").cast("int")).drop("_i", "_n", "_q", "_r")
 
 
 def bootstrap(rows: DataFrame, seed: int) -> DataFrame:
     """n draws with replacement, as rows with a multiplicity."""
-    numbered = rows.withColumn("_row", (rank(F.col("sample_idx")) - 1).cast("long"))
     n = rows.count()
     draw = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#b{seed}"))), 1, 8), 16, 10).cast("long") % max(n, 1)
     drawn = rows.sparkSession.range(n).groupBy(draw.alias("_row")).agg(F.count("*").alias("multiplicity"))
-    return numbered.join(drawn, "_row").drop("_row")
+    return numbered(rows, ["sample_idx"], "_row").join(drawn, "_row").drop("_row")
 
 
 def stratified(rows: DataFrame, label: str, size: int, seed: int) -> DataFrame:
@@ -57,8 +74,7 @@ def stratified(rows: DataFrame, label: str, size: int, seed: int) -> DataFrame:
 
 def balanced(rows: DataFrame, label: str, k: int, seed: int) -> DataFrame:
     """All cases and k controls for each, as far as there are controls."""
-    cases = F.sum((F.col(label) == 1).cast("int")).over(Window.partitionBy())
-    r = rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], [label])).withColumn("_c", cases)
+    r = with_count(rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], [label])), _c=F.count_if(F.col(label) == 1))
     return r.where((F.col(label) == 1) | (F.col("_i") <= k * F.col("_c"))).drop("_i", "_c")
 
 
@@ -67,15 +83,14 @@ def quantile_strata(rows: DataFrame, label: str, size: int, bins: int, seed: int
     cuts = [f"percentile({label}, {i / bins}D)" for i in range(1, bins)]
     q = rows.agg(F.expr(f"array({', '.join(cuts)})").alias("_q"))
     r = rows.crossJoin(F.broadcast(q)).withColumn("bin", F.size(F.filter("_q", lambda x: x < F.col(label)))).drop("_q")
-    n, inside = F.count("*").over(Window.partitionBy()), F.count("*").over(Window.partitionBy("bin"))
-    r = r.withColumn("_k", F.round(size * inside / n)).withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["bin"]))
-    return r.where("_i <= _k").drop("_k", "_i")
+    n, inside = F.col("_n"), F.count("*").over(Window.partitionBy("bin"))
+    r = with_count(r, _n=F.count("*")).withColumn("_k", F.round(size * inside / n)).withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["bin"]))
+    return r.where("_i <= _k").drop("_k", "_i", "_n")
 
 
 def per_population(rows: DataFrame, size: int, seed: int) -> DataFrame:
     """size // populations rows of each population."""
-    pops = F.size(F.collect_set("population").over(Window.partitionBy()))
-    r = rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["population"])).withColumn("_p", pops)
+    r = with_count(rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["population"])), _p=F.count_distinct("population"))
     return r.where(F.col("_i") <= F.expr(f"{size} div _p")).drop("_i", "_p")
 
 

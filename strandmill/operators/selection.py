@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import md5_order
+from .sampling import numbered
 
 ATTEMPTS = 10
 
@@ -22,23 +23,12 @@ def by_label(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return rows.join(asked.select(key).distinct(), key, "left_semi")
 
 
-def numbered(rows: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Adds the row's place, from 0, in order of a unique key. Rows are range-dealt and counted by range, so that only a
-    count for each range comes together, never the rows."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = inside.groupBy("_part").agg(F.count("*").alias("_k")).select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))  # a row for each range
-    return inside.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_start")
-
-
 def by_position(rows: DataFrame, key: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """A slice of the rows in order of a unique key: places are counted, ids are not looked at."""
     if step < 1 or start < 0 or (stop is not None and stop < 0):
         raise ValueError("a slice goes forward from a place that isn't negative")
     at = F.col("_at")
-    got = numbered(rows, key, "_at").where((at >= start) & ((at - start) % step == 0))
+    got = numbered(rows, [key], "_at").where((at >= start) & ((at - start) % step == 0))
     return (got if stop is None else got.where(at < stop)).drop("_at")
 
 

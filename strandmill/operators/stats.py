@@ -77,8 +77,10 @@ def top_k(scores: DataFrame, k: int, key: str = "variant_idx") -> DataFrame:
 
 
 def top_percent(scores: DataFrame, percent: float, key: str = "variant_idx") -> DataFrame:
-    r = scores.where("score is not null").withColumn("_i", F.row_number().over(Window.orderBy(F.col("score").desc(), key))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return r.where(F.col("_i") <= F.floor(F.col("_n") * percent / 100)).drop("_i", "_n")
+    from .sampling import numbered, with_count
+
+    r = numbered(with_count(scores.where("score is not null"), _n=F.count("*")).withColumn("_down", -F.col("score")), ["_down", key], "_i")
+    return r.where(F.col("_i") < F.floor(F.col("_n") * percent / 100)).drop("_i", "_n", "_down")
 
 
 def third_moments(pairs: DataFrame, by: list[str]) -> DataFrame:
