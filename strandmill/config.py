@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
-from .operators.estimators import MODELS
+from .operators.boosting import SETTINGS
+from .operators.estimators import MODELS, OF_CLASSES
 
 FILTERS = ("none", "positive", "geq-average", "top-p-percentile")
-AGGREGATIONS = ("mean", "loss-weighted-average")
+AGGREGATIONS = ("mean", "loss-weighted-average", "rank-mean")
+DRAWS = ("random", "stratified", "balanced", "per-population")
+SELECTIONS = ("auto", "f_regression", "f_classif", "r_regression", "variance")
 SCORERS = ("rocauc", "r2", "pearson_corr")
 
 
@@ -23,10 +26,18 @@ class DataConfig:
     missingness_threshold: float = 0.05
     max_samples: int = 100_000
     max_features: int = 10_000
+    draw: str = "random"
+    fixed_draw: bool = False
+    controls_per_case: int = 1
+    scale_labels: bool = False
+    outlier_threshold: float = 0.0
 
     def __post_init__(self):
         if not 0 <= self.maf_threshold <= 0.5 or not 0 <= self.missingness_threshold <= 1:
             raise ValueError("thresholds are shares; a minor allele's is at most a half")
+        one_of("draw", self.draw, DRAWS)
+        if self.controls_per_case < 1 or self.outlier_threshold < 0 or (self.scale_labels and self.classification):
+            raise ValueError("controls_per_case is positive, outlier_threshold isn't negative, classes aren't scaled")
         if self.max_samples < 1 or self.max_features < 1:
             raise ValueError("a patch has samples and variants")
 
@@ -40,14 +51,33 @@ class ModelConfig:
     p: float = 0.75
     temp: float = 0.5
     pos_thresh: float | None = None
+    ensemble: tuple = ()
+    class_loss: bool = False
+    k_best: int = 0
+    selection: str = "auto"
 
     def __post_init__(self):
-        one_of("model_name", self.model_name, tuple(MODELS))
+        one_of("model_name", self.model_name, (*MODELS, *SETTINGS))
+        for m in self.ensemble:
+            one_of("ensemble", m, tuple(SETTINGS) if self.model_name in SETTINGS else tuple(MODELS))
+        one_of("selection", self.selection, SELECTIONS)
+        if self.k_best < 0:
+            raise ValueError("k_best isn't negative")
         one_of("filter_strat", self.filter_strat, FILTERS)
         one_of("agg_strat", self.agg_strat, AGGREGATIONS)
         if self.n_estimators < 1 or self.temp <= 0 or not 0 <= self.p <= 1:
             raise ValueError("n_estimators and temp are positive, p is a share")
 
+    @property
+    def members(self) -> list[str]:
+        """The base models of an estimator, all fitted on its patch; losses of classes where class_loss asks for them."""
+        names = [self.model_name, *self.ensemble]
+        return [OF_CLASSES.get(m, m) for m in names] if self.class_loss else names
+
+    @property
+    def trees(self) -> bool:
+        return self.model_name in SETTINGS
+
     @property
     def needs_hold_out(self) -> bool:
         return self.filter_strat != "none" or self.agg_strat == "loss-weighted-average"

@@ -146,6 +146,11 @@ def fit_patches(patch: DataFrame, model: str) -> DataFrame:
     return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
 
 
+def none(members: DataFrame) -> DataFrame:
+    """No coefficients."""
+    return members.sparkSession.createDataFrame([], "variant_idx int, coef double")
+
+
 def optimality(patch: DataFrame, coefs: DataFrame, l1: float = 0.0, l2: float | None = 0.0, classes: bool = False, tolerance: float = 1e-4) -> DataFrame:
     """(estimator_idx, n, m, optimal): whether each estimator's coefficients meet the conditions of a minimum of the mean
     loss (squared, or of classes) with penalties l1 |b| and l2 / 2 b^2; l2 of None is 1 / n."""

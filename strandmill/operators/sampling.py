@@ -108,3 +108,30 @@ def patches(samples: DataFrame, variants: DataFrame, estimators: int, n_samples:
         return r.withColumn("_i", rank([order, F.col(key)], ["estimator_idx"])).where(F.col("_i") <= n).select("estimator_idx", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("idx"))
 
     return draw(samples, "sample_idx", n_samples, "sample").unionByName(draw(variants, "variant_idx", n_variants, "variant"))
+
+
+def sample_plan(rows: DataFrame, estimators: int, size: int, seed: int, how: str = "random", fixed: bool = False, controls: int = 1) -> DataFrame:
+    """(estimator_idx, sample_idx): each estimator's samples, drawn with seed + estimator, or with one seed for all.
+
+    random: `size` rows; stratified: half of them of each of two classes; balanced: all cases and `controls` controls for
+    each, `size` at most; per-population: size // populations rows of each. y is the label, population the group."""
+    e = rows.sparkSession.range(estimators).select(F.col("id").cast("int").alias("estimator_idx"))
+    order = F.md5(F.concat_ws("_", F.col("sample_idx").cast("string"), (F.lit(seed) if fixed else F.col("estimator_idx") + seed).cast("string")))
+    within = {"random": [], "stratified": ["y"], "balanced": ["y"], "per-population": ["population"]}[how]
+    counts = {"random": {}, "stratified": {"_k": F.count_distinct("y")}, "balanced": {"_k": F.count_if(F.col("y") == 1)}, "per-population": {"_k": F.count_distinct("population")}}[how]
+    counted = with_count(rows, **counts) if counts else rows
+    drawn = counted.crossJoin(F.broadcast(e)).withColumn("_i", rank([order, F.col("sample_idx")], ["estimator_idx", *within]))  # each row once for each estimator, a parameter
+    if how == "balanced":
+        cases = F.least(F.col("_k"), F.lit(size))
+        most = F.when(F.col("y") == 1, cases).otherwise(F.least(controls * F.col("_k"), F.greatest(F.lit(0), size - cases)))
+    else:
+        most = F.lit(size) if how == "random" else F.floor(F.lit(size) / F.col("_k"))
+    return drawn.where(F.col("_i") <= most).select("estimator_idx", "sample_idx")
+
+
+def variant_plan(variants: DataFrame, estimators: int, size: int, seed: int) -> DataFrame:
+    """(estimator_idx, variant_idx): each estimator's variants, drawn with seed + estimator."""
+    e = variants.sparkSession.range(estimators).select(F.col("id").cast("int").alias("estimator_idx"))
+    order = F.md5(F.concat_ws("_", F.col("variant_idx").cast("string"), (F.col("estimator_idx") + seed).cast("string")))
+    r = variants.select("variant_idx").crossJoin(F.broadcast(e)).withColumn("_i", rank([order, F.col("variant_idx")], ["estimator_idx"]))
+    return r.where(F.col("_i") <= size).select("estimator_idx", "variant_idx")

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import aggregate as A
+from ..operators import boosting as B
 from ..operators import estimators as E
 from ..operators import qc as Q
 from ..operators import sampling as P
+from ..operators import selection as N
 from ..operators import stats as S
 from ..operators.storage import cut
 
@@ -33,10 +35,20 @@ def _scores(x: DataFrame, coefs: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(base), "estimator_idx").select("estimator_idx", "sample_idx", (F.col("_s") + F.col("_a")).alias("pred"))  # a row for each estimator
 
 
+def _select(patch: DataFrame, how: str, k: int) -> DataFrame:
+    """The k best variants of each patch. auto is the F statistic of the task: of one variant it orders by squared
+    correlation, for values and for two classes alike."""
+    score = {"variance": F.var_pop("x"), "r_regression": F.corr("x", "y")}.get(how, F.pow(F.corr("x", "y"), 2))
+    scores = patch.groupBy("estimator_idx", "variant_idx").agg(F.coalesce(F.nanvl(score, F.lit(None).cast("double")), F.lit(float("-inf"))).alias("_s"))
+    best = scores.withColumn("_i", P.rank([F.col("_s").desc(), F.col("variant_idx")], ["estimator_idx"])).where(F.col("_i") <= k)
+    return patch.join(best.select("estimator_idx", "variant_idx"), ["estimator_idx", "variant_idx"], "left_semi")
+
+
 @dataclass
 class Fitted:
-    """stats: training statistics of the variants that pass; members: the kept estimators' coefficients; weights: their
-    scores and weights; coefs: the folded model, variant -1 the intercept."""
+    """stats: training statistics of the variants that pass; members: the kept estimators' coefficients, or their trees;
+    weights: their scores and weights, and how they are put together; coefs: the folded linear model, variant -1 the
+    intercept (empty for trees, and for rank-mean never used)."""
 
     stats: DataFrame
     members: DataFrame
@@ -44,27 +56,57 @@ class Fitted:
     coefs: DataFrame
 
     def predict(self, calls: DataFrame) -> DataFrame:
-        """(sample_idx, pred): linear scores of all samples, with the training statistics. Null calls are imputed."""
+        """(sample_idx, pred): scores of all samples, with the training statistics. Null calls are imputed."""
         x = Q.standardize(calls, self.stats)
+        trees, ranks = "model" in self.members.columns, self.weights.select("how").first()
+        if trees or (ranks and ranks["how"] == "rank-mean"):
+            preds = B.read_members(x, self.members) if trees else _scores(x, self.members)
+            return A.rank_mean(preds) if ranks and ranks["how"] == "rank-mean" else A.weighted_mean(preds, self.weights)
         base = self.coefs.where("variant_idx = -1").select(F.col("coef").alias("_a"))
         return A.score_samples(x, self.coefs.where("variant_idx >= 0")).join(F.broadcast(base)).select("sample_idx", (F.col("prs") + F.col("_a")).alias("pred"))  # one row
 
 
 def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
-    """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split) with splits train, val and, where the
-    configuration filters or weights estimators, agg; samples without a label teach nothing."""
-    known = samples.where("y is not null").select("sample_idx", F.col("y").cast("double").alias("y"), "split")
+    """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split and, if they are there, population, weight and
+    offset) with splits train, val and, where the configuration filters or weights estimators, agg; samples without a
+    label teach nothing. Weights and offsets are for tree members."""
+    model, data = config.model, config.data
+    more = [c for c in ("population", "weight", "offset") if c in samples.columns]
+    known = samples.where("y is not null").select("sample_idx", F.col("y").cast("double").alias("y"), "split", *more)
     rows = known.where("split = 'train'")
-    stats = cut(Q.filter_variants(Q.variant_stats(calls.join(rows.select("sample_idx"), "sample_idx", "left_semi")), config.data.maf_threshold, config.data.missingness_threshold))
+    if data.outlier_threshold and not data.classification:
+        rows = Q.without_outliers(rows, "y", data.outlier_threshold)
+    if data.scale_labels:
+        scale = cut(N.label_scale(rows, "y"))
+        rows = N.standardised_label(rows, "y", scale)
+    stats = cut(Q.filter_variants(Q.variant_stats(calls.join(rows.select("sample_idx"), "sample_idx", "left_semi")), data.maf_threshold, data.missingness_threshold))
     x = Q.standardize(calls, stats)
-    plan = cut(P.patches(rows, stats, config.model.n_estimators, config.data.max_samples, config.data.max_features, config.train.seed))
-    on = {k: plan.where(F.col("kind") == k).select("estimator_idx", F.col("idx").alias(f"{k}_idx")) for k in ("sample", "variant")}
-    patch = x.join(on["sample"], "sample_idx").join(on["variant"], ["estimator_idx", "variant_idx"]).join(rows.select("sample_idx", "y"), "sample_idx")
-    coefs = cut(E.fit_patches(patch.select("estimator_idx", "sample_idx", "variant_idx", "x", "y"), config.model.model_name))
+    own = cut(P.sample_plan(rows, model.n_estimators, data.max_samples, config.train.seed, data.draw, data.fixed_draw, data.controls_per_case))
+    variants = cut(P.variant_plan(stats, model.n_estimators, data.max_features, config.train.seed))
+    taught = rows.select("sample_idx", "y", *(c for c in more if c != "population"))
+    patch = x.join(own, "sample_idx").join(variants, ["estimator_idx", "variant_idx"]).join(taught, "sample_idx")
+    if model.k_best:
+        patch = _select(cut(patch), model.selection, model.k_best)
+    if model.trees:
+        coefs = cut(B.fit_members(patch, model.members, model.class_loss))
+    else:
+        narrow = patch.select("estimator_idx", "sample_idx", "variant_idx", "x", "y")
+        narrow = cut(narrow) if len(model.members) > 1 else narrow
+        each = [E.fit_patches(narrow, m) for m in model.members]
+        coefs = each[0]
+        for other in each[1:]:  # an estimator's linear members fold to their mean
+            coefs = coefs.unionByName(other)
+        if len(each) > 1:
+            coefs = coefs.groupBy("estimator_idx", "variant_idx").agg((F.sum("coef") / len(each)).alias("coef"))
+        if data.scale_labels:
+            back = coefs.crossJoin(F.broadcast(scale))  # one row
+            coefs = back.select("estimator_idx", "variant_idx", (F.col("coef") * F.col("sd") + F.when(F.col("variant_idx") < 0, F.col("mean")).otherwise(0.0)).alias("coef"))
+        coefs = cut(coefs)
 
     def scored(split: str) -> DataFrame:
         some = known.where(F.col("split") == split).select("sample_idx", "y")
-        return _scores(x.join(some.select("sample_idx"), "sample_idx", "left_semi"), coefs).join(some, "sample_idx")
+        of = x.join(some.select("sample_idx"), "sample_idx", "left_semi")
+        return (B.read_members(of, coefs) if model.trees else _scores(of, coefs)).join(some, "sample_idx")
 
     if config.train.patience > 0:
         upto = Window.partitionBy("sample_idx").orderBy("estimator_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,7 +124,9 @@ def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
         weights = A.softmax(kept, config.model.temp)
     else:
         weights = kept.withColumn("weight", 1 / F.count("*").over(A.everything()))
-    weights = cut(weights)
+    weights = cut(weights.withColumn("how", F.lit(config.model.agg_strat)))
     members = coefs.join(F.broadcast(weights.select("estimator_idx", "weight")), "estimator_idx")  # a row for each estimator
+    if model.trees:
+        return Fitted(stats, members.drop("weight"), weights, cut(E.none(members)))
     folded = cut(members.groupBy("variant_idx").agg(F.sum(F.col("weight") * F.col("coef")).alias("coef")))
     return Fitted(stats, members.select("estimator_idx", "variant_idx", "coef"), weights, folded)

@@ -93,3 +93,85 @@ def test_config():
         C.load(text, patiense=1)
     with pytest.raises(ValueError):
         C.Config(C.DataConfig(False), train=C.TrainConfig(scorer="rocauc"))
+
+
+@pytest.mark.parametrize("kind", ["lightgbm", "xgboost", "catboost", "random_forest"])
+def test_trees(spark, cohort, kind, tmp_path):
+    """Tree members learn, alone and together on one patch, and come back from disk."""
+    calls, samples = cohort
+    c = C.Config(C.DataConfig(False, max_samples=180, max_features=12), C.ModelConfig(kind, 2, ensemble=("xgboost",)))
+    fitted = lifecycle.train(calls, samples, c)
+    assert correlation(fitted, calls, samples) > (0.9 if kind != "random_forest" else 0.8)
+    assert fitted.members.count() == 4
+    sinks.save_model(fitted, f"file://{tmp_path}/m")
+    again = sinks.load_model(spark, f"file://{tmp_path}/m").predict(calls).collect()
+    assert {r.sample_idx: round(r.pred, 9) for r in again} == {r.sample_idx: round(r.pred, 9) for r in fitted.predict(calls).collect()}
+
+
+def test_tree_fits():
+    """Boosting on weights, offsets and a stop, against what they mean."""
+    from strandmill.operators import boosting
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (400, 5)).astype(float)
+    y = x[:, 0] * x[:, 1] + 0.1 * rng.standard_normal(400)
+    for kind in boosting.SETTINGS:
+        got = boosting.read_trees(boosting.fit_trees(x, y, kind), x)
+        assert np.corrcoef(got, y)[0, 1] > 0.9, kind
+    doubled = boosting.fit_trees(np.vstack([x, x[:100]]), np.r_[y, y[:100]], "lightgbm")
+    weighted = boosting.fit_trees(x, y, "lightgbm", weight=np.r_[np.full(100, 2.0), np.ones(300)])
+    assert abs(boosting.read_trees(doubled, x) - boosting.read_trees(weighted, x)).mean() < 0.05
+    offset = 3.0 * x[:, 2]
+    model = boosting.fit_trees(x, y + offset, "xgboost", offset=offset)
+    assert np.corrcoef(boosting.read_trees(model, x), y)[0, 1] > 0.9
+    noise = rng.standard_normal(400)
+    stopped = boosting.fit_trees(x, noise, "xgboost", check=np.arange(400) % 4 == 0)
+    assert len(stopped["trees"]) < 20
+    labels = (y > y.mean()).astype(float)
+    p = boosting.read_trees(boosting.fit_trees(x, labels, "catboost", classes=True), x)
+    assert ((p > 0.5) == labels).mean() > 0.9 and 0 <= p.min() <= p.max() <= 1
+
+
+def test_settings_of_training(spark, cohort):
+    """Selection, label scaling, outliers, rank-mean, draws and class losses."""
+    calls, samples = cohort
+    picked = lifecycle.train(calls, samples, C.Config(C.DataConfig(False, max_samples=180, max_features=12), C.ModelConfig("linear", 2, k_best=2)))
+    assert {r.variant_idx for r in picked.coefs.collect()} == {-1, 2, 7}
+    plain = C.Config(C.DataConfig(False, max_samples=180, max_features=12), C.ModelConfig("linear", 1))
+    scaled = C.override(plain, scale_labels=True)
+    a, b = ({r.sample_idx: r.pred for r in lifecycle.train(calls, samples, c).predict(calls).collect()} for c in (plain, scaled))
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-5
+    ranked = lifecycle.train(calls, samples, C.override(plain, agg_strat="rank-mean", n_estimators=3))
+    assert correlation(ranked, calls, samples) > 0.9 and {r.how for r in ranked.weights.collect()} == {"rank-mean"}
+    assert correlation(lifecycle.train(calls, samples, C.override(plain, outlier_threshold=3.0)), calls, samples) > 0.9
+    classes = samples.withColumn("y", (lifecycle.F.col("y") > 1).cast("double")).withColumn("population", lifecycle.F.pmod("sample_idx", lifecycle.F.lit(2)).cast("string"))
+    for draw in ("stratified", "balanced", "per-population"):
+        c = C.Config(C.DataConfig(True, max_samples=100, max_features=12, draw=draw, fixed_draw=draw == "stratified"), C.ModelConfig("linear_l1", 2, class_loss=True, ensemble=("sgd_l2",)))
+        assert correlation(lifecycle.train(calls, classes, c), calls, classes) > 0.6, draw
+    with pytest.raises(ValueError, match="draw"):
+        C.DataConfig(True, draw="any")
+    with pytest.raises(ValueError, match="ensemble"):
+        C.ModelConfig("lightgbm", ensemble=("linear",))
+
+
+def test_sample_plans(spark):
+    from strandmill.operators import sampling
+
+    rows = spark.createDataFrame([(i, float(i % 4 == 0), f"p{i % 3}") for i in range(60)], "sample_idx long, y double, population string")
+    of = {r.sample_idx: (r.y, r.population) for r in rows.collect()}
+
+    def plan(**settings):
+        out = {}
+        for r in sampling.sample_plan(rows, 3, settings.pop("size", 20), 5, **settings).collect():
+            out.setdefault(r.estimator_idx, []).append(r.sample_idx)
+        return out
+
+    for got in plan(how="stratified").values():
+        assert sum(of[i][0] for i in got) == 10 and len(set(got)) == len(got) == 20
+    for got in plan(how="balanced", controls=2, size=40).values():
+        assert sum(of[i][0] for i in got) == 15 and len(got) == 40
+    for got in plan(how="per-population").values():
+        assert [sum(of[i][1] == f"p{k}" for i in got) for k in range(3)] == [6, 6, 6]
+    fixed = [sorted(x) for x in plan(how="random", fixed=True).values()]
+    assert fixed[0] == fixed[1] == fixed[2] and len(fixed[0]) == 20
+    assert len({tuple(sorted(x)) for x in plan(how="random").values()}) == 3

@@ -25,7 +25,7 @@ def test_ids_and_slices(spark, rows):
         selection.split_by_lists(rows, {"train": ids(1, 2), "val": ids(2)}, "sample_idx")
     high = rows.withColumn("sample_idx", F.col("sample_idx") * 10 + 5)
     assert [r.sample_idx for r in selection.by_position(high, "sample_idx", 2, 9, 3).orderBy("sample_idx").collect()] == [25, 55, 85]
-    assert sorted(r.position for r in selection.numbered(high, "sample_idx").collect()) == list(range(20))
+    assert sorted(r.position for r in selection.numbered(high, ["sample_idx"]).collect()) == list(range(20))
     assert selection.by_position(rows.limit(0), "sample_idx").count() == 0
     with pytest.raises(ValueError):
         selection.by_position(rows, "sample_idx", -1)
