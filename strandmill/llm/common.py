@@ -98,23 +98,30 @@ def tidy(run):
     return wrapped
 
 
-def in_key_order(df: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Deals rows into contiguous ranges of an integer key, sorted inside each partition (nulls lowest).
+def in_key_order(df: DataFrame, key: str, tie: Column) -> tuple[DataFrame, int]:
+    """Deals rows into contiguous ranges of (key, _tie), nulls lowest: adds `_tie` (the given 64-bit hash) and `_block` (the
+    range's number in order), and returns the number of ranges.
 
-    Returns the dealt rows with a column `_block` (the partition's number in key order) and the driver-made
-    bounds' frame. The bounds are approximate quantiles of the key column alone (as many as shuffle partitions),
-    so the wide columns are shuffled once and never sampled.
+    The bounds are approximate quantiles of the key column alone (as many as shuffle partitions), so the wide columns are
+    shuffled once and never sampled. A key that is a bound several times over, and null where it is common, takes as many
+    ranges and is dealt over them by the tie.
     """
-    spark = df.sparkSession
-    n = partitions(spark)
-    bounds = df.select(F.percentile_approx(F.col(key), [i / n for i in range(1, n)] or [0.5], 10000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    block = F.lit(0)
+    n = partitions(df.sparkSession)
+    found = df.agg(F.percentile_approx(F.col(key), [i / n for i in range(1, n)] or [0.5], 10000).alias("b"), F.count_if(F.col(key).isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    bounds = sorted(found["b"] or [])
+    times = {b: bounds.count(b) for b in set(bounds)}
+    hot = {b: k for b, k in times.items() if k > 1}  # as many as partitions at most
+    for_nulls = n * found["nulls"] // max(found["n"], 1)
+    share = F.col("_tie") / F.lit(2.0**64) + 0.5
+    part = lambda k: F.least(F.floor(share * k), k - 1).cast("int")
+    block = F.lit(for_nulls)
     if bounds:
-        cuts = F.array(*[F.lit(b) for b in bounds])
-        block = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key))))
-    dealt = df.withColumn("_block", block.cast("int"))
-    return dealt, len(bounds) + 1
+        block = for_nulls + F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key)))
+    if hot:
+        spread = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for item in hot.items() for x in item]), F.col(key).cast("long"))
+        block = block + F.coalesce(part(spread), F.lit(0))
+    nulls = part(F.lit(for_nulls)) if for_nulls else F.lit(0)
+    return df.withColumn("_tie", tie).withColumn("_block", F.when(F.col(key).isNull(), nulls).otherwise(block).cast("int")), len(bounds) + 1 + for_nulls
 
 
 def deal(dealt: DataFrame, blocks: int, order: list) -> DataFrame:

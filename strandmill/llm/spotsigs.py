@@ -161,23 +161,23 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
 def against_edited(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, set_length of every row.
 
-    The next document is the one before it in doc_id; rows with equal doc_ids follow each other by text, null doc_ids
+    The next document is the one before it in doc_id; rows with equal doc_ids follow each other by a hash of the text, null doc_ids
     come last, the last row is followed by the first; a single row by itself. Null texts count as empty. Each range of
     doc_ids also gets the row that follows its last one, so texts are shuffled once."""
     made = anchors(docs, share)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt, blocks = in_key_order(rows, "doc_id", [])
+    dealt, blocks = in_key_order(rows, "doc_id", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # the highest row of each block follows the lowest row of the block above: a row for each block
-    tops = dealt.groupBy("_block").agg(F.max("doc_id").alias("_top")).collect()
+    tops = dealt.groupBy("_block").agg(F.max(F.struct("doc_id", "_tie")).alias("_top")).collect()
     full = sorted(r["_block"] for r in tops)
     if not full:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, set_length int")
     top_of = {r["_block"]: r["_top"] for r in tops}
-    above = docs.sparkSession.createDataFrame([(b, top_of[b], up) for b, up in zip(full, [*full[1:], full[0]])], f"_b int, _top {kind}, _above int")
-    # the first in order among rows with the top doc_id; the small side has a row for each block
-    edge = dealt.join(F.broadcast(above), (F.col("_block") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_top")))
-    edge = edge.groupBy("_above", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("_above").alias("_block"), F.lit(1).alias("_edge"))
+    above = docs.sparkSession.createDataFrame([(b, top_of[b]["doc_id"], top_of[b]["_tie"], up) for b, up in zip(full, [*full[1:], full[0]])], f"_b int, _top {kind}, _top_tie long, _above int")
+    # the first in order among equal rows; the small side has a row for each block
+    edge = dealt.join(F.broadcast(above), (F.col("_block") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_top")) & (F.col("_tie") == F.col("_top_tie")))
+    edge = edge.groupBy("_above", "doc_id", "_tie").agg(F.max("text").alias("text")).select("doc_id", "text", "_tie", F.col("_above").alias("_block"), F.lit(1).alias("_edge"))
     both = dealt.withColumn("_edge", F.lit(0)).unionByName(edge)
 
     def run(batches):
@@ -213,8 +213,8 @@ def against_edited(docs: DataFrame, share: float = SHARE) -> DataFrame:
     import pyarrow as pa
 
     kinds = {"doc_id": to_arrow_type(docs.schema["doc_id"].dataType), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "set_length": pa.int32()}
-    order = ["_edge", F.col("doc_id").desc_nulls_last(), "text"]
-    return deal(both.select("doc_id", "text", "_block", "_edge"), blocks, order).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, set_length int")
+    order = ["_edge", F.col("doc_id").desc_nulls_last(), F.col("_tie").desc(), F.col("text").desc()]
+    return deal(both.select("doc_id", "text", "_block", "_edge", "_tie"), blocks, order).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, set_length int")
 
 
 def op9_spotsigs(spark, sf_dir: str) -> DataFrame:

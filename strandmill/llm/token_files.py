@@ -99,10 +99,11 @@ def qualified(spark, path: str) -> str:
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes and writes all documents; returns the index of files (block, number, docs, ids).
 
-    Null and empty texts get the end id alone; null doc_ids come first; equal doc_ids are ordered by text; an empty
+    Null and empty texts get the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of the text; an empty
     table makes no file."""
     json = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))  # a file of fixed size
-    dealt, blocks = in_key_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", [])
+    dealt, blocks = in_key_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", F.xxhash64("text"))
+    dealt = dealt.select("doc_id", "text", "_block", "_tie")
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +139,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END, file_
         if row := flush():
             yield row
 
-    return materialize(deal(dealt, blocks, ["doc_id", "text"]).mapInArrow(run, "block int, number int, docs long, ids long"), "token-index")
+    return materialize(deal(dealt, blocks, ["doc_id", "_tie", "text"]).mapInArrow(run, "block int, number int, docs long, ids long"), "token-index")
 
 
 def read(spark, folder: str, index: DataFrame) -> DataFrame:

@@ -100,6 +100,27 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read(spark, folder, token_files.write(none, "word_bpe_49k.json", f"file://{tmp_path}/none")).count() == 0
 
 
+def test_hot_keys_in_order(spark):
+    """A key that many rows share, and null, spread over several ranges; ranges stay in order of key."""
+    rows = [(50, f"t{i}") for i in range(900)] + [(None, f"n{i}") for i in range(700)] + [(i, f"x{i}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt, blocks = common.in_key_order(frame, "doc_id", F.xxhash64("text"))
+    got = sorted(((r._block, r.doc_id is not None, r.doc_id or 0, r._tie) for r in dealt.collect()))
+    assert [x[1:] for x in got] == sorted(x[1:] for x in got) and got[-1][0] < blocks
+    sizes = {}
+    for b, *_ in got:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) < 500 and len(sizes) >= 6
+    follower = spotsigs.against_edited(frame, share=0.05).collect()
+    assert len(follower) == len(rows)
+    order = sorted((r for r in dealt.collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._tie, r.text), reverse=True)
+    want = []
+    for r, nxt in zip(order, [*order[1:], order[0]]):
+        k = len(r.text) // 3
+        want.append((str(r.doc_id), hashlib.sha256((r.text[: len(r.text) - k] + nxt.text[:k]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in follower) == sorted(want)
+
+
 def test_packing():
     ids = np.random.default_rng(0).zipf(1.2, 5000).clip(1, 3_000_000_000).astype(np.uint32) % 70_000
     assert np.array_equal(token_files.unpack(token_files.pack(ids, [1], np.array([5000])))[4], ids)
