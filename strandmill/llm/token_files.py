@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import deal, in_key_order, materialize, new_folder, table
+from .common import deal, in_key_order, materialize, new_folder, table, tidy
 from .wordcoder import coder_of, parts_of, tokenizer_json
 
 MAGIC = b"RVB1"
 HEAD = struct.Struct("<4sIIIQI")
 FILE_IDS = 8_000_000
-PART_BYTES = 12_000_000  # of text are encoded at once
+PART_BYTES = 10_000_000  # of text are encoded at once
 END = 1
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -139,7 +139,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END, file_
         if row := flush():
             yield row
 
-    return materialize(deal(dealt, blocks, ["doc_id", "_tie", "text"]).mapInArrow(run, "block int, number int, docs long, ids long"), "token-index")
+    return materialize(deal(dealt, blocks, ["doc_id", "_tie", "text"]).mapInArrow(tidy(run), "block int, number int, docs long, ids long"), "token-index")
 
 
 def read(spark, folder: str, index: DataFrame) -> DataFrame:

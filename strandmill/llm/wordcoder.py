@@ -54,7 +54,7 @@ class WordCoder:
     Words live in slots; `starts` and `lengths` say where a slot's ids are in `flat`. A worker keeps at most `entries`
     words and starts anew beyond that."""
 
-    def __init__(self, tokenizer_json: str, entries: int = 1_500_000):
+    def __init__(self, tokenizer_json: str, entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -63,6 +63,8 @@ class WordCoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else np.dtype("<u4")
         self.model, self.bytes, self.entries = self.tokenizer.model, _byte_chars(), entries
         self.pieces: dict[str, list[int]] = {}
+        if resize := getattr(self.model, "_resize_cache", None):
+            resize(0)  # the library's own memo only costs here: each word comes once
         self.forget()
 
     def forget(self) -> None:
