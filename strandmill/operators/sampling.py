@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import md5_order
+from .storage import cut
 
 
 def rank(order, by: list[str] | None = None) -> Column:
@@ -13,11 +14,12 @@ def rank(order, by: list[str] | None = None) -> Column:
 
 
 def numbered(rows: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
-    """Adds the row's place, from 0, in order of the keys (columns). Rows are range-dealt and counted by range, so that only
-    a count for each range comes together, never the rows."""
+    """Adds the row's place, from 0, in order of the keys (columns). Rows are range-dealt, sorted in their range, numbered
+    there and written down with both numbers: a second look at the same plan would sample other ranges. Only a count for
+    each range comes together, never the rows."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
+    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    inside = cut(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = inside.groupBy("_part").agg(F.count("*").alias("_k")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))  # a row for each range
     return inside.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_p", "_in", "_start")
