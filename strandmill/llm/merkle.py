@@ -22,7 +22,7 @@ FANOUT = 3
 #: What a row is: head of a group in a partition, inner node, leaf. A group's rows come in this order.
 HEAD, NODE, LEAF = 0, 1, 2
 NODES = "_part int, _g string, _level int, _index long, _digest binary, _edge boolean, _total long"
-MERGED = "_part int, _g string, _level int, _index long, _digest binary"
+MERGED = "_part int, _g string, _level int, _index long, _digest binary, _up boolean, _total long"
 
 
 def hashed(digests: list[str]) -> str:
@@ -120,44 +120,61 @@ def built(fanout: int):
     return tidy(run)
 
 
-def merged(fanout: int):
-    """applyInPandas over one group's edges: for each partition, the runs from its edges up to the root. A group has at
-    most 2 * (fanout - 1) edges for each level and partition, whatever its number of rows."""
+def merged(fanout: int, low: int, high: int):
+    """applyInPandas over the edges of one group from level `low` on, those below one node of level `high`: for each
+    partition, the runs from its edges up to that node or the root. The node itself, where it isn't the root, goes up
+    (_up) for each partition whose edges are below it. What comes together is bounded by the number of partitions, at most
+    2 * (fanout - 1) edges for each level of one, whatever the number of rows."""
 
     def run(edges):
         import pandas as pd
 
         group, total = edges["_g"].iloc[0], int(edges["_total"].iloc[0])
-        known: list[dict[int, bytes]] = [{}]
-        while width(total, len(known) - 1, fanout) > 1:
-            known.append({})
+        top = 0
+        while width(total, top, fanout) > 1:
+            top += 1
+        end = min(high, top)
+        known: dict[int, dict[int, bytes]] = {level: {} for level in range(low, end + 1)}
         for level, i, d in zip(edges["_level"], edges["_index"], edges["_digest"]):
             known[level][int(i)] = bytes(d)
-        runs: list[dict[int, list[int]]] = []
-        for level in range(len(known) - 1):
-            here: dict[int, list[int]] = {}
+        runs: dict[int, dict[int, list[int]]] = {}
+        for level in range(low, end):
+            here = runs[level] = {}
             for i in sorted(known[level]):
                 here.setdefault(i // fanout, []).append(i)
             for parent, members in here.items():
                 if len(members) != min(fanout, width(total, level, fanout) - parent * fanout):
                     raise ValueError(f"a run of source {group!r} lacks members at level {level}")
                 known[level + 1][parent] = bytes.fromhex(hashed([known[level][i].hex() for i in members]))
-            runs.append(here)
         out, seen = [], set()
         for part, level, i in zip(edges["_part"], edges["_level"], edges["_index"]):
             level, i = int(level), int(i) // fanout
-            while level < len(runs) and (part, level, i) not in seen:
+            while level < end and (part, level, i) not in seen:
                 seen.add((part, level, i))
-                out += [(part, group, level, k, known[level][k]) for k in runs[level][i]]
+                out += [(part, group, level, k, known[level][k], False, total) for k in runs[level][i]]
                 level, i = level + 1, i // fanout
-            if level == len(runs) and (part, level, 0) not in seen:
-                seen.add((part, level, 0))
-                out.append((part, group, level, 0, known[level][0]))
-        return pd.DataFrame(out, columns=["_part", "_g", "_level", "_index", "_digest"])
+            if level == end and (part, level) not in seen:
+                seen.add((part, level))
+                out += [(part, group, level, k, d, end < top, total) for k, d in known[end].items()]
+        return pd.DataFrame(out, columns=["_part", "_g", "_level", "_index", "_digest", "_up", "_total"])
 
     return run
 
 
+def merged_runs(edges: DataFrame, n_leaves: int, name: str, fanout: int = FANOUT) -> DataFrame:
+    """The edges merged in two rounds: first below the nodes that hold some partitions' leaves each, then above these."""
+    middle = 1
+    while fanout**middle * partitions(edges.sparkSession) < 4 * n_leaves:
+        middle += 1
+    leaves_of = F.element_at(F.array(*[F.lit(fanout ** (middle - k)) for k in range(middle)]), F.col("_level") + 1)  # of a node at the middle, in nodes of the level
+    below = F.call_function("div", F.col("_index"), leaves_of)
+    first = edges.where(F.col("_level") < middle).withColumn("_span", below).groupBy("_g", "_span").applyInPandas(merged(fanout, 0, middle), MERGED)
+    first = materialize(first, f"{name}-merged")
+    above = edges.where(F.col("_level") >= middle).select(*first.columns[:5], F.lit(True).alias("_up"), "_total").unionByName(first.where("_up"))
+    second = above.groupBy("_g").applyInPandas(merged(fanout, middle, 64), MERGED)
+    return first.where("not _up").unionByName(second)
+
+
 class Paths:
     """Siblings on the way up from a group's nodes; of each level the last path is kept, as neighbours share it."""
 
@@ -305,7 +322,7 @@ def manifest(leaves: DataFrame, name: str, fanout: int = FANOUT) -> tuple[DataFr
     """(dealt leaves, heads, node records, merged runs, roots by group) of rows _g, _key, _leaf, _other."""
     dealt, heads = in_partitions(leaves, name)
     nodes = node_records(dealt, heads, name, fanout)
-    higher = materialize(nodes.where("_edge").groupBy("_g").applyInPandas(merged(fanout), MERGED), f"{name}-merged")
+    higher = materialize(merged_runs(nodes.where("_edge"), dealt.count(), name, fanout).drop("_up", "_total"), f"{name}-runs")
     n_levels = lambda total: F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.struct(total.alias("w"), F.lit(0).alias("l")), lambda a, _: F.struct(F.floor((a.w + (fanout - 1)) / fanout).alias("w"), (a.l + F.when(a.w > 1, 1).otherwise(0)).alias("l")), lambda a: a.l)
     lone = dealt.join(heads.where("_total = 1").select(F.col("_g").alias("_h"), F.col("_part").alias("_p")), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_part") == F.col("_p"))).select("_g", F.col("_leaf").alias("_digest"))
     local = nodes.where(~F.col("_edge") & (F.col("_level") == n_levels(F.col("_total")))).select("_g", "_digest")
