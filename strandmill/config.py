@@ -10,7 +10,7 @@ from .operators.estimators import MODELS, OF_CLASSES
 FILTERS = ("none", "positive", "geq-average", "top-p-percentile")
 AGGREGATIONS = ("mean", "loss-weighted-average", "rank-mean")
 DRAWS = ("random", "stratified", "balanced", "per-population")
-SELECTIONS = ("auto", "f_regression", "f_classif", "r_regression", "variance")
+SELECTIONS = ("auto", "f_regression", "f_classif", "r_regression", "variance", "chi2", "mutual_info", "rfe", "percentile")
 SCORERS = ("rocauc", "r2", "pearson_corr")
 
 

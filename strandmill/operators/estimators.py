@@ -146,6 +146,26 @@ def fit_patches(patch: DataFrame, model: str) -> DataFrame:
     return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
 
 
+def fit_blocks(made: DataFrame, variants: dict[int, np.ndarray], x: dict[int, np.ndarray], model: str, most: int = 256 << 20) -> DataFrame:
+    """The same from packed blocks, for members that need a whole patch at once (stochastic ones): `most` cells of it at most."""
+    fit = MODELS[model]
+
+    def run(rows):
+        import pandas as pd
+
+        from .packed import unpacked
+
+        bs = [unpacked(r) for r in rows.sort_values("ids").to_dict("records")]
+        e = bs[0].estimator
+        if sum(b.codes.size for b in bs) > most:
+            raise ValueError(f"{model} needs a patch of at most {most} cells")
+        cells = np.concatenate([np.take_along_axis(x[e], b.codes, axis=1)[:, ~b.check] for b in bs], axis=1).T
+        b, a = fit(cells, np.concatenate([b.y[~b.check] for b in bs]))
+        return pd.DataFrame({"estimator_idx": e, "variant_idx": [*map(int, variants[e]), -1], "coef": [*b, a]})
+
+    return made.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, variant_idx int, coef double")
+
+
 def none(members: DataFrame) -> DataFrame:
     """No coefficients."""
     return members.sparkSession.createDataFrame([], "variant_idx int, coef double")

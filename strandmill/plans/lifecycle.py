@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import aggregate as A
-from ..operators import boosting as B
 from ..operators import estimators as E
+from ..operators import gram as G
+from ..operators import level_trees as T
+from ..operators import packed as K
 from ..operators import qc as Q
 from ..operators import sampling as P
 from ..operators import selection as N
@@ -22,6 +25,10 @@ from ..operators import stats as S
 from ..operators.storage import cut
 
 
+#: Bins of a continuous label, for its mutual information with dosages.
+Y_BINS = 5
+
+
 def _metric(rows: DataFrame, scorer: str, by: str) -> DataFrame:
     make, name = {"rocauc": (S.auc, "auc"), "r2": (S.r2, "r2"), "pearson_corr": (S.pearson, "pearson")}[scorer]
     return make(rows, "pred", "y", [by]).select(by, F.coalesce(name, F.lit(0.0)).alias("score"))
@@ -35,13 +42,46 @@ def _scores(x: DataFrame, coefs: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(base), "estimator_idx").select("estimator_idx", "sample_idx", (F.col("_s") + F.col("_a")).alias("pred"))  # a row for each estimator
 
 
-def _select(patch: DataFrame, how: str, k: int) -> DataFrame:
-    """The k best variants of each patch. auto is the F statistic of the task: of one variant it orders by squared
-    correlation, for values and for two classes alike."""
-    score = {"variance": F.var_pop("x"), "r_regression": F.corr("x", "y")}.get(how, F.pow(F.corr("x", "y"), 2))
-    scores = patch.groupBy("estimator_idx", "variant_idx").agg(F.coalesce(F.nanvl(score, F.lit(None).cast("double")), F.lit(float("-inf"))).alias("_s"))
-    best = scores.withColumn("_i", P.rank([F.col("_s").desc(), F.col("variant_idx")], ["estimator_idx"])).where(F.col("_i") <= k)
-    return patch.join(best.select("estimator_idx", "variant_idx"), ["estimator_idx", "variant_idx"], "left_semi")
+class Patches:
+    """All estimators' patches, packed: blocks, and of each estimator its variants and what their codes are worth."""
+
+    def __init__(self, calls: DataFrame, taught: DataFrame, own: DataFrame, plan: DataFrame, stats: DataFrame):
+        rows = plan.groupBy("estimator_idx").agg(F.array_sort(F.collect_list("variant_idx")).alias("v")).collect()  # parameters: estimators and their variants
+        self.variants = {r["estimator_idx"]: np.array(r["v"], int) for r in rows}
+        ids = sorted(set().union(*(map(int, v) for v in self.variants.values())))
+        x = T.worth(stats, ids)
+        places = {e: np.searchsorted(ids, v) for e, v in self.variants.items()}
+        self.x = {e: x[p] for e, p in places.items()}
+        self.blocks = K.patch_blocks(calls, taught, own, ids, places)
+        self.present: dict[int, np.ndarray] = {}
+
+    def select(self, how: str, k: int, classes: bool, bounds: list[float] | None = None) -> None:
+        """Keeps the k best variants of each patch (percentile: the best k percent). auto is the F statistic of the task, which
+        orders variants of two classes and of values alike."""
+        if how == "rfe":
+            scores = {e: -r for e, r in G.ranks(self.blocks, self.x, k).items()}
+        else:
+            scores = {e: s for e, (s, _) in K.scored(self.blocks, how, self.x, classes, bounds).items()}
+        kept = {}
+        for e, s in scores.items():
+            n = max(1, len(s) * k // 100) if how == "percentile" else k
+            kept[e] = np.sort(np.argsort(-np.nan_to_num(s, nan=-np.inf), kind="stable")[:n])
+        self.blocks = cut(K.narrowed(self.blocks, kept))
+        self.variants, self.x = ({e: of[e][p] for e, p in kept.items()} for of in (self.variants, self.x))
+
+    def trees(self, kinds: list[str], classes: bool, **settings) -> DataFrame:
+        there = K.scored(self.blocks, "variance", self.x, classes)
+        patches = {e: T.Patch(self.variants[e], self.x[e], present) for e, (_, present) in there.items()}
+        return T.fit_packed(self.blocks, patches, self.x, kinds, classes, **settings)
+
+    def linear(self, model: str) -> DataFrame:
+        """(estimator_idx, variant_idx, coef) by Gram tiles; stochastic members pass over their whole patch in one task."""
+        spark = self.blocks.sparkSession
+        if model not in G.KINDS:
+            return E.fit_blocks(self.blocks, self.variants, self.x, model)
+        fitted = G.fit(self.blocks, self.x, model)
+        rows = [(e, v, float(c)) for e, b in fitted.items() for v, c in zip([*map(int, self.variants[e]), -1], b)]
+        return spark.createDataFrame(rows, "estimator_idx int, variant_idx int, coef double")
 
 
 @dataclass
@@ -60,18 +100,19 @@ class Fitted:
         x = Q.standardize(calls, self.stats)
         trees, ranks = "model" in self.members.columns, self.weights.select("how").first()
         if trees or (ranks and ranks["how"] == "rank-mean"):
-            preds = B.read_members(x, self.members) if trees else _scores(x, self.members)
+            preds = T.read_packed(calls, self.stats, self.members) if trees else _scores(x, self.members)
             return A.rank_mean(preds) if ranks and ranks["how"] == "rank-mean" else A.weighted_mean(preds, self.weights)
         base = self.coefs.where("variant_idx = -1").select(F.col("coef").alias("_a"))
         return A.score_samples(x, self.coefs.where("variant_idx >= 0")).join(F.broadcast(base)).select("sample_idx", (F.col("prs") + F.col("_a")).alias("pred"))  # one row
 
 
 def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
-    """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split and, if they are there, population, weight and
-    offset) with splits train, val and, where the configuration filters or weights estimators, agg; samples without a
-    label teach nothing. Weights and offsets are for tree members."""
+    """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split and, if they are there, population, weight,
+    offset and check) with splits train, val and, where the configuration filters or weights estimators, agg; samples
+    without a label teach nothing. Weights count for trees and for linear members but stochastic ones, offsets for trees;
+    rows that check teach nothing and stop the boosting."""
     model, data = config.model, config.data
-    more = [c for c in ("population", "weight", "offset") if c in samples.columns]
+    more = [c for c in ("population", "weight", "offset", "check") if c in samples.columns]
     known = samples.where("y is not null").select("sample_idx", F.col("y").cast("double").alias("y"), "split", *more)
     rows = known.where("split = 'train'")
     if data.outlier_threshold and not data.classification:
@@ -82,17 +123,16 @@ def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
     stats = cut(Q.filter_variants(Q.variant_stats(calls.join(rows.select("sample_idx"), "sample_idx", "left_semi")), data.maf_threshold, data.missingness_threshold))
     x = Q.standardize(calls, stats)
     own = cut(P.sample_plan(rows, model.n_estimators, data.max_samples, config.train.seed, data.draw, data.fixed_draw, data.controls_per_case))
-    variants = cut(P.variant_plan(stats, model.n_estimators, data.max_features, config.train.seed))
-    taught = rows.select("sample_idx", "y", *(c for c in more if c != "population"))
-    patch = x.join(own, "sample_idx").join(variants, ["estimator_idx", "variant_idx"]).join(taught, "sample_idx")
+    plan = P.variant_plan(stats, model.n_estimators, data.max_features, config.train.seed)
+    patches = Patches(calls, rows.select("sample_idx", "y", *(c for c in more if c != "population")), own, plan, stats)
     if model.k_best:
-        patch = _select(cut(patch), model.selection, model.k_best)
+        bounds = rows.agg(F.percentile_approx("y", [i / Y_BINS for i in range(1, Y_BINS)])).first()[0] if model.selection == "mutual_info" and not data.classification else None
+        patches.select(model.selection, model.k_best, data.classification, sorted(set(bounds or [])))
     if model.trees:
-        coefs = cut(B.fit_members(patch, model.members, model.class_loss))
+        back = tuple(scale.select("mean", "sd").first()) if data.scale_labels else None
+        coefs = cut(patches.trees(model.members, model.class_loss, with_offset="offset" in more, check="check" in more, scale=back))
     else:
-        narrow = patch.select("estimator_idx", "sample_idx", "variant_idx", "x", "y")
-        narrow = cut(narrow) if len(model.members) > 1 else narrow
-        each = [E.fit_patches(narrow, m) for m in model.members]
+        each = [patches.linear(m) for m in model.members]
         coefs = each[0]
         for other in each[1:]:  # an estimator's linear members fold to their mean
             coefs = coefs.unionByName(other)
@@ -105,8 +145,8 @@ def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
 
     def scored(split: str) -> DataFrame:
         some = known.where(F.col("split") == split).select("sample_idx", "y")
-        of = x.join(some.select("sample_idx"), "sample_idx", "left_semi")
-        return (B.read_members(of, coefs) if model.trees else _scores(of, coefs)).join(some, "sample_idx")
+        mine = lambda rows: rows.join(some.select("sample_idx"), "sample_idx", "left_semi")
+        return (T.read_packed(mine(calls), stats, coefs) if model.trees else _scores(mine(x), coefs)).join(some, "sample_idx")
 
     if config.train.patience > 0:
         upto = Window.partitionBy("sample_idx").orderBy("estimator_idx").rowsBetween(Window.unboundedPreceding, 0)
