@@ -13,16 +13,44 @@ def rank(order, by: list[str] | None = None) -> Column:
     return F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order if isinstance(order, list) else [order]))
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
-    """Adds the row's place, from 0, in order of the keys (columns). Rows are range-dealt, sorted in their range, numbered
-    there and written down with both numbers: a second look at the same plan would sample other ranges. Only a count for
-    each range comes together, never the rows."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+def numbered(rows: DataFrame, keys: list[str], name: str = "position", by: list[str] | None = None) -> DataFrame:
+    """Adds the row's place, from 0, in order of the keys (columns), in its group where `by` names some. Rows are range-dealt,
+    sorted in their range, numbered there and written down with both numbers: a second look at the same plan would sample
+    other ranges. Only a count for each range and group comes together, never the rows of a group."""
+    n, by = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by or []
+    dealt = rows.repartitionByRange(n, *by, *keys).sortWithinPartitions(*by, *keys)
     inside = cut(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = inside.groupBy("_part").agg(F.count("*").alias("_k")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))  # a row for each range
-    return inside.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_p", "_in", "_start")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = inside.groupBy("_part", *by).agg(F.count("*").alias("_k"), F.min("_in").alias("_least"))
+    starts = starts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], (F.coalesce(F.sum("_k").over(before), F.lit(0)) - F.col("_least")).alias("_start"))
+    mine = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        mine = mine & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    placed = inside.join(starts if by else F.broadcast(starts), mine)  # without groups a row for each range
+    return placed.withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_p", "_in", "_start", *[f"_by{i}" for i in range(len(by))])
+
+
+#: Leading hexadecimal digits of a hash by which draws are counted: 65,536 cells.
+DIGITS = 4
+
+
+def bottom_k(rows: DataFrame, order: Column, tie: str, most: Column, by: list[str] | None = None) -> DataFrame:
+    """Of each group the `most` rows with the smallest `order` (a hexadecimal hash, the tie by `tie`); `most` is the same for
+    all rows of a group. Hash prefixes are counted, the prefix that holds the last wanted row is found, all rows below it
+    are kept where they are, and only the rows of that one cell meet to be sorted: the rows themselves aren't shuffled."""
+    by = by or []
+    h = rows.withColumn("_h", order).withColumn("_cell", F.substring("_h", 1, DIGITS)).withColumn("_most", most)
+    counts = h.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.first("_most").alias("_k"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell"))  # as many rows as cells
+    ends = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.greatest(F.col("_k"), F.lit(1))))
+    ends = ends.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_cell").alias("_end"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_more"))
+    mine = F.lit(True)
+    for i, c in enumerate(by):
+        mine = mine & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = h.join(F.broadcast(ends), mine, "left")  # a row for each group
+    below = joined.where(F.col("_end").isNull() | (F.col("_cell") < F.col("_end")))
+    last = joined.where(F.col("_cell") == F.col("_end")).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_h", tie))).where(F.col("_i") <= F.col("_more"))
+    return below.select(*rows.columns).unionByName(last.select(*rows.columns))
 
 
 def with_count(rows: DataFrame, **counts) -> DataFrame:
@@ -46,14 +74,22 @@ def head_tail(rows: DataFrame, test_size: float, by: list[str] | None = None, se
     if not by:
         placed = with_count(numbered(rows.withColumn("_o", order), ["_o", "sample_idx"], "_at"), _n=F.count("*"))
         return placed.withColumn("is_train", (F.col("_at") < (F.col("_n") * (1 - test_size)).cast("int")).cast("int")).drop("_o", "_at", "_n")
-    n = F.count("*").over(Window.partitionBy(*(by or [])))
-    return rows.withColumn("is_train", (rank([order, F.col("sample_idx")], by) <= (n * (1 - test_size)).cast("int")).cast("int"))
-
-
-def kfold(rows: DataFrame, k: int, stratify: str | None = None) -> DataFrame:
-    """Adds fold: contiguous, the first n mod k folds one row longer; stratified: the row's number in its class mod k."""
+    sizes = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n"))
+    placed = numbered(rows.withColumn("_o", order), ["_o", "sample_idx"], "_at", by)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    placed = placed.join(F.broadcast(sizes), same)  # a row for each group
+    return placed.withColumn("is_train", (F.col("_at") < (F.col("_n") * (1 - test_size)).cast("int")).cast("int")).select(*rows.columns, "is_train")
+
+
+def kfold(rows: DataFrame, k: int, stratify: str | None = None, shuffle: int | None = None) -> DataFrame:
+    """Adds fold: contiguous, the first n mod k folds one row longer; stratified: the row's number in its class mod k. Rows are
+    taken in order of sample_idx, or with `shuffle` (a seed) of its hash."""
+    if shuffle is not None:
+        return kfold(rows.withColumn("_id", F.col("sample_idx")).withColumn("sample_idx", F.concat(md5_order(shuffle, "_id"), F.lit("_"), F.col("_id").cast("string"))), k, stratify).withColumn("sample_idx", F.col("_id")).drop("_id")
     if stratify:
-        return rows.withColumn("fold", ((rank(F.col("sample_idx"), [stratify]) - 1) % k).cast("int"))
+        return numbered(rows, ["sample_idx"], "_i", [stratify]).withColumn("fold", (F.col("_i") % k).cast("int")).drop("_i")
     rows = with_count(numbered(rows, ["sample_idx"], "_i"), _n=F.count("*")).withColumn("_q", F.expr(f"_n div {k}")).withColumn("_r", F.col("_n") % k)
     return rows.withColumn("fold", F.expr("case when _i < _r * (_q + 1) then _i div (_q + 1) else _r + (_i - _r * (_q + 1)) div _q end").cast("int")).drop("_i", "_n", "_q", "_r")
 
@@ -69,15 +105,18 @@ def bootstrap(rows: DataFrame, seed: int) -> DataFrame:
 def stratified(rows: DataFrame, label: str, size: int, seed: int) -> DataFrame:
     """Half cases, half controls, with replacement only where a class is short: rows with a multiplicity."""
     half = size // 2
-    r = rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], [label])).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
+    sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    r = numbered(rows.withColumn("_o", md5_order(seed, "sample_idx")), ["_o", "sample_idx"], "_at", [label]).withColumn("_i", F.col("_at") + 1)
+    r = r.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))  # a row for each class
     times = F.greatest(F.lit(0), F.floor((half - F.col("_i")) / F.col("_n")) + 1).cast("int")
-    return r.withColumn("multiplicity", times).where("multiplicity > 0").drop("_i", "_n")
+    return r.withColumn("multiplicity", times).where("multiplicity > 0").select(*rows.columns, "multiplicity")
 
 
 def balanced(rows: DataFrame, label: str, k: int, seed: int) -> DataFrame:
     """All cases and k controls for each, as far as there are controls."""
-    r = with_count(rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], [label])), _c=F.count_if(F.col(label) == 1))
-    return r.where((F.col(label) == 1) | (F.col("_i") <= k * F.col("_c"))).drop("_i", "_c")
+    from .selection import balanced_draw
+
+    return balanced_draw(rows, label, k, seed)
 
 
 def quantile_strata(rows: DataFrame, label: str, size: int, bins: int, seed: int) -> DataFrame:
@@ -85,15 +124,16 @@ def quantile_strata(rows: DataFrame, label: str, size: int, bins: int, seed: int
     cuts = [f"percentile({label}, {i / bins}D)" for i in range(1, bins)]
     q = rows.agg(F.expr(f"array({', '.join(cuts)})").alias("_q"))
     r = rows.crossJoin(F.broadcast(q)).withColumn("bin", F.size(F.filter("_q", lambda x: x < F.col(label)))).drop("_q")
-    n, inside = F.col("_n"), F.count("*").over(Window.partitionBy("bin"))
-    r = with_count(r, _n=F.count("*")).withColumn("_k", F.round(size * inside / n)).withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["bin"]))
-    return r.where("_i <= _k").drop("_k", "_i", "_n")
+    sizes = r.groupBy(F.col("bin").alias("_b")).agg(F.count("*").alias("_in"))
+    sizes = with_count(sizes, _n=F.sum("_in")).select("_b", F.round(size * F.col("_in") / F.col("_n")).cast("long").alias("_k"))
+    r = r.join(F.broadcast(sizes), F.col("bin") == F.col("_b"))  # a row for each bin
+    return bottom_k(r, md5_order(seed, "sample_idx"), "sample_idx", F.col("_k"), ["bin"]).drop("_b", "_k")
 
 
 def per_population(rows: DataFrame, size: int, seed: int) -> DataFrame:
     """size // populations rows of each population."""
-    r = with_count(rows.withColumn("_i", rank([md5_order(seed, "sample_idx"), F.col("sample_idx")], ["population"])), _p=F.count_distinct("population"))
-    return r.where(F.col("_i") <= F.expr(f"{size} div _p")).drop("_i", "_p")
+    r = with_count(rows, _p=F.count_distinct("population"))
+    return bottom_k(r, md5_order(seed, "sample_idx"), "sample_idx", F.expr(f"{size} div _p"), ["population"]).drop("_p")
 
 
 def uniform(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
@@ -107,7 +147,7 @@ def patches(samples: DataFrame, variants: DataFrame, estimators: int, n_samples:
     def draw(rows, key, n, kind):
         order = F.md5(F.concat_ws("_", F.col(key).cast("string"), (F.col("estimator_idx") + seed).cast("string")))
         r = rows.select(key).crossJoin(F.broadcast(e))  # each row once for each estimator, a parameter
-        return r.withColumn("_i", rank([order, F.col(key)], ["estimator_idx"])).where(F.col("_i") <= n).select("estimator_idx", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("idx"))
+        return bottom_k(r, order, key, F.lit(n), ["estimator_idx"]).select("estimator_idx", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("idx"))
 
     return draw(samples, "sample_idx", n_samples, "sample").unionByName(draw(variants, "variant_idx", n_variants, "variant"))
 
@@ -122,18 +162,18 @@ def sample_plan(rows: DataFrame, estimators: int, size: int, seed: int, how: str
     within = {"random": [], "stratified": ["y"], "balanced": ["y"], "per-population": ["population"]}[how]
     counts = {"random": {}, "stratified": {"_k": F.count_distinct("y")}, "balanced": {"_k": F.count_if(F.col("y") == 1)}, "per-population": {"_k": F.count_distinct("population")}}[how]
     counted = with_count(rows, **counts) if counts else rows
-    drawn = counted.crossJoin(F.broadcast(e)).withColumn("_i", rank([order, F.col("sample_idx")], ["estimator_idx", *within]))  # each row once for each estimator, a parameter
+    drawn = counted.crossJoin(F.broadcast(e))  # each row once for each estimator, a parameter
     if how == "balanced":
         cases = F.least(F.col("_k"), F.lit(size))
         most = F.when(F.col("y") == 1, cases).otherwise(F.least(controls * F.col("_k"), F.greatest(F.lit(0), size - cases)))
     else:
         most = F.lit(size) if how == "random" else F.floor(F.lit(size) / F.col("_k"))
-    return drawn.where(F.col("_i") <= most).select("estimator_idx", "sample_idx")
+    return bottom_k(drawn, order, "sample_idx", most.cast("long"), ["estimator_idx", *within]).select("estimator_idx", "sample_idx")
 
 
 def variant_plan(variants: DataFrame, estimators: int, size: int, seed: int) -> DataFrame:
     """(estimator_idx, variant_idx): each estimator's variants, drawn with seed + estimator."""
     e = variants.sparkSession.range(estimators).select(F.col("id").cast("int").alias("estimator_idx"))
     order = F.md5(F.concat_ws("_", F.col("variant_idx").cast("string"), (F.col("estimator_idx") + seed).cast("string")))
-    r = variants.select("variant_idx").crossJoin(F.broadcast(e)).withColumn("_i", rank([order, F.col("variant_idx")], ["estimator_idx"]))
-    return r.where(F.col("_i") <= size).select("estimator_idx", "variant_idx")
+    r = variants.select("variant_idx").crossJoin(F.broadcast(e))
+    return bottom_k(r, order, "variant_idx", F.lit(size), ["estimator_idx"]).select("estimator_idx", "variant_idx")

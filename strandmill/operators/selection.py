@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.views import md5_order
-from .sampling import numbered
+from .sampling import bottom_k, numbered
 
 ATTEMPTS = 10
 
@@ -69,8 +69,7 @@ def sample_draws(rows: DataFrame, estimators: int, size: int, seed: int, fixed:
     if fixed:
         return rows.select("sample_idx").orderBy(md5_order(seed, "sample_idx"), "sample_idx").limit(size).crossJoin(F.broadcast(e)).select("estimator_idx", "sample_idx")
     key = F.md5(F.concat_ws("_", F.col("sample_idx").cast("string"), draw_seed(F.col("estimator_idx"), seed, False).cast("string")))
-    every = rows.select("sample_idx").crossJoin(F.broadcast(e)).withColumn("_i", F.row_number().over(Window.partitionBy("estimator_idx").orderBy(key, "sample_idx")))
-    return every.where(F.col("_i") <= size).select("estimator_idx", "sample_idx")
+    return bottom_k(rows.select("sample_idx").crossJoin(F.broadcast(e)), key, "sample_idx", F.lit(size), ["estimator_idx"]).select("estimator_idx", "sample_idx")
 
 
 def draw_with_classes(rows: DataFrame, label: str, size: int, seed: int, attempts: int = ATTEMPTS) -> DataFrame:
@@ -91,7 +90,7 @@ def simulation_split(rows: DataFrame, p: float, seed: int) -> DataFrame:
 
 def balanced_draw(rows: DataFrame, label: str, k: int, seed: int, size: int | None = None) -> DataFrame:
     """All cases and k controls for each, at most `size` rows together where that is given (controls go first)."""
-    counts = rows.agg(F.count_if(F.col(label) == 1).alias("_c"))  # one row
-    numbered_ = rows.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(md5_order(seed, "sample_idx"), "sample_idx"))).crossJoin(F.broadcast(counts))
-    most = k * F.col("_c") if size is None else F.least(k * F.col("_c"), F.greatest(F.lit(0), F.lit(size) - F.col("_c")))
-    return numbered_.where((F.col(label) == 1) | (F.col("_i") <= most)).drop("_i", "_c")
+    counted = rows.crossJoin(F.broadcast(rows.agg(F.count_if(F.col(label) == 1).alias("_c"))))  # one row
+    controls = k * F.col("_c") if size is None else F.least(k * F.col("_c"), F.greatest(F.lit(0), F.lit(size) - F.col("_c")))
+    most = F.when(F.col(label) == 1, F.col("_c")).otherwise(controls)
+    return bottom_k(counted, md5_order(seed, "sample_idx"), "sample_idx", most, [label]).drop("_c")

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def value_range(c: Column) -> Column:
+    """A number that grows with the value, the same for near values: 177 ranges for each doubling. The bounds are fixed, so that
+    any two looks at the data agree on them; NaN has a range above all."""
+    size = F.floor(F.log1p(F.abs(c) * float(1 << 20)) * 256).cast("int")  # the logarithm never falls where the value grows
+    return F.when(F.isnan(c), 1 << 30).when(c < 0, -size).otherwise(size)
+
+
+def below(counts: DataFrame, value: str, by: list[str], n: str) -> DataFrame:
+    """Adds _below: how many rows of the group have a smaller value, from rows (by, value, n) with each value of a group once.
+    Counts are summed up in value ranges, and the ranges' sums by group, so no task holds a group."""
+    ranged = counts.withColumn("_range", value_range(F.col(value)))
+    before = lambda w: F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(n).alias("_w"))
+    starts = sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), before(Window.partitionBy(*by).orderBy("_range")).alias("_start"))
+    inside = ranged.withColumn("_w", F.col(n)).withColumn("_inside", before(Window.partitionBy(*by, "_range").orderBy(value)))
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return inside.join(starts, same).withColumn("_below", F.col("_start") + F.col("_inside")).select(*counts.columns, "_below")
+
+
 def mid_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Adds rank with ties averaged."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("rank", F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2)
+    """Adds rank with ties averaged. Ranks are worked out for the distinct values and joined back."""
+    counts = df.groupBy(*by, value).agg(F.count("*").cast("double").alias("_n"))
+    ranks = below(counts, value, by, "_n").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], (F.col("_below") + (F.col("_n") + 1) / 2).alias("rank"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, same).select(*df.columns, "rank")
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """ROC-AUC by group, ties at half; 0.5 where a class is missing. Ranks come from the distinct scores' counts, so a
-    window only holds (group, score) pairs."""
+    """ROC-AUC by group, ties at half; 0.5 where a class is missing. Ranks come from the distinct scores' counts."""
     c = df.groupBy(*by, F.round(score, 9).alias("_s")).agg(F.sum(label).cast("double").alias("_p"), F.sum(1 - F.col(label)).cast("double").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    c = c.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2))
+    c = below(c, "_s", by, "_n").withColumn("_u", F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     return c.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("_u"), F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))), F.lit(0.5)).alias("auc"))
 
 
