@@ -531,7 +531,7 @@ BEST = LD + ", sym as (select i as rep, j as snp, round(r2, 9) as r2 from ld uni
 
 
 def ld_table(s, d):
-    return G.ld(V.geno(s, d), G.window_pairs(V.variants_small(s, d), 1_000_000))
+    return G.ld(V.geno(s, d), V.variants_small(s, d), 1_000_000)
 
 
 def best_reps(s, d):
