@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import aggregate as A
@@ -418,6 +419,19 @@ def yeo_johnson_fixed(s, d):
     return V.pheno(s, d).select("sample_idx", F.round(C.yeo_johnson(F.col("y_cont") - 4.5, 0.5), 6).alias("yj"))
 
 
+YJ = "case when x >= 0 then (power(x + 1, 0.5) - 1) / 0.5 else -(power(1 - x, 1.5) - 1) / 1.5 end"
+
+
+@query(f"""with r as (select sample_idx, split, y_cont - 5 + age / 50 as x from pheno), t as (select *, {YJ} as v from r), m as (select avg(v) as m, stddev_pop(v) as s from t where split = 'train')
+  select sample_idx, round((v - m) / s, 6) as z, round(x, 6) as back from t, m""", "pheno")
+def residual_yeo_johnson(s, d):
+    """Residuals transformed, standardised by the training rows, and put back."""
+    r = V.pheno(s, d).select("sample_idx", "split", (F.col("y_cont") - 5 + F.col("age") / 50).alias("x"))
+    scale = C.transformed_scale(r.where("split = 'train'"), "x", 0.5)
+    z = C.standard_yeo_johnson(F.col("x"), scale)
+    return r.select("sample_idx", F.round(z, 6).alias("z"), F.round(C.inverse_standard(z, scale), 6).alias("back"))
+
+
 # ---- interpretation -------------------------------------------------------------------------------------------------
 SHAP = COEFS + f", {STD}, bg as (select variant_idx, avg(x) as m from std join pheno using (sample_idx) where split = 'train' group by 1), shap as (select sample_idx, variant_idx, coef * (x - m) as phi from std join bg using (variant_idx) join coefs using (variant_idx))"
 
@@ -441,7 +455,7 @@ def shap_linear_global(s, d):
     n = V.geno(s, d).join(train, "sample_idx").groupBy("variant_idx", F.col("dosage").alias("dosage")).agg(F.count("*").alias("n"), F.sum("t").alias("n_train"))
     x = Q.standardize(n.withColumn("sample_idx", F.lit(0)).withColumn("_n", F.struct("n", "n_train")), found, ["_n"]).select("variant_idx", "x", "_n.*")
     kept = cut(xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(Q.filter_variants(found, 0.05, 0.05).select("variant_idx"), "variant_idx", "left_semi"))
-    w = G.Window.partitionBy("variant_idx")
+    w = Window.partitionBy("variant_idx")
     x = x.withColumn("_m", F.sum(F.col("x") * F.col("n_train")).over(w) / F.sum("n_train").over(w)).join(kept, "variant_idx").withColumn("phi", F.col("coef") * (F.col("x") - F.col("_m")))
     return rounded(x.groupBy("variant_idx").agg((F.sum(F.col("phi") * F.col("n")) / F.sum("n")).alias("shap"), (F.sum(F.abs("phi") * F.col("n")) / F.sum("n")).alias("shap_abs")), "shap", "shap_abs")
 

@@ -167,7 +167,7 @@ def read_trees(model: dict, x: np.ndarray, offset: np.ndarray | float = 0.0) ->
         out = offset + (np.mean([_read(t, codes) for t in model["trees"]], axis=0) if model["trees"] else np.zeros(len(x)))
     else:
         z = model["base"] + offset + model["rate"] * sum((_read(t, codes) for t in model["trees"]), np.zeros(len(x)))
-        out = 1 / (1 + np.exp(-z)) if model["classes"] else z
+        out = 1 / (1 + np.exp(-z)) if model["classes"] and not model.get("margin") else z
     return out * model.get("sd", 1.0) + model.get("mean", 0.0)  # fitted to a scaled label
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,59 @@ def yeo_johnson(x: Column, lam: float) -> Column:
 
 
 def inverse_yeo_johnson(z: Column, lam: float) -> Column:
-    up = F.expm1(z) if lam == 0 else F.pow(F.greatest(F.lit(0.0), z * lam + 1), F.lit(1 / lam)) - 1
-    down = 1 - F.exp(-z) if lam == 2 else 1 - F.pow(F.greatest(F.lit(0.0), 1 - (2 - lam) * z), F.lit(1 / (2 - lam)))
+    """The inverse, of values clipped to what the transform can give."""
+    if lam < 0:
+        z = F.least(z, F.lit(-1 / lam - 1e-8))
+    if lam > 2:
+        z = F.greatest(z, F.lit(1 / (2 - lam) + 1e-8))
+    inside = lambda c: F.when(c > 0, c)
+    up = F.expm1(z) if lam == 0 else F.pow(inside(z * lam + 1), F.lit(1 / lam)) - 1
+    down = 1 - F.exp(-z) if lam == 2 else 1 - F.pow(inside(1 - (2 - lam) * z), F.lit(1 / (2 - lam)))
     return F.when(z >= 0, up).otherwise(down)
 
 
-def fit_yeo_johnson(rows: DataFrame, column: str, grid: list[float] | None = None) -> float:
-    """The exponent with the largest likelihood on a grid, from one aggregate over all rows."""
-    grid = grid or [round(-2 + 0.1 * i, 1) for i in range(41)]
+def fit_yeo_johnson(rows: DataFrame, column: str, low: float = -5.0, high: float = 7.0, at_once: int = 13, width: float = 1e-4) -> float:
+    """The exponent with the largest likelihood. Each pass over the rows tries `at_once` exponents between the bounds and goes on
+    between the neighbours of the best one, until these are `width` apart; 1 where nothing can be told."""
     x = F.col(column).cast("double")
-    sums = [F.log(F.nullif(F.var_pop(yeo_johnson(x, g)), F.lit(0.0))).alias(f"v{i}") for i, g in enumerate(grid)]
-    r = rows.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"), *sums).first()
-    likely = {g: -r["n"] / 2 * r[f"v{i}"] + (g - 1) * r["j"] for i, g in enumerate(grid) if r["n"] and r[f"v{i}"] is not None}
-    return max(likely, key=lambda g: (likely[g], -abs(g - 1))) if likely else 1.0
+    rows = rows.where(x.isNotNull() & ~F.isnan(x))
+    best = 1.0
+    while high - low > width:
+        grid = [low + (high - low) * i / (at_once - 1) for i in range(at_once)]
+        sums = [F.var_pop(yeo_johnson(x, g)).alias(f"v{i}") for i, g in enumerate(grid)]
+        r = rows.agg(F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"), *sums).first()
+        v = {g: r[f"v{i}"] for i, g in enumerate(grid)}
+        likely = {g: -r["n"] / 2 * math.log(v[g]) + (g - 1) * r["j"] for g in grid if v[g] is not None and 0 < v[g] < math.inf}
+        if not likely:
+            return 1.0
+        best = max(likely, key=lambda g: (likely[g], -abs(g - 1)))
+        step = grid[1] - grid[0]
+        low, high = best - step, best + step
+    return best
+
+
+def transformed_scale(rows: DataFrame, column: str, lam: float | None = None) -> tuple[float, float, float]:
+    """(exponent, mean, deviation) of the transformed column; the exponent is fitted where none is given."""
+    lam = fit_yeo_johnson(rows, column) if lam is None else lam
+    z = yeo_johnson(F.col(column).cast("double"), lam)
+    got = rows.agg(F.avg(z).alias("m"), F.stddev_pop(z).alias("s")).first()
+    return lam, got["m"] or 0.0, got["s"] or 1.0
+
+
+def standard_yeo_johnson(x: Column, scale: tuple[float, float, float]) -> Column:
+    return (yeo_johnson(x, scale[0]) - scale[1]) / scale[2]
+
+
+def inverse_standard(z: Column, scale: tuple[float, float, float]) -> Column:
+    return inverse_yeo_johnson(z * scale[2] + scale[1], scale[0])
 
 
 def fuse(covar: Column, geno: Column, strategy: str, classification: bool) -> Column:
-    """predictive: the sum; residualization: the covariate prediction with the residual put back, clipped for classes."""
-    if strategy == "predictive":
+    """predictive: the sum; residualization: the covariate prediction with the residual put back, clipped for classes; offset:
+    the genotypes' margin on top of the covariates' (log odds of classes)."""
+    if strategy == "offset" and classification:
+        return sigmoid(logit(covar) + geno)
+    if strategy in ("predictive", "offset"):
         out = covar + geno
     else:
         out = inverse_pearson_residual(geno, covar) if classification else covar + geno

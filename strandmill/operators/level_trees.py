@@ -276,10 +276,10 @@ def statistics(made: DataFrame, with_offset: bool, classes: bool) -> dict[int, d
 WHOLE = 32 << 20
 
 
-def fit_packed(made: DataFrame, patches: dict[int, Patch], x: dict[int, np.ndarray], kinds: list[str], classes: bool = False, seed: int = 22, with_offset: bool = False, check: bool = False, scale: tuple[float, float] | None = None, whole: int = WHOLE, settings: dict | None = None) -> DataFrame:
+def fit_packed(made: DataFrame, patches: dict[int, Patch], x: dict[int, np.ndarray], kinds: list[str], classes: bool = False, seed: int = 22, with_offset: bool = False, check: bool = False, scale: tuple[float, float] | None = None, whole: int = WHOLE, settings: dict | None = None, margin: bool = False) -> DataFrame:
     """(estimator_idx, member, variants, model) of every kind on each estimator's blocks; scale: (mean, sd) of a scaled label."""
     spark = made.sparkSession
-    more = {} if scale is None else {"mean": scale[0], "sd": scale[1]}
+    more = ({} if scale is None else {"mean": scale[0], "sd": scale[1]}) | ({"margin": True} if margin else {})
     stats = statistics(made, with_offset, classes)
     form = "estimator_idx int, member int, variants array<int>, model string"
     if all(stats[e]["rows"] * len(p.variants) <= whole for e, p in patches.items() if e in stats):

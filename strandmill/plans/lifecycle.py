@@ -106,11 +106,11 @@ class Fitted:
         return A.score_samples(x, self.coefs.where("variant_idx >= 0")).join(F.broadcast(base)).select("sample_idx", (F.col("prs") + F.col("_a")).alias("pred"))  # one row
 
 
-def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
+def train(calls: DataFrame, samples: DataFrame, config: Config, margin: bool = False) -> Fitted:
     """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split and, if they are there, population, weight,
     offset and check) with splits train, val and, where the configuration filters or weights estimators, agg; samples
     without a label teach nothing. Weights count for trees and for linear members but stochastic ones, offsets for trees;
-    rows that check teach nothing and stop the boosting."""
+    rows that check teach nothing and stop the boosting. With `margin` boosted trees of classes predict log odds."""
     model, data = config.model, config.data
     more = [c for c in ("population", "weight", "offset", "check") if c in samples.columns]
     known = samples.where("y is not null").select("sample_idx", F.col("y").cast("double").alias("y"), "split", *more)
@@ -130,7 +130,7 @@ def train(calls: DataFrame, samples: DataFrame, config: Config) -> Fitted:
         patches.select(model.selection, model.k_best, data.classification, sorted(set(bounds or [])))
     if model.trees:
         back = tuple(scale.select("mean", "sd").first()) if data.scale_labels else None
-        coefs = cut(patches.trees(model.members, model.class_loss, with_offset="offset" in more, check="check" in more, scale=back))
+        coefs = cut(patches.trees(model.members, model.class_loss, with_offset="offset" in more, check="check" in more, scale=back, margin=margin))
     else:
         each = [patches.linear(m) for m in model.members]
         coefs = each[0]
