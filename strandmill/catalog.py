@@ -11,6 +11,7 @@ from .operators import layout as L
 from .operators import linkage as G
 from .operators import qc as Q
 from .operators import sampling as P
+from .operators import selection as N
 from .operators import stats as S
 from .operators.storage import cut
 from .sources import views as V
@@ -196,6 +197,12 @@ def sample_variants(s, d):
     return P.uniform(V.variants_small(s, d).select("variant_idx"), "variant_idx", 20, 4)
 
 
+@query("select c_custkey, c_nationkey from customer order by md5(concat(c_custkey, '_', 4)), c_custkey limit 300")
+def draw_ids(s, d):
+    """A subsample of ids by hash (a sampling operator)."""
+    return P.bottom_k(V.table(s, d, "customer").select("c_custkey", "c_nationkey"), V.md5_order(4, "c_custkey"), "c_custkey", F.lit(300))
+
+
 @query("""with e as (select unnest(range(0, 4))::int as estimator_idx),
   a as (select estimator_idx, 'sample' as kind, sample_idx::bigint as idx, row_number() over (partition by estimator_idx order by md5(concat(sample_idx, '_', estimator_idx + 22)), sample_idx) as i from pheno, e),
   b as (select estimator_idx, 'variant' as kind, variant_idx::bigint as idx, row_number() over (partition by estimator_idx order by md5(concat(variant_idx, '_', estimator_idx + 22)), variant_idx) as i from variants_small, e)
@@ -641,6 +648,26 @@ def set_shared(s, d):
     return v.where("variant_idx % 5 = 0").intersect(v.where("variant_idx % 3 = 0"))
 
 
+@query("select c_custkey as iid from customer except select o_custkey from orders")
+def missing_ids(s, d):
+    """Customers without an order: ids that a table lacks."""
+    return N.missing_ids(V.table(s, d, "orders").select(F.col("o_custkey").alias("iid")), V.table(s, d, "customer").select(F.col("c_custkey").alias("iid")), "iid")
+
+
+@query("""select p_partkey as key, 'number' as matched_as from part where p_partkey in (select l_partkey from lineitem) union all
+  select p_partkey, 'text' from part where p_partkey not in (select l_partkey from lineitem) and p_partkey::varchar in (select trim(leading '0' from l_partkey || '') from lineitem where l_quantity > 49)""")
+def shared_keys(s, d):
+    """Parts that are sold: keys in both tables, as numbers, or where that finds none as text."""
+    sold = V.table(s, d, "lineitem").select(F.col("l_partkey").alias("key"))
+    as_text = V.table(s, d, "lineitem").where("l_quantity > 49").select(F.ltrim(F.col("l_partkey").cast("string"), F.lit("0")).alias("key"))
+    return N.shared_keys(V.table(s, d, "part").select(F.col("p_partkey").alias("key")), sold, as_text, "key")
+
+
+@query("select distinct o_custkey as iid from orders intersect select distinct c_custkey from customer where c_acctbal > 0")
+def intersect_ids(s, d):
+    return V.table(s, d, "orders").select(F.col("o_custkey").alias("iid")).intersect(V.table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("iid")))
+
+
 @query(f"with {ECOEFS} select distinct variant_idx from ecoefs", BASE)
 def union_variants(s, d):
     c = estimator_coefs(s, d).select("estimator_idx", "variant_idx")

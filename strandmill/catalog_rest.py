@@ -239,7 +239,10 @@ def simulated_liability(s, d):
 
 
 def two_snp_grid(s, d):
-    return rounded(M.two_snp_grid(s, repeats=4, n_train=400, n_test=400), "mse_linear", "mse_tree", "delta")
+    """Each variant with its successor, over all samples' calls."""
+    samples = V.pheno(s, d).select("sample_idx", F.when(F.col("split") == "train", "train").otherwise("test").alias("split"))
+    pairs = V.variants_small(s, d).select(F.col("variant_idx").alias("i"), (F.col("variant_idx") + 1).alias("j"))
+    return rounded(M.two_snp_grid(V.geno(s, d), samples, pairs), "mse_linear", "mse_tree", "delta")
 
 
 def ensemble_one_patch(s, d):

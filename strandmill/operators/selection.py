@@ -16,6 +16,15 @@ def missing_ids(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return asked.select(key).distinct().join(rows.select(key), key, "left_anti")
 
 
+def shared_keys(left: DataFrame, right: DataFrame, as_text: DataFrame, key: str) -> DataFrame:
+    """(key, matched_as): the left keys that right has as they are, and of the others those that as_text has once they are
+    written as text."""
+    same = left.join(right.select(key).distinct(), key, "left_semi")
+    rest = left.join(right.select(key).distinct(), key, "left_anti")
+    text = as_text.select(F.col(key).cast("string").alias("_t")).distinct()
+    return same.select(key, F.lit("number").alias("matched_as")).unionByName(rest.join(text, F.col(key).cast("string") == F.col("_t"), "left_semi").select(key, F.lit("text").alias("matched_as")))
+
+
 def by_label(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """The rows with the asked ids; an id that isn't there is an error that names the first few."""
     if lacking := [r[0] for r in missing_ids(rows, asked, key).orderBy(key).limit(10).collect()]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linkage import hash_normal, hash_uniform
+from .storage import cut
 
 # The constants of the rational approximation of the normal distribution (error below 7.5e-8).
 _P, _B = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
@@ -92,47 +93,60 @@ def manifest(effects: DataFrame, pairs: DataFrame, variants: DataFrame, settings
     return {"settings": named, "additive": effects.join(v, "variant_idx"), "pairs": placed}
 
 
-def two_snp_grid(spark, depths=(2, 3, 4), shares=(0.0, 0.15, 0.3), repeats: int = 10, n_train: int = 1000, n_test: int = 1000, h_add: float = 0.3, maf: float = 0.3, ld: float = 0.0, seed: int = 0) -> DataFrame:
-    """(depth, h_epi, repeat, mse_linear, mse_tree, delta): a line and a tree of limited depth on two variants, additive and
-    product effects of the given shares of variance and noise for the rest. Cells are independent tasks."""
-    cells = [(d, float(h), r) for d in depths for h in shares for r in range(repeats)]
-    frame = spark.createDataFrame(cells, "depth int, h_epi double, repeat int")
+def two_snp_grid(calls: DataFrame, samples: DataFrame, pairs: DataFrame, depths=(2, 3, 4), shares=(0.0, 0.15, 0.3), h_add: float = 0.3, seed: int = 0) -> DataFrame:
+    """(i, j, h_epi, depth, mse_linear, mse_tree, delta): a line and a tree of limited depth on two variants, held against labels
+    with additive effects of both, their product (a share h_epi of the variance) and noise for the rest.
+
+    calls (sample_idx, variant_idx, dosage), samples (sample_idx, split: train, test), pairs (i, j) with i < j. Labels are drawn
+    by hash for each sample and pair; two variants have nine cells at most, so Spark counts and sums labels by cell and the
+    fits see these sums alone. Samples without both calls are left out; pairs without rows of a split go."""
+    side = lambda k: calls.where("dosage is not null").select("sample_idx", F.col("variant_idx").alias(k), F.col("dosage").cast("double").alias(f"d{k}"))
+    both = pairs.select("i", "j").join(side("i"), "i").join(side("j"), ["sample_idx", "j"]).join(samples.select("sample_idx", "split"), "sample_idx")
+    effect = lambda tag: hash_normal("i", "j", seed=f"{seed}{tag}")
+    both = both.withColumn("_add", effect("a") * F.col("di") + effect("b") * F.col("dj")).withColumn("_epi", effect("c") * F.col("di") * F.col("dj")).withColumn("_noise", hash_normal("sample_idx", "i", "j", seed=f"{seed}e"))
+    both = cut(both)
+    sds = both.where("split = 'train'").groupBy(F.col("i").alias("_i"), F.col("j").alias("_j")).agg(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_sd{c}") for c in ("_add", "_epi")])
+    each = both.join(sds, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j"))).withColumn("h_epi", F.explode(F.array(*[F.lit(float(h)) for h in shares])))
+    y = F.col("_add") / F.col("_sd_add") * math.sqrt(h_add) + F.col("_epi") / F.col("_sd_epi") * F.sqrt("h_epi") + F.col("_noise") * F.sqrt(1 - h_add - F.col("h_epi"))
+    cells = each.withColumn("y", y).groupBy("i", "j", "h_epi", "split", "di", "dj").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    wanted = list(map(int, depths))
 
     def run(rows):
         import pandas as pd
 
-        out = []
-        for depth, h_epi, repeat in zip(rows["depth"], rows["h_epi"], rows["repeat"]):
-            rng = np.random.default_rng([seed, int(repeat), int(round(h_epi * 1000))])
-            z = rng.standard_normal((2, n_train + n_test, 2))
-            z[:, :, 1] = ld * z[:, :, 0] + math.sqrt(1 - ld * ld) * z[:, :, 1]
-            cut = np.quantile(z[0, :, 0], 1 - maf)
-            g = (z > cut).sum(axis=0) - 2 * maf  # two alleles for each variant
-            b, c = rng.standard_normal(2), rng.standard_normal()
-            parts = [(g @ b, h_add), (c * g[:, 0] * g[:, 1], h_epi), (rng.standard_normal(len(g)), 1 - h_add - h_epi)]
-            y = sum(p / (p[:n_train].std() or 1) * math.sqrt(h) for p, h in parts)
-            x = np.column_stack([g, np.ones(len(g))])
-            line = x[n_train:] @ np.linalg.lstsq(x[:n_train], y[:n_train], rcond=None)[0]
-            tree = _tree(g[:n_train], y[:n_train], int(depth))
-            mse = [float(((y[n_train:] - p) ** 2).mean()) for p in (line, _tree_values(tree, g[n_train:]))]
-            out.append((depth, h_epi, repeat, *mse, mse[0] - mse[1]))
-        return pd.DataFrame(out, columns=["depth", "h_epi", "repeat", "mse_linear", "mse_tree", "delta"])
-
-    return frame.groupBy("depth", "h_epi").applyInPandas(run, "depth int, h_epi double, repeat int, mse_linear double, mse_tree double, delta double")
-
-
-def _tree(x: np.ndarray, y: np.ndarray, depth: int):
-    """A regression tree: (variant, cut, below, above) by least squares, or a leaf's mean."""
+        train, test = rows[rows["split"] == "train"], rows[rows["split"] != "train"]
+        if not len(train) or not len(test):
+            return pd.DataFrame({c: [] for c in ("i", "j", "h_epi", "depth", "mse_linear", "mse_tree", "delta")})
+        x, n, s = (train[c].to_numpy(float) for c in (["di", "dj"], "n", "s"))
+        design = np.column_stack([x, np.ones(len(x))])
+        line = np.linalg.lstsq(design * np.sqrt(n)[:, None], s / np.sqrt(n), rcond=None)[0]
+        to = test[["di", "dj"]].to_numpy(float)
+
+        def error(p):  # of predictions by cell
+            return float((test["q"] - 2 * p * test["s"] + p * p * test["n"]).sum() / test["n"].sum())
+
+        straight, out = error(np.column_stack([to, np.ones(len(to))]) @ line), []
+        for depth in wanted:
+            bent = error(_tree_values(_tree(x, n, s, depth), to))
+            out.append((int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), float(rows["h_epi"].iloc[0]), depth, straight, bent, straight - bent))
+        return pd.DataFrame(out, columns=["i", "j", "h_epi", "depth", "mse_linear", "mse_tree", "delta"])
+
+    return cells.groupBy("i", "j", "h_epi").applyInPandas(run, "i int, j int, h_epi double, depth int, mse_linear double, mse_tree double, delta double")
+
+
+def _tree(x: np.ndarray, n: np.ndarray, s: np.ndarray, depth: int):
+    """A regression tree over cells with n rows and label sums s: (variant, cut, below, above) by least squares, or a leaf's
+    mean."""
     best = None
-    for j in range(x.shape[1]) if depth and len(y) > 1 else ():
-        for cut in np.unique(x[:, j])[1:]:
-            low = x[:, j] < cut
-            cost = y[low].var() * low.sum() + y[~low].var() * (~low).sum()
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, j, cut, low)
+    for j in range(x.shape[1]) if depth and len(n) > 1 else ():
+        for at in np.unique(x[:, j])[1:]:
+            low = x[:, j] < at
+            gain = s[low].sum() ** 2 / n[low].sum() + s[~low].sum() ** 2 / n[~low].sum()
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, j, at, low)
     if best is None:
-        return float(y.mean())
-    return best[1], best[2], _tree(x[best[3]], y[best[3]], depth - 1), _tree(x[~best[3]], y[~best[3]], depth - 1)
+        return float(s.sum() / n.sum())
+    return best[1], best[2], *(_tree(x[k], n[k], s[k], depth - 1) for k in (best[3], ~best[3]))
 
 
 def _tree_values(tree, x: np.ndarray) -> np.ndarray:

@@ -34,7 +34,9 @@ def pheno(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(64).select(F.col("id").cast("int").alias("variant_idx"), (F.col("id").cast("int") / 3 + 1).cast("int").cast("string").alias("chr"), ((F.col("id") % 3 + 1) * 1_000_000).cast("long").alias("pos"))
+    """The variants that geno has calls of, as many as the longest embedding has dimensions."""
+    ids = table(spark, sf_dir, "embeddings").select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("id")).where("id >= 0").distinct()
+    return ids.select(F.col("id").cast("int").alias("variant_idx"), (F.col("id").cast("int") / 3 + 1).cast("int").cast("string").alias("chr"), ((F.col("id") % 3 + 1) * 1_000_000).cast("long").alias("pos"))
 
 
 def variants_large(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,9 +144,17 @@ def test_simulation(spark):
 
 
 def test_two_snp_grid(spark):
-    got = simulate.two_snp_grid(spark, depths=(4,), shares=(0.0, 0.5), repeats=6, n_train=1500, n_test=1500, h_add=0.2).toPandas()
-    mean = got.groupby("h_epi")["delta"].mean()
-    assert len(got) == 12 and mean[0.5] > 0.02 > abs(mean[0.0])
+    """A strong product effect is what a tree sees and a line doesn't; errors are those of the rows themselves."""
+    rng = np.random.default_rng(4)
+    g = rng.binomial(2, 0.4, (3000, 3))
+    calls = spark.createDataFrame([(i, j, None if (i + j) % 40 == 0 else int(g[i, j])) for i in range(3000) for j in range(3)], "sample_idx long, variant_idx int, dosage int")
+    samples = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(3000)], "sample_idx long, split string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 9)], "i int, j int")
+    got = {(r.i, r.j, r.h_epi, r.depth): r for r in simulate.two_snp_grid(calls, samples, pairs, depths=(1, 4), shares=(0.0, 0.6), h_add=0.2).collect()}
+    assert len(got) == 2 * 2 * 2 and all(abs(r.delta - (r.mse_linear - r.mse_tree)) < 1e-9 for r in got.values())
+    for i, j in ((0, 1), (1, 2)):
+        assert got[i, j, 0.6, 4].delta > got[i, j, 0.0, 4].delta - 1e-9 and got[i, j, 0.6, 4].delta > 0 and got[i, j, 0.0, 4].mse_tree < 1.1
+        assert got[i, j, 0.6, 4].mse_tree < got[i, j, 0.6, 1].mse_tree
 
 
 def test_ensemble(spark):
