@@ -88,13 +88,11 @@ def forest_shap_local(s, d):
 
 
 def kernel_shap_local(s, d):
-    """All coalitions of six features, against a background of 100 rows."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    wide = _wide(s, d).withColumn("features", array_to_vector(F.slice(vector_to_array("features"), 1, 6)))
+    """All 64 features, by 512 pairs of sampled coalitions against a background of 20 rows."""
+    wide = _wide(s, d)
     leaves = X.leaves_of(E.boosted(wide, "features", "y", maxIter=3, maxDepth=3))
-    background = X.background_rows(wide, "features", "vec_id", 100)
-    return X.local_values(wide, "vec_id", "features", lambda x: X.kernel_shap(lambda r: X.leaf_sum(leaves, r), x, background)).withColumn("phi", F.round("phi", 6))
+    background = X.background_rows(wide, "features", "vec_id", 20)
+    return X.kernel_values(wide, "vec_id", "features", lambda r: X.leaf_sum(leaves, r), background, 512).withColumn("phi", F.round("phi", 6))
 
 
 def covariate_train_predict(s, d):

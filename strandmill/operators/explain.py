@@ -139,6 +139,66 @@ def kernel_shap(predict, x: np.ndarray, background: np.ndarray, most_features: i
     return np.column_stack([b, full - empty - b.sum(axis=1)])
 
 
+def coalitions(d: int, pairs: int, seed: int = 22) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights) of coalitions of d features drawn by the Shapley kernel, each with its complement, equal ones once with
+    their weights added up. Sizes are drawn in proportion to the kernel's weight of all coalitions of the size."""
+    rng, size = np.random.default_rng(seed), np.arange(1, d)
+    sizes = rng.choice(size, pairs, p=(1 / (size * (d - size))) / (1 / (size * (d - size))).sum())
+    order = rng.random((pairs, d)).argsort(axis=1).argsort(axis=1)
+    drawn = order < sizes[:, None]
+    return np.unique(np.concatenate([drawn, ~drawn]), axis=0, return_counts=True)
+
+
+def sampled_kernel(predict, x: np.ndarray, background: np.ndarray, masks: np.ndarray, solver: np.ndarray, empty: float, full: np.ndarray) -> np.ndarray:
+    """rows x (features - 1): what these coalitions add to the solution of the normal equations. `solver` maps a coalition's
+    value to the coefficients (one column for each mask), so parts of the coalitions add up."""
+    def filled(m):  # each row with each background row, some hundred rows at once
+        return np.concatenate([predict(np.where(m, part[:, None, :], background).reshape(-1, x.shape[1])).reshape(len(part), -1).mean(axis=1) for part in np.array_split(x, -(-len(x) // 256))])
+
+    value = np.array([filled(m) for m in masks]).reshape(len(masks), len(x))
+    return (solver @ (value - empty - masks[:, -1:] * (full - empty))).T
+
+
+def kernel_solver(masks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(features - 1) x masks: the weighted least-squares solution as a linear map of the coalitions' values, the last
+    feature's value being what is left of the total."""
+    design = masks[:, :-1].astype(float) - masks[:, -1:]
+    normal = design.T @ (design * weights[:, None])
+    return np.linalg.pinv(normal, hermitian=True) @ (design * weights[:, None]).T
+
+
+def kernel_values(wide: DataFrame, key: str, features: str, predict, background: np.ndarray, pairs: int = 1024, blocks: int = 8, seed: int = 22) -> DataFrame:
+    """(key, variant_idx, phi) of every row and every feature, by coalitions drawn from the Shapley kernel for any number of
+    features. Each row meets each block of coalitions in a task of its own and the blocks' parts of the solution are summed;
+    background and coalitions, whose number is a parameter, go to the tasks."""
+    from pyspark.ml.functions import vector_to_array
+
+    d, spark = background.shape[1], wide.sparkSession
+    kind = wide.schema[key].dataType.simpleString()
+    empty = float(predict(background).mean())
+    if d == 1:
+        return local_values(wide, key, features, lambda x: (predict(x) - empty)[:, None])
+    masks, weights = coalitions(d, pairs, seed)
+    parts = np.array_split(np.arange(len(masks)), blocks)
+    solver = kernel_solver(masks, weights)
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for block, own in f.groupby("_block"):
+                x, at = np.stack(own["_x"].to_numpy()), parts[block]
+                full = predict(x)
+                phi = sampled_kernel(predict, x, background, masks[at], solver[:, at], empty, full)
+                rest = (full - empty if block == 0 else 0.0) - phi.sum(axis=1)
+                phi = np.column_stack([phi, rest])
+                yield pd.DataFrame({key: np.repeat(own[key].to_numpy(), d), "variant_idx": np.tile(np.arange(d, dtype=np.int32), len(x)), "part": phi.ravel()})
+
+    n = F.broadcast(spark.range(blocks).select(F.col("id").cast("int").alias("_block")))  # a row for each block
+    rows = wide.select(key, vector_to_array(features).alias("_x")).crossJoin(n).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, "_block")
+    return rows.mapInPandas(run, f"{key} {kind}, variant_idx int, part double").groupBy(key, "variant_idx").agg(F.sum("part").alias("phi"))
+
+
 def leaf_sum(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
     """Predictions of an ensemble from its leaves."""
     out = np.zeros(len(x))
