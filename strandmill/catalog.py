@@ -9,11 +9,14 @@ from .operators import aggregate as A
 from .operators import covar as C
 from .operators import layout as L
 from .operators import linkage as G
+from .operators import charts as K
 from .operators import qc as Q
+from .operators import reports as R
 from .operators import sampling as P
 from .operators import selection as N
 from .operators import stats as S
 from .operators.storage import cut
+from .plans import evaluate
 from .sources import views as V
 
 QUERIES: dict = {}
@@ -358,7 +361,7 @@ def agg_coef_fold(s, d):
 @query("select sample_idx, case when estimator_idx < 4 then 'linear' else 'lightgbm' end as model_name, round(avg(pred), 6) as pred from preds group by 1, 2", "preds")
 def agg_per_type(s, d):
     p = V.estimator_preds(s, d).withColumn("model_name", F.when(F.col("estimator_idx") < 4, "linear").otherwise("lightgbm"))
-    return rounded(p.groupBy("sample_idx", "model_name").agg(F.avg("pred").alias("pred")), "pred")
+    return rounded(R.mean_by_type(p), "pred")
 
 
 @query(f"""with {AUC}, u as (select estimator_idx as batch, score, coalesce(score > max(score) over (order by estimator_idx rows between unbounded preceding and 1 preceding), true)::int as up from scores),
@@ -578,9 +581,7 @@ def ld_blocks(s, d):
 
 @query(f"with {BEST}, c as (select rep, count(*) as n from best group by 1) select count(*) as blocks, round(avg(n), 6) as mean_size, max(n) as max_size, min(n) as min_size, 64 - sum(n)::bigint as unassigned from c", "geno variants_small")
 def ld_block_stats(s, d):
-    b = ld_blocks(s, d).groupBy("block_idx").agg(F.count("*").alias("n"))
-    on = lambda c: F.when(F.col("block_idx") >= 0, F.col(c))
-    return b.agg(F.count(on("n")).alias("blocks"), F.round(F.avg(on("n")), 6).alias("mean_size"), F.max(on("n")).alias("max_size"), F.min(on("n")).alias("min_size"), F.coalesce(F.sum(F.when(F.col("block_idx") < 0, F.col("n"))), F.lit(0)).alias("unassigned"))
+    return rounded(G.block_statistics(ld_blocks(s, d)), "mean_size")
 
 
 @query("""with recursive v as (select variant_idx, chr, row_number() over (partition by chr order by pos, variant_idx) as n from variants_small),
@@ -628,6 +629,72 @@ def sim_epistatic(s, d):
     return rounded(G.pair_score(Q.standardize(V.geno(s, d), stats(s, d)), G.causal_pairs(V.variants_small(s, d), 10, 5)), "epi", n=5)
 
 
+# ---- whole charts, ratios, strata -------------------------------------------------------------------------------------
+DELTA = """pairs as (select n.variant_idx, n.chr, n.pos, abs(n.shap * 1.5) - abs(coalesce(l.shap, 0)) as delta from variants_large n left join (select * from variants_large where variant_idx % 3 <> 0) l on n.chr = l.chr and n.pos = l.pos),
+  named as (select *, regexp_replace(chr, '^(chr|CHR)', '') as chr_norm, cast(regexp_replace(chr, '^(chr|CHR)', '') as int) as chr_order from pairs),
+  firsts as (select chr_order, coalesce(sum(m) over (order by chr_order rows between unbounded preceding and 1 preceding), 0)::bigint as o from (select chr_order, max(pos) as m from named group by 1)),
+  placed as (select named.*, pos + o as x from named join firsts using (chr_order))"""
+
+
+def delta_chart(s, d):
+    v = V.variants_large(s, d)
+    return K.delta_manhattan(v.where("variant_idx % 3 <> 0"), v.withColumn("shap", F.col("shap") * 1.5), 20, "right")
+
+
+@query(f"with {DELTA} select variant_idx, chr_norm, chr_order, x, round(delta, 4) as delta, row_number() over (order by delta desc, variant_idx) <= 20 as is_top from placed", "variants_large")
+def delta_manhattan(s, d):
+    return delta_chart(s, d)[0].select("variant_idx", "chr_norm", "chr_order", "x", F.round("delta", 4).alias("delta"), "is_top")
+
+
+@query(f"with {DELTA} select chr_order, quantile_cont(x, 0.5) as tick, any_value(chr_norm) as label from placed group by 1", "variants_large")
+def delta_ticks(s, d):
+    return delta_chart(s, d)[1].select("chr_order", "tick", "label")
+
+
+@query("""with e as (select (event_id % 64)::int as i, (user_id % 64)::int as j, max(round(value, 6)) as value from events where value is not null group by 1, 2),
+  o as (select c, m, coalesce(sum(m) over (order by c rows between unbounded preceding and 1 preceding), 0) + (row_number() over (order by c) - 1) * greatest(floor(0.005::double * max(m) over ()), 1000000)::bigint as o from (select chr::int as c, max(pos) as m from variants_small group by 1)),
+  v as (select variant_idx, chr, pos + o as x from variants_small join o on c = chr::int), w as (select e.*, a.x as xi, b.x as xj from e join v a on a.variant_idx = i join v b on b.variant_idx = j and a.chr = b.chr),
+  m as (select least(min(xi), min(xj)) as lo, greatest(max(xi), max(xj)) as hi from w),
+  b as (select i, j, value, greatest(0, least(11, floor((xi - lo) / ((hi - lo) / 12::double))))::int as bi, greatest(0, least(11, floor((xj - lo) / ((hi - lo) / 12::double))))::int as bj from w, m)
+  select least(bi, bj) as bin_i, greatest(bi, bj) as bin_j, max_by(value, (i, j)) as value from b group by 1, 2""", "variants_small")
+def interaction_map(s, d):
+    """The pairs of events within a chromosome, binned along the genome."""
+    e = V.table(s, d, "events").where("value is not null").groupBy((F.col("event_id") % 64).cast("int").alias("variant_i"), (F.col("user_id") % 64).cast("int").alias("variant_j")).agg(F.max(F.round("value", 6)).alias("value"))
+    return K.interaction_map(e, V.variants_small(s, d), 12)
+
+
+@query("select population, count(*) as n, sum(y_bin)::bigint as cases, round(avg(y_bin), 6) as ratio from pheno group by 1", "pheno")
+def case_ratio(s, d):
+    return rounded(Q.case_ratio(V.pheno(s, d), "y_bin", ["population"]), "ratio")
+
+
+CUTS = ", ".join(f"quantile_cont(y_cont, {i / 10}::double)" for i in range(1, 10))
+DRAWN = f"""cuts as (select [{CUTS}] as q from pheno), b as (select sample_idx, len(list_filter(q, lambda x: x < y_cont))::int as bin, md5(concat(sample_idx, '_', 5)) as h from pheno, cuts),
+  r as (select *, row_number() over (partition by bin order by h, sample_idx) as i, round(105 * count(*) over (partition by bin)::double / count(*) over ()) as k from b),
+  g as (select *, row_number() over (partition by i <= k order by h, sample_idx) as n, count(*) filter (i <= k) over () as have from r),
+  drawn as (select sample_idx from g where case when have > 105 then i <= k and n <= 105 else i <= k or n <= 105 - have end)"""
+
+
+@query(f"with {DRAWN} select sample_idx from drawn", "pheno")
+def sample_strata_exact(s, d):
+    """105 rows in proportion to ten quantile bins of a continuous label, topped up or trimmed to the size."""
+    return P.strata_draw(V.pheno(s, d).select("sample_idx", "y_cont"), "y_cont", 105, 5).select("sample_idx")
+
+
+@query("""select sample_idx from (select sample_idx, row_number() over (partition by y_bin order by md5(concat(sample_idx, '_', 5)), sample_idx) as i from pheno) where i <= 60""", "pheno")
+def background_draw(s, d):
+    return P.background(V.pheno(s, d).select("sample_idx", "y_bin"), "y_bin", True, 120, 5)
+
+
+@query("select case split when 'val' then 'test' else split end as label, count(*) as n, sum(sample_idx)::bigint as ids from pheno where split <> 'test' or sample_idx % 2 = 0 group by 1", "pheno")
+def split_label_lookup(s, d):
+    """Labels come by iid from a table of their own; samples without one are dropped."""
+    p = V.pheno(s, d)
+    labels = p.where("split <> 'test' or sample_idx % 2 = 0").select("iid", F.when(F.col("split") == "val", "test").otherwise(F.col("split")).alias("label"))
+    parts = P.split_by_labels(p.select("sample_idx", "iid"), labels, ["train", "test"])
+    return parts["train"].withColumn("label", F.lit("train")).unionByName(parts["test"].withColumn("label", F.lit("test"))).groupBy("label").agg(F.count("*").alias("n"), F.sum("sample_idx").alias("ids"))
+
+
 # ---- sets, pivots, checks -------------------------------------------------------------------------------------------
 @query("select (p_size % 26)::varchar as raw, upper(regexp_replace(trim(concat('CHR', p_size % 26)), '(?i)^chr', '')) as norm, count(*) as n from part group by 1, 2")
 def chr_normalize(s, d):
@@ -681,24 +748,22 @@ def pivot_moments(s, d):
 
 @query(f"with {STATS}, a as (select variant_idx, least(avg(dosage) / 2, 1 - avg(dosage) / 2) as maf from geno group by 1) select round(max(abs(a.maf - stats.maf)), 6) as max_diff, sum((abs(a.maf - stats.maf) > 1e-6)::int)::bigint as drifted from a join stats using (variant_idx)", BASE)
 def maf_drift(s, d):
-    a = Q.variant_stats(V.geno(s, d)).select("variant_idx", F.col("maf").alias("_m"))
-    j = stats(s, d).join(a, "variant_idx").select(F.abs(F.col("maf") - F.col("_m")).alias("e"))
-    return j.agg(F.round(F.max("e"), 6).alias("max_diff"), F.count_if(F.col("e") > 1e-6).alias("drifted"))
+    return rounded(Q.maf_drift(stats(s, d), Q.variant_stats(V.geno(s, d))), "max_diff")
 
 
 @query("select c_custkey as iid, count(*) as n from (select o_custkey as c_custkey from orders) group by 1 having count(*) > 1")
 def duplicate_ids(s, d):
-    return V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("iid")).agg(F.count("*").alias("n")).where("n > 1")
+    return R.duplicates(V.table(s, d, "orders").select(F.col("o_custkey").alias("iid")), "iid")
 
 
 @query("select round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std from (select estimator_idx, power(corr(pred, y_cont), 2) as score from preds join pheno using (sample_idx) group by 1)", "pheno preds")
 def bootstrap_summary(s, d):
-    return S.r2(scored(s, d), "pred", "y_cont", ["estimator_idx"]).agg(F.round(F.avg("r2"), 6).alias("mean"), F.round(F.stddev_pop("r2"), 6).alias("std"))
+    return S.r2(scored(s, d), "pred", "y_cont", ["estimator_idx"]).select("r2").transform(lambda x: rounded(evaluate.spread(x, "r2"), "mean", "std"))
 
 
 @query("select round(var_pop(age), 6) as var_age, round(var_pop(pc1), 6) as var_pc1, round(corr(age, pc1), 6) as corr_age_pc1 from pheno", "pheno")
 def variance_diagnostics(s, d):
-    return V.pheno(s, d).agg(F.round(F.var_pop("age"), 6).alias("var_age"), F.round(F.var_pop("pc1"), 6).alias("var_pc1"), F.round(F.corr("age", "pc1"), 6).alias("corr_age_pc1"))
+    return rounded(R.components_diagnostics(V.pheno(s, d), ["age", "pc1"]), "var_age", "var_pc1", "corr_age_pc1")
 
 
 from . import catalog_rest, models  # noqa: E402

@@ -124,6 +124,13 @@ def blocks(v: DataFrame, best: DataFrame) -> DataFrame:
     return v.join(of, "variant_idx", "left").withColumn("block_idx", F.coalesce("block_idx", F.lit(-1)))
 
 
+def block_statistics(of: DataFrame) -> DataFrame:
+    """(blocks, mean_size, max_size, min_size, unassigned) of rows with block_idx, -1 standing for none."""
+    b = of.groupBy("block_idx").agg(F.count("*").alias("n"))
+    n = F.when(F.col("block_idx") >= 0, F.col("n"))
+    return b.agg(F.count(n).alias("blocks"), F.avg(n).alias("mean_size"), F.max(n).alias("max_size"), F.min(n).alias("min_size"), F.coalesce(F.sum(F.when(F.col("block_idx") < 0, F.col("n"))), F.lit(0)).alias("unassigned"))
+
+
 def prune(calls: DataFrame, v: DataFrame, window_variants: int, r2: float):
     """Greedy pruning along each chromosome: a variant goes if a kept one within the last `window_variants` variants is
     correlated with it by more than r2. Pairs come from ld(); the greedy pass over a chromosome's short list of

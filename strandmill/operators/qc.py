@@ -66,3 +66,15 @@ def class_weights(rows: DataFrame, label: str, halved: bool) -> DataFrame:
     t = c.agg(F.sum("n_class").alias("_n"), F.count("*").alias("_k"))
     w = F.col("_n") / F.col("n_class")
     return c.crossJoin(F.broadcast(t)).select(label, "n_class", (F.when(F.col("_k") == 2, w / 2) if halved else w).alias("weight"))
+
+
+def case_ratio(rows: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """(n, cases, ratio) of labels 0 and 1, by group where one is asked for."""
+    y = F.col(label)
+    return rows.where(y.isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("cases"), F.avg(y.cast("double")).alias("ratio"))
+
+
+def maf_drift(before: DataFrame, after: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(max_diff, drifted): the largest difference between two tables' MAF (variant_idx, maf), and how many exceed the tolerance."""
+    j = before.join(after.select("variant_idx", F.col("maf").alias("_m")), "variant_idx").select(F.abs(F.col("maf") - F.col("_m")).alias("_e"))
+    return j.agg(F.max("_e").alias("max_diff"), F.count_if(F.col("_e") > tolerance).alias("drifted"))

@@ -127,3 +127,19 @@ def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     one = F.concat_ws("#", *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("n")) for c in columns])
     h = F.conv(F.substring(F.md5(one), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.count("*").alias("n"), F.md5(F.coalesce(F.sum(h), F.lit(0)).cast("string")).alias("hash"))
+
+
+def duplicates(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of keys that more than one row has."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def mean_by_type(preds: DataFrame) -> DataFrame:
+    """(sample_idx, model_name, pred): the plain mean over the estimators of a model's name."""
+    return preds.groupBy("sample_idx", "model_name").agg(F.avg("pred").alias("pred"))
+
+
+def components_diagnostics(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: var_<c> of each column, corr_<a>_<b> of each pair of columns."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    return rows.agg(*[F.var_pop(c).alias(f"var_{c}") for c in columns], *[F.corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs])

@@ -130,6 +130,38 @@ def quantile_strata(rows: DataFrame, label: str, size: int, bins: int, seed: int
     return bottom_k(r, md5_order(seed, "sample_idx"), "sample_idx", F.col("_k"), ["bin"]).drop("_b", "_k")
 
 
+def strata_draw(rows: DataFrame, label: str, size: int, seed: int, bins: int = 10) -> DataFrame:
+    """`size` rows (all where there are fewer) in proportion to quantile bins of a continuous label. What rounding leaves short
+    is topped up from the other rows by hash, what it gives too much is trimmed; rows without a label go, and a label that
+    doesn't vary makes a plain draw."""
+    rows = rows.where(F.col(label).isNotNull())
+    order = md5_order(seed, "sample_idx")
+    ends = rows.agg(F.min(label) == F.max(label)).first()[0]
+    if ends is None or ends:
+        return bottom_k(rows, order, "sample_idx", F.lit(size))
+    drawn = quantile_strata(rows, label, size, bins, seed).drop("bin")
+    have = drawn.count()
+    if have > size:
+        return bottom_k(drawn, order, "sample_idx", F.lit(size))
+    rest = rows.join(drawn.select("sample_idx"), "sample_idx", "left_anti").select(*rows.columns)
+    return drawn.unionByName(bottom_k(rest, order, "sample_idx", F.lit(size - have)))
+
+
+def background(rows: DataFrame, label: str, classes: bool, size: int = 500, seed: int = 22) -> DataFrame:
+    """(sample_idx) of the rows that stand for all when values are explained: drawn by class, or by strata of a continuous
+    label, each row once, sorted."""
+    if not classes:
+        return strata_draw(rows, label, size, seed).select("sample_idx").orderBy("sample_idx")
+    return stratified(rows, label, size, seed).select("sample_idx").orderBy("sample_idx")
+
+
+def split_by_labels(samples: DataFrame, labels: DataFrame, wanted: list[str]) -> dict[str, DataFrame]:
+    """A frame of samples (sample_idx, iid) for each wanted label of labels (iid, label): ids are looked up, labels of ids that
+    aren't there are dropped."""
+    tagged = samples.join(labels.select("iid", F.col("label").alias("_label")), "iid").select(*samples.columns, "_label")
+    return {x: part.drop("_label") for x, part in split_by_column(tagged, "_label", wanted).items()}
+
+
 def per_population(rows: DataFrame, size: int, seed: int) -> DataFrame:
     """size // populations rows of each population."""
     r = with_count(rows, _p=F.count_distinct("population"))

@@ -23,6 +23,7 @@ from ..operators import sampling as P
 from ..operators import selection as N
 from ..operators import stats as S
 from ..operators.storage import cut
+from ..sources import cache
 
 
 #: Bins of a continuous label, for its mutual information with dosages.
@@ -106,11 +107,12 @@ class Fitted:
         return A.score_samples(x, self.coefs.where("variant_idx >= 0")).join(F.broadcast(base)).select("sample_idx", (F.col("prs") + F.col("_a")).alias("pred"))  # one row
 
 
-def train(calls: DataFrame, samples: DataFrame, config: Config, margin: bool = False) -> Fitted:
+def train(calls: DataFrame, samples: DataFrame, config: Config, margin: bool = False, folder: str | None = None) -> Fitted:
     """calls (sample_idx, variant_idx, dosage); samples (sample_idx, y, split and, if they are there, population, weight,
     offset and check) with splits train, val and, where the configuration filters or weights estimators, agg; samples
     without a label teach nothing. Weights count for trees and for linear members but stochastic ones, offsets for trees;
-    rows that check teach nothing and stop the boosting. With `margin` boosted trees of classes predict log odds."""
+    rows that check teach nothing and stop the boosting. With `margin` boosted trees of classes predict log odds.
+    A folder keeps the training statistics for other trainings on the same samples and files."""
     model, data = config.model, config.data
     more = [c for c in ("population", "weight", "offset", "check") if c in samples.columns]
     known = samples.where("y is not null").select("sample_idx", F.col("y").cast("double").alias("y"), "split", *more)
@@ -120,7 +122,11 @@ def train(calls: DataFrame, samples: DataFrame, config: Config, margin: bool = F
     if data.scale_labels:
         scale = cut(N.label_scale(rows, "y"))
         rows = N.standardised_label(rows, "y", scale)
-    stats = cut(Q.filter_variants(Q.variant_stats(calls.join(rows.select("sample_idx"), "sample_idx", "left_semi")), data.maf_threshold, data.missingness_threshold))
+    if folder is None:
+        found = Q.variant_stats(calls.join(rows.select("sample_idx"), "sample_idx", "left_semi"))
+    else:
+        found = cache.statistics(calls.sparkSession, folder, calls, rows, Q.variant_stats)
+    stats = cut(Q.filter_variants(found, data.maf_threshold, data.missingness_threshold))
     x = Q.standardize(calls, stats)
     own = cut(P.sample_plan(rows, model.n_estimators, data.max_samples, config.train.seed, data.draw, data.fixed_draw, data.controls_per_case))
     plan = P.variant_plan(stats, model.n_estimators, data.max_features, config.train.seed)

@@ -48,10 +48,25 @@ def kept(spark: SparkSession, folder: str, name: str, key: str, make: Callable[[
     return spark.read.parquet(path)
 
 
-def statistics(spark: SparkSession, folder: str, calls: DataFrame, samples: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Variant statistics of some samples (sample_idx), kept by the ids and the calls' columns of these samples."""
-    own = calls.join(samples.select("sample_idx").distinct(), "sample_idx", "left_semi")
-    return kept(spark, folder, "variant-stats", key_of({"columns": calls.columns}, samples.select("sample_idx").distinct(), own), lambda: make(own))
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of the files that a frame reads; none where it reads no files."""
+    jvm, conf, out = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def statistics(spark: SparkSession, folder: str, calls: DataFrame, samples: DataFrame, make: Callable[[DataFrame], DataFrame], settings: dict | None = None) -> DataFrame:
+    """Variant statistics of some samples (sample_idx), kept by the ids, the settings and the files that the calls come from
+    (their lengths and times, so a hit reads no call); calls that come from no files are hashed themselves. Calls that are
+    made from their files in different ways need different settings."""
+    ids = samples.select("sample_idx").distinct()
+    own = calls.join(ids, "sample_idx", "left_semi")
+    files = files_of(calls)
+    key = key_of({"columns": calls.columns, "files": files, **(settings or {})}, ids, *([] if files else [own]))
+    return kept(spark, folder, "variant-stats", key, lambda: make(own))
 
 
 def blocks(spark: SparkSession, folder: str, samples: DataFrame, variants: DataFrame, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:

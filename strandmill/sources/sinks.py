@@ -29,6 +29,24 @@ def named_interactions(edges: DataFrame, variants: DataFrame) -> DataFrame:
     return out
 
 
+def by_type(out: DataFrame, values: DataFrame, types: list[str]) -> DataFrame:
+    """Adds shap_<type> and shap_abs_<type> of each model type from values (variant_idx, model_type, value, value_abs)."""
+    wide = values.groupBy("variant_idx").pivot("model_type", types).agg(F.first("value").alias("v"), F.first("value_abs").alias("a"))
+    named = wide.select("variant_idx", *[c for t in types for c in (F.col(f"`{t}_v`").alias(f"shap_{t}"), F.col(f"`{t}_a`").alias(f"shap_abs_{t}"))])
+    return out.join(named, "variant_idx", "left")
+
+
+def save_annotations(path: str, variants: DataFrame, stats: DataFrame, shap: DataFrame, coefs: DataFrame | None = None, values: DataFrame | None = None, types: list[str] | None = None, edges: DataFrame | None = None) -> None:
+    """Writes path/annotations, with the columns of each model type where their values are given, and path/interactions where
+    edges are."""
+    out = annotations(variants, stats, shap, coefs)
+    if values is not None:
+        out = by_type(out, values, types or [])
+    out.write.mode("overwrite").parquet(f"{path}/annotations")
+    if edges is not None:
+        named_interactions(edges, variants).write.mode("overwrite").parquet(f"{path}/interactions")
+
+
 def save_model(fitted: Fitted, path: str) -> None:
     for part in PARTS:
         getattr(fitted, part).write.mode("overwrite").parquet(f"{path}/{part}")
