@@ -56,10 +56,19 @@ def xy(s, d):
     return train_calls(s, d).where("dosage is not null").withColumn("x", F.col("dosage").cast("double"))
 
 
+def fit(s, d):
+    """Statistics and marginal correlations with y_cont on the training rows, from one pass over the calls; written, as it is a
+    row for each variant, so that the calls meet it as a broadcast and needn't be shuffled."""
+    return cut(Q.variant_stats(train_calls(s, d), F.corr(F.col("dosage").cast("double"), "y_cont").alias("coef")))
+
+
+def passing(fitted):
+    """The coefficients of variants that pass QC."""
+    return Q.filter_variants(fitted, 0.05, 0.05).select("variant_idx", "coef").where("coef is not null")
+
+
 def coefs(s, d):
-    """Marginal correlations with y_cont on the training rows, for variants that pass QC."""
-    kept = Q.filter_variants(stats(s, d), 0.05, 0.05).select("variant_idx")
-    return xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(kept, "variant_idx", "left_semi")
+    return passing(Q.variant_stats(train_calls(s, d), F.corr(F.col("dosage").cast("double"), "y_cont").alias("coef")))
 
 
 TRAIN = "train as (select g.*, y_bin, y_cont from geno g join pheno p using (sample_idx) where split = 'train')"
@@ -93,7 +102,7 @@ def qc_filter_variants(s, d):
 
 @query(f"with {STATS}, {STD} select sample_idx, variant_idx, round(x, 6) as x from std", BASE)
 def geno_standardize(s, d):
-    return rounded(Q.standardize(V.geno(s, d), stats(s, d)), "x")
+    return rounded(Q.standardize(V.geno(s, d), cut(stats(s, d))), "x")
 
 
 @query("""select (c_custkey - 1)::bigint as sample_idx, c_custkey::varchar as iid, c_mktsegment as population, nullif(c_nationkey, -9)::double as y from
@@ -374,7 +383,8 @@ def early_stop(s, d):
 # ---- scoring, covariates --------------------------------------------------------------------------------------------
 @query(f"with {COEFS}, {STD} select sample_idx, round(sum(x * coef), 6) as prs from std join coefs using (variant_idx) where coef <> 0 group by 1", BASE)
 def prs_score(s, d):
-    return rounded(A.score_samples(Q.standardize(V.geno(s, d), stats(s, d)), coefs(s, d)), "prs")
+    found = fit(s, d)
+    return rounded(A.score_samples(Q.standardize(V.geno(s, d), found), passing(found)), "prs")
 
 
 @query(f"""with {COEFS}, {STD}, prs as (select sample_idx, round(sum(x * coef), 9) as prs from std join coefs using (variant_idx) group by 1),
@@ -382,10 +392,8 @@ def prs_score(s, d):
   select split, count(*) as n, round((sum(r) filter (y_bin = 1) - (sum(y_bin) * (sum(y_bin) + 1) / 2)::double) / nullif(sum(y_bin)::double * sum(1 - y_bin), 0), 6) as auc from r group by 1""", BASE)
 def flagship_score(s, d):
     """Calls, quality control, filters, standardisation, scores and AUC by split, as one plan."""
-    found = cut(stats(s, d))  # a row for each variant
-    kept = Q.filter_variants(found, 0.05, 0.05).select("variant_idx")
-    own = xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(kept, "variant_idx", "left_semi")
-    prs = cut(A.score_samples(Q.standardize(V.geno(s, d), found), own).join(V.pheno(s, d).select("sample_idx", "split", "y_bin"), "sample_idx"))
+    found = fit(s, d)
+    prs = cut(A.score_samples(Q.standardize(V.geno(s, d), found), passing(found)).join(V.pheno(s, d).select("sample_idx", "split", "y_bin"), "sample_idx"))
     return rounded(S.auc(prs, "prs", "y_bin", ["split"]).join(prs.groupBy("split").agg(F.count("*").alias("n")), "split").select("split", "n", "auc"), "auc")
 
 
@@ -447,9 +455,10 @@ SHAP = COEFS + f", {STD}, bg as (select variant_idx, avg(x) as m from std join p
 
 
 def shap_values(s, d):
-    x = Q.standardize(V.geno(s, d), stats(s, d))
+    found = fit(s, d)
+    x = Q.standardize(V.geno(s, d), found)
     bg = x.join(V.pheno(s, d).where("split = 'train'").select("sample_idx"), "sample_idx", "left_semi").groupBy("variant_idx").agg(F.avg("x").alias("_m"))
-    return x.join(bg.join(coefs(s, d), "variant_idx"), "variant_idx").select("sample_idx", "variant_idx", (F.col("coef") * (F.col("x") - F.col("_m"))).alias("phi"))
+    return x.join(bg.join(passing(found), "variant_idx"), "variant_idx").select("sample_idx", "variant_idx", (F.col("coef") * (F.col("x") - F.col("_m"))).alias("phi"))
 
 
 @query(f"with {SHAP} select sample_idx, variant_idx, round(phi, 6) as phi from shap", BASE)
@@ -459,14 +468,22 @@ def shap_linear_local(s, d):
 
 @query(f"with {SHAP} select variant_idx, round(avg(phi), 6) as shap, round(avg(abs(phi)), 6) as shap_abs from shap group by 1", BASE)
 def shap_linear_global(s, d):
-    """A variant's values depend on the dosage alone, so calls are counted by (variant, dosage, training row) first and
-    no value of a sample is ever made."""
-    found, train = cut(stats(s, d)), V.pheno(s, d).select("sample_idx", (F.col("split") == "train").cast("int").alias("t"))
-    n = V.geno(s, d).join(train, "sample_idx").groupBy("variant_idx", F.col("dosage").alias("dosage")).agg(F.count("*").alias("n"), F.sum("t").alias("n_train"))
-    x = Q.standardize(n.withColumn("sample_idx", F.lit(0)).withColumn("_n", F.struct("n", "n_train")), found, ["_n"]).select("variant_idx", "x", "_n.*")
-    kept = cut(xy(s, d).groupBy("variant_idx").agg(F.corr("x", "y_cont").alias("coef")).join(Q.filter_variants(found, 0.05, 0.05).select("variant_idx"), "variant_idx", "left_semi"))
-    w = Window.partitionBy("variant_idx")
-    x = x.withColumn("_m", F.sum(F.col("x") * F.col("n_train")).over(w) / F.sum("n_train").over(w)).join(kept, "variant_idx").withColumn("phi", F.col("coef") * (F.col("x") - F.col("_m")))
+    """A variant's values depend on the dosage alone, so one pass counts calls and adds up labels by (variant, dosage); the
+    statistics, the coefficients and the values of all samples come from these four rows of a variant."""
+    train = V.pheno(s, d).select("sample_idx", F.when(F.col("split") == "train", F.col("y_cont")).alias("y"))
+    y = F.col("y")
+    n = V.geno(s, d).join(train, "sample_idx").groupBy("variant_idx", "dosage").agg(F.count("*").alias("n"), F.count(y).alias("t"), F.coalesce(F.sum(y), F.lit(0.0)).alias("sy"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("syy"))
+    called, w = F.col("dosage").isNotNull(), Window.partitionBy("variant_idx")
+    k, g = F.sum(F.when(called, F.col("t"))).over(w), F.col("dosage").cast("double")
+    mean = F.sum(g * F.col("t")).over(w) / k
+    cov = F.sum(g * F.col("sy")).over(w) / k - mean * F.sum(F.when(called, F.col("sy"))).over(w) / k
+    vg = F.sum(g * g * F.col("t")).over(w) / k - mean * mean
+    vy = F.sum(F.when(called, F.col("syy"))).over(w) / k - F.pow(F.sum(F.when(called, F.col("sy"))).over(w) / k, 2)
+    p = mean / 2
+    x = n.select("*", F.least(p, 1 - p).alias("maf"), (1 - k / F.sum("t").over(w)).alias("missingness"), F.greatest(F.lit(0.001), F.least(F.lit(0.999), p)).alias("a0_freq"), (cov / F.sqrt(F.nullif(vg * vy, F.lit(0.0)))).alias("coef"))
+    sd = F.sqrt(2 * F.col("maf") * (1 - F.col("maf")))
+    x = Q.filter_variants(x, 0.05, 0.05).withColumn("x", F.coalesce((F.col("dosage") - 2 * F.col("a0_freq")) / F.when(sd == 0, 1.0).otherwise(sd), F.lit(0.0)))
+    x = x.withColumn("phi", F.col("coef") * (F.col("x") - F.sum(F.col("x") * F.col("t")).over(w) / F.sum("t").over(w)))
     return rounded(x.groupBy("variant_idx").agg((F.sum(F.col("phi") * F.col("n")) / F.sum("n")).alias("shap"), (F.sum(F.abs("phi") * F.col("n")) / F.sum("n")).alias("shap_abs")), "shap", "shap_abs")
 
 

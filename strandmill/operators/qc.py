@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def variant_stats(calls: DataFrame) -> DataFrame:
-    """MAF, missingness and A0 frequency of each variant in one pass: (variant_idx, maf, missingness, a0_freq)."""
+def variant_stats(calls: DataFrame, *more) -> DataFrame:
+    """MAF, missingness and A0 frequency of each variant in one pass: (variant_idx, maf, missingness, a0_freq), and what more
+    aggregates are asked for."""
     x, p = F.col("dosage"), F.avg("dosage") / 2
     a0 = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(F.sum(x), F.lit(0)) / F.greatest(F.count(x), F.lit(1)) / 2))
-    return calls.groupBy("variant_idx").agg(F.least(p, 1 - p).alias("maf"), F.avg(x.isNull().cast("double")).alias("missingness"), a0.alias("a0_freq"))
+    return calls.groupBy("variant_idx").agg(F.least(p, 1 - p).alias("maf"), F.avg(x.isNull().cast("double")).alias("missingness"), a0.alias("a0_freq"), *more)
 
 
 def filter_variants(stats: DataFrame, maf: float = 0.0, missingness: float = 0.05) -> DataFrame:
