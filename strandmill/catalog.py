@@ -612,6 +612,29 @@ def ld_prune(s, d):
     return G.prune(V.geno(s, d), V.variants_small(s, d), 3, 0.01)
 
 
+PRUNED = """with recursive v as (select variant_idx, chr, row_number() over (partition by chr order by pos, variant_idx) as n from variants_small),
+  rr as (select a.variant_idx as i, b.variant_idx as j, a.chr, b.n - a.n as gap, power(corr(x.dosage::double, y.dosage::double), 2) as r2 from v a join v b on a.chr = b.chr and b.n > a.n
+         join geno x on x.variant_idx = a.variant_idx join geno y on y.variant_idx = b.variant_idx and x.sample_idx = y.sample_idx where x.dosage is not null and y.dosage is not null group by 1, 2, 3, 4),
+  o as (select v.*, coalesce(before, []) as before from v left join (select j, list(i) as before from rr where gap <= 2 and r2 > 0.01::double group by 1) on j = variant_idx),
+  step as (select chr, n, variant_idx, [variant_idx] as l, true as kept from o where n = 1
+    union all select o.chr, o.n, o.variant_idx, case when list_has_any(step.l, o.before) then step.l else list_append(step.l, o.variant_idx) end, not list_has_any(step.l, o.before) from step join o on o.chr = step.chr and o.n = step.n + 1),
+  kept as (select variant_idx from step where kept),
+  sym as (select i as rep, j as snp, round(r2, 9) as r2 from rr union all select j, i, round(r2, 9) from rr union all select variant_idx, variant_idx, 1.0 from kept),
+  best as (select snp, rep, r2 from (select *, row_number() over (partition by snp order by r2 desc, rep) as n from sym where r2 >= 0.002 and rep in (select variant_idx from kept)) where n = 1)"""
+
+
+@query(f"{PRUNED}, ids as (select rep, row_number() over (order by rep) - 1 as b from (select distinct rep from best)) select variant_idx, coalesce(b, -1)::int as block_idx, round(r2, 6) as r2 from variants_small left join best on snp = variant_idx left join ids using (rep)", "geno variants_small")
+def ld_blocks_of_kept(s, d):
+    """Blocks around the variants that pruning keeps; a kept variant represents itself."""
+    calls, v = cut(V.geno(s, d)), V.variants_small(s, d)
+    kept = cut(G.prune(calls, v, 3, 0.01)).where("kept").select(F.col("variant_idx").alias("rep"))
+    p = cut(G.ld(calls, v, 1 << 40).withColumn("r2", F.round("r2", 9)))  # all pairs of a chromosome, as in the SQL
+    sym = p.select(F.col("i").alias("rep"), F.col("j").alias("snp"), "r2").unionByName(p.select(F.col("j").alias("rep"), F.col("i").alias("snp"), "r2"))
+    sym = sym.where("r2 >= 0.002").join(F.broadcast(kept), "rep", "left_semi").unionByName(kept.select("rep", F.col("rep").alias("snp"), F.lit(1.0).alias("r2")))
+    best = cut(G.best_representative(sym))
+    return rounded(G.blocks(v, best).join(best.select(F.col("snp").alias("variant_idx"), "r2"), "variant_idx", "left").select("variant_idx", F.col("block_idx").cast("int").alias("block_idx"), "r2"), "r2")
+
+
 def uni(seed, *cols):
     return f"((cast(concat('0x', substr(md5(concat_ws('_', {', '.join(cols)}, '{seed}')), 1, 8)) as bigint) + 0.5) / 4294967296.0)"
 

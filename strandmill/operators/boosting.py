@@ -1,4 +1,5 @@
-"""Tree members of an ensemble: boosted trees and forests on one patch, kept as JSON, fitted and read in grouped tasks.
+"""Tree members of an ensemble: boosted trees and forests on a patch that fits into a task, kept as plain data; level_trees
+grows the same trees over blocks of larger patches.
 
 Three boosted kinds differ in their usual settings only: `lightgbm` and `xgboost` grow greedy trees (the second with a
 penalty on leaves), `catboost` symmetric ones, where all nodes of a depth share their split. Genotypes have few distinct
@@ -6,12 +7,9 @@ values, so splits are found on counts by value."""
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "lightgbm": {"rounds": 60, "rate": 0.1, "depth": 3, "l2": 0.0, "least": 5, "symmetric": False},
@@ -20,8 +18,6 @@ SETTINGS = {
     "random_forest": {"rounds": 60, "rate": 1.0, "depth": 8, "l2": 0.0, "least": 2, "symmetric": False},
 }
 BINS = 16
-#: Samples that one task reads trees for at once.
-BLOCKS = 64
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -181,40 +177,3 @@ def pruned(model: dict, variants: list[int]) -> tuple[list[int], dict]:
     at = {j: i for i, j in enumerate(used)}
     move = lambda t: [at[t[0]], t[1], move(t[2]), move(t[3])] if isinstance(t, list) else t
     return [int(variants[j]) for j in used], model | {"cuts": [model["cuts"][j] for j in used], "trees": [move(t) for t in model["trees"]]}
-
-
-def fit_members(patch: DataFrame, kinds: list[str], classes: bool = False, seed: int = 22) -> DataFrame:
-    """(estimator_idx, member, variants, model): every kind fitted on each patch (estimator_idx, sample_idx, variant_idx, x, y
-    and, if they are there, weight, offset, check). A patch's size is a parameter; its members share its dense block."""
-    more = [c for c in ("weight", "offset", "check") if c in patch.columns]
-
-    def run(rows):
-        import pandas as pd
-
-        wide = rows.pivot(index="sample_idx", columns="variant_idx", values="x").fillna(0.0).sort_index(axis=1)
-        one = rows.drop_duplicates("sample_idx").set_index("sample_idx").reindex(wide.index)
-        e, given = int(rows["estimator_idx"].iloc[0]), {c: one[c].to_numpy(bool if c == "check" else float) for c in more}
-        out = [(e, k, list(map(int, wide.columns)), json.dumps(fit_trees(wide.to_numpy(float), one["y"].to_numpy(float), kind, classes, seed=seed + e, **given))) for k, kind in enumerate(kinds)]
-        return pd.DataFrame(out, columns=["estimator_idx", "member", "variants", "model"])
-
-    return patch.groupBy("estimator_idx").applyInPandas(run, "estimator_idx int, member int, variants array<int>, model string")
-
-
-def read_members(x: DataFrame, members: DataFrame) -> DataFrame:
-    """(estimator_idx, sample_idx, pred): the mean of an estimator's members for every sample of x, in blocks of samples.
-    Variants that a sample lacks are 0."""
-    plan = members.select("estimator_idx", F.explode("variants").alias("variant_idx")).distinct()
-    block = F.pmod(F.xxhash64("sample_idx"), F.lit(BLOCKS)).cast("int")
-    left = x.join(plan, "variant_idx").select("estimator_idx", block.alias("block"), "sample_idx", "variant_idx", "x").groupBy("estimator_idx", "block")
-    right = members.select(F.col("estimator_idx").alias("_e"), "variants", "model", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b")).groupBy("_e", "_b")
-
-    def run(rows, own):
-        import pandas as pd
-
-        if not len(rows) or not len(own):
-            return pd.DataFrame({"estimator_idx": [], "sample_idx": [], "pred": []})
-        wide = rows.pivot(index="sample_idx", columns="variant_idx", values="x")
-        preds = [read_trees(json.loads(m), wide.reindex(columns=v).fillna(0.0).to_numpy(float)) for v, m in zip(own["variants"], own["model"])]
-        return pd.DataFrame({"estimator_idx": int(own["_e"].iloc[0]), "sample_idx": wide.index, "pred": np.mean(preds, axis=0)})
-
-    return left.cogroup(right).applyInPandas(run, "estimator_idx int, sample_idx long, pred double")

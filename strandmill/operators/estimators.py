@@ -60,17 +60,6 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 50) ->
     return b[:-1], float(b[-1])
 
 
-def sgd(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.01, l2: float = 1e-4, seed: int = 22) -> tuple[np.ndarray, float]:
-    rng, b, a = np.random.default_rng(seed), np.zeros(x.shape[1]), 0.0
-    for e in range(epochs):
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
-            g = (x[rows] @ b + a - y[rows]) / len(rows)
-            step = rate / (1 + 0.1 * e)
-            b -= step * (x[rows].T @ g + l2 * b)
-            a -= step * g.sum()
-    return b, a
-
-
 def logistic_net(x: np.ndarray, y: np.ndarray, l1: float, l2: float, rounds: int = 3000) -> tuple[np.ndarray, float]:
     """Accelerated proximal steps for the mean logistic loss + l1 |b| + l2/2 |b|^2; the intercept is free."""
     mean, n = x.mean(0), len(y)
@@ -115,7 +104,7 @@ MODELS = {
     "linear_l2": lambda x, y: elastic_net(x, y, 1.0 / max(len(y), 1), 0.0),
     "elasticnet": lambda x, y: elastic_net(x, y, 0.05, 0.5),
     "bayesian": bayesian_ridge,
-    "sgd": sgd,
+    "sgd": lambda x, y: sgd_member(x, y, "l2", False),
     "sgd_l1": lambda x, y: sgd_member(x, y, "l1", False),
     "sgd_l2": lambda x, y: sgd_member(x, y, "l2", False),
     "sgd_elasticnet": lambda x, y: sgd_member(x, y, "elasticnet", False),

@@ -80,9 +80,29 @@ def local_shap(wide: DataFrame, key: str, features: str, model) -> DataFrame:
     return local_values(wide, key, features, lambda x: tree_shap(leaves, x))
 
 
+def pair_sums(leaves: list[tuple], x: np.ndarray) -> dict[tuple[int, int], float]:
+    """Sums over the rows of the interaction values of feature pairs that share a path, (i, j) with i < j. Rows that follow the
+    same of a path's splits have the same value, so each pattern is worked out once; other pairs have no cell."""
+    out: dict[tuple[int, int], float] = {}
+    for value, path in leaves:
+        d = len(path)
+        if d < 2:
+            continue
+        on = np.column_stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path])
+        there, times = np.unique(on @ (1 << np.arange(d)), return_counts=True)
+        on, share = (there[:, None] >> np.arange(d) & 1).astype(float), np.array([s for *_, s in path])
+        w = np.array([factorial(k) * factorial(d - 2 - k) / (2 * factorial(d - 1)) for k in range(d - 1)])
+        for i in range(d):
+            for j in range(i + 1, d):
+                v = value * (on[:, i] - share[i]) * (on[:, j] - share[j]) * (_others(on, share, (i, j)) @ w)
+                key = (min(path[i][0], path[j][0]), max(path[i][0], path[j][0]))
+                out[key] = out.get(key, 0.0) + float(v @ times)
+    return out
+
+
 def interactions(wide: DataFrame, features: str, model) -> DataFrame:
-    """(variant_i, variant_j, interact_values) with i < j: mean interaction values over all rows, zero ones left out. Each
-    batch sends one partial sum for a pair."""
+    """(variant_i, variant_j, interact_values) with i < j: mean interaction values over all rows of pairs that share a path, zero
+    ones left out. Each batch sends one partial sum for a pair."""
     from pyspark.ml.functions import vector_to_array
 
     leaves = leaves_of(model)
@@ -92,9 +112,9 @@ def interactions(wide: DataFrame, features: str, model) -> DataFrame:
 
         for f in frames:
             if len(f):
-                v = np.triu(tree_shap(leaves, np.stack(f["_x"].to_numpy()), pairs=True).sum(axis=0), 1)
-                i, j = np.nonzero(v)
-                yield pd.DataFrame({"variant_i": [-1, *i], "variant_j": [-1, *j], "s": [0.0, *v[i, j]], "n": [len(f)] + [0] * len(i)})
+                v = {k: s for k, s in pair_sums(leaves, np.stack(f["_x"].to_numpy())).items() if s}
+                i, j = zip(*v) if v else ((), ())
+                yield pd.DataFrame({"variant_i": [-1, *i], "variant_j": [-1, *j], "s": [0.0, *v.values()], "n": [len(f)] + [0] * len(v)})
 
     sums = wide.select(vector_to_array(features).alias("_x")).mapInPandas(run, "variant_i int, variant_j int, s double, n long")
     sums = sums.groupBy("variant_i", "variant_j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
