@@ -33,8 +33,10 @@ _HOLDS = frozenset("article aside blockquote body button center details dialog d
 _FURNITURE = frozenset("nav footer aside menu button dialog".split())
 _MAYBE = frozenset("form fieldset".split())
 #: Words of class, id, role and itemprop: of furniture itself, and such as layout containers around a text bear too.
-_SIGNS = frozenset("ad ads advert advertisement adverts comment comments comentarios commentaire commentaires kommentare consent cookie cookies copyright disqus gdpr newsletter promo replies reply respond sponsor sponsored".split())
+_SIGNS = frozenset("ad ads advert advertisement adverts anuncio anuncios anzeige comment comments comentarios commentaire commentaires kommentare consent cookie cookies copyright disqus gdpr newsletter promo pub publicidad publicite replies reply respond sponsor sponsored werbung".split())
 _MAYBE_SIGNS = frozenset("banner breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation notice pager pagination popup related share sharing sidebar signup social subscribe toolbar widget".split())
+#: Words that say of a container what kind it is, not what it holds.
+_KINDS = frozenset("area bar block body bottom box button card cell container content end first footer form group header head holder inline inner item label last left line link links list main middle module note outer panel right row section side slot small space text title top unit wrap wrapper zone".split())
 _LAYOUT = re.compile(r"(?:has|with|no|without)[-_]", re.I)  # class names that say what a container has
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_furniture", "furniture_around", "page_has_article", "is_heading"]
@@ -149,7 +151,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
                     break
         elif not m[0].endswith("/>"):
             attributes = m[5] or ""
-            signs = {w for n in _NAME.findall(attributes) for x in "".join(n).lower().split() if not _LAYOUT.match(x) for w in _WORD.split(x)}
+            named_words = [{w for w in _WORD.split(x) if w} for n in _NAME.findall(attributes) for x in "".join(n).lower().split() if not _LAYOUT.match(x)]
+            signs = set().union(*named_words)
             inside, furniture, around, hidden = open_tags[-1][1:] if open_tags else (0, 0, 0, False)
             hidden = hidden or bool(_HIDDEN.search(attributes))
             if name in ("article", "main") or "articlebody" in signs:
@@ -160,9 +163,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
             if inside:
                 signs.discard("header")  # an article's own
             named = name not in ("body", "html", "article", "main")
-            if hidden or name in _FURNITURE or (named and signs & _SIGNS):
+            # in an article a name that also says something else (cookie-steps) may be of its text; words and links decide
+            sure = [x for x in named_words if x & _SIGNS and (not inside or all(w in _SIGNS or w in _MAYBE_SIGNS or w in _KINDS or w.isdigit() for w in x))]
+            if hidden or name in _FURNITURE or (named and sure):
                 furniture = 2
-            elif name in _MAYBE or (name == "header" and not inside) or (named and signs & _MAYBE_SIGNS):
+            elif name in _MAYBE or (name == "header" and not inside) or (named and signs & (_MAYBE_SIGNS | _SIGNS)):
                 furniture = max(furniture, 1)
             open_tags.append((name, inside, furniture, around, hidden))
     if at < len(page):
