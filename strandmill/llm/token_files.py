@@ -143,7 +143,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END, file_
 
 
 def read(spark, folder: str, index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; start counts all ids of lower documents."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; start counts all ids of lower documents. A file of
+    the index that isn't in the folder any more is an error."""
     whole = Window.orderBy("block", "number").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.select(F.col("block").alias("_b"), F.col("number").alias("_n"), F.coalesce(F.sum("ids").over(whole), F.lit(0)).alias("_base"))  # a row for each file
 
@@ -161,8 +162,12 @@ def read(spark, folder: str, index: DataFrame) -> DataFrame:
 
     if index.limit(1).count() == 0:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rvb").load(folder).select("content")
-    rows = files.mapInArrow(run, "block int, number int, doc_id long, _at long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rvb").load(folder)
+    there = files.select(F.regexp_extract("path", r"([^/]+)\.rvb$", 1).alias("_name"))
+    lost = index.select(F.format_string("%08d-%06d", "block", "number").alias("_name")).join(there, "_name", "left_anti").limit(5).collect()
+    if lost:
+        raise FileNotFoundError(f"token files {', '.join(sorted(r[0] for r in lost))} are missing in {folder}")
+    rows = files.select("content").mapInArrow(run, "block int, number int, doc_id long, _at long, n_tokens long, ids_crc32 long")
     placed = rows.join(bases, (F.col("block") == F.col("_b")) & (F.col("number") == F.col("_n")))
     return placed.select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
