@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import BASE, ECOEFS, LAID, SHAP, STATS, estimator_coefs, query, rounded, scored, shap_values, stats, train_calls
@@ -78,7 +79,7 @@ def fs_mutual_info_regression(s, d):
     span = x.agg(F.min("y_cont").alias("_lo"), F.max("y_cont").alias("_hi"))  # one row
     x = x.where("dosage is not null").crossJoin(F.broadcast(span)).withColumn("y", F.least(F.lit(4), F.floor((F.col("y_cont") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / 5))).cast("int"))
     cells = x.groupBy("variant_idx", "dosage", "y").agg(F.count("*").cast("double").alias("_c"))
-    w = lambda *by: F.sum("_c").over(G.Window.partitionBy("variant_idx", *by))
+    w = lambda *by: F.sum("_c").over(Window.partitionBy("variant_idx", *by))
     cells = cells.withColumn("_n", w()).withColumn("_x", w("dosage")).withColumn("_y", w("y"))
     return cells.groupBy("variant_idx").agg(F.round(F.sum(F.col("_c") / F.col("_n") * F.log(F.col("_c") * F.col("_n") / (F.col("_x") * F.col("_y")))), 6).alias("mi"))
 
