@@ -9,10 +9,6 @@ from ..sources.views import md5_order
 from .storage import cut
 
 
-def rank(order, by: list[str] | None = None) -> Column:
-    return F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order if isinstance(order, list) else [order]))
-
-
 def numbered(rows: DataFrame, keys: list[str], name: str = "position", by: list[str] | None = None) -> DataFrame:
     """Adds the row's place, from 0, in order of the keys (columns), in its group where `by` names some. Rows are range-dealt,
     sorted in their range, numbered there and written down with both numbers: a second look at the same plan would sample
