@@ -8,6 +8,7 @@ QUERIES = {
         bpe.op1_bpe, minhash.op2_minhash, token_counts.op3_token_counts, mixing.op4_mixing, sharding.op5_sharding,
         html_text.op6_html, token_files.op7_token_files, lattice.op8_lattice, spotsigs.op9_spotsigs, quality.op10_quality,
         merkle.op11_merkle, ball_tree.op12_clusters, line_dedup.op13_lines,
+        spotsigs.spotsigs_groups,
     )
 }
 

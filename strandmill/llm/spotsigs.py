@@ -4,8 +4,8 @@ Anchors are the words with at least SHARE of all word occurrences, found exactly
 has at least half of it in partitions where its own share is above SHARE / 2, so the first pass yields at most
 2 / SHARE candidates, which the second counts. Every other word is a content word. A signature is an anchor and the
 next CHAIN content words; a fingerprint is the set of a text's signatures. Fingerprints are compared by Jaccard,
-pruned by set length: sets whose lengths differ too much can't reach a threshold, so pairs meet within partitions of
-set length only, through the prefixes of their ordered signatures.
+pruned by set length: sets whose lengths differ too much can't reach a threshold, so sets meet within partitions of
+set length only, through the prefixes of their signatures, rarest first.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, deal, in_key_order, materialize, mix64, table, texts_of
+from .common import Cache, components, deal, in_key_order, materialize, mix64, small_batches, spread_join, table, texts_of, tidy
+from .minhash import _across as across
+from .minhash import _verified as verified
+from .minhash import odd_sketch
 
 SHARE = 1 / 1000
 CHAIN = 2
+THRESHOLD = 0.8
+#: Counters of the sketch that orders signatures by how many sets have them: 2 MB on the driver and in each worker.
+COUNTERS = 1 << 18
 
 
 def anchors(docs: DataFrame, share: float = SHARE) -> list[str]:
@@ -124,30 +130,61 @@ def fingerprint(docs: DataFrame, columns: list[str], share: float = SHARE) -> Da
     return docs.select(*columns, "text").mapInArrow(run, f"{kinds}, fingerprint string, set_length int")
 
 
-def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness) over distinct fingerprints with likeness >= threshold; prints: fingerprint, set_length.
+def rarity(sets: DataFrame) -> np.ndarray:
+    """COUNTERS counts of the signatures of all sets (`s`, 32-bit integers), each in the counter that its hash names. A full
+    sketch still gives one order for all sets, so that what shares signatures meets; it only prunes less."""
 
-    Set lengths are cut into partitions by powers of 1 / threshold; a set meets its own partition and the next. Within
-    one, two sets above the threshold share a signature among the first n - ceil(threshold n) + 1 of each, and all
-    candidates are compared exactly. Copies are one fingerprint, so groups of them make no pairs."""
-    sets = prints.where("set_length > 0").select("fingerprint", "set_length").distinct()
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                counts += np.bincount(counter(np.frombuffer(s, "<u4")), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["c", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for c, n in sets.select("s").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n")).collect():  # COUNTERS rows at most
+        out[c] = n
+    return out
+
+
+def counter(signatures: np.ndarray) -> np.ndarray:
+    return (mix64(signatures.astype(np.uint64) + np.uint64(1)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(_key, band) of sets (_key, `s`): the buckets in which sets at least `threshold` alike are sure to meet.
+
+    Set lengths are cut into partitions by powers of 1 / threshold; a set is in its own partition and in the next. Within
+    one, two sets above the threshold share a signature among the first n - ceil(threshold n) + 1 of each in any common
+    order, here the rarest first. Empty sets are in none."""
+    counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     @F.pandas_udf("array<long>")
-    def prefix(fp):
+    def own(s):
         import pandas as pd
 
-        def own(x):
-            s = signatures_of(x)
-            order = np.argsort(mix64(s.astype(np.uint64) + np.uint64(1)))
-            return s[order][: len(s) - math.ceil(threshold * len(s)) + 1].astype(np.int64)
+        def prefix(x):
+            x = np.frombuffer(x, "<u4")
+            order = np.lexsort((x, counts.value[counter(x)]))
+            return x[order[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1]].astype(np.int64) if len(x) else np.zeros(0, np.int64)
+
+        return pd.Series([prefix(x) for x in s], dtype=object)
+
+    part = F.floor(F.log(F.length("s") / 4) / math.log(1 / threshold) + 1e-9)
+    keyed = sets.where(F.length("s") > 0).select("_key", part.alias("p"), F.explode(own("s")).alias("sig"))
+    return keyed.select("_key", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "sig").select("_key", (F.shiftleft("p", 32) + F.col("sig")).alias("band"))
+
 
-        return pd.Series([own(x) for x in fp])
+def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, likeness) over distinct fingerprints with likeness >= threshold; prints: fingerprint. Copies are one fingerprint.
 
-    part = F.floor(F.log(F.col("set_length").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    keyed = sets.select("fingerprint", part.alias("p"), F.explode(prefix("fingerprint")).alias("s"))
-    left = keyed.select(F.col("fingerprint").alias("a"), "s", F.explode(F.array("p", F.col("p") + 1)).alias("q"), F.col("p").alias("_pa"))
-    right = keyed.select(F.col("fingerprint").alias("b"), "s", F.col("p").alias("q"))
-    pairs = left.join(right, ["s", "q"]).where((F.col("q") > F.col("_pa")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    All links as rows, so for tables without large families of near copies; near_groups finds their groups without."""
+    sets = prints.select("fingerprint").distinct().withColumn("_key", F.col("fingerprint")).withColumn("s", F.unbase64("fingerprint"))
+    found = buckets(sets, threshold)
+    pairs = found.select(F.col("_key").alias("a"), "band").join(found.select(F.col("_key").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
 
     @F.pandas_udf("double")
     def likeness(a, b):
@@ -158,6 +195,73 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.withColumn("likeness", likeness("a", "b")).where(F.col("likeness") >= threshold)
 
 
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
+    """doc_id, fingerprint_key (128 bits of the fingerprint, hex), group_id (the smallest doc_id of the group), group_size of
+    every row. A group is what fingerprints at least `threshold` alike connect; equal fingerprints are alike.
+
+    Null texts count as empty; texts without words have the empty fingerprint and are one group, whose doc_ids may all be
+    null as those of any other; repeated rows are rows of their text's group; an empty table gives no rows.
+
+    Fingerprints meet in buckets of set length and rare signature. Each is compared with its bucket's centre; only members
+    that are still apart meet in blocks, where parity sketches rule most out. So no bucket writes all its pairs, none is
+    cut, and only pairs that are compared become rows."""
+    small_batches(docs.sparkSession)
+    made = anchors(docs, share)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sign, seen = Fingerprinter(made), set()
+        for batch in batches:
+            keys, sets = [], []
+            for t in texts_of(batch):
+                s = sign(t).astype("<u4").tobytes()
+                keys.append(hashlib.blake2b(s, digest_size=16).digest())
+                sets.append(None if keys[-1] in seen else s)
+                seen.add(keys[-1])
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "_key", "s"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, _key binary, s binary"), "spots")
+    sets = materialize(rows.where("s is not null").groupBy("_key").agg(F.first("s").alias("s")), "spot-sets")
+    own = buckets(sets, threshold)
+    centres = own.groupBy("band").agg(F.min("_key").alias("_c"), F.max("_key").alias("_z")).where("_c <> _z").select(F.col("band").alias("_band"), "_c")
+    shared = materialize(spread_join(own, centres, "band", "_band", "_key").select("_key", "band", "_c"), "spot-buckets")
+    nodes = shared.select(F.col("_key").alias("id")).distinct()
+
+    @F.pandas_udf("binary")
+    def wide(s):
+        import pandas as pd
+
+        return pd.Series([np.frombuffer(x, "<u4").astype(np.uint64).tobytes() for x in s], dtype=object)
+
+    @F.pandas_udf("binary")
+    def sketch(s):
+        import pandas as pd
+
+        return pd.Series([odd_sketch(np.frombuffer(x, "<u4").astype(np.uint64)) for x in s], dtype=object)
+
+    compared = sets.select(F.col("_key").alias("k"), wide("s").alias("s"))
+    star = shared.where("_key <> _c").select(F.col("_c").alias("a"), F.col("_key").alias("b")).distinct()
+    links = verified(star, compared, threshold, "spot-star")
+    found = materialize(components(nodes, links, "spot-star"), "spot-star-components")
+    placed = shared.join(found.select(F.col("id").alias("_key"), "component"), "_key").select("band", "_key", "component")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
+    rest = materialize(placed.join(mixed, "band", "left_semi"), "spot-apart")
+    known = sets.join(rest.select("_key").distinct(), "_key", "left_semi").select("_key", (F.length("s") / 4).cast("int").alias("size"), sketch("s").alias("sketch"))
+    more = materialize(across(rest.join(known, "_key"), threshold), "spot-rest")
+    more_links = verified(more, compared, threshold, "spot-rest")
+    if more_links.limit(1).count():
+        found = materialize(components(nodes, links.unionByName(more_links), "spots"), "spot-components")
+    sums = rows.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
+    of = sums.join(found.select(F.col("id").alias("_key"), "component"), "_key", "left").withColumn("_g", F.coalesce("component", "_key"))
+    groups = of.groupBy("_g").agg(F.min("_first").alias("group_id"), F.sum("_n").alias("group_size"))
+    named = of.select(F.col("_key").alias("_k"), "_g").join(groups, "_g").select("_k", "group_id", "group_size")
+    return spread_join(rows.select("doc_id", "_key"), named, "_key", "_k", "doc_id").select("doc_id", F.lower(F.hex("_key")).alias("fingerprint_key"), "group_id", "group_size")
+
+
 def against_edited(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, set_length of every row.
 
@@ -219,3 +323,7 @@ def against_edited(docs: DataFrame, share: float = SHARE) -> DataFrame:
 
 def op9_spotsigs(spark, sf_dir: str) -> DataFrame:
     return against_edited(table(spark, sf_dir, "documents"))
+
+
+def spotsigs_groups(spark, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
