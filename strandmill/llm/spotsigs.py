@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import Cache, components, deal, in_key_order, materialize, mix64, small_batches, spread_join, table, texts_of, tidy
 from .minhash import _across as across
-from .minhash import _verified as verified
 from .minhash import odd_sketch
 
 SHARE = 1 / 1000
@@ -159,7 +158,8 @@ def buckets(sets: DataFrame, threshold: float) -> DataFrame:
 
     Set lengths are cut into partitions by powers of 1 / threshold; a set is in its own partition and in the next. Within
     one, two sets above the threshold share a signature among the first n - ceil(threshold n) + 1 of each in any common
-    order, here the rarest first. Empty sets are in none."""
+    order, here the rarest first. Empty sets are in none. Signatures in the prefix of one set alone, which most are, go by a
+    count before partitions double the rows."""
     counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     @F.pandas_udf("array<long>")
@@ -174,8 +174,28 @@ def buckets(sets: DataFrame, threshold: float) -> DataFrame:
         return pd.Series([prefix(x) for x in s], dtype=object)
 
     part = F.floor(F.log(F.length("s") / 4) / math.log(1 / threshold) + 1e-9)
-    keyed = sets.where(F.length("s") > 0).select("_key", part.alias("p"), F.explode(own("s")).alias("sig"))
-    return keyed.select("_key", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "sig").select("_key", (F.shiftleft("p", 32) + F.col("sig")).alias("band"))
+    keyed = sets.where(F.length("s") > 0).select("_key", part.cast("int").alias("p"), F.explode(own("s")).alias("sig"))
+    shared = keyed.groupBy(F.col("sig").alias("_sig")).count().where("count > 1").select("_sig")  # a set has a signature once
+    both = spread_join(keyed, shared, "sig", "_sig", "_key")
+    return both.select("_key", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "sig").select("_key", (F.shiftleft(F.col("p").cast("long"), 32) + F.col("sig")).alias("band"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) of keys whose sets (_key, `s`) are at least `threshold` alike, exactly."""
+
+    @F.pandas_udf("boolean")
+    def alike(x, y):
+        import pandas as pd
+
+        out = []
+        for p, q in zip(x, y):
+            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+            both = 0 if min(len(p), len(q)) < threshold * max(len(p), len(q)) - 1e-9 else len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("_sb")), "b")
+    return materialize(both.where(alike("_sa", "_sb")).select("a", "b"), f"{name}-links")
 
 
 def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,33 +246,27 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, share: float = SH
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, _key binary, s binary"), "spots")
     sets = materialize(rows.where("s is not null").groupBy("_key").agg(F.first("s").alias("s")), "spot-sets")
-    own = buckets(sets, threshold)
+    own = materialize(buckets(sets, threshold), "spot-buckets")
     centres = own.groupBy("band").agg(F.min("_key").alias("_c"), F.max("_key").alias("_z")).where("_c <> _z").select(F.col("band").alias("_band"), "_c")
-    shared = materialize(spread_join(own, centres, "band", "_band", "_key").select("_key", "band", "_c"), "spot-buckets")
+    shared = materialize(spread_join(own, centres, "band", "_band", "_key").select("_key", "band", "_c"), "spot-centres")
     nodes = shared.select(F.col("_key").alias("id")).distinct()
 
-    @F.pandas_udf("binary")
-    def wide(s):
-        import pandas as pd
-
-        return pd.Series([np.frombuffer(x, "<u4").astype(np.uint64).tobytes() for x in s], dtype=object)
-
     @F.pandas_udf("binary")
     def sketch(s):
         import pandas as pd
 
         return pd.Series([odd_sketch(np.frombuffer(x, "<u4").astype(np.uint64)) for x in s], dtype=object)
 
-    compared = sets.select(F.col("_key").alias("k"), wide("s").alias("s"))
+    compared = materialize(sets.join(nodes.select(F.col("id").alias("_key")), "_key", "left_semi"), "spot-compared")
     star = shared.where("_key <> _c").select(F.col("_c").alias("a"), F.col("_key").alias("b")).distinct()
-    links = verified(star, compared, threshold, "spot-star")
+    links = linked(star, compared, threshold, "spot-star")
     found = materialize(components(nodes, links, "spot-star"), "spot-star-components")
     placed = shared.join(found.select(F.col("id").alias("_key"), "component"), "_key").select("band", "_key", "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
     rest = materialize(placed.join(mixed, "band", "left_semi"), "spot-apart")
-    known = sets.join(rest.select("_key").distinct(), "_key", "left_semi").select("_key", (F.length("s") / 4).cast("int").alias("size"), sketch("s").alias("sketch"))
+    known = compared.join(rest.select("_key").distinct(), "_key", "left_semi").select("_key", (F.length("s") / 4).cast("int").alias("size"), sketch("s").alias("sketch"))
     more = materialize(across(rest.join(known, "_key"), threshold), "spot-rest")
-    more_links = verified(more, compared, threshold, "spot-rest")
+    more_links = linked(more, compared, threshold, "spot-rest")
     if more_links.limit(1).count():
         found = materialize(components(nodes, links.unionByName(more_links), "spots"), "spot-components")
     sums = rows.groupBy("_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
