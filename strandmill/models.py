@@ -92,7 +92,7 @@ def kernel_shap_local(s, d):
     wide = _wide(s, d)
     leaves = X.leaves_of(E.boosted(wide, "features", "y", maxIter=3, maxDepth=3))
     background = X.background_rows(wide, "features", "vec_id", 20)
-    return X.kernel_values(wide, "vec_id", "features", lambda r: X.leaf_sum(leaves, r), background, 512).withColumn("phi", F.round("phi", 6))
+    return X.leaf_kernel_values(wide, "vec_id", "features", leaves, background, 512).withColumn("phi", F.round("phi", 6))
 
 
 def covariate_train_predict(s, d):

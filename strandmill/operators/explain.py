@@ -219,6 +219,40 @@ def kernel_values(wide: DataFrame, key: str, features: str, predict, background:
     return rows.mapInPandas(run, f"{key} {kind}, variant_idx int, part double").groupBy(key, "variant_idx").agg(F.sum("part").alias("phi"))
 
 
+def leaf_kernel(leaves: list[tuple], x: np.ndarray, background: np.ndarray, masks: np.ndarray, solver: np.ndarray) -> np.ndarray:
+    """rows x features: what sampled_kernel gives of the leaves' sum over all coalitions, without a prediction for each row,
+    coalition and background row. A leaf's part of a coalition's value depends on which of its path's splits the row follows
+    and which of its path's features the coalition has, and the solution is linear in the values: so each pattern of a path's
+    splits that occurs is solved once, and a row adds up its patterns' solutions."""
+    phi = np.zeros(x.shape)
+    for value, path in leaves:
+        if not path:
+            continue
+        follows = lambda rows: np.column_stack([(rows[:, f] > low) & (rows[:, f] <= high) for f, low, high, _ in path])  # noqa: B023, E731
+        patterns, at = np.unique(follows(x), axis=0, return_inverse=True)
+        own, there = masks[:, [f for f, *_ in path]], follows(background)
+        known, times = np.unique(own, axis=0, return_inverse=True)  # path features that coalitions have
+        rest = (known[:, None, :] | there).all(axis=2).mean(axis=1)  # background rows that follow the others
+        paid = value * ((~known[:, None, :] | patterns).all(axis=2) * rest[:, None])[times.ravel()]
+        empty, full = value * there.all(axis=1).mean(), value * patterns.all(axis=1)
+        solved = (solver @ (paid - empty - masks[:, -1:] * (full - empty))).T
+        phi += np.column_stack([solved, full - empty - solved.sum(axis=1)])[at.ravel()]
+    return phi
+
+
+def leaf_kernel_values(wide: DataFrame, key: str, features: str, leaves: list[tuple], background: np.ndarray, pairs: int = 1024, seed: int = 22) -> DataFrame:
+    """kernel_values of an ensemble's leaves: the same coalitions, background and regression, a row's work growing with the
+    leaves and no more with coalitions times background rows. No row meets another."""
+    d, spark = background.shape[1], wide.sparkSession
+    spread = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    if d == 1:
+        empty = float(leaf_sum(leaves, background).mean())
+        return local_values(spread, key, features, lambda x: (leaf_sum(leaves, x) - empty)[:, None], True)
+    masks, weights = coalitions(d, pairs, seed)
+    solver = kernel_solver(masks, weights)
+    return local_values(spread, key, features, lambda x: leaf_kernel(leaves, x, background, masks, solver), True)
+
+
 def leaf_sum(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
     """Predictions of an ensemble from its leaves."""
     out = np.zeros(len(x))
@@ -236,8 +270,9 @@ def background_rows(wide: DataFrame, features: str, key: str, size: int = 500, s
     return np.array([r["_x"] for r in got], dtype=float)
 
 
-def local_values(wide: DataFrame, key: str, features: str, explain) -> DataFrame:
-    """(key, variant_idx, phi) of every row, zeros left out; `explain` maps rows x features to values of the same shape."""
+def local_values(wide: DataFrame, key: str, features: str, explain, zeros: bool = False) -> DataFrame:
+    """(key, variant_idx, phi) of every row, zeros left out unless asked for; `explain` maps rows x features to values of the
+    same shape."""
     from pyspark.ml.functions import vector_to_array
 
     kind = wide.schema[key].dataType.simpleString()
@@ -248,7 +283,7 @@ def local_values(wide: DataFrame, key: str, features: str, explain) -> DataFrame
         for f in frames:
             if len(f):
                 phi = explain(np.stack(f["_x"].to_numpy()))
-                i, j = np.nonzero(phi)
+                i, j = np.nonzero(np.ones_like(phi) if zeros else phi)
                 yield pd.DataFrame({key: f[key].to_numpy()[i], "variant_idx": j.astype(np.int32), "phi": phi[i, j]})
 
     return wide.select(key, vector_to_array(features).alias("_x")).mapInPandas(run, f"{key} {kind}, variant_idx int, phi double")
