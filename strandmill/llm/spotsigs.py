@@ -28,6 +28,8 @@ CHAIN = 2
 THRESHOLD = 0.8
 #: Counters of the sketch that orders signatures by how many sets have them: 2 MB on the driver and in each worker.
 COUNTERS = 1 << 18
+#: Sets whose signatures are counted at once, since each count takes a pass over all counters.
+TOGETHER = 256
 
 
 def anchors(docs: DataFrame, share: float = SHARE) -> list[str]:
@@ -138,8 +140,9 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                counts += np.bincount(counter(np.frombuffer(s, "<u4")), minlength=COUNTERS)
+            for i in range(0, batch.num_rows, TOGETHER):
+                some = np.frombuffer(b"".join(batch.column(0).slice(i, TOGETHER).to_pylist()), "<u4")
+                counts += np.bincount(counter(some), minlength=COUNTERS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["c", "n"])
 
@@ -162,19 +165,20 @@ def buckets(sets: DataFrame, threshold: float) -> DataFrame:
     count before partitions double the rows."""
     counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def own(s):
         import pandas as pd
 
         def prefix(x):
             x = np.frombuffer(x, "<u4")
             order = np.lexsort((x, counts.value[counter(x)]))
-            return x[order[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1]].astype(np.int64) if len(x) else np.zeros(0, np.int64)
+            return x[order[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1]].view(np.int32)
 
         return pd.Series([prefix(x) for x in s], dtype=object)
 
     part = F.floor(F.log(F.length("s") / 4) / math.log(1 / threshold) + 1e-9)
-    keyed = sets.where(F.length("s") > 0).select("_key", part.cast("int").alias("p"), F.explode(own("s")).alias("sig"))
+    found = materialize(sets.where(F.length("s") > 0).select("_key", part.cast("int").alias("p"), own("s").alias("own")), "spot-prefixes")  # read twice
+    keyed = found.select("_key", "p", F.explode("own").alias("sig")).withColumn("sig", F.col("sig").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     shared = keyed.groupBy(F.col("sig").alias("_sig")).count().where("count > 1").select("_sig")  # a set has a signature once
     both = spread_join(keyed, shared, "sig", "_sig", "_key")
     return both.select("_key", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "sig").select("_key", (F.shiftleft(F.col("p").cast("long"), 32) + F.col("sig")).alias("band"))
@@ -223,8 +227,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, share: float = SH
     null as those of any other; repeated rows are rows of their text's group; an empty table gives no rows.
 
     Fingerprints meet in buckets of set length and rare signature. Each is compared with its bucket's centre; only members
-    that are still apart meet in blocks, where parity sketches rule most out. So no bucket writes all its pairs, none is
-    cut, and only pairs that are compared become rows."""
+    other than the centre that are still apart meet in blocks, where parity sketches rule most out. So no bucket writes all
+    its pairs, none is cut, and only pairs that are compared become rows."""
     small_batches(docs.sparkSession)
     made = anchors(docs, share)
 
@@ -261,7 +265,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, share: float = SH
     star = shared.where("_key <> _c").select(F.col("_c").alias("a"), F.col("_key").alias("b")).distinct()
     links = linked(star, compared, threshold, "spot-star")
     found = materialize(components(nodes, links, "spot-star"), "spot-star-components")
-    placed = shared.join(found.select(F.col("id").alias("_key"), "component"), "_key").select("band", "_key", "component")
+    placed = others_placed(shared, found)
     mixed = placed.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
     rest = materialize(placed.join(mixed, "band", "left_semi"), "spot-apart")
     known = compared.join(rest.select("_key").distinct(), "_key", "left_semi").select("_key", (F.length("s") / 4).cast("int").alias("size"), sketch("s").alias("sketch"))
@@ -276,6 +280,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, share: float = SH
     return spread_join(rows.select("doc_id", "_key"), named, "_key", "_k", "doc_id").select("doc_id", F.lower(F.hex("_key")).alias("fingerprint_key"), "group_id", "group_size")
 
 
+def others_placed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, _key, component) of the members of each bucket that aren't its centre: those have all been compared with it, so
+    two in a bucket, as most are, have nothing left to compare."""
+    return shared.where("_key <> _c").join(found.select(F.col("id").alias("_key"), "component"), "_key").select("band", "_key", "component")
+
+
 def against_edited(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, set_length of every row.
 

@@ -76,3 +76,22 @@ def test_nothing(spark):
     assert spotsigs.near_groups(frame).count() == 0
     only = spotsigs.near_groups(spark.createDataFrame([(None, None), (None, "")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.group_id, r.group_size) for r in only] == [(None, None, 2)] * 2
+
+
+def test_centres_and_pairs_are_not_compared_again(spark):
+    """What a bucket's star has compared stays out of its blocks: its centre, and with it buckets of two."""
+    shared = spark.createDataFrame([(b"a", 1, b"a"), (b"b", 1, b"a"), (b"a", 2, b"a"), (b"b", 2, b"a"), (b"c", 2, b"a")], "_key binary, band long, _c binary")
+    found = spark.createDataFrame([(k, k) for k in (b"a", b"b", b"c")], "id binary, component binary")
+    got = sorted((r.band, bytes(r._key)) for r in spotsigs.others_placed(shared, found).collect())
+    assert got == [(1, b"b"), (2, b"b"), (2, b"c")]
+
+
+def test_signatures_are_counted_many_sets_at_once(spark, monkeypatch):
+    """A count takes a pass over all counters, which once was made for each set."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 32, k, dtype=np.uint32)) for k in (0, 1, 5, 700, 40)] * 9
+    frame = spark.createDataFrame([(bytearray(s.astype("<u4").tobytes()),) for s in sets], "s binary").coalesce(1)
+    want = sum(np.bincount(spotsigs.counter(s), minlength=spotsigs.COUNTERS) for s in sets)
+    for together in (2, spotsigs.TOGETHER):
+        monkeypatch.setattr(spotsigs, "TOGETHER", together)
+        assert (spotsigs.rarity(frame) == want).all()
